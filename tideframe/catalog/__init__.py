@@ -1,4 +1,4 @@
-from . import series  # noqa: F401
+from . import fill, segments, series  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
