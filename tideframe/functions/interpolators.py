@@ -65,8 +65,8 @@ def linear(fill_value=None, history_size=1, future_size=1) -> Interpolator:
 
     def two(t, h, f):
         p, n = F.try_element_at(h, F.lit(-1)), F.try_element_at(f, F.lit(1))
-        slope = (n["value"] - p["value"]) / (n["tick"] - p["tick"])
-        line = p["value"] + slope * (t - p["tick"])
+        slope = F.try_divide(n["value"] - p["value"], n["tick"] - p["tick"])
+        line = p["value"] + F.coalesce(slope, F.lit(0.0)) * (t - p["tick"])  # neighbours may share a tick
         return F.coalesce(F.when(p.isNotNull() & n.isNotNull(), line), _lit(fill_value))
 
     def least_squares(t, h, f):

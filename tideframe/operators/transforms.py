@@ -126,14 +126,14 @@ def decompose(ts: TS, samples_per_season: int, multiplicative: bool = False) ->
         return {"trend": F.when(whole, mean)}
 
     df = ts.frame(window, before=half, after=half, df=ts.row_index("_rn"))
-    dev = value / F.col("trend") if multiplicative else value - F.col("trend")
+    dev = F.try_divide(value, F.col("trend")) if multiplicative else value - F.col("trend")
     df = df.withColumn("_dev", dev).withColumn("_phase", F.col("_rn") % m)
     phase = df.groupBy(*ts.keys, "_phase").agg(F.avg("_dev").alias("_s"))
     level = phase.groupBy(*ts.keys).agg(F.avg("_s").alias("_mean"))
     phase = join_on(phase, level, ts.keys)
-    seasonal = F.col("_s") / F.col("_mean") if multiplicative else F.col("_s") - F.col("_mean")
+    seasonal = F.try_divide("_s", "_mean") if multiplicative else F.col("_s") - F.col("_mean")
     df = join_on(df, phase.select(*ts.keys, "_phase", seasonal.alias("seasonal")), [*ts.keys, "_phase"])
-    rest = value / (F.col("trend") * F.col("seasonal")) if multiplicative else value - F.col("trend") - F.col("seasonal")
+    rest = F.try_divide(value, F.col("trend") * F.col("seasonal")) if multiplicative else value - F.col("trend") - F.col("seasonal")
     parts = F.struct("trend", "seasonal", rest.alias("residual"))
     order = ts.ord or ()
     return ts.with_df(df.select(*ts.keys, "tick", *order, parts.alias("value")))

@@ -75,10 +75,10 @@ def add_chunk(df: DataFrame, keys: Sequence[str], by: Sequence[str], rows: int)
             .agg(F.count(F.lit(1)).alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
             .where(F.col("_n") > (2 * rows if path else rows))
         )
-        n_hot = hot.count()
+        n_hot, n_wide = hot.agg(F.count(F.lit(1)), F.count_if(F.col("_lo") < F.col("_hi"))).first()
         if n_hot == 0:
             break
-        if hot.where("_lo < _hi").isEmpty():
+        if n_wide == 0:
             numeric.pop(0)
             continue
         name, bucket = f"_c{len(path)}", F.col("_bucket")
@@ -103,8 +103,8 @@ def add_chunk(df: DataFrame, keys: Sequence[str], by: Sequence[str], rows: int)
             .withColumn("_seen", F.coalesce(F.sum("_n").over(before), F.lit(0)))
             .select(*group, "_bucket", F.floor((F.col("_seen") + F.col("_n") - 1) / rows).alias(name))
         )
-        n_cuts = cuts.count()
-        chunks += cuts.select(*group, name).distinct().count()
+        n_cuts = n_hot * (_BUCKETS + 1)  # an upper bound, also on the number of chunks
+        chunks += n_cuts
         df = join_on(df, small(cuts, n_cuts), [*group, "_bucket"], "left").drop("_bucket", "_lo", "_hi")
         df = df.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
         group.append(name)
