@@ -1,4 +1,4 @@
-from . import fill, language, learning, reducers, relational, segments, series  # noqa: F401
+from . import fill, language, learning, reducers, relational, segments, series, streams  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

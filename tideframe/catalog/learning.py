@@ -33,7 +33,7 @@ def _(spark, sf):
 
 
 def _facts(col, suffix):
-    return ", ".join(f"round({f}({col}), 2) AS {n}{suffix}" for n, f in [("average", "avg"), ("max", "max"), ("min", "min"), ("sd", "stddev_samp"), ("sum", "sum")])
+    return ", ".join(f"CAST(round({f}({col}), 2) AS DOUBLE) AS {n}{suffix}" for n, f in [("average", "avg"), ("max", "max"), ("min", "min"), ("sd", "stddev_samp"), ("sum", "sum")])
 
 
 @query(
@@ -75,9 +75,9 @@ def _(spark, sf):
 
 # Earliest in-order matches of up to three items.
 SEQS = """k AS (SELECT user_id, event_type AS item, tick, row_number() OVER (PARTITION BY user_id ORDER BY tick, event_id) AS rn FROM b), n AS (SELECT count(DISTINCT user_id) AS n FROM b),
-s1 AS (SELECT user_id, item AS s, min(rn) AS at, [arg_min(tick, rn)] AS ts FROM k GROUP BY 1, 2),
-s2 AS (SELECT s1.user_id, s || ',' || item AS s, min(rn) AS at, list_append(any_value(ts), arg_min(tick, rn)) AS ts FROM s1 JOIN k ON k.user_id = s1.user_id AND rn > at GROUP BY s1.user_id, s, item),
-s3 AS (SELECT s2.user_id, s || ',' || item AS s, min(rn) AS at, list_append(any_value(ts), arg_min(tick, rn)) AS ts FROM s2 JOIN k ON k.user_id = s2.user_id AND rn > at GROUP BY s2.user_id, s, item),
+s1 AS (SELECT user_id, item AS s, min(rn) AS pos, [arg_min(tick, rn)] AS ts FROM k GROUP BY 1, 2),
+s2 AS (SELECT s1.user_id, s || ',' || item AS s, min(rn) AS pos, list_append(any_value(ts), arg_min(tick, rn)) AS ts FROM s1 JOIN k ON k.user_id = s1.user_id AND rn > pos GROUP BY s1.user_id, s, item),
+s3 AS (SELECT s2.user_id, s || ',' || item AS s, min(rn) AS pos, list_append(any_value(ts), arg_min(tick, rn)) AS ts FROM s2 JOIN k ON k.user_id = s2.user_id AND rn > pos GROUP BY s2.user_id, s, item),
 m AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3),
 f AS (SELECT s, count(*) AS k FROM m, n GROUP BY s HAVING count(*) >= 0.6 * any_value(n))"""
 

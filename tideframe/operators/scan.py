@@ -26,19 +26,20 @@ def decay_scan(df: DataFrame, keys, rn: str, x: str, decay: float, longest: int,
     block = _BLOCK if decay == 1 else int(min(_BLOCK, max(1.0, _SPAN / -math.log10(decay))))
     if longest <= block:
         return _inside(df, [*keys], F.col(rn), x, decay, out)
-    df = df.withColumn("_b", F.floor(F.col(rn) / block))
-    df = _inside(df, [*keys, "_b"], F.col(rn) % block, x, decay, out)
-    tails = df.groupBy(*keys, "_b").agg(F.max_by(out, rn).alias("_x"))
+    # The names carry the output's, so that the levels do not meet.
+    b, tail, end = f"{out}_b", f"{out}_x", f"{out}_in"
+    df = df.withColumn(b, F.floor(F.col(rn) / block))
+    df = _inside(df, [*keys, b], F.col(rn) % block, x, decay, out)
+    tails = df.groupBy(*keys, b).agg(F.max_by(out, rn).alias(tail))
     whole = decay**block
-    n_blocks = -(-longest // block)
     if whole < 1e-40:
-        ends = tails.withColumn("_e", F.col("_x"))
+        ends = tails.withColumn(end, F.col(tail))
     else:
-        ends = decay_scan(tails, keys, "_b", "_x", whole, n_blocks, "_e")
-    into = ends.select(*keys, (F.col("_b") + 1).alias("_b"), "_e")
-    df = join_on(df, into, [*keys, "_b"], "left")
+        ends = decay_scan(tails, keys, b, tail, whole, -(-longest // block), end)
+    into = ends.select(*keys, (F.col(b) + 1).alias(b), end)
+    df = join_on(df, into, [*keys, b], "left")
     gain = F.pow(F.lit(float(decay)), F.col(rn) % block + 1)
-    return df.withColumn(out, F.col(out) + gain * F.coalesce("_e", F.lit(0.0))).drop("_b", "_e")
+    return df.withColumn(out, F.col(out) + gain * F.coalesce(end, F.lit(0.0))).drop(b, end)
 
 
 def _inside(df, group, pos, x, decay, out):
