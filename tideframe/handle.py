@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .plans import CHUNK_ROWS, frame, join_on, longest, row_index, running
+from .plans import CHUNK_ROWS, add_chunk, frame, join_on, longest, row_index, running
 from .trs import TRS
 
 
@@ -55,20 +55,27 @@ class TS:
 
     def with_df(self, df: DataFrame, fewer: bool = True, **changes) -> TS:
         """Same series layout over another frame; ``fewer``: no series can have gained rows."""
-        return replace(self, df=df, **{"known_max": self.known_max if fewer else None, **changes})
+        return replace(self, df=df.drop("_chunk"), **{"known_max": self.known_max if fewer else None, **changes})
 
     def with_value(self, value, **changes) -> TS:
         return self.with_df(self.df.withColumn("value", as_column(value)), **changes)
 
-    # order-based building blocks bound to this handle
+    # Order-based building blocks bound to this handle. The rows of a hot series are cut once per
+    # operator; the cut stays on the frame (``_chunk``) until ``with_df`` takes it off.
+    def _cut(self, df) -> DataFrame:
+        df = self.df if df is None else df
+        if self.bounded() or "_chunk" in df.columns:
+            return df
+        return add_chunk(df, self.keys, self.by, self.chunk_rows)[0]
+
     def running(self, specs, df=None) -> DataFrame:
-        return running(self.df if df is None else df, self.keys, self.by, specs, self.chunk_rows, self.bounded())
+        return running(self._cut(df), self.keys, self.by, specs, self.chunk_rows, self.bounded())
 
     def row_index(self, out="rn", df=None) -> DataFrame:
-        return row_index(self.df if df is None else df, self.keys, self.by, out, self.chunk_rows, self.bounded())
+        return row_index(self._cut(df), self.keys, self.by, out, self.chunk_rows, self.bounded())
 
     def frame(self, exprs, before=0, after=0, df=None) -> DataFrame:
-        return frame(self.df if df is None else df, self.keys, self.by, exprs, before, after, self.chunk_rows, self.bounded())
+        return frame(self._cut(df), self.keys, self.by, exprs, before, after, self.chunk_rows, self.bounded())
 
 
 @dataclass(frozen=True)

@@ -113,7 +113,8 @@ def add_chunk(df: DataFrame, keys: Sequence[str], by: Sequence[str], rows: int)
             break
     if not path:
         return df, 0
-    return df.withColumn("_chunk", F.array(*path)).drop(*path), chunks
+    # The count travels with the column, so later steps on the same rows need not cut again.
+    return df.withColumn("_chunk", F.array(*path)).withMetadata("_chunk", {"chunks": chunks}).drop(*path), chunks
 
 
 def _asc(by):
@@ -155,9 +156,14 @@ def running(
     rows: int = CHUNK_ROWS,
     bounded: bool | None = None,
 ) -> DataFrame:
-    """Add unbounded carries ``{out: (kind, column)}``; kinds are the keys of ``_KINDS``."""
-    chunks = 0
-    if not (bounded or (bounded is None and is_bounded(df, keys, rows))):
+    """Add unbounded carries ``{out: (kind, column)}``; kinds are the keys of ``_KINDS``.
+
+    A frame that already has ``_chunk`` is not cut again and keeps the column.
+    """
+    chunks, cut = 0, "_chunk" in df.columns
+    if cut:
+        chunks = df.schema["_chunk"].metadata.get("chunks", BROADCAST_ROWS + 1)
+    elif not (bounded or (bounded is None and is_bounded(df, keys, rows))):
         df, chunks = add_chunk(df, keys, by, rows)
     part = [*keys, "_chunk"] if chunks else list(keys)
     fwd = Window.partitionBy(*part).orderBy(*_asc(by))
@@ -198,7 +204,7 @@ def running(
         return F.coalesce(local, into)
 
     out = out.withColumns({o: merge(k, F.col(o), F.col(f"_i_{o}")) for o, (k, _) in specs.items()})
-    return out.drop("_chunk", *[f"_i_{o}" for o in specs])
+    return out.drop(*([] if cut else ["_chunk"]), *[f"_i_{o}" for o in specs])
 
 
 def row_index(df, keys, by, out="rn", rows=CHUNK_ROWS, bounded=None) -> DataFrame:
@@ -229,15 +235,15 @@ def frame(
     if bounded or (bounded is None and is_bounded(df, keys, rows)):
         return df.withColumns(exprs(Window.partitionBy(*keys).orderBy(*_asc(by))))
     size = max(rows, before, after, 1)
-    df = row_index(df, keys, by, "_rn", rows, bounded=False)
-    blk, off = F.floor(F.col("_rn") / size), F.col("_rn") % size
+    df = row_index(df, keys, by, "_at", rows, bounded=False)
+    blk, off = F.floor(F.col("_at") / size), F.col("_at") % size
     none = F.lit(None).cast("long")
     homes = F.array_compact(
         F.array(blk, F.when(off >= size - before, blk + 1).otherwise(none), F.when(off < after, blk - 1).otherwise(none))
     )
-    df = df.withColumn("_blk", F.explode(homes))
-    out = df.withColumns(exprs(Window.partitionBy(*keys, "_blk").orderBy("_rn")))
-    return out.where(F.col("_blk") == blk).drop("_rn", "_blk")
+    df = df.withColumn("_home", F.explode(homes))
+    out = df.withColumns(exprs(Window.partitionBy(*keys, "_home").orderBy("_at")))
+    return out.where(F.col("_home") == blk).drop("_at", "_home")
 
 
 def fold(
