@@ -191,7 +191,7 @@ def _(spark, sf):
 
 @query("udf_aggregate", f"WITH {E} SELECT user_id, round(max(value) - min(value), 6) AS value FROM e GROUP BY 1")
 def _(spark, sf):
-    out = udf.fold_values(events(spark, sf), lambda v: [v.min(), v.max()], lambda p: p["hi"].max() - p["lo"].min(), ["lo", "hi"])
+    out = udf.fold_values(events(spark, sf), lambda v: [v.min(), v.max()], lambda p: [p["lo"].min(), p["hi"].max()], lambda x: x[1] - x[0], ["lo", "hi"])
     return rounded(out, "value")
 
 

@@ -40,32 +40,47 @@ def map_optional(ts: TS, fn: Callable[[pd.Series], pd.Series], value_type: str)
     return out.with_df(out.df.where(F.col("value").isNotNull() & ~F.isnan("value") if value_type in ("double", "float") else F.col("value").isNotNull()))
 
 
-def fold_values(ts: TS, partial: Callable[[pd.Series], list], merge: Callable[[pd.DataFrame], float], names: Sequence[str]) -> DataFrame:
-    """series -> value as an aggregate in two steps.
+def fold_values(ts: TS, partial: Callable[[pd.Series], list], combine: Callable[[pd.DataFrame], list], finish: Callable[[list], float], names: Sequence[str], salt: int = 64) -> DataFrame:
+    """series -> value as an aggregate with partials.
 
-    ``partial(values)`` boils a bounded batch of one series down to a few doubles (``names``);
-    ``merge`` turns the frame of a series' partials into the result.
+    ``partial(values)`` boils a batch of one series down to a few doubles (``names``), ``combine`` merges a
+    frame of partials into one, ``finish`` turns the last partial into the result. Partials are merged
+    within a task, then per salt, and only those meet.
     """
     keys, names = list(ts.keys), list(names)
     ddl = ", ".join(f"`{k}` {ts.df.schema[k].dataType.simpleString()}" for k in keys)
+    fields = ", ".join(f"`{n}` double" for n in names)
 
     def first(batches):
+        held = None
         for pdf in batches:
             rows = [[*(k if isinstance(k, tuple) else (k,)), *partial(g["value"])] for k, g in pdf.groupby(keys, dropna=False)]
-            if rows:
-                yield pd.DataFrame(rows, columns=[*keys, *names])
-
-    parts = ts.df.select(*keys, "value").mapInPandas(first, f"{ddl}, " + ", ".join(f"`{n}` double" for n in names))
+            fresh = pd.DataFrame(rows, columns=[*keys, *names])
+            if held is not None:
+                both = pd.concat([held, fresh])
+                rows = [[*(k if isinstance(k, tuple) else (k,)), *combine(g)] for k, g in both.groupby(keys, dropna=False)]
+                fresh = pd.DataFrame(rows, columns=[*keys, *names])
+            held = fresh
+            if len(held) > 100_000:  # many keys: hand on what is there
+                yield held
+                held = None
+        if held is not None:
+            yield held
+
+    def merge(key, pdf):
+        return pd.DataFrame([[*key[: len(keys)], *combine(pdf)]], columns=[*keys, *names])
 
     def last(key, pdf):
-        return pd.DataFrame([[*key, merge(pdf)]], columns=[*keys, "value"])
+        return pd.DataFrame([[*key, finish(combine(pdf))]], columns=[*keys, "value"])
 
-    return parts.groupBy(*keys).applyInPandas(last, f"{ddl}, value double")
+    parts = ts.df.select(*keys, "value").mapInPandas(first, f"{ddl}, {fields}")
+    some = parts.groupBy(*keys, F.pmod(F.xxhash64(*names), F.lit(salt)).alias("_s")).applyInPandas(merge, f"{ddl}, {fields}")
+    return some.groupBy(*keys).applyInPandas(last, f"{ddl}, value double")
 
 
 def map_segments(segs: Segments, fn: Callable[[pd.DataFrame], float], value_type: str = "double") -> DataFrame:
     """segment -> value; the function sees one whole segment (ordered), so segments must fit a task."""
-    if not is_bounded(segs.df, segs.group, segs.chunk_rows):
+    if not is_bounded(segs.df, segs.group, segs.rows()):
         raise ValueError("a segment is longer than chunk_rows")
     group, by = segs.group, segs.by
     ddl = ", ".join(f"`{k}` {segs.df.schema[k].dataType.simpleString()}" for k in group)

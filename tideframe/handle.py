@@ -53,6 +53,10 @@ class TS:
         """Whether every series fits one task."""
         return self.max_rows() <= self.chunk_rows
 
+    def rows(self) -> int | None:
+        """Rows per task to ask for in the building blocks; None once every series is known to fit."""
+        return None if self.bounded() else self.chunk_rows
+
     def with_df(self, df: DataFrame, fewer: bool = True, **changes) -> TS:
         """Same series layout over another frame; ``fewer``: no series can have gained rows."""
         return replace(self, df=df.drop("_chunk"), **{"known_max": self.known_max if fewer else None, **changes})
@@ -92,6 +96,11 @@ class Segments:
     has_bounds: bool = False
     chunk_rows: int = CHUNK_ROWS
     trs: TRS | None = None
+    fits: bool = False
+
+    def rows(self) -> int | None:
+        """Like ``TS.rows``: None when the series the segments come from fit a task."""
+        return None if self.fits else self.chunk_rows
 
     @property
     def group(self) -> list[str]:

@@ -7,6 +7,7 @@ its cluster's product sums; the leading eigenvector of those sums is the next ce
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -152,29 +153,36 @@ def _update(series: DataFrame, keys, cents: np.ndarray, use_eigen: bool, first_s
             if counts[j]:
                 yield pd.DataFrame({"cluster": [j], "s": [sums[j].tolist()], "lead": [lead[j].tolist()], "n": [int(counts[j])]})
 
-    def merge(pdf):
-        s = np.sum([np.asarray(v) for v in pdf["s"]], axis=0)
-        lead = np.sum([np.asarray(v) for v in pdf["lead"]], axis=0)
-        return pd.DataFrame({"cluster": [pdf["cluster"].iat[0]], "s": [s.tolist()], "lead": [lead.tolist()], "n": [int(pdf["n"].sum())]})
+    def total(batches):
+        s, lead, n = np.zeros(width), np.zeros(m), 0
+        cluster = None
+        for pdf in batches:
+            for c, a, b, k_ in zip(pdf["cluster"], pdf["s"], pdf["lead"], pdf["n"]):
+                cluster, s, lead, n = c, s + np.asarray(a), lead + np.asarray(b), n + int(k_)
+        return cluster, s, lead, n
+
+    # Partials stream through these, so a merge holds one sum, however many partials there are.
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cluster, s, lead, n = total(batches)
+        yield pd.DataFrame({"cluster": [cluster], "s": [s.tolist()], "lead": [lead.tolist()], "n": [n]})
 
-    def extract(pdf):
-        m_ = merge(pdf)
-        s, lead = np.asarray(m_["s"].iat[0]), np.asarray(m_["lead"].iat[0])
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cluster, s, lead, n = total(batches)
         if use_eigen:
             q = np.eye(m) - 1.0 / m
             _, vectors = np.linalg.eigh(q @ s.reshape(m, m) @ q)
             c = vectors[:, -1]
             c = -c if c @ lead < 0 else c
         else:
-            c = s / m_["n"].iat[0]
-        return pd.DataFrame({"cluster": m_["cluster"], "s": [_znorm(c).tolist()], "lead": [[]], "n": m_["n"]})
+            c = s / n
+        yield pd.DataFrame({"cluster": [cluster], "s": [_znorm(c).tolist()], "lead": [[]], "n": [n]})
 
     if first_seed is not None:
         series = series.withColumn("_own", F.pmod(F.xxhash64(F.lit(first_seed), *keys), F.lit(k)).cast("int"))
     schema = "cluster int, s array<double>, lead array<double>, n long"
     parts = series.mapInPandas(partial, schema)
     # Partials of one cluster are merged in two steps, so no task adds up those of the whole cluster.
-    some = parts.groupBy("cluster", F.pmod(F.xxhash64("n", F.col("lead")[0]), F.lit(16)).alias("_s")).applyInPandas(lambda pdf: merge(pdf), schema)
+    some = parts.groupBy("cluster", F.pmod(F.xxhash64("n", F.col("lead")[0]), F.lit(16)).alias("_s")).applyInPandas(merge, schema)
     new = some.groupBy("cluster").applyInPandas(extract, schema).collect()
     out = cents.copy()
     for r in new:

@@ -60,17 +60,14 @@ def aggregate_series_with_key(ts: TS, agg=None) -> TS:
     return aggregate_series(ts, agg)
 
 
-def pair_wise_transform(ts: TS, agg, pairs: DataFrame | None = None) -> DataFrame:
-    """One row per pair of series that share ticks: an aggregate over ``left`` and ``right``.
+def pair_wise_transform(ts: TS, agg, pairs: DataFrame) -> DataFrame:
+    """One row per pair of series: an aggregate over ``left`` and ``right`` on shared ticks.
 
-    ``pairs`` (columns ``left_<key>``, ``right_<key>``) restricts the work to those pairs; by default
-    every pair (left key < right key) that meets on a tick is reduced.
+    ``pairs`` (columns ``left_<key>``, ``right_<key>``) names the pairs to reduce, so that the work is
+    chosen by the caller and does not grow with the square of the series.
     """
     left, right = [f"left_{k}" for k in ts.keys], [f"right_{k}" for k in ts.keys]
     a = ts.df.select("tick", *[F.col(k).alias(n) for k, n in zip(ts.keys, left)], F.col("value").alias("left"))
     b = ts.df.select("tick", *[F.col(k).alias(n) for k, n in zip(ts.keys, right)], F.col("value").alias("right"))
-    if pairs is not None:
-        both = join_on(join_on(a, pairs.select(*left, *right).distinct(), left), b, [*right, "tick"])
-    else:
-        both = a.join(b, "tick").where(F.struct(*[F.col(c).alias(k) for c, k in zip(left, ts.keys)]) < F.struct(*[F.col(c).alias(k) for c, k in zip(right, ts.keys)]))
+    both = join_on(join_on(a, pairs.select(*left, *right).distinct(), left), b, [*right, "tick"])
     return both.groupBy(*left, *right).agg(as_column(agg).alias("value"))

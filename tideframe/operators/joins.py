@@ -24,6 +24,11 @@ def _sides(left: TS, right: TS) -> tuple[DataFrame, DataFrame, list[str]]:
     return a, b, on
 
 
+def _fits(left: TS, right: TS) -> bool | None:
+    """True when the rows of both sides of a key fit a task together; None: look at the joined rows."""
+    return True if left.max_rows() + right.max_rows() <= left.chunk_rows else None
+
+
 def joined(left: TS, right: TS, how: str, left_interp: Interpolator | None = None, right_interp: Interpolator | None = None) -> DataFrame:
     """Rows (keys, tick, left, right) of the join ``how``: inner, full, left, right, left_outer, right_outer."""
     if set(right.keys) != set(left.keys):
@@ -45,12 +50,12 @@ def joined(left: TS, right: TS, how: str, left_interp: Interpolator | None = Non
         side = F.when(F.col("_known"), 0).otherwise(1)
         ahead = interp.future_size and not interp.history_size
         both = both.withColumn("_side", -side if ahead else side)
-        out = fill_column(both, left.keys, ["tick", "_side"], col, interp, left.chunk_rows, None, known="_known")
+        out = fill_column(both, left.keys, ["tick", "_side"], col, interp, left.chunk_rows, _fits(left, right), known="_known")
         return out.where(F.col(mark)).select(*on, "left", "right")
     full = a.join(b, on, "full")
     for col, interp in (("left", left_interp), ("right", right_interp)):
         if interp:
-            full = fill_column(full, left.keys, ["tick"], col, interp, left.chunk_rows, None)
+            full = fill_column(full, left.keys, ["tick"], col, interp, left.chunk_rows, _fits(left, right))
     if how != "full":
         full = full.where(F.col("_l" if how == "left" else "_r"))
     return full.select(*on, "left", "right")

@@ -43,7 +43,11 @@ def reduce2(left: TS, right: TS, reducer: BinaryReducer) -> DataFrame:
         a = left.row_index("i").select(*left.keys, "i", F.col("value").cast("double").alias("x"))
         b = right.row_index("i").select(*left.keys, "i", F.col("value").cast("double").alias("x"))
         return reducer.separate(a, b, list(left.keys), left.chunk_rows)
-    return reducer.apply(joined(left, right, "inner"), left.keys, left.chunk_rows)
+    both = joined(left, right, "inner")
+    if reducer.columns is not None:
+        return reducer.apply(both, left.keys, None)
+    fits = left.bounded() and (set(right.keys) != set(left.keys) or right.bounded())
+    return reducer.apply(both, left.keys, None if fits else left.chunk_rows)
 
 
 def correlation() -> BinaryReducer:

@@ -305,9 +305,11 @@ def fft() -> Reducer:
 
 def reduce(ts: TS, reducer: Reducer) -> DataFrame:
     """Series to scalar(s): a row per key (per key and item for reducers that say so)."""
-    return reducer.apply(ts.df, ts.keys, ts.by, ts.chunk_rows)
+    rows = None if reducer.columns is not None else ts.rows()  # plain aggregates need no size check
+    return reducer.apply(ts.df, ts.keys, ts.by, rows)
 
 
 def reduce_range(ts: TS, reducer: Reducer, start: int, end: int) -> DataFrame:
     """Reduce the observations with ``start <= tick <= end``."""
-    return reducer.apply(ts.df.where(F.col("tick").between(start, end)), ts.keys, ts.by, ts.chunk_rows)
+    part = ts.with_df(ts.df.where(F.col("tick").between(start, end)))
+    return reducer.apply(part.df, ts.keys, ts.by, part.rows())

@@ -16,7 +16,8 @@ from .scan import decay_scan
 def _segments(ts: TS, df: DataFrame, has_bounds=False) -> Segments:
     bounds = ["seg_start", "seg_end"] if has_bounds else []
     out = df.select(*ts.keys, "seg_id", *bounds, "tick", *ts.ord, "value")
-    return Segments(out, ts.keys, ts.ord, has_bounds, ts.chunk_rows, ts.trs)
+    fits = ts.known_max is not None and ts.known_max <= ts.chunk_rows
+    return Segments(out, ts.keys, ts.ord, has_bounds, ts.chunk_rows, ts.trs, fits)
 
 
 def segment(ts: TS, window: int, step: int = 1, enforce_size: bool = True) -> Segments:
@@ -288,14 +289,14 @@ def filter_segments(segs: Segments, condition) -> Segments:
 
 def transform(segs: Segments, reducer) -> TS:
     """Reduce each segment; the tick of the result is the segment's start."""
-    out = reducer.apply(segs.df, segs.group, segs.by, segs.chunk_rows)
-    starts = segs.df.groupBy(*segs.group).agg(_start(segs).alias("tick"))
-    fields = [c for c in out.columns if c not in segs.group]
+    groups = segs.df.groupBy(*segs.group)
     if reducer.columns is not None:
         aggs = reducer.columns("value", segs.by)
-        out = segs.df.groupBy(*segs.group).agg(_start(segs).alias("tick"), *[c.alias(n) for n, c in aggs.items()])
+        out = groups.agg(_start(segs).alias("tick"), *[c.alias(n) for n, c in aggs.items()])
     else:
-        out = join_on(starts, out, segs.group)
+        values = reducer.apply(segs.df, segs.group, segs.by, segs.rows())
+        out = join_on(groups.agg(_start(segs).alias("tick")), values, segs.group)
+    fields = [c for c in out.columns if c not in (*segs.group, "tick")]
     value = F.col(fields[0]) if len(fields) == 1 else F.struct(*fields)
     df = out.select(*segs.keys, "tick", "seg_id", value.alias("value"))
     return TS(df, segs.keys, ("seg_id",), segs.trs, segs.chunk_rows)

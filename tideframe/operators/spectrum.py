@@ -24,18 +24,23 @@ def transform(df: DataFrame, group, by, rows: int) -> DataFrame:
     """
     group = list(group)
     clean = df.where(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("double"))
-    schema = f"{_ddl(df, group)}, k long, re double, im double"
     if is_bounded(clean, group, rows):
 
-        def whole(key, pdf):
-            v = pdf.sort_values(list(by))["value"].to_numpy()
-            z = np.fft.rfft(v - v.mean())
-            out = pd.DataFrame({"k": np.arange(len(z)), "re": z.real, "im": z.imag})
-            for name, part in zip(group, key):
-                out[name] = part
-            return out
-
-        return clean.select(*dict.fromkeys([*group, *by, "value"])).groupBy(*group).applyInPandas(whole, schema)
+        item = F.struct(*by, *([] if "value" in by else ["value"]))
+        packed = clean.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_o"))
+        packed = packed.withColumn("_o", F.transform("_o", lambda s: s["value"]))
+
+        @F.pandas_udf("array<struct<re:double,im:double>>")
+        def whole(values: pd.Series) -> pd.Series:
+            out = []
+            for v in values:
+                v = np.asarray(v, float)
+                z = np.fft.rfft(v - v.mean())
+                out.append([{"re": a, "im": b} for a, b in zip(z.real.tolist(), z.imag.tolist())])
+            return pd.Series(out)
+
+        bins = packed.select(*group, F.posexplode(whole("_o")).alias("k", "z"))
+        return bins.select(*group, F.col("k").cast("long").alias("k"), "z.re", "z.im")
     sums = saved(clean.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.avg("value").alias("_mean")))
     x = row_index(clean, group, by, "_j", rows, bounded=False)
     x = join_on(x, small(sums, sums.count()), group)

@@ -89,9 +89,9 @@ def _run(left: TS, right: TS, pairs: DataFrame, kernel, out: str, tile: int) ->
     answer, edges = None, None
     for wave in range((span or 0) + 1):
         tiles = join_on(a, b, ids).where(F.col("_leftb") + F.col("_rightb") == wave)
-        if not single:
-            # Spread the tiles of one pair: its pieces sit together after the join.
-            tiles = tiles.repartition(*ids, "_leftb")
+        # A tile is little data and much work, so tiles are spread by number, not by size; those of
+        # one pair also go to different tasks.
+        tiles = tiles.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ids, "_leftb")
         if edges is not None:
             for name, di, dj in (("top", 1, 0), ("side", 0, 1), ("corner", 1, 1)):
                 got = edges.where(F.col("_edge") == name).select(

@@ -43,8 +43,10 @@ def small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def is_bounded(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
-    """True when no key has more than ``rows`` rows."""
+def is_bounded(df: DataFrame, keys: Sequence[str], rows: int | None) -> bool:
+    """True when no key has more than ``rows`` rows; ``None`` says that this is known already."""
+    if rows is None:
+        return True
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).isEmpty()
 
 
