@@ -11,7 +11,7 @@ import numpy as np
 
 def chi2_tail(x, dof):
     """P(X > x) for a chi-squared variable."""
-    x, a = np.broadcast_arrays(np.asarray(x, float) / 2, np.asarray(dof, float) / 2)
+    x, a = np.broadcast_arrays(np.atleast_1d(np.asarray(x, float)) / 2, np.asarray(dof, float) / 2)
     out = np.full(x.shape, np.nan)
     ok = np.isfinite(x) & (a > 0)
     for i in zip(*np.nonzero(ok)):
@@ -66,7 +66,7 @@ def _beta_reg(a: float, b: float, x: float) -> float:
 
 def f_tail(x, d1, d2):
     """P(X > x) for an F variable."""
-    x, d1, d2 = np.broadcast_arrays(np.asarray(x, float), np.asarray(d1, float), np.asarray(d2, float))
+    x, d1, d2 = np.broadcast_arrays(np.atleast_1d(np.asarray(x, float)), np.asarray(d1, float), np.asarray(d2, float))
     out = np.full(x.shape, np.nan)
     for i in zip(*np.nonzero(np.isfinite(x) & (d1 > 0) & (d2 > 0))):
         out[i] = 1.0 if x[i] <= 0 else _beta_reg(d2[i] / 2, d1[i] / 2, d2[i] / (d2[i] + d1[i] * x[i]))

@@ -401,9 +401,12 @@ def forecast_at(model: DataFrame, keys, probes: DataFrame, confidence: float = 0
 
 def is_anomaly(model: DataFrame, keys, probes: DataFrame, confidence: float = 0.95, tick_col: str = "t") -> DataFrame:
     """Adds ``is_anomaly`` to probes (keys, ``tick_col``, ``value``): outside the bounds, or NaN."""
-    out = forecast_at(model, keys, probes, confidence, tick_col)
-    v = F.col("value").cast("double")
-    return out.withColumn("is_anomaly", F.isnan(v) | (v < F.col("lower")) | (v > F.col("upper")))
+    # NaN would become null on its way through Arrow, so it is noted before.
+    noted = probes.withColumn("value", F.col("value").cast("double")).withColumn("_nan", F.isnan("value"))
+    out = forecast_at(model, keys, noted, confidence, tick_col)
+    v = F.when(F.col("_nan"), F.lit(float("nan"))).otherwise(F.col("value"))
+    outside = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
+    return out.withColumn("is_anomaly", F.col("_nan") | outside).withColumn("value", v).drop("_nan")
 
 
 def update_model(model: DataFrame, ts: TS, fit, **arguments) -> DataFrame:

@@ -54,7 +54,7 @@ def polling_source(spark: SparkSession, name: str, schema: str, latest: Callable
         def schema(self):
             return schema
 
-        def streamReader(self, _schema):
+        def streamReader(self, schema):
             return _PollReader(latest, poll, parse, slices)
 
     spark.dataSource.register(Source)
@@ -77,7 +77,7 @@ def writer_source(spark: SparkSession, name: str, write_rows: Callable[[Iterator
         def name(cls):
             return name
 
-        def writer(self, _schema, _overwrite):
+        def writer(self, schema, overwrite):
             return Writer(self.options)
 
     spark.dataSource.register(Sink)
