@@ -158,7 +158,11 @@ def _(spark, sf):
     return _shown(features.prepare_predictions(events(spark, sf), DAY, 0))
 
 
-@query("labeled_points")
+@query(
+    "labeled_points",
+    f"WITH {E}, a AS (SELECT * FROM e WHERE event_type IN ('purchase', 'error')), g AS (SELECT any_value(a.event_type) = 'purchase' AS p, count(*) AS n FROM a JOIN e d ON d.user_id = a.user_id AND d.tick BETWEEN a.tick - {DAY} AND a.tick + {HOUR} GROUP BY a.user_id, a.tick) "
+    "SELECT CAST(p AS INT)::DOUBLE AS label, CAST(n AS INT) AS size FROM g",
+)
 def _(spark, sf):
     data, label = _labelled(spark, sf)
     prepared = features.prepare(data, label, "value = 'purchase'", DAY, HOUR, 1.0, 1.0, with_replacement=True)
@@ -212,13 +216,19 @@ def _(spark, sf):
     return rounded(order_days(spark, sf).forecast(7, "hws", samples_per_season=7, multiplicative=True), "value", "lower", "upper", "error", digits=1)
 
 
-_EXP = """WITH d AS (SELECT o_orderpriority, CAST(epoch_ms(o_orderdate) // 86400000 AS BIGINT) AS tick, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL),
+def _exp_sql(keep: str) -> str:
+    """Exponential smoothing of the days that ``keep`` lets through (``cut``: 60 days before the end)."""
+    return """WITH a AS (SELECT o_orderpriority, CAST(epoch_ms(o_orderdate) // 86400000 AS BIGINT) AS tick, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL),
+d AS (SELECT a.* FROM a, (SELECT max(tick) - 60 AS cut FROM a) WHERE """ + keep + """),
 k AS (SELECT *, row_number() OVER w AS rn FROM d WINDOW w AS (PARTITION BY o_orderpriority ORDER BY tick)),
 s AS (SELECT o_orderpriority, list(value ORDER BY rn) AS v, max(tick) AS last, (max(tick) - min(tick)) / (count(*) - 1) AS step FROM k GROUP BY 1),
 f AS (SELECT *, list_reduce([{'l': x, 'e': 0.0} FOR x IN v], lambda a, b: {'l': a.l * 0.7 + b.l * 0.3, 'e': a.e + (b.l - a.l) ** 2}) AS z FROM s),
 g AS (SELECT *, sqrt(z.e / (len(v) - 1)) AS sd FROM f), h AS (SELECT unnest(range(1, 6)) AS step_no)"""
 
 
+_EXP = _exp_sql("true")
+
+
 @query(
     "forecast_exponential",
     f"{_EXP} SELECT o_orderpriority, CAST(last + round_even(step_no * step, 0) AS BIGINT) AS tick, step_no AS step, round(z.l, 2) AS value, round(sd * sqrt(1 + (step_no - 1) * 0.09), 2) AS error FROM g, h",
@@ -249,7 +259,13 @@ def _(spark, sf):
     return rounded(forecast.forecast_at(m, ts.keys, probes).select("o_orderpriority", "t", "forecast", "error"), "forecast", "error", digits=2)
 
 
-@query("anomaly_detector")
+@query(
+    "anomaly_detector",
+    _exp_sql("tick <= cut") + ", q AS (SELECT g.*, a.tick AS t, a.value AS obs FROM g JOIN a USING (o_orderpriority), (SELECT max(tick) - 60 AS cut FROM a) WHERE a.tick > cut), "
+    "x AS (SELECT *, round_even((t - last) / step, 0) AS hh FROM q), "
+    "b AS (SELECT *, CASE WHEN hh >= 1 THEN z.l END AS f, CASE WHEN hh >= 1 THEN sd * sqrt(1 + (hh - 1) * 0.09) END AS e FROM x) "
+    "SELECT o_orderpriority, t, obs AS value, round(f, 2) AS forecast, round(f - 1.6448536269514715 * e, 2) AS lower, round(f + 1.6448536269514715 * e, 2) AS upper, round(e, 2) AS error, abs(obs - f) > 1.6448536269514715 * e AS is_anomaly FROM b",
+)
 def _(spark, sf):
     ts = order_days(spark, sf)
     cut = ts.df.agg(F.max("tick")).first()[0] - 60
@@ -258,7 +274,10 @@ def _(spark, sf):
     return rounded(forecast.is_anomaly(m, ts.keys, probes, 0.9), "forecast", "lower", "upper", "error", digits=2)
 
 
-@query("update_model")
+@query(
+    "update_model",
+    _exp_sql("tick <= cut OR o_orderpriority IN ('1-URGENT', '2-HIGH')") + " SELECT o_orderpriority, last AS last_time, round(z.l, 2) AS level FROM g",
+)
 def _(spark, sf):
     ts = order_days(spark, sf)
     cut = ts.df.agg(F.max("tick")).first()[0] - 60
@@ -268,7 +287,11 @@ def _(spark, sf):
     return new.select("o_orderpriority", "last_time", r(F.col("state")[0], 2).alias("level"))
 
 
-@query("model_save_load")
+@query(
+    "model_save_load",
+    f"{_EXP}, y AS (SELECT *, sd * sqrt(1 + (step_no - 1) * 0.09) AS e FROM g, h WHERE step_no <= 3) SELECT o_orderpriority, CAST(last + round_even(step_no * step, 0) AS BIGINT) AS tick, step_no AS step, "
+    "round(z.l, 2) AS value, round(z.l - 1.959963984540054 * e, 2) AS lower, round(z.l + 1.959963984540054 * e, 2) AS upper, round(e, 2) AS error FROM y",
+)
 def _(spark, sf):
     path = scratch(spark, "model")
     ts = order_days(spark, sf)

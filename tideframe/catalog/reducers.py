@@ -260,34 +260,50 @@ def _neighbours(ts):
     return ts.series_keys().select(F.col(key).alias(f"left_{key}"), (F.col(key) + 1).alias(f"right_{key}"))
 
 
-_DTW = f"""WITH RECURSIVE {E}, k AS (SELECT user_id, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e {W}),
+def _dtw_sql(ok: str) -> str:
+    return f"""WITH RECURSIVE {E}, k AS (SELECT user_id, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e {W}),
 s AS (SELECT user_id, list(value ORDER BY i) AS v FROM k GROUP BY 1),
 p AS (SELECT a.user_id AS l, b.user_id AS r, a.v AS x, b.v AS y FROM s a JOIN s b ON b.user_id = a.user_id + 1),
 t AS (SELECT l, r, 0 AS i, [CASE WHEN j = 0 THEN 0.0 ELSE 1e300 END FOR j IN range(0, len(y) + 1)] AS row FROM p
- UNION ALL SELECT t.l, t.r, t.i + 1, list_reduce(list_prepend([1e300], [[least(t.row[j], t.row[j + 1]), abs(p.x[t.i + 1] - p.y[j])] FOR j IN range(1, len(p.y) + 1)]),
+ UNION ALL SELECT t.l, t.r, t.i + 1, list_reduce(list_prepend([1e300], [[least(t.row[j], t.row[j + 1]), CASE WHEN {ok} THEN abs(p.x[t.i + 1] - p.y[j]) ELSE 1e300 END] FOR j IN range(1, len(p.y) + 1)]),
   lambda acc, c: list_append(acc, least(acc[-1], c[1]) + c[2])) FROM t JOIN p USING (l, r) WHERE t.i < len(p.x))
-SELECT l AS left_user_id, r AS right_user_id, round(row[-1], 6) AS dtw FROM t JOIN p USING (l, r) WHERE i = len(x)"""
+SELECT l AS left_user_id, r AS right_user_id, CASE WHEN row[-1] >= 1e299 THEN CAST('Infinity' AS DOUBLE) ELSE round(row[-1], 6) END AS dtw FROM t JOIN p USING (l, r) WHERE i = len(x)"""
 
 
-@query("dtw", _DTW)
+@query("dtw", _dtw_sql("true"))
 def _(spark, sf):
     ts = events(spark, sf)
     return rounded(warp.dtw(ts, ts, _neighbours(ts)), "dtw")
 
 
-@query("sakoe_chiba_dtw")
+@query("sakoe_chiba_dtw", _dtw_sql("abs(t.i - (j - 1)) <= 20"))
 def _(spark, sf):
     ts = events(spark, sf)
     return rounded(warp.sakoe_chiba_dtw(ts, ts, _neighbours(ts), 20), "dtw")
 
 
-@query("itakura_parallelogram_dtw")
+_U, _V = "(t.i / greatest(len(p.x) - 1, 1))", "((j - 1) / greatest(len(p.y) - 1, 1))"
+
+
+@query(
+    "itakura_parallelogram_dtw",
+    _dtw_sql(f"{_V} >= greatest({_U} / 2, 2 * {_U} - 1) - 1e-9 AND {_V} <= least(2 * {_U}, ({_U} + 1) / 2) + 1e-9"),
+)
 def _(spark, sf):
     ts = events(spark, sf)
     return rounded(warp.itakura_parallelogram_dtw(ts, ts, _neighbours(ts)), "dtw")
 
 
-@query("damerau_levenshtein")
+_EDIT = f"""WITH RECURSIVE {E}, s AS (SELECT user_id, list(event_type ORDER BY tick, event_id) AS v FROM e GROUP BY 1),
+p AS (SELECT a.user_id AS l, b.user_id AS r, a.v AS x, b.v AS y FROM s a JOIN s b ON b.user_id = a.user_id + 1),
+t AS (SELECT l, r, 0 AS i, [CAST(j AS DOUBLE) FOR j IN range(0, len(y) + 1)] AS row, [CAST(1e9 AS DOUBLE) FOR j IN range(0, len(y) + 1)] AS old FROM p
+ UNION ALL SELECT t.l, t.r, t.i + 1, list_reduce(list_prepend([t.i + 1.0], [[least(t.row[j + 1] + 1, t.row[j] + CASE WHEN p.x[t.i + 1] = p.y[j] THEN 0 ELSE 1 END,
+   CASE WHEN t.i > 0 AND j > 1 AND p.x[t.i + 1] <> p.y[j] AND p.x[t.i + 1] = p.y[j - 1] AND p.x[t.i] = p.y[j] THEN t.old[j - 1] + 1 ELSE 1e9 END)] FOR j IN range(1, len(p.y) + 1)]),
+  lambda acc, c: list_append(acc, least(acc[-1] + 1, c[1]))), t.row FROM t JOIN p USING (l, r) WHERE t.i < len(p.x))
+SELECT l AS left_user_id, r AS right_user_id, row[-1] AS distance FROM t JOIN p USING (l, r) WHERE i = len(x)"""
+
+
+@query("damerau_levenshtein", _EDIT)
 def _(spark, sf):
     ts = events(spark, sf, "event_type")
     return warp.damerau_levenshtein(ts, ts, _neighbours(ts))

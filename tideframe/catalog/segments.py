@@ -156,7 +156,19 @@ def _(spark, sf):
     return summary(events(spark, sf).to_segments("cusum", threshold=200.0))
 
 
-@query("regression")
+@query(
+    "regression",
+    f"""WITH RECURSIVE {E}, k AS (SELECT *, row_number() OVER w AS rn FROM e {W}),
+c AS (SELECT user_id, rn, tick, value, 0::BIGINT AS seg_id, tick AS t0, 1::BIGINT AS n, 0.0::DOUBLE AS sx, value AS sy, 0.0::DOUBLE AS sxx, 0.0::DOUBLE AS sxy, 0::BIGINT AS missed FROM k WHERE rn = 1
+ UNION ALL SELECT user_id, rn, tick, value, CASE WHEN cut THEN seg_id + 1 ELSE seg_id END, CASE WHEN cut THEN tick ELSE t0 END,
+  CASE WHEN cut THEN 1 WHEN ok THEN n + 1 ELSE n END, CASE WHEN cut THEN 0.0 WHEN ok THEN sx + x ELSE sx END, CASE WHEN cut THEN value WHEN ok THEN sy + value ELSE sy END,
+  CASE WHEN cut THEN 0.0 WHEN ok THEN sxx + x * x ELSE sxx END, CASE WHEN cut THEN 0.0 WHEN ok THEN sxy + x * value ELSE sxy END, CASE WHEN cut OR ok THEN 0 ELSE missed + 1 END
+ FROM (SELECT *, NOT ok AND missed + 1 > 1 AS cut FROM (SELECT *, n < 2 OR abs(value - ((sy - slope * sx) / n + slope * x)) <= 40.0 AS ok FROM (
+  SELECT k.user_id, k.rn, k.tick, k.value, c.seg_id, c.t0, c.n, c.sx, c.sy, c.sxx, c.sxy, c.missed, CAST(k.tick - c.t0 AS DOUBLE) AS x,
+   CASE WHEN c.n * c.sxx - c.sx * c.sx <> 0 THEN (c.n * c.sxy - c.sx * c.sy) / (c.n * c.sxx - c.sx * c.sx) ELSE 0.0 END AS slope
+  FROM c JOIN k ON k.user_id = c.user_id AND k.rn = c.rn + 1))))
+SELECT user_id, seg_id, {SUM} FROM c GROUP BY 1, 2""",
+)
 def _(spark, sf):
     return summary(events(spark, sf).to_segments("regression", max_error=40.0, skip=1))
 

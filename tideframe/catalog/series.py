@@ -139,7 +139,13 @@ def _capped_sum(pdf: pd.DataFrame, state: str):
     return pdf[["tick", "event_id"]].assign(value=out), repr(total)
 
 
-@query("fold_series")
+@query(
+    "fold_series",
+    f"""WITH RECURSIVE {E}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tick, event_id) AS rn FROM e),
+c AS (SELECT user_id, rn, tick, value AS total FROM k WHERE rn = 1 UNION ALL
+ SELECT k.user_id, k.rn, k.tick, CASE WHEN c.total > 500 THEN k.value ELSE c.total + k.value END FROM c JOIN k ON k.user_id = c.user_id AND k.rn = c.rn + 1)
+SELECT user_id, tick, round(total, 6) AS value FROM c""",
+)
 def _(spark, sf):
     return rounded(events(spark, sf).fold_series(_capped_sum, "0.0").to_df_observations(), "value")
 
