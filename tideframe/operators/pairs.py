@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import f_tail
@@ -146,14 +146,13 @@ def mutual_information(num_bins: int | None = None) -> BinaryReducer:
                 lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
                 b = F.floor(F.try_divide(F.col(c) - lo, hi - lo) * num_bins)
                 df = df.withColumn(c, F.coalesce(F.least(b, F.lit(num_bins - 1)), F.lit(0)))
-        joint = df.groupBy(*group, "left", "right").agg(F.count(F.lit(1)).alias("_xy"))
-        px = joint.groupBy(*group, "left").agg(F.sum("_xy").alias("_x"))
-        py = joint.groupBy(*group, "right").agg(F.sum("_xy").alias("_y"))
-        plogp = lambda t, c: t.groupBy(*group).agg(F.sum(c).alias("_n"), F.sum(F.col(c) * F.ln(c)).alias(f"_s{c}"))
-        # I = ln n + (sum xy ln xy - sum x ln x - sum y ln y) / n
-        out = join_on(join_on(plogp(joint, "_xy"), plogp(px, "_x").drop("_n"), group), plogp(py, "_y").drop("_n"), group)
-        mi = F.ln("_n") + (F.col("_s_xy") - F.col("_s_x") - F.col("_s_y")) / F.col("_n")
-        return out.select(*group, mi.alias("mutual_information"))
+        joint = df.groupBy(*group, "left", "right").agg(F.count(F.lit(1)).alias("_c"))
+        total = lambda side: F.sum("_c").over(Window.partitionBy(*group, side))
+        joint = joint.withColumn("_x", total("left")).withColumn("_y", total("right"))
+        # I = ln n + sum(c (ln c - ln x - ln y)) / n
+        n, c = F.sum("_c"), F.col("_c")
+        mi = F.ln(n) + F.sum(c * (F.ln(c) - F.ln("_x") - F.ln("_y"))) / n
+        return joint.groupBy(*group).agg(mi.alias("mutual_information"))
 
     return BinaryReducer(job=job)
 

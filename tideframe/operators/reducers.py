@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.special import chi2_tail, unit_root_critical
 from ..handle import TS, as_column
@@ -139,46 +140,43 @@ def histogram(min: float, max: float, num_divisions: int, normalize: bool = Fals
     return Reducer(job=job)
 
 
-def stats(df: DataFrame, group, by, rows) -> DataFrame:
-    """count, first, last, top, frequency, unique and the inter-arrival times of each group."""
+QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
+
+
+def _summary(df: DataFrame, group, by, rows, numeric: bool) -> DataFrame:
+    """One pass for everything that follows the order or is a plain aggregate, one for the value counts."""
     gaps = frame(df, group, by, lambda w: {"_gap": F.col("tick") - F.lag("tick").over(w)}, before=1, rows=rows)
-    pos = F.struct(*by)
-    n = F.count(F.lit(1))
-    base = gaps.groupBy(*group).agg(
-        n.alias("count"),
-        F.min_by("value", pos).alias("first"),
-        F.max_by("value", pos).alias("last"),
-        F.min("_gap").alias("min_inter_arrival_time"),
-        F.max("_gap").alias("max_inter_arrival_time"),
-        F.try_divide((F.max("tick") - F.min("tick")).cast("double"), n - 1).alias("mean_inter_arrival_time"),
-    )
+    pos, n, v = F.struct(*by), F.count(F.lit(1)), F.col("value")
+    aggs = {
+        "count": n,
+        "first": F.min_by("value", pos),
+        "last": F.max_by("value", pos),
+        "min_inter_arrival_time": F.min("_gap"),
+        "max_inter_arrival_time": F.max("_gap"),
+        "mean_inter_arrival_time": F.try_divide((F.max("tick") - F.min("tick")).cast("double"), n - 1),
+    }
+    fits = True
+    if numeric:
+        aggs.update({"mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)})
+        fits = is_bounded(df, group, rows)
+        if fits:
+            clean = F.when(~F.isnan(v.cast("double")), v)
+            aggs.update({name: F.percentile(clean, F.lit(q)) for name, q in QUARTILES.items()})
+    out = gaps.groupBy(*group).agg(*[c.alias(name) for name, c in aggs.items()])
     per_value = _value_counts(df, group).groupBy(*group).agg(
         F.min_by("value", F.struct(-F.col("count"), "value")).alias("top"),
         F.max("count").alias("frequency"),
         F.count(F.lit(1)).alias("unique"),
     )
-    return join_on(base, per_value, group, "left")
-
-
-def num_stats(df: DataFrame, group, by, rows) -> DataFrame:
-    """mean, std, min, max and the quartiles."""
-    base = df.groupBy(*group).agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")
-    )
-    q = quantiles(df, group, {"25%": 0.25, "50%": 0.5, "75%": 0.75}, rows)
-    return join_on(base, q, group, "left")
+    out = join_on(out, per_value, group, "left")
+    return out if fits else join_on(out, quantiles(df, group, QUARTILES, rows), group, "left")
 
 
 def describe() -> Reducer:
-    """Everything of ``stats`` and, for numbers, of ``num_stats``."""
+    """count, first, last, top, frequency, unique, inter-arrival times; for numbers also mean, std, min, max, quartiles."""
 
     def job(df, group, by, rows):
-        from pyspark.sql.types import NumericType
-
-        out = stats(df, group, by, rows)
-        if isinstance(df.schema["value"].dataType, NumericType):
-            out = join_on(out, num_stats(df, group, by, rows), group)
-        return out
+        return _summary(df, group, by, rows, isinstance(df.schema["value"].dataType, NumericType))
 
     return Reducer(job=job)
 
