@@ -1,6 +1,7 @@
 """Compare registered queries with their check SQL: python tests/check.py [sf] [name ...]"""
 
 import math
+import os
 import sys
 import time
 import traceback
@@ -17,7 +18,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def session(cores="8"):
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", os.environ.get("CHECK_PARTITIONS", "8"))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")

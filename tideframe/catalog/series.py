@@ -303,12 +303,11 @@ def _(spark, sf):
 
 @query(
     "aggregate_series_with_key",
-    f"WITH {D} SELECT tick, string_agg(l_suppkey || '=' || CAST(round(value * 100) AS BIGINT), ',' ORDER BY l_suppkey) AS value FROM d GROUP BY 1",
+    f"WITH {D} SELECT tick, arg_max(l_suppkey, {{'v': value, 'k': l_suppkey}}) AS best, round(sum(value) FILTER (l_suppkey % 2 = 0), 2) AS even FROM d GROUP BY 1",
 )
 def _(spark, sf):
-    df = daily(spark, sf).aggregate_series_with_key().df
-    items = F.transform(F.array_sort(F.map_entries("value")), lambda e: F.concat_ws("=", e["key"].cast("string"), F.round(e["value"] * 100).cast("bigint").cast("string")))
-    return df.select("tick", F.array_join(items, ",").alias("value"))
+    both = "struct(max_by(l_suppkey, struct(value, l_suppkey)) AS best, round(sum(value) FILTER (WHERE l_suppkey % 2 = 0), 2) AS even)"
+    return daily(spark, sf).aggregate_series_with_key(both).df.select("tick", "value.*")
 
 
 @query(

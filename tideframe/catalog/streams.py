@@ -3,20 +3,38 @@
 from pyspark.sql import functions as F
 
 from ..sources import readers
-from ..streaming import add_sink, run, stream_series
+from ..streaming import add_sink, stream_series
+from ..streaming import run as run_stream
 from .base import DAY, E, HOUR, HOUR as H, events, query, r, rounded, table
 from .relational import scratch
-from .series import HOURLY, START
+from .series import HOURLY, KINDS, START
 
 # The watermark ends up one hour behind the newest event; only what lies before it is released.
 MARK = f"w AS (SELECT max(tick) - {H} AS w FROM e)"
 
 
 def raw(spark, sf):
+    files = spark.read.format("binaryFile").load(f"{sf}/events.parquet")
+    SIZE["events"] = files.agg(F.sum("length")).first()[0]
     schema = table(spark, sf, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
+def run(df):
+    """Run to the end with as many state partitions as the event table calls for (at most the session's)."""
+    spark = df.sparkSession
+    name = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(usual), max(8, SIZE.get("events", 0) // (64 << 20) + 1))))
+    try:
+        return run_stream(df)
+    finally:
+        spark.conf.set(name, usual)
+
+
+SIZE: dict[str, int] = {}
+
+
 def stream(spark, sf, value="value", where=None):
     df = raw(spark, sf)
     return stream_series(df.where(where) if where else df, "ts", "user_id", value)
@@ -164,11 +182,13 @@ def _(spark, sf):
 
 @query(
     "stream_multi_observation",
-    f"WITH {E}, {MARK} SELECT CAST(tick // {H} * {H} AS BIGINT) AS tick, CAST(count(DISTINCT user_id) AS INT) AS series FROM e, w GROUP BY 1 HAVING any_value((tick // {H} + 1) * {H}) <= any_value(w)",
+    f"WITH {E}, {MARK} SELECT CAST(tick // {H} * {H} AS BIGINT) AS tick, "
+    + ", ".join(f"arg_max(value, tick) FILTER (event_type = '{k}') AS {k}" for k in KINDS)
+    + f" FROM e, w GROUP BY 1 HAVING any_value((tick // {H} + 1) * {H}) <= any_value(w)",
 )
 def _(spark, sf):
-    df = run(stream(spark, sf).to_multi_observation_stream("1 hour"))
-    return df.select("tick", F.size("values").alias("series"))
+    ts = stream_series(raw(spark, sf), "ts", "event_type", "value")
+    return run(ts.to_multi_observation_stream("1 hour", KINDS))
 
 
 @query(

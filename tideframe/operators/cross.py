@@ -47,16 +47,8 @@ def aggregate_series(ts: TS, agg) -> TS:
     return TS(out.select(F.lit(0).alias("series"), "tick", "value"), ("series",), (), ts.trs, ts.chunk_rows)
 
 
-def aggregate_series_with_key(ts: TS, agg=None) -> TS:
-    """Per tick, across keys, with the key in reach; default: the map of key to value.
-
-    When a series has several values at a tick the last one is in the map.
-    """
-    if agg is None:
-        per = ts.df.groupBy(*ts.keys, "tick").agg(F.max_by("value", F.struct(*ts.by)).alias("value"))
-        key = F.col(ts.keys[0]) if len(ts.keys) == 1 else F.struct(*ts.keys)
-        agg = F.map_from_entries(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.col("value").alias("v")))))
-        return aggregate_series(ts.with_df(per), agg)
+def aggregate_series_with_key(ts: TS, agg) -> TS:
+    """Per tick, across keys, with the key columns in reach of the aggregate, e.g. ``max_by(key, value)``."""
     return aggregate_series(ts, agg)
 
 

@@ -239,15 +239,15 @@ class StreamTS:
         near = F.expr(f"right_time >= time - INTERVAL {left_delta} AND right_time <= time + INTERVAL {right_delta}")
         return left.join(right, same & near).select(*self.keys, "tick", "left", "right_tick", "right")
 
-    def to_multi_observation_stream(self, window: str) -> DataFrame:
-        """One row per window of event time with the map of key to last value of all series."""
-        per = F.max_by("value", "tick").alias("value")
-        key = F.col(self.keys[0]) if len(self.keys) == 1 else F.struct(*self.keys)
-        each = self.df.groupBy(F.window("time", window).alias("w"), *self.keys).agg(per)
-        pairs = F.sort_array(F.collect_list(F.struct(key.alias("k"), F.col("value").alias("v"))))
-        return each.groupBy(F.window(F.window_time("w"), window).alias("w")).agg(F.map_from_entries(pairs).alias("values")).select(
-            F.unix_millis("w.start").alias("tick"), "values"
-        )
+    def to_multi_observation_stream(self, window: str, keys) -> DataFrame:
+        """One row per window of event time with the last value of every series in ``keys`` (null: none).
+
+        The keys must be given, so a row has a fixed width: ``tick`` and one column per key.
+        """
+        (key,) = self.keys
+        last = [F.max_by("value", F.when(F.col(key) == F.lit(k), F.col("tick"))).alias(str(k)) for k in keys]
+        out = self.df.groupBy(F.window("time", window).alias("w")).agg(*last)
+        return out.select(F.unix_millis("w.start").alias("tick"), *[str(k) for k in keys])
 
 
 @dataclass(frozen=True)
