@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tideframe.catalog.base import DAY, HOUR, events
 from tideframe.functions import interpolators as ip
 from tideframe.handle import TS
-from tideframe.operators import fill, joins, matchers, pairs, reducers, segments, spectrum, transforms
+from tideframe.operators import fill, joins, matchers, pairs, reducers, transforms
 
 
 def small(ts: TS) -> TS:

@@ -160,3 +160,38 @@ def test_registered_query(spark, sf, name):
     df = QUERIES[name](spark, sf)
     rel = db.execute(ORACLES[name])
     assert rows(df.columns, df.collect()) == rows([d[0] for d in rel.description], rel.fetchall())
+
+
+def test_feature_ranges(spark):
+    from tideframe import TS
+    from tideframe.operators import features
+
+    rows = [(1, t, float(t)) for t in range(20)]
+    data = TS(spark.createDataFrame(rows, "k long, tick long, value double"), ("k",))
+    marks = spark.createDataFrame([(1, 5, 1.0), (1, 6, 0.0), (1, 14, 1.0)], "k long, tick long, value double")
+    out = features.prepare(data, TS(marks, ("k",)), "value = 1", 2, 3, 1.0, 1.0, feature_range=(0, 1), label_range=(2, 3)).orderBy("tick").collect()
+    # The window of tick 6 overlaps that of tick 5; the label series has one more mark within its range.
+    assert [(r.tick, r.label, r.feature) for r in out] == [(5, [1.0, 0.0], [3.0, 4.0]), (14, [1.0], [12.0, 13.0])]
+    none = features.prepare(data, TS(marks, ("k",)), "value = 1", 2, 3, 1.0, 0.0, with_replacement=True)
+    assert sorted(r.tick for r in none.collect()) == [5, 14]
+    pairs = data.map("array(value, -value)")
+    flat = features.prepare_predictions(pairs, 1, 0, label=TS(marks, ("k",)), anchor="value = 0", flatten_vector=True).first()
+    assert flat.feature == [5.0, -5.0, 6.0, -6.0]
+
+
+def test_models_are_tables(spark, tmp_path):
+    from tideframe.operators import cluster, mining
+
+    df = spark.createDataFrame([(i, [float((j * (1 + i % 3)) % 7) for j in range(16)]) for i in range(12)], "id long, values array<double>")
+    models = cluster.explore(df, 1, 3, keys=["id"], max_iterations=3)
+    assert [len(m.centroids) for m in models] == [2, 3]
+    assert models[1].inter_cluster_distances.shape == (3, 3)
+    models[0].save(spark, str(tmp_path / "shapes"))
+    again = cluster.load_model(spark, str(tmp_path / "shapes"), ["id"])
+    assert again.score(df).orderBy("id").collect() == models[0].score(df).orderBy("id").collect()
+    rows = [(k, t, v) for k, s in {1: "abc", 2: "acb", 3: "bc"}.items() for t, v in enumerate(s)]
+    ts = multi_time_series(spark.createDataFrame(rows, "k long, t long, v string"), "t", "k", "v")
+    model = mining.frequent_sub_sequences(ts, 0.6)
+    assert {"".join(r.sequence): r.coverage for r in model.collect()} == {"a": 2, "b": 3, "c": 3, "ab": 2, "ac": 2, "bc": 2}
+    mining.save_model(model, str(tmp_path / "patterns"), 0.6)
+    assert spark.read.parquet(str(tmp_path / "patterns")).where("min_support = 0.6").count() == 6

@@ -4,9 +4,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import interpolators as ip
-from ..operators import fill, joins, segments
+from ..operators import fill
 from ..operators.create import multi_time_series
-from .base import D, DAY, E, HOUR, daily, events, query, r, rounded, table
+from .base import D, DAY, E, HOUR, daily, events, query, rounded, table
 
 # A third of the values is taken out, so that there is something to fill.
 GAP = "g AS (SELECT user_id, tick, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value FROM e)"

@@ -1,11 +1,9 @@
 """Mining, feature vectors, clustering, forecasting."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import cluster, features, forecast, mining
-from ..operators import segments as seg
-from .base import D, DAY, E, HOUR, daily, events, query, r, rounded, table
+from .base import DAY, E, HOUR, events, query, r, rounded, table
 from .relational import scratch
 
 BIG = f"WITH {E}, b AS (SELECT * FROM e WHERE value > 60)"

@@ -3,8 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import pairs, reducers, spectrum, transforms, warp
-from .base import D, DAY, E, HOUR, daily, events, query, r, rounded, table
-from .fill import GAP
+from .base import D, E, daily, events, query, r, rounded, table
 from .segments import W
 
 for _name, _agg in [
@@ -249,6 +248,20 @@ for _name, _sql in [("covariance", "sqrt(xy)"), ("variance", "sqrt(xx)"), ("corr
     query(f"distance_{_name}", f"WITH {DIST} SELECT user_id, round({_sql}, 4) AS distance_{_name} FROM v")(_run)
 
 
+@query(
+    "granger_one_lag",
+    f"""WITH {TWO}, l AS (SELECT l_suppkey, y, lag(y) OVER w AS y1, lag(x) OVER w AS x1 FROM j WINDOW w AS (PARTITION BY l_suppkey ORDER BY tick)),
+f AS (SELECT * FROM l WHERE y1 IS NOT NULL),
+g AS (SELECT l_suppkey, regr_slope(y, y1) AS a1, regr_intercept(y, y1) AS a0, regr_slope(x1, y1) AS b1, regr_intercept(x1, y1) AS b0, count(*) AS n FROM f GROUP BY 1),
+q AS (SELECT l_suppkey, n, y - a0 - a1 * y1 AS u, x1 - b0 - b1 * y1 AS v FROM f JOIN g USING (l_suppkey)),
+s AS (SELECT l_suppkey, any_value(n) AS n, sum(u * u) AS short, sum(u * u) - sum(u * v) ** 2 / sum(v * v) AS long FROM q GROUP BY 1)
+SELECT l_suppkey, round((short - long) / (long / (n - 3)), 5) AS f_statistic FROM s""",
+)
+def _(spark, sf):
+    a, b = two(spark, sf)
+    return rounded(a.reduce(b, pairs.granger(1)), "f_statistic", digits=5).select("l_suppkey", "f_statistic")
+
+
 @query("granger")
 def _(spark, sf):
     a, b = two(spark, sf)

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import reducers, segments
-from .base import D, DAY, E, HOUR, daily, events, query, r, rounded
+from ..operators import reducers
+from .base import DAY, E, HOUR, events, query, r, rounded
 
 W = "WINDOW w AS (PARTITION BY user_id ORDER BY tick, event_id)"
 # One row per segment: size, sum and ends; ids become ranks where they are arbitrary.

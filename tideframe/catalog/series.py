@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import create, cross, elements, fill
+from ..operators import create, cross, elements
 from ..trs import TRS
 from .base import D, DAY, E, HOUR, daily, events, query, r, rounded, table
 

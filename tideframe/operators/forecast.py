@@ -16,13 +16,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.special import normal_quantile
 from ..handle import TS
-from ..plans import fold, frame, join_on, saved
+from ..plans import fold, join_on
 from .reducers import _ddl, least_squares, moments
 
 MODEL_FIELDS = (
@@ -271,7 +270,7 @@ def arima(ts: TS, min_training_data: int = 20, p_max: int = 2, q_max: int = 2, d
 
 def exponential(ts: TS, smoothing: float = 0.3, start_training_time: int | None = None) -> DataFrame:
     """Simple exponential smoothing; ``state`` is the level, ``sd`` the root mean square one-step error."""
-    from .transforms import ema, one_step
+    from .transforms import one_step
 
     ts = _clean(ts, start_training_time)
     pred = one_step(ts, smoothing).df

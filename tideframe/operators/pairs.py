@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import f_tail
 from ..handle import TS, as_column
-from ..plans import frame, join_on, row_index, running
+from ..plans import frame, join_on, running
 from .joins import joined
 from .reducers import _ddl, least_squares, moments
 

@@ -18,7 +18,7 @@ from pyspark.sql.types import NumericType
 
 from ..functions.special import chi2_tail, unit_root_critical
 from ..handle import TS, as_column
-from ..plans import frame, is_bounded, join_on, row_index, running
+from ..plans import frame, is_bounded, join_on, running
 
 
 @dataclass(frozen=True)
