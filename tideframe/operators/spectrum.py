@@ -25,25 +25,13 @@ def transform(df: DataFrame, group, by, rows: int) -> DataFrame:
     group = list(group)
     clean = df.where(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("double"))
     if is_bounded(clean, group, rows):
-
-        item = F.struct(*by, *([] if "value" in by else ["value"]))
-        packed = clean.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_o"))
-        packed = packed.withColumn("_o", F.transform("_o", lambda s: s["value"]))
-
-        @F.pandas_udf("array<struct<re:double,im:double>>")
-        def whole(values: pd.Series) -> pd.Series:
-            out = []
-            for v in values:
-                v = np.asarray(v, float)
-                z = np.fft.rfft(v - v.mean())
-                out.append([{"re": a, "im": b} for a, b in zip(z.real.tolist(), z.imag.tolist())])
-            return pd.Series(out)
-
-        bins = packed.select(*group, F.posexplode(whole("_o")).alias("k", "z"))
-        return bins.select(*group, F.col("k").cast("long").alias("k"), "z.re", "z.im")
+        return _whole(clean, group, by)
     sums = saved(clean.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.avg("value").alias("_mean")))
-    x = row_index(clean, group, by, "_j", rows, bounded=False)
-    x = join_on(x, small(sums, sums.count()), group)
+    short, long = sums.where(F.col("_n") <= rows), sums.where(F.col("_n") > rows)
+    fitting = _whole(join_on(clean, short.select(*group), group, "left_semi"), group, by)
+    n_long = long.count()
+    x = row_index(join_on(clean, small(long.select(*group), n_long), group, "left_semi"), group, by, "_j", rows, bounded=False)
+    x = join_on(x, small(long, n_long), group)
     # Any length n becomes a convolution of power-of-two length m (chirp transform).
     size = F.pow(F.lit(2.0), F.ceil(F.log2((2 * F.col("_n")).cast("double")))).cast("long")
     # j^2 is reduced modulo 2n before it becomes an angle, which keeps the angle exact.
@@ -67,7 +55,27 @@ def transform(df: DataFrame, group, by, rows: int) -> DataFrame:
     conv = _power_of_two(prod, group).where(F.col("j") <= F.floor(F.col("_n") / 2))
     re, im = F.col("re") / F.col("_m"), -F.col("im") / F.col("_m")
     c, s = F.cos(turn(F.col("j"))), F.sin(turn(F.col("j")))
-    return conv.select(*group, F.col("j").alias("k"), (re * c + im * s).alias("re"), (im * c - re * s).alias("im"))
+    big = conv.select(*group, F.col("j").alias("k"), (re * c + im * s).alias("re"), (im * c - re * s).alias("im"))
+    return fitting.unionByName(big)
+
+
+def _whole(clean: DataFrame, group, by) -> DataFrame:
+    """Transform of series that each fit a task, packed into arrays."""
+    item = F.struct(*by, *([] if "value" in by else ["value"]))
+    packed = clean.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_o"))
+    packed = packed.withColumn("_o", F.transform("_o", lambda s: s["value"]))
+
+    @F.pandas_udf("array<struct<re:double,im:double>>")
+    def whole(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            v = np.asarray(v, float)
+            z = np.fft.rfft(v - v.mean())
+            out.append([{"re": a, "im": b} for a, b in zip(z.real.tolist(), z.imag.tolist())])
+        return pd.Series(out)
+
+    bins = packed.select(*group, F.posexplode(whole("_o")).alias("k", "z"))
+    return bins.select(*group, F.col("k").cast("long").alias("k"), "z.re", "z.im")
 
 
 def _power_of_two(df: DataFrame, group) -> DataFrame:
