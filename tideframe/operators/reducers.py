@@ -169,7 +169,10 @@ def _summary(df: DataFrame, group, by, rows, numeric: bool) -> DataFrame:
         F.count(F.lit(1)).alias("unique"),
     )
     out = join_on(out, per_value, group, "left")
-    return out if fits else join_on(out, quantiles(df, group, QUARTILES, rows), group, "left")
+    if not fits:
+        out = join_on(out, quantiles(df, group, QUARTILES, rows), group, "left")
+    tail = QUARTILES if numeric else ()
+    return out.select(*[c for c in out.columns if c not in tail], *[F.col(f"`{c}`") for c in tail])
 
 
 def describe() -> Reducer:
