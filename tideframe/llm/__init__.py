@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline, with their queries and check SQL."""
 
-from . import sharding, simhash  # noqa: F401
+from . import quality, secrets, sharding, simhash  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
