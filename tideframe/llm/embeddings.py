@@ -120,6 +120,8 @@ def _search(group: pa.Table, model: Quantizer, least: float) -> pa.Table:
     member = group["member"].to_numpy(zero_copy_only=False).astype(bool)
     rank = group["rank"].to_numpy()  # a pair counts in the task of its higher rank's query
     m, q = np.flatnonzero(member), np.flatnonzero(~member)
+    if not len(m) or not len(q):
+        return pa.table({"cid": ids[:0], "links": n[:0], "root": ids[:0]})
     codes = np.frombuffer(b"".join(group["code"].take(m).to_pylist()), np.uint8).reshape(len(m), -1)
     home = int(group["list"][0].as_py())
     error = np.sqrt(np.square(x[m] - model.decode(codes, np.full(len(m), home))).sum(axis=1)).astype(np.float32)
