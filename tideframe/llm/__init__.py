@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline, with their queries and check SQL."""
 
-from . import decontaminate, embeddings, lm, quality, secrets, sharding, simhash, urls  # noqa: F401
+from . import decontaminate, embeddings, lm, pieces, quality, secrets, sharding, simhash, urls  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
