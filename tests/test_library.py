@@ -84,6 +84,45 @@ def test_skipping(spark, stored):
     assert not index.is_indexed()
 
 
+def test_skipping_is_the_filtered_scan(spark, tmp_path):
+    """Whatever the types of column and literal, the index loses no row and invents none."""
+    rows = [(i, str(i % 12), float(i) if i % 11 else None, f"2024-01-{i % 28 + 1:02d} 00:00:00", "one" if i < 50 else "two") for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, a string, f double, t string, g string").withColumn("t", F.col("t").cast("timestamp"))
+    df.repartitionByRange(5, "id").write.parquet(str(tmp_path / "d"))
+    index = skipping.FileIndex(spark, str(tmp_path / "d"), str(tmp_path / "ix"), value_limit=20, bloom_values=100)
+    index.minmax("id", "a", "f", "t", "g").value_list("a", "id", "g", "t").bloom("a", "id", "f").build()
+    c, day = skipping.col, datetime(2024, 1, 9)
+    asked = [
+        c("a") == 10, c("a") == "10", c("a") == 5.0, c("a") > 9, c("a") > "9", c("a").isin("1", "77"), c("a").isin(3, 4), c("a") != "3", c("a") != 3,
+        c("id") == 7, c("id") == 7.0, c("id") == 7.5, c("id") == 2**40, c("id") == "7", c("id") != 7, c("id") < 12.5, c("f") == 30, c("f") == 30.0,
+        c("f") != 30.0, c("f").isNull(), c("f").isNotNull(), c("t") == day, c("t") >= day, c("t") < day, c("g") != "one", ~(c("g") == "two"),
+        ~(c("id") < 150), ~(c("id").isin(1, 2, 3)), ~((c("id") > 20) & (c("a") == "4")), ~((c("id") > 20) | c("f").isNull()), ~skipping.opaque("id % 2 = 0"),
+        (c("id") > 190) | (c("f") == float("nan")), F.col("id") * 2 > 390, "id % 50 = 3 and g = 'two'", ~c("f").isNull(),
+    ]
+    for i, p in enumerate(asked):
+        condition = p.data if isinstance(p, skipping.Predicate) else F.expr(p) if isinstance(p, str) else p
+        assert sorted(map(str, index.skip_read(p).collect())) == sorted(map(str, df.where(condition).collect())), i
+    index.clear_stats()
+    index.skip_read(c("g") != "one")
+    index.skip_read(~(c("id") < 150))
+    index.skip_read(c("a") == "77")
+    assert index.skip_stats().first().files_skipped >= 1 + 3 + 5
+
+
+def test_index_is_built_again_after_a_refresh(spark, stored):
+    index, df = stored
+    index.build()
+    spark.createDataFrame([(1000, 1.0, "w", 1)], df.schema).coalesce(1).write.mode("append").parquet(index.data)
+    index.refresh()
+    again = skipping.FileIndex(spark, index.data, index.index).minmax("id")
+    again.build()
+    assert again.table().count() == 7 and "min_id" in again.table().columns
+    assert [r.id for r in again.skip_read(skipping.col("id") == 1000).collect()] == [1000]
+    assert again.skip_stats().first().files_skipped == 6
+    again.remove()
+    assert not again.is_indexed()
+
+
 def test_metadata_location(spark, tmp_path):
     assert skipping.metadata_location(spark, path="/a/b", base="/ix") == "/ix/a_b"
     spark.sql(f"CREATE TABLE metered (id BIGINT) USING parquet LOCATION '{tmp_path}/metered' TBLPROPERTIES ('skipping.location' = '/here')")
@@ -195,3 +234,24 @@ def test_models_are_tables(spark, tmp_path):
     assert {"".join(r.sequence): r.coverage for r in model.collect()} == {"a": 2, "b": 3, "c": 3, "ab": 2, "ac": 2, "bc": 2}
     mining.save_model(model, str(tmp_path / "patterns"), 0.6)
     assert spark.read.parquet(str(tmp_path / "patterns")).where("min_support = 0.6").count() == 6
+
+
+def test_fold_counts_zero_once(spark):
+    from tideframe.operators import cross
+
+    df = spark.range(100).selectExpr("id AS tick", "cast(id AS double) AS value", "id % 3 AS k").repartition(7)
+    ts = multi_time_series(df, "tick", "k", "value")
+    total = lambda acc, v: acc + float(v.sum())
+    assert cross.aggregate_fold(ts, 10.0, total, lambda a, b: a + b).first().value == 4960
+    top = cross.aggregate_fold(ts, -5.0, lambda acc, v: max(acc, float(-v.min())), max, neutral=float("-inf"))
+    assert top.first().value == 0
+    assert cross.aggregate_fold(ts.with_df(ts.df.where("false")), 10.0, total, lambda a, b: a + b).first().value == 10
+
+
+def test_upsert_keeps_one_row_per_key(spark):
+    from tideframe.sources import sinks
+
+    old = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (None, 1, "c")], "k int, v int, w string")
+    new = spark.createDataFrame([(1, 5, "x"), (1, 7, "y"), (1, 7, "z"), (3, 1, "n"), (None, 2, "m")], "k int, v int, w string")
+    got = sorted(map(tuple, sinks.merge_latest(old, new, ["k"], ["v"]).collect()), key=str)
+    assert got == sorted([(1, 7, "z"), (2, 1, "b"), (3, 1, "n"), (None, 2, "m")], key=str)

@@ -253,6 +253,43 @@ def _(spark, sf):
     return index.skip_read(p).select(*LI.split(", "))
 
 
+@query("skip_read_opposite", f"SELECT {LI} FROM lineitem WHERE l_returnflag <> 'R' AND NOT (l_quantity >= 10 OR l_shipdate < TIMESTAMP '1996-01-01') AND l_partkey IS NOT NULL")
+def _(spark, sf):
+    index = stored(spark, sf)
+    index.build()
+    c = skipping.col
+    p = (c("l_returnflag") != "R") & ~((c("l_quantity") >= 10.0) | (c("l_shipdate") < datetime(1996, 1, 1))) & c("l_partkey").isNotNull()
+    return index.skip_read(p).select(*LI.split(", "))
+
+
+@query("skip_read_mixed_types", f"SELECT {LI} FROM lineitem WHERE l_returnflag = 'A' AND (l_quantity = 7 OR l_partkey = 12.0 OR l_partkey < 3.5)")
+def _(spark, sf):
+    index = stored(spark, sf)
+    index.minmax("l_partkey").build()
+    c = skipping.col
+    p = (c("l_returnflag") == "A") & ((c("l_quantity") == 7) | (c("l_partkey") == 12.0) | (c("l_partkey") < 3.5))
+    return index.skip_read(p).select(*LI.split(", "))
+
+
+@query("skip_read_sql", f"SELECT {LI} FROM lineitem WHERE l_orderkey % 100 = 7")
+def _(spark, sf):
+    index = stored(spark, sf)
+    index.build()
+    return index.skip_read("l_orderkey % 100 = 7").select(*LI.split(", "))
+
+
+@query("index_rebuild", f"SELECT {MONTH}, count(*) AS rows, min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    index = stored(spark, sf, "l_returnflag <> 'R'")
+    index.build()
+    add_files(spark, sf, index.data, "l_returnflag = 'R'")
+    index.refresh()
+    again = skipping.FileIndex(spark, index.data, index.index).minmax("l_orderkey")
+    again.build()
+    t = again.table().withColumn("month", F.regexp_extract("path", "month=([0-9-]+)", 1))
+    return t.groupBy("month").agg(F.sum("rows").alias("rows"), F.min("min_l_orderkey").alias("lo"), F.max("max_l_orderkey").alias("hi"))
+
+
 @query("skip_stats", "SELECT true AS some_read, true AS some_skipped, count(DISTINCT strftime(l_shipdate, '%Y-%m')) > 3 AS many FROM lineitem")
 def _(spark, sf):
     index = stored(spark, sf)

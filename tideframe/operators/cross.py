@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,28 +18,30 @@ def aggregate(ts: TS, agg) -> DataFrame:
     return ts.df.agg(as_column(agg).alias("value"))
 
 
-def aggregate_fold(ts: TS, zero, seq_func: Callable, comb_func: Callable, value_type: str = "double", salt: int = 64) -> DataFrame:
+def aggregate_fold(ts: TS, zero, seq_func: Callable, comb_func: Callable, value_type: str = "double", salt: int = 64, neutral=None) -> DataFrame:
     """Fold with Python functions: ``seq_func(acc, values)`` per batch, ``comb_func(acc, acc)`` between partials.
 
     Rows are first folded per partition, the partials per salt group, and only those meet in one task.
-    ``comb_func`` must be associative and commutative.
+    ``zero`` counts once, in the last merge; partitions start from ``neutral``, by default the empty value
+    of zero's type (0 of a number), which must change nothing when merged: give -inf for a maximum.
+    ``comb_func`` must be associative and commutative. Without rows the result is ``zero``.
     """
+    empty = type(zero)() if neutral is None else neutral
 
     def partial(batches):
-        acc = zero
+        acc, rows = empty, 0
         for pdf in batches:
-            acc = seq_func(acc, pdf["value"])
-        yield pd.DataFrame({"acc": [acc]})
+            acc, rows = seq_func(acc, pdf["value"]), rows + len(pdf)
+        if rows:
+            yield pd.DataFrame({"acc": [acc]})
 
-    def combine(pdf):
-        acc = zero
-        for a in pdf["acc"]:
-            acc = comb_func(acc, a)
-        return pd.DataFrame({"acc": [acc]})
+    def merged(values):
+        return pd.DataFrame({"acc": [reduce(comb_func, values)]})
 
     parts = ts.df.select("value").mapInPandas(partial, f"acc {value_type}")
-    mixed = parts.groupBy(F.pmod(F.xxhash64("acc"), F.lit(salt)).alias("s")).applyInPandas(combine, f"acc {value_type}")
-    return mixed.groupBy().applyInPandas(combine, f"acc {value_type}").select(F.col("acc").alias("value"))
+    mixed = parts.groupBy(F.pmod(F.xxhash64("acc"), F.lit(salt)).alias("s")).applyInPandas(lambda pdf: merged(pdf["acc"]), f"acc {value_type}")
+    start = ts.df.sparkSession.createDataFrame([(zero,)], f"acc {value_type}")
+    return start.unionByName(mixed).groupBy().applyInPandas(lambda pdf: merged(pdf["acc"]), f"acc {value_type}").select(F.col("acc").alias("value"))
 
 
 def aggregate_series(ts: TS, agg) -> TS:

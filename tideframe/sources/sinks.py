@@ -87,15 +87,22 @@ def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def merge_latest(old: DataFrame, new: DataFrame, keys) -> DataFrame:
-    """Upsert as a DataFrame: rows of ``new`` replace rows of ``old`` with the same key."""
-    keys = list(keys)
-    return join_on(old, new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+def merge_latest(old: DataFrame, new: DataFrame, keys, order=None) -> DataFrame:
+    """Upsert as a DataFrame: rows of ``new`` replace rows of ``old`` with the same key, and one row per key of ``new`` comes in.
 
+    ``order``: columns whose largest values mark the latest row; ties, and rows without an order,
+    go by all their columns. A hot key's rows are reduced before the shuffle.
+    """
+    keys, order = list(keys), list(order or ())
+    rest = [c for c in new.columns if c not in keys]
+    last = new.groupBy(*keys).agg(F.max(F.struct(F.struct(*(order or rest)).alias("_by"), F.struct(*rest).alias("_row"))).alias("_last")) if rest else new.distinct()
+    fresh = last.select(*[F.col(f"_last._row.`{c}`").alias(c) if c in rest else F.col(f"`{c}`") for c in new.columns]) if rest else last
+    return join_on(old, fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
-def upsert(spark: SparkSession, name: str, new: DataFrame, keys) -> None:
+
+def upsert(spark: SparkSession, name: str, new: DataFrame, keys, order=None) -> None:
     """Upsert into a Parquet table: the merged rows are written beside it and then put in its place."""
     from ..plans import saved
 
-    merged = saved(merge_latest(spark.table(name), new, keys))
+    merged = saved(merge_latest(spark.table(name), new, keys, order))
     merged.write.mode("overwrite").insertInto(name)

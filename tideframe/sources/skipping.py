@@ -3,100 +3,173 @@
 ``FileIndex(spark, data, index).minmax("temp").value_list("city").bloom("vid").build()`` reads the data
 once; ``skip_read(col("temp") > 30)`` evaluates the predicate on the index, reads only the files that
 may hold matches, and applies the predicate again. A file that is not in the index, or changed since,
-is always read; null and NaN never cause a file to be skipped.
+is always read; null and NaN never cause a file to be skipped. An index is asked only where it compares
+as the data does: with a literal of the column's own kind. Any other condition reads every file.
 """
 
 from __future__ import annotations
 
+import datetime
+import decimal
+import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-BLOOM_BITS = 16_384
-BLOOM_HASHES = 4
-VALUE_LIST_LIMIT = 1_000
+from pyspark.sql import types as T
 
 
 class Predicate:
-    """A condition on the data together with what it implies for a file's index row."""
+    """A condition on the data together with what it implies for a file's index row.
+
+    ``opposite`` builds what ``~`` gives; without it the negation may match any file.
+    """
 
-    def __init__(self, data: Column, may_match):
-        self.data, self.may_match = data, may_match
+    def __init__(self, data: Column, may_match, opposite: Callable[[], Predicate] | None = None):
+        self.data, self.may_match, self._opposite = data, may_match, opposite
 
     def __and__(self, other: Predicate) -> Predicate:
-        return Predicate(self.data & other.data, lambda ix: self.may_match(ix) & other.may_match(ix))
+        return Predicate(self.data & other.data, lambda ix: self.may_match(ix) & other.may_match(ix), lambda: ~self | ~other)
 
     def __or__(self, other: Predicate) -> Predicate:
-        return Predicate(self.data | other.data, lambda ix: self.may_match(ix) | other.may_match(ix))
+        return Predicate(self.data | other.data, lambda ix: self.may_match(ix) | other.may_match(ix), lambda: ~self & ~other)
+
+    def __invert__(self) -> Predicate:
+        return self._opposite() if self._opposite else opaque(~self.data)
 
 
-def opaque(condition: Column) -> Predicate:
+def opaque(condition: Column | str) -> Predicate:
     """A condition the index knows nothing about: every file may match."""
-    return Predicate(condition, lambda ix: F.lit(True))
+    return Predicate(F.expr(condition) if isinstance(condition, str) else condition, lambda ix: F.lit(True))
+
+
+def _ordered_alike(kind: T.DataType, v) -> bool:
+    """Does the column compare with this literal as its least and greatest value do?"""
+    if isinstance(kind, T.StringType):
+        return isinstance(v, str)
+    if isinstance(v, bool) or isinstance(kind, T.BooleanType):
+        return isinstance(v, bool) and isinstance(kind, T.BooleanType)
+    if isinstance(kind, T.NumericType):
+        return isinstance(v, (int, float, decimal.Decimal)) and not (isinstance(v, float) and math.isnan(v))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return isinstance(v, datetime.datetime)
+    if isinstance(kind, T.DateType):
+        return isinstance(v, datetime.date) and not isinstance(v, datetime.datetime)
+    return isinstance(kind, T.BinaryType) and isinstance(v, (bytes, bytearray))
+
+
+def _same_kind(kind: T.DataType, v) -> bool:
+    """May the literal be turned into the column's type to be looked up?"""
+    if isinstance(kind, T.IntegralType):
+        return isinstance(v, int) and not isinstance(v, bool)
+    if isinstance(kind, T.DecimalType):
+        return isinstance(v, (int, decimal.Decimal)) and not isinstance(v, bool)
+    return _ordered_alike(kind, v)
+
+
+def _plain(value: Column, kind: T.DataType) -> Column:
+    """One text per value, whatever the session's time zone; both zeros are one."""
+    if isinstance(kind, T.TimestampType):
+        value = F.unix_micros(value)
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        value = value + F.lit(0).cast(kind)
+    elif isinstance(kind, T.BinaryType):
+        return F.hex(value)
+    return value.cast("string")
 
 
 class col:
-    """Column of a skipping predicate: ``col("a") > 3``, ``col("b").isin("x", "y")``."""
+    """Column of a skipping predicate: ``col("a") > 3``, ``col("b").isin("x", "y")``, ``col("c").isNull()``."""
 
     def __init__(self, name: str):
         self.name = name
 
-    def _compare(self, data: Column, test) -> Predicate:
+    def _compare(self, data: Column, v, test, opposite) -> Predicate:
         def may(ix):
-            if f"min_{self.name}" not in ix:
+            if f"min_{self.name}" not in ix or not _ordered_alike(ix[f"_type_{self.name}"], v):
                 return F.lit(True)
             return F.coalesce(test(F.col(f"min_{self.name}"), F.col(f"max_{self.name}")), F.lit(True))
 
-        return Predicate(data, may)
+        return Predicate(data, may, opposite)
 
     def __lt__(self, v):
-        return self._compare(F.col(self.name) < F.lit(v), lambda lo, hi: lo < F.lit(v))
+        return self._compare(F.col(self.name) < F.lit(v), v, lambda lo, hi: lo < F.lit(v), lambda: self >= v)
 
     def __le__(self, v):
-        return self._compare(F.col(self.name) <= F.lit(v), lambda lo, hi: lo <= F.lit(v))
+        return self._compare(F.col(self.name) <= F.lit(v), v, lambda lo, hi: lo <= F.lit(v), lambda: self > v)
 
     def __gt__(self, v):
-        return self._compare(F.col(self.name) > F.lit(v), lambda lo, hi: hi > F.lit(v))
+        return self._compare(F.col(self.name) > F.lit(v), v, lambda lo, hi: hi > F.lit(v), lambda: self <= v)
 
     def __ge__(self, v):
-        return self._compare(F.col(self.name) >= F.lit(v), lambda lo, hi: hi >= F.lit(v))
+        return self._compare(F.col(self.name) >= F.lit(v), v, lambda lo, hi: hi >= F.lit(v), lambda: self < v)
 
     def __eq__(self, v):
         name = self.name
 
         def may(ix):
-            parts = [F.lit(True)]
-            if f"min_{name}" in ix:
+            parts, kind = [F.lit(True)], ix[f"_type_{name}"]
+            if f"min_{name}" in ix and _ordered_alike(kind, v):
                 parts.append((F.col(f"min_{name}") <= F.lit(v)) & (F.col(f"max_{name}") >= F.lit(v)))
-            if f"values_{name}" in ix:
-                parts.append(F.array_contains(F.col(f"values_{name}"), F.lit(v)))
-            if f"bloom_{name}" in ix:
-                kind = ix[f"_type_{name}"]
-                for p in _positions(F.lit(v).cast(kind)):
-                    word = F.coalesce(F.try_element_at(F.col(f"bloom_{name}"), F.floor(p / 64).cast("int")), F.lit(0).cast("long"))
-                    hit = F.getbit(word, (p % 64).cast("int")) == 1
-                    parts.append(F.col(f"bloom_{name}").isNull() | hit)
+            if _same_kind(kind, v):
+                own = F.lit(v).try_cast(kind)
+                if f"values_{name}" in ix:
+                    parts.append(F.array_contains(F.col(f"values_{name}"), _plain(own, kind)))
+                if f"bloom_{name}" in ix:
+                    for p in _positions(own, F.element_at(f"bloom_{name}", -1), F.element_at(f"bloom_{name}", -2)):
+                        word = F.coalesce(F.try_element_at(F.col(f"bloom_{name}"), F.floor(p / 64).cast("int")), F.lit(0).cast("long"))
+                        parts.append(p.isNull() | (F.getbit(word, (p % 64).cast("int")) == 1))
             return reduce(lambda a, b: a & b, [F.coalesce(p, F.lit(True)) for p in parts])
 
-        return Predicate(F.col(name) == F.lit(v), may)
+        return Predicate(F.col(name) == F.lit(v), may, lambda: self != v)
+
+    def __ne__(self, v):
+        def may(ix):
+            if f"min_{self.name}" not in ix or not _ordered_alike(ix[f"_type_{self.name}"], v):
+                return F.lit(True)
+            return F.coalesce((F.col(f"min_{self.name}") != F.lit(v)) | (F.col(f"max_{self.name}") != F.lit(v)), F.lit(True))
+
+        return Predicate(F.col(self.name) != F.lit(v), may, lambda: self == v)
 
     __hash__ = None
 
     def isin(self, *values) -> Predicate:
         each = [self == v for v in values]
-        return Predicate(F.col(self.name).isin(*values), lambda ix: reduce(lambda a, b: a | b, [e.may_match(ix) for e in each]))
+        none = lambda: reduce(lambda a, b: a & b, [self != v for v in values])
+        return Predicate(F.col(self.name).isin(*values), lambda ix: reduce(lambda a, b: a | b, [e.may_match(ix) for e in each], F.lit(False)), none if values else None)
+
+    def isNull(self) -> Predicate:
+        may = lambda ix: F.coalesce(F.col(f"nulls_{self.name}") > 0, F.lit(True)) if f"nulls_{self.name}" in ix else F.lit(True)
+        return Predicate(F.col(self.name).isNull(), may, self.isNotNull)
+
+    def isNotNull(self) -> Predicate:
+        may = lambda ix: F.coalesce(F.col(f"nulls_{self.name}") < F.col("rows"), F.lit(True)) if f"nulls_{self.name}" in ix else F.lit(True)
+        return Predicate(F.col(self.name).isNotNull(), may, self.isNull)
+
 
+#: Hash functions of a bloom filter at most.
+MAX_HASHES = 16
 
-def _positions(value: Column) -> list[Column]:
-    return [F.pmod(F.xxhash64(value, F.lit(seed)), F.lit(BLOOM_BITS)) for seed in range(BLOOM_HASHES)]
+
+def _positions(value: Column, bits: Column, hashes: Column | int) -> list[Column]:
+    """Bit numbers of a value; null beyond the filter's number of hashes."""
+    n = hashes if isinstance(hashes, int) else MAX_HASHES
+    place = [F.pmod(F.xxhash64(value, F.lit(seed)), bits) for seed in range(n)]
+    return place if isinstance(hashes, int) else [F.when(F.lit(i) < hashes, p) for i, p in enumerate(place)]
 
 
 class FileIndex:
     """Index of the Parquet files under ``data``, kept as Parquet under ``index``."""
 
-    def __init__(self, spark: SparkSession, data: str, index: str):
+    def __init__(self, spark: SparkSession, data: str, index: str, value_limit: int = 1_000, bloom_values: int = 100_000, false_positives: float = 0.01):
+        """``value_limit``: longest value list of a file. ``bloom_values``, ``false_positives``: how many distinct
+        values of a file a bloom filter is made for, and the share of absent values that then pass it."""
         self.spark, self.data, self.index = spark, data, index.rstrip("/")
+        self.value_limit = value_limit
+        bits = -bloom_values * math.log(false_positives) / math.log(2) ** 2
+        self.bits = max(64, 64 * math.ceil(bits / 64))
+        self.hashes = min(MAX_HASHES, max(1, round(self.bits / bloom_values * math.log(2))))
         self._columns: dict[str, list[str]] = {"minmax": [], "values": [], "bloom": []}
         self._stats: list[tuple] = []
 
@@ -107,7 +180,7 @@ class FileIndex:
         return self
 
     def value_list(self, *columns: str) -> FileIndex:
-        """Distinct values per file; a file with more than VALUE_LIST_LIMIT has no list and is never skipped by it."""
+        """Distinct values per file; a file with more than ``value_limit`` has no list and is never skipped by it."""
         self._columns["values"] += columns
         return self
 
@@ -123,25 +196,44 @@ class FileIndex:
         return listing.load(self.data).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
     def _summaries(self, paths: list[str] | None) -> DataFrame:
-        reader = self.spark.read.option("basePath", self.data)
-        rows = reader.parquet(*(paths or [self.data])).withColumn("_path", F.col("_metadata.file_path"))
-        ends = [f(c).alias(f"{n}_{c}") for c in self._columns["minmax"] for n, f in (("min", F.min), ("max", F.max))]
-        out = rows.groupBy("_path").agg(F.count(F.lit(1)).alias("rows"), *ends)
+        """One row per file, from one scan: every row gives one entry for the ends and one per value and bloom bit."""
+        data = self.spark.read.option("basePath", self.data).parquet(*(paths or [self.data]))
+        kinds = {f.name: f.dataType for f in data.schema.fields}
+        entry = lambda kind, name="", word=None, mask=None, value=None: F.struct(
+            F.lit(kind).alias("_kind"), F.lit(name).alias("_of"), F.lit(word).cast("int").alias("_word") if word is None else word.alias("_word"),
+            F.lit(mask).cast("long").alias("_mask") if mask is None else mask.alias("_mask"), F.lit(value).cast("string").alias("_value") if value is None else value.alias("_value"),
+        )
+        entries = [entry("ends")]
         for c in self._columns["values"]:
-            # At most one value more than the limit is kept per file, so no list grows with the data.
-            w = Window.partitionBy("_path").orderBy(c)
-            seen = rows.select("_path", c).where(F.col(c).isNotNull()).distinct().withColumn("_k", F.row_number().over(w))
-            seen = seen.where(F.col("_k") <= VALUE_LIST_LIMIT + 1)
-            lists = seen.groupBy("_path").agg(F.sort_array(F.collect_list(c)).alias("_v"))
-            lists = lists.select("_path", F.when(F.size("_v") <= VALUE_LIST_LIMIT, F.col("_v")).alias(f"values_{c}"))
-            out = out.join(lists, "_path", "left")
+            entries.append(F.when(F.col(c).isNotNull(), entry("values", c, value=_plain(F.col(c), kinds[c]))))
         for c in self._columns["bloom"]:
-            bits = rows.where(F.col(c).isNotNull()).select("_path", F.explode(F.array(*_positions(F.col(c)))).alias("_p"))
-            mask = F.expr("shiftleft(1L, CAST(_p % 64 AS INT))")
-            words = bits.groupBy("_path", F.floor(F.col("_p") / 64).cast("int").alias("_w")).agg(F.bit_or(mask).alias("_b"))
-            packed = words.groupBy("_path").agg(F.map_from_entries(F.collect_list(F.struct("_w", "_b"))).alias(f"bloom_{c}"))
-            out = out.join(packed, "_path", "left")
-        return out.withColumnRenamed("_path", "path")
+            for p in _positions(F.col(c), F.lit(self.bits), self.hashes):
+                mask = F.call_function("shiftleft", F.lit(1).cast("long"), (p % 64).cast("int"))
+                entries.append(F.when(F.col(c).isNotNull(), entry("bloom", c, F.floor(p / 64).cast("int"), mask)))
+        ends = list(dict.fromkeys(self._columns["minmax"]))
+        rows = data.select(F.col("_metadata.file_path").alias("_path"), *ends, F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_e"))
+        whole = [f(F.when(F.col("_e._kind") == "ends", F.col(c))).alias(f"{n}_{c}") for c in ends for n, f in (("min", F.min), ("max", F.max))]
+        nulls = [F.count_if((F.col("_e._kind") == "ends") & F.col(c).isNull()).alias(f"nulls_{c}") for c in ends]
+        key = [F.col(f"_e.{k}").alias(k) for k in ("_kind", "_of", "_word", "_value")]
+        found = rows.groupBy("_path", *key).agg(F.count(F.lit(1)).alias("rows"), F.bit_or("_e._mask").alias("_mask"), *whole, *nulls)
+        # Words and values of a file are gathered by column first; a list beyond the limit is not gathered at all.
+        counted = found.withColumn("_n", F.count("_value").over(Window.partitionBy("_path", "_kind", "_of")))
+        is_kind = lambda kind, c: (F.col("_kind") == kind) & (F.col("_of") == c)
+        lists = [
+            F.when(F.max(F.when(is_kind("values", c), F.col("_n"))).cast("long") > self.value_limit, F.lit(None))
+            .otherwise(F.sort_array(F.collect_list(F.when(is_kind("values", c) & (F.col("_n") <= self.value_limit), F.col("_value")))))
+            .alias(f"values_{c}")
+            for c in self._columns["values"]
+        ]
+        blooms = [
+            F.map_concat(
+                F.map_from_entries(F.collect_list(F.when(is_kind("bloom", c), F.struct("_word", "_mask")))),
+                F.create_map(F.lit(-1), F.lit(self.bits).cast("long"), F.lit(-2), F.lit(self.hashes).cast("long")),
+            ).alias(f"bloom_{c}")
+            for c in self._columns["bloom"]
+        ]
+        one = [F.max(F.when(F.col("_kind") == "ends", F.col(n))).alias(n) for n in ("rows", *(f"{p}_{c}" for c in ends for p in ("min", "max", "nulls")))]
+        return counted.groupBy(F.col("_path").alias("path")).agg(*one, *lists, *blooms)
 
     def _versions(self) -> DataFrame:
         return self.spark.read.parquet(self.index)
@@ -164,7 +256,7 @@ class FileIndex:
     def build(self) -> DataFrame:
         """Index all files; returns one status row per kind and column."""
         rows = self.files().join(self._summaries(None), "path")
-        self._write(rows, 0)
+        self._write(rows, self._latest() + 1 if self.is_indexed() else 0)
         return self.index_stats()
 
     def _write(self, rows: DataFrame, version: int) -> None:
@@ -193,7 +285,7 @@ class FileIndex:
     def remove(self) -> None:
         """Delete the index by overwriting its versions with nothing."""
         if self.is_indexed():
-            self._versions().limit(0).drop("version").write.mode("overwrite").parquet(self.index)
+            self._versions().limit(0).write.mode("overwrite").partitionBy("version").parquet(self.index)
 
     # Reading
 
@@ -207,16 +299,24 @@ class FileIndex:
         out = self.files().join(asked, ["path", "size", "mtime"], "left")
         return out.withColumn("read", F.coalesce("read", F.lit(True)))
 
-    def skip_read(self, predicate: Predicate) -> DataFrame:
-        """``read().where(predicate)`` that opens only the files the index cannot rule out."""
-        # The list of file names is what Spark's reader takes; it is as long as its own listing.
-        files = self.pruned(predicate).collect()
-        read = [f for f in files if f["read"]]
-        self._stats.append((len(files), len(files) - len(read), sum(f["size"] for f in files), sum(f["size"] for f in files if not f["read"])))
+    def skip_read(self, predicate: Predicate | Column | str) -> DataFrame:
+        """``read().where(predicate)`` that opens only the files the index cannot rule out.
+
+        A plain Column or SQL condition is applied to all files.
+        """
+        if not isinstance(predicate, Predicate):
+            predicate = opaque(predicate)
+        files = self.pruned(predicate)
+        skipped = lambda c: F.sum(F.when(~F.col("read"), c).otherwise(0))
+        self._stats.append(tuple(v or 0 for v in files.agg(F.count(F.lit(1)), skipped(F.lit(1)), F.sum("size"), skipped(F.col("size"))).first()))
         reader = self.spark.read.option("basePath", self.data)
+        if self._stats[-1][1] == 0:
+            return reader.parquet(self.data).where(predicate.data)
+        # The names that are left are what Spark's reader takes; the list is as long as its own listing.
+        read = [f["path"] for f in files.where("read").select("path").collect()]
         if not read:
             return reader.parquet(self.data).where(F.lit(False))
-        return reader.parquet(*[f["path"] for f in read]).where(predicate.data)
+        return reader.schema(self.spark.read.parquet(self.data).schema).parquet(*read).where(predicate.data)
 
     def skip_stats(self) -> DataFrame:
         """Files and bytes seen and skipped since the last ``clear_stats``."""
