@@ -36,7 +36,7 @@ def every(text):
 
 
 def draws(text, k, n, seed=0):
-    return pieces.sample([V.chunks(text)] * n, pieces.row_keys(list(range(n)), seed), V, k)
+    return pieces.sample(pieces.Slice([V.chunks(text)] * n), pieces.row_keys(list(range(n)), seed), V, k)
 
 
 @pytest.mark.parametrize("text", ["a", "the", "at the", "is\nit é"])
@@ -79,8 +79,8 @@ def test_order_follows_sampling_without_replacement():
 def test_keys_alone_decide():
     texts = ["the cat sat on the mat", "other words", "the cat sat on the mat"]
     keys = pieces.row_keys([1, 2, 1], 0)
-    together = pieces.sample([V.chunks(t) for t in texts], keys, V, 3)
-    alone = pieces.sample([V.chunks(texts[0])], keys[:1], V, 3)[0]
+    together = pieces.sample(pieces.Slice([V.chunks(t) for t in texts]), keys, V, 3)
+    alone = pieces.sample(pieces.Slice([V.chunks(texts[0])]), keys[:1], V, 3)[0]
     same = lambda a, b: all((x[0] == y[0]).all() and np.allclose(x[1:], y[1:]) for x, y in zip(a, b))
     assert same(together[0], alone) and same(together[2], alone)
 
@@ -90,10 +90,10 @@ def test_encode_and_decode(spark):
     rows = docs.withColumn("ids", pieces.encode(docs.text)).withColumn("back", pieces.decode(pieces.col("ids"))).collect()
     for r in rows:
         assert r.ids == V.model.encode(r.text or "") and r.back == (r.text or "").replace("▁", " ")
-    out = pieces.segment(docs.withColumnRenamed("doc_id", "_both"), "_both", k=3).collect()
+    out = pieces.segment(docs.withColumnRenamed("doc_id", "_both").withColumn("Pieces", docs.text), "_both", k=3).collect()
     assert len(out) == len(rows)
     for r in out:
-        assert 1 <= len(r.samples) <= 3 and r.pieces == V.model.encode(r.text or "")
+        assert 1 <= len(r.samples) <= 3 and r.decodes and r.pieces == V.model.encode(r.text or "")
         assert all(V.decode(s.ids) == (r.text or "").replace("▁", " ") for s in r.samples)
     assert pieces.segment(docs.limit(0)).count() == 0
 
@@ -101,6 +101,6 @@ def test_encode_and_decode(spark):
 def test_query(spark, sf):
     rows = pieces.op1_sentencepiece(spark, sf).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    assert len(rows) == len(docs) and all(r.round_trip and r.sampled_round_trip for r in rows)
+    assert len(rows) == len(docs) and all(r.decodes for r in rows)
     assert all(r.n_pieces == len(V.model.encode(docs[r.doc_id])) and r.n_samples == len(set(r.sample_hashes)) for r in rows)
     assert all(r.gumbel == sorted(r.gumbel, reverse=True) for r in rows)

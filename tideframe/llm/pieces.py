@@ -13,12 +13,13 @@ import sentencepiece
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .base import col, query, table, unused
+from .base import col, query, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters whose lattices are held at once.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 2_500_000
 #: Distinct chunks whose encoding a worker remembers.
 REMEMBERED = 400_000
 
@@ -104,15 +105,15 @@ class Vocabulary:
     def chunks(self, text: str | None) -> list[str]:
         return _CHUNK.findall(self.model.normalize(text or ""))
 
-    def encode(self, split: list[list[str]]) -> list[np.ndarray]:
-        """The model's own segmentation of texts cut into chunks; repeated chunks are looked up."""
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        """The model's own segmentation of each chunk as 32-bit ids; chunks seen before are looked up."""
         if len(self.known) > REMEMBERED:
             self.known = {}
-        new = [c for c in dict.fromkeys(chain.from_iterable(split)) if c not in self.known]
+        new = [c for c in chunks if c not in self.known]
         # Behind a line end a chunk is encoded as inside a text; the line end and the blank before it are cut off.
         for c, ids in zip(new, self.model.encode(["\n" + c.replace("▁", " ") for c in new], num_threads=1)):
             self.known[c] = np.array(ids[2:], np.int32).tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, cs)), np.int32) for cs in split]
+        return list(map(self.known.__getitem__, chunks))
 
     def decode(self, ids: list[int]) -> str:
         """The text of pieces, without the blank put before it; broken byte pieces become U+FFFD."""
@@ -120,6 +121,27 @@ class Vocabulary:
         return text[1:] if text.startswith(" ") else text
 
 
+class Slice:
+    """Some texts as places of chunks among their distinct chunks."""
+
+    def __init__(self, texts: list[list[str]]):
+        self.many = np.array([len(c) for c in texts], np.int64)  # chunks of each text
+        names = dict.fromkeys(chain.from_iterable(texts))
+        self.chunks = list(names)
+        names = dict(zip(self.chunks, range(len(names))))
+        self.flat = np.fromiter(map(names.__getitem__, chain.from_iterable(texts)), np.int64, int(self.many.sum()))
+
+    def encode(self, vocab: Vocabulary) -> list[np.ndarray]:
+        """Piece ids of every text by the model's own segmentation."""
+        known = vocab.encode(self.chunks)
+        counts = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids = np.frombuffer(b"".join(known), np.int32)
+        each = counts[self.flat]
+        flat = ids[_ranges((np.cumsum(counts) - counts)[self.flat], each)]
+        cuts = np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(self.many)]]
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str, sharpness: float = 1.0) -> Vocabulary:
     return Vocabulary(path, sharpness)
@@ -242,7 +264,7 @@ def _top(values: np.ndarray, starts: np.ndarray, counts: np.ndarray, n: int) ->
     return out
 
 
-def sample(chunks: list[list[str]], keys: np.ndarray, vocab: Vocabulary, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text ``k`` distinct segmentations, or all if there are fewer: (ids, log probability, Gumbel value, log inclusion).
 
     Top-down perturbed search: the set of all segmentations of a text has a Gumbel value; a
@@ -252,11 +274,8 @@ def sample(chunks: list[list[str]], keys: np.ndarray, vocab: Vocabulary, k: int)
     probabilities, as if each had been perturbed alone. The inclusion score is the chance
     of a segmentation to be above the next value that did not come out.
     """
-    numbers = {c: n for n, c in enumerate(dict.fromkeys(chain.from_iterable(chunks)))}
-    d = len(chunks)
-    many = np.array([len(c) for c in chunks], np.int64)
-    flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(chunks)), np.int64, int(many.sum()))
-    lattice = Lattice(list(numbers), vocab)
+    many, flat, d = texts.many, texts.flat, len(texts.many)
+    lattice = Lattice(texts.chunks, vocab)
     last = np.cumsum(many)  # chunk places of a text: last - many up to last
     begin, end = lattice.chunk_start[flat], lattice.chunk_end[flat]
     keys = _mix(keys)
@@ -337,28 +356,39 @@ def sample(chunks: list[list[str]], keys: np.ndarray, vocab: Vocabulary, k: int)
             to = shift[doc[row]] + before[row] + step
             path[to], place[to] = edge, todo[row]
         logp = lattice.logp[path]
-        runs = np.cumsum(logp)
-        start_sum = np.r_[0.0, runs][base]
-        total = np.r_[0.0, runs][base + size] - start_sum
+        runs = np.r_[0.0, np.cumsum(logp)]
+        start_sum = runs[base]
+        total = runs[base + size] - start_sum
         who = np.repeat(np.arange(d), size)
-        index = np.arange(len(path)) - base[who]
         rest = 1 - lattice.p[path]
         if j:
             at = base[live] + branch[live]
             spent = np.where(barred[j, live] >= 0, lattice.p[np.maximum(barred[j, live], 0)], 0).sum(axis=1)
             options = lattice.first[lattice.start[path[at]] + 1] - lattice.first[lattice.start[path[at]]]
             rest[at] = np.where((barred[j, live] >= 0).sum(axis=1) < options, 1 - spent, 0)
-        single = (lattice.first[lattice.start[path] + 1] - lattice.first[lattice.start[path]]) == 1
-        rest[single | (rest < 1e-12) | (index < branch[who])] = 0
-        with np.errstate(divide="ignore", over="ignore"):
-            mass = runs - logp - start_sum[who] + np.log(rest)
-            drawn = mass + _gumbel(_uniform(keys[who], 3 * j + 2, index))
-            bound = -np.logaddexp(-value[who], -drawn)
-        bound[rest == 0] = _NONE
-        more = _top(bound, base, size, k - j)
+            rest[_ranges(base, np.where(value > _NONE, branch, 0))] = 0
+        open_nodes = np.flatnonzero(rest > 1e-12)
+        who = who[open_nodes]
+        mass = runs[open_nodes] - start_sum[who] + np.log(rest[open_nodes])
+        # A perturbed mass lies between 3.7 below and 37.5 above its mass, so a node is beaten by k - j others
+        # if the masses of any k - j nodes of its text, here the first, are larger by 42.
+        here = np.bincount(who, minlength=d)
+        first = np.cumsum(here) - here
+        few = np.minimum(here, k - j)
+        lowest = np.full(d, _NONE)
+        enough = np.flatnonzero(here >= k - j)
+        if len(enough):
+            lowest[enough] = np.minimum.reduceat(mass[_ranges(first[enough], few[enough])], np.cumsum(few[enough]) - few[enough])
+        near = np.flatnonzero(mass > lowest[who] - 42)
+        nodes, who, mass = open_nodes[near], who[near], mass[near]
+        drawn = mass + _gumbel(_uniform(keys[who], 3 * j + 2, nodes - base[who]))
+        bound = -np.logaddexp(-value[who], -drawn)
+        here = np.bincount(who, minlength=d)
+        more = _top(bound, np.cumsum(here) - here, here, k - j)
         agenda = np.hstack([agenda, *(b[:, None] for b, _ in more)])
         agenda_path = np.hstack([agenda_path, np.full((d, len(more)), j)])
-        agenda_step = np.hstack([agenda_step, *((p - base)[:, None] for _, p in more)])
+        step_of = np.r_[nodes, 0]
+        agenda_step = np.hstack([agenda_step, *((step_of[np.minimum(p, len(nodes))] - base)[:, None] for _, p in more)])
         edges.append(path)
         places.append(place)
         bases.append(base + stored)
@@ -385,18 +415,18 @@ def row_keys(keys: list, seed: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(str(x), seed) for x in keys], np.uint64)
 
 
-def _slices(texts: pa.Array, vocab: Vocabulary) -> Iterator[list[list[str]]]:
-    """Texts as chunks, about SLICE_CHARS characters at a time."""
-    held, size = [], 0
+def _slices(texts: pa.Array, vocab: Vocabulary) -> Iterator[tuple[int, Slice]]:
+    """First row and chunks of about SLICE_CHARS characters of texts at a time."""
+    held, size, first = [], 0, 0
     for t in texts:
         text = t.as_py() or ""
         held.append(vocab.chunks(text))
         size += len(text)
         if size >= SLICE_CHARS:
-            yield held
-            held, size = [], 0
+            yield first, Slice(held)
+            held, size, first = [], 0, first + len(held)
     if held:
-        yield held
+        yield first, Slice(held)
 
 
 def _listed(rows: list[np.ndarray]) -> pa.Array:
@@ -410,7 +440,7 @@ def encode(text: Column, model: str = MODEL) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         vocab = vocabulary(model)
-        return _listed([row for part in _slices(texts, vocab) for row in vocab.encode(part)])
+        return _listed([row for _, part in _slices(texts, vocab) for row in part.encode(vocab)])
 
     return ids(text)
 
@@ -426,44 +456,42 @@ def decode(ids: Column, model: str = MODEL) -> Column:
 
 
 SAMPLE = pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("gumbel", pa.float64()), ("log_inclusion", pa.float64())])
-SEGMENTED = "struct<pieces:array<int>,samples:array<struct<ids:array<int>,log_prob:double,gumbel:double,log_inclusion:double>>>"
-
-
-def segmented(key: Column, text: Column, k: int, sharpness: float = 1.0, seed: int = 0, model: str = MODEL) -> Column:
-    """The model's segmentation and ``k`` distinct sampled ones, the largest Gumbel value first.
-
-    A sample is a struct of piece ids, log probability, Gumbel value and the log of the
-    inclusion score. The row key and the seed decide the draws, so equal rows get equal samples
-    wherever they run. A text with fewer segmentations has all of them, each sure to be
-    included; an empty or null text has the empty one. A literal U+2581 counts as a blank.
-    """
-
-    @F.arrow_udf(SEGMENTED)
-    def draw(keys: pa.Array, texts: pa.Array) -> pa.Array:
-        vocab, names = vocabulary(model, sharpness), row_keys(keys.to_pylist(), seed)
-        own, found = [], []
-        for part in _slices(texts, vocab):
-            at = len(found)
-            own += vocab.encode(part)
-            found += sample(part, names[at : at + len(part)], vocab, k)
-        flat = [s for row in found for s in row]
-        numbers = [pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)]
-        rows = pa.StructArray.from_arrays([_listed([s[0] for s in flat]), *numbers], fields=list(SAMPLE))
-        samples = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), rows)
-        return pa.StructArray.from_arrays([_listed(own), samples], ["pieces", "samples"])
-
-    return draw(key, text)
+ADDED = "pieces array<int>, samples array<struct<ids:array<int>,log_prob:double,gumbel:double,log_inclusion:double>>, decodes boolean"
 
 
 def segment(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 4, sharpness: float = 1.0, seed: int = 0, model: str = MODEL) -> DataFrame:
-    """``docs`` with columns ``pieces`` (the model's segmentation) and ``samples`` (see ``segmented``).
-
-    Columns of these names are replaced. Work is per row, so nothing is shuffled; a task holds
-    the lattices of about ``SLICE_CHARS`` characters at a time, or of one longer text.
+    """``docs`` with the model's segmentation, ``k`` distinct sampled ones, and whether both decode to the text.
+
+    ``pieces``: ids of the model's own segmentation. ``samples``: structs of piece ids, log
+    probability, Gumbel value and the log of the inclusion score, the largest Gumbel value
+    first. The row key and the seed decide the draws, so equal rows get equal samples wherever
+    they run. A text with fewer segmentations has all of them, each sure to be included; an
+    empty or null text has the empty one. ``decodes``: ``pieces`` and the first sample give
+    back the text, in which a literal U+2581 counts as a blank. Columns of these names are
+    replaced. Work is per row, so nothing is shuffled; a task holds the lattices and the
+    results of about ``SLICE_CHARS`` characters at a time, or of one longer text.
     """
-    both = unused(docs, "_both")[0]
-    docs = docs.withColumn(both, segmented(col(id), col(text), k, sharpness, seed, model))
-    return docs.withColumns({"pieces": col(both)["pieces"], "samples": col(both)["samples"]}).drop(both)
+    kept = [c for c in docs.columns if c.lower() not in ("pieces", "samples", "decodes")]
+    docs = docs.select(*map(col, kept))
+    key, body = kept.index(id), kept.index(text)
+
+    def cut(batches):
+        vocab = vocabulary(model, sharpness)
+        for batch in batches:
+            names = row_keys(batch.column(key).to_pylist(), seed)
+            for first, part in _slices(batch.column(body), vocab):
+                rows = batch.slice(first, len(part.many))
+                own, found = part.encode(vocab), sample(part, names[first : first + len(part.many)], vocab, k)
+                flat = [s for row in found for s in row]
+                numbers = [pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3)]
+                structs = pa.StructArray.from_arrays([_listed([s[0] for s in flat]), *numbers], fields=list(SAMPLE))
+                samples = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), structs)
+                plain = ((t.as_py() or "").replace("▁", " ") for t in rows.column(body))
+                same = [vocab.decode(a.tolist()) == t and vocab.decode(b[0][0].tolist()) == t for a, b, t in zip(own, found, plain)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, _listed(own), samples, pa.array(same)], names=[*kept, "pieces", "samples", "decodes"])
+
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(ADDED).fields])
+    return docs.mapInArrow(cut, schema)
 
 
 #: Segmentations per document in the registered query.
@@ -474,11 +502,9 @@ K = 4
 def op1_sentencepiece(spark, sf):
     """Digests of the model's and of four sampled segmentations of every document, and whether they decode to the text."""
     docs = segment(table(spark, sf, "documents").select("doc_id", "text"), k=K)
-    plain = F.translate(F.coalesce("text", F.lit("")), "▁", " ")
     field = lambda name: F.transform("samples", lambda s: s[name]).alias(name)
     return docs.select(
         "doc_id", F.size("pieces").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), F.size("samples").alias("n_samples"),
         F.transform("samples", lambda s: F.size(s["ids"])).alias("n_sampled"), F.transform("samples", lambda s: F.xxhash64(s["ids"])).alias("sample_hashes"),
-        field("log_prob"), field("gumbel"), field("log_inclusion"),
-        (decode(F.col("pieces")) == plain).alias("round_trip"), (decode(F.col("samples")[0]["ids"]) == plain).alias("sampled_round_trip"),
+        field("log_prob"), field("gumbel"), field("log_inclusion"), "decodes",
     )
