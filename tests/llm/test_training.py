@@ -29,6 +29,12 @@ def test_words_encode_like_the_library(spark, sf):
         assert W.encode(r.text).tolist() == W.bpe.encode_ordinary(r.text) + [W.end]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x1c\x85\xa0_'sat²1.,é漢\u0301"), st.characters(exclude_categories=["Cs"])), max_size=30))
+def test_any_text_encodes_like_the_library(text):
+    assert W.encode(text).tolist() == W.bpe.encode_ordinary(text) + [W.end]
+
+
 def back(rows):
     out = {}
     for r in sorted(rows, key=lambda r: (str(r.key), r.piece)):

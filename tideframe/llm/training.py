@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -11,7 +12,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -22,24 +22,25 @@ from .base import col, query, shared_folder, table
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public word pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Distinct words whose ids a worker remembers (some 200 MB), and characters encoded at a time.
+REMEMBERED, SLICE_CHARS = 1_200_000, 1_000_000
 #: Row key (8 bytes), number of the sequence in its row (4), tokens in it (2), all little-endian.
 HEADER = np.dtype([("key", "<i8"), ("piece", "<i4"), ("size", "<u2")])
 NO_KEY = -(1 << 63)
 
 
-class _Words(dict):
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = np.array(self.encode(word), "<u2").tobytes()
-        return ids
+# Blanks that are not single ones between words, and characters on which two notions of white space differ.
+_BLANKS = re.compile(r" (?:\s|\Z)")
+_CUT = re.compile(r" (?=\S)")
+_ODD = re.compile("[\x1c-\x1f\x85]")
 
 
 class Tokenizer:
-    """Byte-level BPE by a rank file; a text is followed by the end id, which is the size of the vocabulary."""
+    """Byte-level BPE by a rank file; a text is followed by the end id, which is the size of the vocabulary.
+
+    The word pattern always cuts before the blank in front of a word, so the stretches between
+    such cuts are encoded once and remembered.
+    """
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
@@ -48,14 +49,37 @@ class Tokenizer:
         self.end = max(ranks.values()) + 1
         if self.end > 0xFFFF:
             raise ValueError("ids must fit 16 bits")
-        self.pattern = regex.compile(PATTERN)
-        self.words = _Words(self.bpe.encode_ordinary)
+        self.line = ranks[b"\n"]
+        self.known: dict[str, bytes] = {}
+
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self.bpe.encode_ordinary(text), "<u2").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of words with a blank before them; those without a line end in one go, a line each."""
+        plain = [w for w in words if "\n" not in w]
+        ids = np.array(self.bpe.encode_ordinary("".join(f" {w}\n" for w in plain) + "."), "<u2")
+        ends = np.flatnonzero(ids == self.line)
+        if len(ends) != len(plain):
+            plain = []
+        raw, starts = ids.tobytes(), np.r_[0, ends[:-1] + 1]
+        self.known.update(zip(plain, (raw[2 * a : 2 * b] for a, b in zip(starts.tolist(), ends.tolist()))))
+        for w in words if not plain else words.difference(plain):
+            self.known[w] = self._bytes(" " + w)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text and the end id, 16 bits each."""
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        cut = [None if _ODD.search(t) else _CUT.split(t) if _BLANKS.search(t) else t.split(" ") for t in (t or "" for t in texts)]
+        new = set().union(*(c[1:] for c in cut if c)).difference(self.known)
+        if new:
+            self._learn(new)
+        end, ids = np.array([self.end], "<u2").tobytes(), self.known.__getitem__
+        return [(self._bytes(t) if c is None else self._bytes(c[0]) + b"".join(map(ids, c[1:]))) + end for t, c in zip(texts, cut)]
 
     def encode(self, text: str | None) -> np.ndarray:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        ids = np.frombuffer(b"".join(map(self.words.__getitem__, self.pattern.findall(text or ""))), "<u2")
-        return np.append(ids, np.uint16(self.end))
+        return np.frombuffer(self.encode_all([text])[0], "<u2")
 
     def decode(self, ids) -> str:
         return self.bpe.decode([int(i) for i in ids if i != self.end])
@@ -113,11 +137,20 @@ class Layout:
         return max(1, -(-self.total // self.per_shard))
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Per batch the token ids of its rows."""
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, list[bytes]]]:
+    """Row ids and token ids, about SLICE_CHARS characters at a time."""
     words = tokenizer(path)
     for batch in batches:
-        yield batch, [words.encode(t.as_py()) for t in batch["text"]]
+        rows, texts, size = [], [], 0
+        for id, t in zip(batch["id"].to_pylist(), batch["text"]):
+            rows.append(id)
+            texts.append(t.as_py())
+            size += len(texts[-1] or "")
+            if size >= SLICE_CHARS:
+                yield rows, words.encode_all(texts)
+                rows, texts, size = [], [], 0
+        if rows:
+            yield rows, words.encode_all(texts)
 
 
 def write(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", length: int = 256, key: int = 1, shard_bytes: int = 16 << 20, ranks: str = RANKS) -> Layout:
@@ -141,8 +174,8 @@ def write(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", le
 
     def count(batches):
         n = check = 0
-        for _, ids in _sequences(batches, ranks, length):
-            sizes = np.array([len(x) for x in ids], np.int64)
+        for _, ids in _encoded(batches, ranks):
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
             n += int((-(-sizes // length)).sum())
             check = zlib.crc32(sizes.tobytes(), check)
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n], "sum": [check]})
@@ -158,19 +191,19 @@ def write(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", le
     def emit(batches):
         start, n, wanted = known.value.get(TaskContext.get().partitionId(), (0, 0, 0))
         at, check = start, 0
-        for batch, ids in _sequences(batches, ranks, length):
-            sizes = np.array([len(x) for x in ids], np.int64)
+        for rows, ids in _encoded(batches, ranks):
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
             check = zlib.crc32(sizes.tobytes(), check)
             pieces = -(-sizes // length)
             many = int(pieces.sum())
             body = np.full((many, length), layout.end, "<u2")
             first = np.cumsum(pieces) - pieces
-            flat = np.concatenate(ids)
+            flat = np.frombuffer(b"".join(ids), "<u2")
             cell = np.repeat(first * length - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))
             body.reshape(-1)[cell] = flat
             head = np.zeros(many, HEADER)
             owner = np.repeat(np.arange(len(ids)), pieces)
-            keys = np.array([NO_KEY if k is None else k for k in batch["id"].to_pylist()], np.int64)
+            keys = np.array([NO_KEY if k is None else k for k in rows], np.int64)
             head["key"], head["piece"] = keys[owner], np.arange(many) - first[owner]
             head["size"] = np.minimum(sizes[owner] - head["piece"].astype(np.int64) * length, length)
             record = np.hstack([head.view(np.uint8).reshape(many, -1), body.view(np.uint8).reshape(many, -1)])
