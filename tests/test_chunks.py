@@ -114,3 +114,33 @@ def test_chunked_pairs(hot, name):
     whole = rows(BINARY[name](one, two))
     assert whole
     assert rows(BINARY[name](small(one), small(two))) == whole
+
+
+@pytest.mark.parametrize("case", ["1e-6", "1", "1e12", "outliers", "one value and tails", "text", "tied ticks", "nulls and nan"])
+def test_chunks_fit_and_keep_the_order(spark, case):
+    """Whatever the scale of the order columns, chunks hold about ``rows`` rows and follow the order."""
+    from tideframe.plans import ordered
+
+    rng = np.random.default_rng(4)
+    n, size = 4_000, 100
+    value = {
+        "1e-6": lambda: 5 + rng.normal(size=n) * 1e-6, "1": lambda: rng.normal(size=n), "1e12": lambda: rng.normal(size=n) * 1e12,
+        "outliers": lambda: np.r_[1e300, -1e300, np.exp(rng.normal(size=n - 2) * 20)], "one value and tails": lambda: np.where(rng.random(n) < 0.99, 3.0, rng.normal(size=n)),
+    }
+    if case in value:
+        by, kind = ["a", "b"], "double"
+        data = [(1, float(v), i) for i, v in enumerate(value[case]())]
+    elif case == "nulls and nan":
+        by, kind = ["a", "b"], "double"
+        data = [(1, [None, float("nan"), float("inf"), float(-i)][i % 4], i) for i in range(n)]
+    else:
+        by, kind = ["a", "b"], "string"
+        data = [(1, "same prefix of many letters " + ("" if case == "tied ticks" else f"{rng.integers(1 << 40):013d}"), i) for i in range(n)]
+    data += [(2, data[0][1], i) for i in range(50)]
+    df = spark.createDataFrame(data, f"k int, a {kind}, b int")
+    cut, chunks = ordered.add_chunk(df, ["k"], by, size)
+    assert chunks and cut.count() == len(data)
+    got = cut.where("k = 1").groupBy("_chunk").agg(F.count("*").alias("n"), F.min(F.struct(*by)).alias("lo"), F.max(F.struct(*by)).alias("hi")).orderBy("_chunk").collect()
+    assert max(r.n for r in got) <= 2 * size and len(got) >= n // (2 * size)
+    ordered_rows = [tuple(r) for r in cut.where("k = 1").orderBy("_chunk", *by).select("b").collect()]
+    assert ordered_rows == [tuple(r) for r in df.where("k = 1").orderBy(*by).select("b").collect()]

@@ -6,17 +6,33 @@ from ..operators import cluster, features, forecast, mining
 from .base import DAY, E, HOUR, events, query, r, rounded, table
 from .relational import scratch
 
-BIG = f"WITH {E}, b AS (SELECT * FROM e WHERE value > 60)"
-# First tick and count per user and item, and all sets of up to three items.
-SETS = """i AS (SELECT user_id, event_type AS item, min(tick) AS t, count(*) AS c FROM b GROUP BY 1, 2), n AS (SELECT count(DISTINCT user_id) AS n FROM b),
-z AS (SELECT user_id, min(tick) AS a, max(tick) AS z FROM b GROUP BY 1),
-m AS (SELECT user_id, item AS s, t AS t0, t AS t1, c FROM i
- UNION ALL SELECT x.user_id, x.item || ',' || y.item, least(x.t, y.t), greatest(x.t, y.t), least(x.c, y.c) FROM i x JOIN i y ON x.user_id = y.user_id AND x.item < y.item
- UNION ALL SELECT x.user_id, x.item || ',' || y.item || ',' || w.item, least(x.t, y.t, w.t), greatest(x.t, y.t, w.t), least(x.c, y.c, w.c) FROM i x JOIN i y ON x.user_id = y.user_id AND x.item < y.item JOIN i w ON w.user_id = x.user_id AND y.item < w.item)"""
+# Items: the event type and one of twelve channels. Levels of the check SQL go on where patterns end.
+LEVELS = 7
+BIG = f"WITH {E}, b AS (SELECT * EXCLUDE event_type, event_type || '-' || (event_id % 12) AS event_type FROM e)"
+LEFT = "user_id % 2 = 0"
 
 
-def big(spark, sf, cond="true"):
-    return events(spark, sf, "event_type", where=f"value > 60 AND {cond}")
+def item_events(spark, sf, cond="true"):
+    return events(spark, sf, "concat(event_type, '-', event_id % 12)", where=cond)
+
+
+def _sets(support, side="true"):
+    """First tick and count per user and item, and level by level the sets that enough users of one side hold."""
+    few = f"{support} * (SELECT count(DISTINCT user_id) FILTER ({side}) FROM b)"
+    out = [
+        "i AS (SELECT user_id, event_type AS item, min(tick) AS t, count(*) AS c FROM b GROUP BY 1, 2)", "n AS (SELECT count(DISTINCT user_id) AS n FROM b)",
+        "z AS (SELECT user_id, min(tick) AS a, max(tick) AS z FROM b GROUP BY 1)", "m1 AS (SELECT user_id, item AS s, item AS l, t AS t0, t AS t1, c FROM i)",
+    ]
+    for k in range(1, LEVELS + 1):
+        out.append(f"g{k} AS (SELECT s FROM m{k} WHERE {side} GROUP BY s HAVING count(*) >= {few})")
+        out.append(
+            f"m{k + 1} AS (SELECT x.user_id, x.s || ',' || y.item AS s, y.item AS l, least(x.t0, y.t) AS t0, greatest(x.t1, y.t) AS t1, least(x.c, y.c) AS c "
+            f"FROM m{k} x JOIN g{k} ON g{k}.s = x.s JOIN i y ON y.user_id = x.user_id AND y.item > x.l)"
+        )
+    return ", ".join([*out, "m AS (" + " UNION ALL ".join(f"SELECT m{k}.* FROM m{k} JOIN g{k} USING (s)" for k in range(1, LEVELS + 1)) + ")"])
+
+
+SETS = _sets(0.5)
 
 
 @query(
@@ -25,7 +41,7 @@ def big(spark, sf, cond="true"):
 round(sum(c) / any_value(n), 9) AS multi_match_norm_frequency FROM m, n GROUP BY s HAVING count(*) >= 0.5 * any_value(n)""",
 )
 def _(spark, sf):
-    out = mining.frequent_item_sets(big(spark, sf), 0.5, 3)
+    out = mining.frequent_item_sets(item_events(spark, sf), 0.5)
     out = out.select(F.array_join("item_set", ",").alias("item_set"), "coverage", "original_size", "binary_match_norm_frequency", "multi_match_norm_frequency")
     return rounded(out, "binary_match_norm_frequency", "multi_match_norm_frequency", digits=9)
 
@@ -40,7 +56,7 @@ def _facts(col, suffix):
 FROM m JOIN z USING (user_id), n GROUP BY s HAVING count(*) >= 0.5 * any_value(n)""",
 )
 def _(spark, sf):
-    out = mining.frequent_item_sets(big(spark, sf), 0.5, 3)
+    out = mining.frequent_item_sets(item_events(spark, sf), 0.5)
     names = [f"{n}{s}" for s in ("", "_lead_time", "_end_time") for n in ("average", "max", "min", "sd", "sum")]
     out = out.select(F.array_join("item_set", ",").alias("item_set"), "duration_statistics.count", *[F.col(f"duration_statistics.{n}").cast("double").alias(n) for n in names])
     return rounded(out, *names, digits=2)
@@ -51,33 +67,45 @@ def _(spark, sf):
     f"{BIG}, {SETS}, f AS (SELECT s FROM m, n GROUP BY s HAVING count(*) >= 0.5 * any_value(n)) SELECT s AS item_set, user_id, t0 AS first, t1 AS last, c AS matches FROM m WHERE s IN (SELECT s FROM f)",
 )
 def _(spark, sf):
-    ts = big(spark, sf)
-    model = mining.frequent_item_sets(ts, 0.5, 3)
+    ts = item_events(spark, sf)
+    model = mining.frequent_item_sets(ts, 0.5)
     out = mining.item_set_matches(ts, model).join(model.select("item_set_id", "item_set"), "item_set_id")
     return out.select(F.array_join("item_set", ",").alias("item_set"), "user_id", "first", "last", "matches")
 
 
 @query(
     "discriminatory_item_sets",
-    f"""{BIG}, {SETS}, l AS (SELECT s, count(*) AS k FROM m WHERE user_id % 2 = 0 GROUP BY 1), q AS (SELECT s, count(*) AS k FROM m WHERE user_id % 2 = 1 GROUP BY 1),
+    f"""{BIG}, {_sets(0.5, LEFT)}, l AS (SELECT s, count(*) AS k FROM m WHERE user_id % 2 = 0 GROUP BY 1), q AS (SELECT s, count(*) AS k FROM m WHERE user_id % 2 = 1 GROUP BY 1),
 t AS (SELECT count(DISTINCT user_id) FILTER (user_id % 2 = 0) AS nl, count(DISTINCT user_id) FILTER (user_id % 2 = 1) AS nr FROM b)
 SELECT l.s AS item_set, l.k AS coverage_left, coalesce(q.k, 0) AS coverage_right, nl AS original_size_left, nr AS original_size_right,
 round(l.k / nl, 9) AS binary_match_norm_frequency_left, round(coalesce(q.k, 0) / nr, 9) AS binary_match_norm_frequency_right, round((l.k / nl) / nullif(q.k / nr, 0), 9) AS lift
 FROM l LEFT JOIN q USING (s), t WHERE l.k >= 0.5 * nl""",
 )
 def _(spark, sf):
-    out = mining.discriminatory_item_sets(big(spark, sf, "user_id % 2 = 0"), big(spark, sf, "user_id % 2 = 1"), 0.5, max_size=3)
+    out = mining.discriminatory_item_sets(item_events(spark, sf, LEFT), item_events(spark, sf, "user_id % 2 = 1"), 0.5)
     out = out.drop("item_set_id", "duration_statistics").withColumn("item_set", F.array_join("item_set", ","))
     return rounded(out, "binary_match_norm_frequency_left", "binary_match_norm_frequency_right", "lift", digits=9)
 
 
-# Earliest in-order matches of up to three items.
-SEQS = """k AS (SELECT user_id, event_type AS item, tick, row_number() OVER (PARTITION BY user_id ORDER BY tick, event_id) AS rn FROM b), n AS (SELECT count(DISTINCT user_id) AS n FROM b),
-s1 AS (SELECT user_id, item AS s, min(rn) AS pos, [arg_min(tick, rn)] AS ts FROM k GROUP BY 1, 2),
-s2 AS (SELECT s1.user_id, s || ',' || item AS s, min(rn) AS pos, list_append(any_value(ts), arg_min(tick, rn)) AS ts FROM s1 JOIN k ON k.user_id = s1.user_id AND rn > pos GROUP BY s1.user_id, s, item),
-s3 AS (SELECT s2.user_id, s || ',' || item AS s, min(rn) AS pos, list_append(any_value(ts), arg_min(tick, rn)) AS ts FROM s2 JOIN k ON k.user_id = s2.user_id AND rn > pos GROUP BY s2.user_id, s, item),
-m AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3),
-f AS (SELECT s, count(*) AS k FROM m, n GROUP BY s HAVING count(*) >= 0.6 * any_value(n))"""
+def _seqs(support, side="true"):
+    """Earliest in-order matches, level by level of the patterns that enough users of one side hold."""
+    few = f"{support} * (SELECT count(DISTINCT user_id) FILTER ({side}) FROM b)"
+    out = [
+        "k AS (SELECT user_id, event_type AS item, tick, row_number() OVER (PARTITION BY user_id ORDER BY tick, event_id) AS rn FROM b)",
+        "n AS (SELECT count(DISTINCT user_id) AS n FROM b)", "s1 AS (SELECT user_id, item AS s, min(rn) AS pos, [arg_min(tick, rn)] AS ts FROM k GROUP BY 1, 2)",
+    ]
+    for j in range(1, LEVELS + 1):
+        out.append(f"f{j} AS (SELECT s, count(*) AS k FROM s{j} WHERE {side} GROUP BY s HAVING count(*) >= {few})")
+        out.append(
+            f"s{j + 1} AS (SELECT x.user_id, x.s || ',' || k.item AS s, min(rn) AS pos, list_append(any_value(ts), arg_min(tick, rn)) AS ts "
+            f"FROM s{j} x JOIN f{j} ON f{j}.s = x.s JOIN k ON k.user_id = x.user_id AND rn > pos GROUP BY x.user_id, x.s, k.item)"
+        )
+    levels = range(1, LEVELS + 1)
+    out.append("m AS (" + " UNION ALL ".join(f"SELECT s{j}.* FROM s{j} JOIN f{j} USING (s)" for j in levels) + ")")
+    return ", ".join([*out, "f AS (" + " UNION ALL ".join(f"SELECT * FROM f{j}" for j in levels) + ")"])
+
+
+SEQS = _seqs(0.5)
 
 
 @query(
@@ -88,7 +116,7 @@ SELECT f.s AS sequence, f.k AS coverage, n AS original_size, round(f.k / n, 9) A
 (SELECT round(stddev_samp(g), 2) FROM g WHERE g.s = f.s) AS sd FROM f, n""",
 )
 def _(spark, sf):
-    out = mining.frequent_sub_sequences(big(spark, sf), 0.6, 3)
+    out = mining.frequent_sub_sequences(item_events(spark, sf), 0.5)
     i = "inter_arrival_statistics"
     out = out.select(F.array_join("sequence", ",").alias("sequence"), "coverage", "original_size", "binary_match_normalized_frequency", f"{i}.average", f"{i}.max", f"{i}.min", f"{i}.sd")
     return rounded(rounded(out, "binary_match_normalized_frequency", digits=9), "average", "sd", digits=2)
@@ -96,20 +124,20 @@ def _(spark, sf):
 
 @query("sub_sequence_score", f"{BIG}, {SEQS} SELECT user_id, m.s AS sequence, array_to_string(ts, ',') AS ticks FROM m WHERE m.s IN (SELECT f.s FROM f)")
 def _(spark, sf):
-    ts = big(spark, sf)
-    out = mining.sub_sequence_matches(ts, mining.frequent_sub_sequences(ts, 0.6, 3))
+    ts = item_events(spark, sf)
+    out = mining.sub_sequence_matches(ts, mining.frequent_sub_sequences(ts, 0.5))
     return out.select("user_id", F.array_join("sequence", ",").alias("sequence"), F.array_join(F.transform("ticks", lambda t: t.cast("string")), ",").alias("ticks"))
 
 
 @query(
     "discriminatory_sub_sequences",
-    f"""{BIG}, {SEQS}, t AS (SELECT count(DISTINCT user_id) FILTER (user_id % 2 = 0) AS nl, count(DISTINCT user_id) FILTER (user_id % 2 = 1) AS nr FROM b),
+    f"""{BIG}, {_seqs(0.5, LEFT)}, t AS (SELECT count(DISTINCT user_id) FILTER (user_id % 2 = 0) AS nl, count(DISTINCT user_id) FILTER (user_id % 2 = 1) AS nr FROM b),
 c AS (SELECT s, count(*) FILTER (user_id % 2 = 0) AS l, count(*) FILTER (user_id % 2 = 1) AS q FROM m GROUP BY 1)
 SELECT s AS sequence, l AS coverage_left, q AS coverage_right, nl AS original_size_left, nr AS original_size_right, round(l / nl, 9) AS binary_match_normalized_frequency_left,
-round(q / nr, 9) AS binary_match_normalized_frequency_right, round((l / nl) / nullif(q / nr, 0), 9) AS lift FROM c, t WHERE l >= 0.6 * nl""",
+round(q / nr, 9) AS binary_match_normalized_frequency_right, round((l / nl) / nullif(q / nr, 0), 9) AS lift FROM c, t WHERE l >= 0.5 * nl""",
 )
 def _(spark, sf):
-    out = mining.discriminatory_sub_sequences(big(spark, sf, "user_id % 2 = 0"), big(spark, sf, "user_id % 2 = 1"), 0.6, 3)
+    out = mining.discriminatory_sub_sequences(item_events(spark, sf, LEFT), item_events(spark, sf, "user_id % 2 = 1"), 0.5)
     out = out.drop("sequence_id", "inter_arrival_statistics").withColumn("sequence", F.array_join("sequence", ","))
     return rounded(out, "binary_match_normalized_frequency_left", "binary_match_normalized_frequency_right", "lift", digits=9)
 

@@ -127,7 +127,7 @@ def _grow(ts: TS, found: DataFrame, rows: DataFrame, salt: int) -> DataFrame:
     )
 
 
-def _levels(ts: TS, min_count: float, max_length: int) -> DataFrame:
+def _levels(ts: TS, min_count: float, max_length: int | None) -> DataFrame:
     """Earliest match of every frequent pattern in every series: (keys, sequence, ticks, at), level by level."""
     salt = 1 if ts.bounded() else _SALT
     rows = ts.row_index("_rn", ts.df.where(F.col("value").isNotNull()))
@@ -136,8 +136,9 @@ def _levels(ts: TS, min_count: float, max_length: int) -> DataFrame:
     rows = saved(rows.join(common.select("value"), "value", "left_semi").select(*ts.keys, "_rn", "tick", "value", "_s"))
     first = rows.groupBy(*ts.keys, "value").agg(F.min(F.struct("_rn", "tick")).alias("_m"))
     found = saved(first.select(*ts.keys, F.array("value").alias("sequence"), F.array("_m.tick").alias("ticks"), F.col("_m._rn").alias("at")))
-    every = found
-    for _ in range(max_length - 1):
+    every, length = found, 1
+    while max_length is None or length < max_length:  # a longer frequent pattern starts with a frequent one
+        length += 1
         grown = saved(_grow(ts, found, rows, salt))
         keep = grown.groupBy("sequence").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= min_count).select("sequence")
         found = saved(grown.join(keep, "sequence", "left_semi").select(*found.columns))
@@ -161,9 +162,11 @@ def _sequence_statistics(matches: DataFrame, n: int) -> DataFrame:
     return out.withColumn("sequence_id", F.xxhash64(F.array_join("sequence", "\x1f")))
 
 
-def frequent_sub_sequences(ts: TS, min_support: float, max_length: int = 5) -> DataFrame:
+def frequent_sub_sequences(ts: TS, min_support: float, max_length: int | None = None) -> DataFrame:
     """Model table of the ordered patterns (gaps allowed) that at least ``min_support`` of the series hold.
 
+    All lengths are found unless ``max_length`` is given; a low support over long series has many patterns.
+
     Patterns grow item by item; a match is kept as one row per (pattern, series) with its earliest
     position, so a series is never packed into a row.
     """
@@ -192,7 +195,7 @@ def sub_sequence_matches(ts: TS, patterns: DataFrame) -> DataFrame:
     return every.join(want, "sequence", "left_semi").select(*ts.keys, "sequence", "ticks")
 
 
-def discriminatory_sub_sequences(left: TS, right: TS, min_support: float, max_length: int = 5, min_lift: float = 0.0) -> DataFrame:
+def discriminatory_sub_sequences(left: TS, right: TS, min_support: float, max_length: int | None = None, min_lift: float = 0.0) -> DataFrame:
     """Patterns frequent on the left, with their frequency on both sides; ``lift`` as for item sets."""
     nl, nr = _n_series(left), _n_series(right)
     mine = saved(_sequence_statistics(_levels(left, min_support * nl, max_length), nl))

@@ -56,63 +56,90 @@ def longest(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("_n")).first()[0] or 0
 
 
+def _scale(df: DataFrame, c: str, step: int) -> Column | None:
+    """An order column as a double, exact enough to cut by; a string by its bytes, six a step. None: it has no scale."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.StringType):
+        block = F.substring(F.encode(F.col(c), "UTF-8"), 6 * step + 1, 6)
+        return F.when(F.col(c).isNotNull(), F.conv(F.rpad(F.hex(block), 12, "0"), 16, 10).cast("double"))
+    if step:
+        return None
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return F.col(c).cast("int").cast("double") if isinstance(kind, T.BooleanType) else F.col(c).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    return F.unix_date(c).cast("double") if isinstance(kind, T.DateType) else None
+
+
 def add_chunk(df: DataFrame, keys: Sequence[str], by: Sequence[str], rows: int) -> tuple[DataFrame, int]:
     """Add ``_chunk``: an orderable cut of every hot series into about ``rows`` rows.
 
-    Equal-depth cuts come from a pre-aggregated histogram of the first order column; a bucket that
-    is still too full is cut again, moving to the next order column once all its ticks are equal.
+    Equal-depth cuts come from a pre-aggregated histogram of the first order column between its 1st and
+    99th percentile, the rest at both ends being a bucket each; so every cut splits a chunk, whatever
+    the scale or the outliers. A chunk that is still too full is cut again, until none is or its rows
+    are equal in that column; then by the next one. A string is cut by its bytes. Only rows that are
+    equal in all order columns stay together.
     Returns the frame and the number of chunks (0: nothing was hot and ``_chunk`` is absent).
     """
-    numeric = []
-    for c in by:
-        if not isinstance(df.schema[c].dataType, T.NumericType):
-            break
-        numeric.append(c)
+    left = [(c, 0) for c in by]
     group, path, chunks = list(keys), [], 0
-    while numeric:
-        pos = F.col(numeric[0]).cast("double")
+    while left:
+        pos = _scale(df, *left[0])
+        if pos is None:
+            break
+        column, step = left[0]
+        text = isinstance(df.schema[column].dataType, T.StringType)
         finite = F.when(~F.isnan(pos) & (F.abs(pos) != float("inf")), pos)
+        ends = F.percentile_approx(finite, F.array(F.lit(0.01), F.lit(0.99)), F.lit(1000))
         hot = saved(
             df.groupBy(*group)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+            .agg(
+                F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_least"), F.max(pos).alias("_most"), F.count(pos).alias("_there"), ends.alias("_ends"),
+                (F.max(F.octet_length(column)) if text else F.lit(0)).alias("_length"),
+            )
             .where(F.col("_n") > (2 * rows if path else rows))
-        )
-        n_hot, n_wide = hot.agg(F.count(F.lit(1)), F.count_if(F.col("_lo") < F.col("_hi"))).first()
+            .select(*group, "_n", "_least", "_most", "_there", F.col("_ends")[0].alias("_lo"), F.col("_ends")[1].alias("_hi"), "_length")
+        )
+        uneven = (F.col("_least") < F.col("_most")) | ((F.col("_there") > 0) & (F.col("_there") < F.col("_n")))
+        n_hot, n_wide, length = hot.agg(F.count(F.lit(1)), F.count_if(uneven), F.max("_length")).first()
         if n_hot == 0:
             break
         if n_wide == 0:
-            numeric.pop(0)
+            left.pop(0)
+            if text and length > 6 * (step + 1):
+                left.insert(0, (column, step + 1))
             continue
         name, bucket = f"_c{len(path)}", F.col("_bucket")
-        df = join_on(df, small(hot.drop("_n"), n_hot), group, "left").withColumn(
+        lo, hi = F.col("_lo"), F.col("_hi")
+        inner = F.floor((pos - lo) / (hi - lo) * (_BUCKETS - 1)).cast("long") + 1
+        df = join_on(df, small(hot.select(*group, "_lo", "_hi", F.lit(True).alias("_is_hot")), n_hot), group, "left").withColumn(
             "_bucket",
-            F.when(F.col("_lo").isNull(), F.lit(None).cast("long"))
+            F.when(F.col("_is_hot").isNull(), F.lit(None).cast("long"))
             .when(pos.isNull(), F.lit(-1).cast("long"))
-            .otherwise(
-                F.floor(
-                    F.least(
-                        F.lit(float(_BUCKETS)),
-                        F.greatest(F.lit(0.0), (pos - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * _BUCKETS),
-                    )
-                )
-            ),
+            .when(lo.isNull(), F.when(F.isnan(pos), 2).when(pos > 0, 1).otherwise(0).cast("long"))
+            .when(pos < lo, F.lit(0).cast("long"))
+            .when(pos > hi, F.lit(_BUCKETS + 1).cast("long"))
+            .when(hi > lo, inner)
+            .otherwise(F.lit(1).cast("long")),
         )
         before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        seen = F.coalesce(F.sum("_n").over(before), F.lit(0))
+        # A new chunk starts where the rows so far pass a multiple of ``rows``, and around a bucket too full for one.
+        full = F.col("_n") > rows
         cuts = saved(
             df.where(bucket.isNotNull())
             .groupBy(*group, "_bucket")
             .agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_seen", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-            .select(*group, "_bucket", F.floor((F.col("_seen") + F.col("_n") - 1) / rows).alias(name))
+            .withColumn("_seen", seen)
+            .withColumn("_full", F.coalesce(F.sum(full.cast("int")).over(before), F.lit(0)))
+            .select(*group, "_bucket", (F.floor(F.col("_seen") / rows) + F.col("_full") + full.cast("int")).alias(name))
         )
-        n_cuts = n_hot * (_BUCKETS + 1)  # an upper bound, also on the number of chunks
+        n_cuts = n_hot * (_BUCKETS + 3)  # an upper bound, also on the number of chunks
         chunks += n_cuts
-        df = join_on(df, small(cuts, n_cuts), [*group, "_bucket"], "left").drop("_bucket", "_lo", "_hi")
+        df = join_on(df, small(cuts, n_cuts), [*group, "_bucket"], "left").drop("_bucket", "_lo", "_hi", "_is_hot")
         df = df.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long")))
         group.append(name)
         path.append(name)
-        if len(path) >= 4:
-            break
     if not path:
         return df, 0
     # The count travels with the column, so later steps on the same rows need not cut again.
