@@ -255,3 +255,17 @@ def test_upsert_keeps_one_row_per_key(spark):
     new = spark.createDataFrame([(1, 5, "x"), (1, 7, "y"), (1, 7, "z"), (3, 1, "n"), (None, 2, "m")], "k int, v int, w string")
     got = sorted(map(tuple, sinks.merge_latest(old, new, ["k"], ["v"]).collect()), key=str)
     assert got == sorted([(1, 7, "z"), (2, 1, "b"), (3, 1, "n"), (None, 2, "m")], key=str)
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp", "date", "bigint"])
+def test_tick_range_reaches_the_scan(spark, tmp_path, kind):
+    rows = spark.range(-200, 2000).selectExpr("id % 3 AS k", f"{'id' if kind == 'bigint' else f'cast(timestamp_millis(id * 40000000 + 7) AS {kind})'} AS at", "cast(id AS double) AS value")
+    rows.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    whole = multi_time_series(df, "at", "k", "value", granularity=None if kind == "bigint" else timedelta(days=1), start_time=None if kind == "bigint" else datetime(1969, 12, 1, tzinfo=timezone.utc))
+    for a, b in ((5, 40), (-30, 31), (0, 0), (10**7, 10**8)):
+        some = whole.get_values(a, b)
+        assert sorted(some.df.collect()) == sorted(whole.df.where(f"tick BETWEEN {a} AND {b}").collect())
+    plan = whole.get_values(5, 40).df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "GreaterThanOrEqual(at" in pushed and "LessThanOrEqual(at" in pushed

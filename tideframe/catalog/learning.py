@@ -105,7 +105,7 @@ def _seqs(support, side="true"):
     return ", ".join([*out, "f AS (" + " UNION ALL ".join(f"SELECT * FROM f{j}" for j in levels) + ")"])
 
 
-SEQS = _seqs(0.5)
+SEQS = _seqs(0.35)
 
 
 @query(
@@ -116,7 +116,7 @@ SELECT f.s AS sequence, f.k AS coverage, n AS original_size, round(f.k / n, 9) A
 (SELECT round(stddev_samp(g), 2) FROM g WHERE g.s = f.s) AS sd FROM f, n""",
 )
 def _(spark, sf):
-    out = mining.frequent_sub_sequences(item_events(spark, sf), 0.5)
+    out = mining.frequent_sub_sequences(item_events(spark, sf), 0.35)
     i = "inter_arrival_statistics"
     out = out.select(F.array_join("sequence", ",").alias("sequence"), "coverage", "original_size", "binary_match_normalized_frequency", f"{i}.average", f"{i}.max", f"{i}.min", f"{i}.sd")
     return rounded(rounded(out, "binary_match_normalized_frequency", digits=9), "average", "sd", digits=2)
@@ -125,19 +125,19 @@ def _(spark, sf):
 @query("sub_sequence_score", f"{BIG}, {SEQS} SELECT user_id, m.s AS sequence, array_to_string(ts, ',') AS ticks FROM m WHERE m.s IN (SELECT f.s FROM f)")
 def _(spark, sf):
     ts = item_events(spark, sf)
-    out = mining.sub_sequence_matches(ts, mining.frequent_sub_sequences(ts, 0.5))
+    out = mining.sub_sequence_matches(ts, mining.frequent_sub_sequences(ts, 0.35))
     return out.select("user_id", F.array_join("sequence", ",").alias("sequence"), F.array_join(F.transform("ticks", lambda t: t.cast("string")), ",").alias("ticks"))
 
 
 @query(
     "discriminatory_sub_sequences",
-    f"""{BIG}, {_seqs(0.5, LEFT)}, t AS (SELECT count(DISTINCT user_id) FILTER (user_id % 2 = 0) AS nl, count(DISTINCT user_id) FILTER (user_id % 2 = 1) AS nr FROM b),
+    f"""{BIG}, {_seqs(0.35, LEFT)}, t AS (SELECT count(DISTINCT user_id) FILTER (user_id % 2 = 0) AS nl, count(DISTINCT user_id) FILTER (user_id % 2 = 1) AS nr FROM b),
 c AS (SELECT s, count(*) FILTER (user_id % 2 = 0) AS l, count(*) FILTER (user_id % 2 = 1) AS q FROM m GROUP BY 1)
 SELECT s AS sequence, l AS coverage_left, q AS coverage_right, nl AS original_size_left, nr AS original_size_right, round(l / nl, 9) AS binary_match_normalized_frequency_left,
-round(q / nr, 9) AS binary_match_normalized_frequency_right, round((l / nl) / nullif(q / nr, 0), 9) AS lift FROM c, t WHERE l >= 0.5 * nl""",
+round(q / nr, 9) AS binary_match_normalized_frequency_right, round((l / nl) / nullif(q / nr, 0), 9) AS lift FROM c, t WHERE l >= 0.35 * nl""",
 )
 def _(spark, sf):
-    out = mining.discriminatory_sub_sequences(item_events(spark, sf, LEFT), item_events(spark, sf, "user_id % 2 = 1"), 0.5)
+    out = mining.discriminatory_sub_sequences(item_events(spark, sf, LEFT), item_events(spark, sf, "user_id % 2 = 1"), 0.35)
     out = out.drop("sequence_id", "inter_arrival_statistics").withColumn("sequence", F.array_join("sequence", ","))
     return rounded(out, "binary_match_normalized_frequency_left", "binary_match_normalized_frequency_right", "lift", digits=9)
 

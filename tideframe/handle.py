@@ -7,7 +7,8 @@ exception is the bounded-key check of the order-based operators (see ``plans.ord
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ class TS:
     trs: TRS | None = None
     chunk_rows: int = CHUNK_ROWS
     known_max: int | None = None
+    #: Gives ``df`` with the source already cut to about a range of ticks, while ``df`` is still the table as it was read.
+    within: Callable[[int, int], DataFrame] | None = field(default=None, compare=False, repr=False)
 
     @property
     def by(self) -> list[str]:
@@ -59,7 +62,7 @@ class TS:
 
     def with_df(self, df: DataFrame, fewer: bool = True, **changes) -> TS:
         """Same series layout over another frame; ``fewer``: no series can have gained rows."""
-        return replace(self, df=df.drop("_chunk"), **{"known_max": self.known_max if fewer else None, **changes})
+        return replace(self, df=df.drop("_chunk"), **{"known_max": self.known_max if fewer else None, "within": None, **changes})
 
     def with_value(self, value, **changes) -> TS:
         return self.with_df(self.df.withColumn("value", as_column(value)), **changes)

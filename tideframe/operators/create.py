@@ -12,6 +12,10 @@ from ..handle import TS, as_column
 from ..plans import CHUNK_ROWS
 from ..trs import TRS, epoch_ms
 
+_EPOCH = datetime(1970, 1, 1)
+# Bounds outside the years that a timestamp literal can name are left out.
+_LEAST_MS, _MOST_MS = (int((d - _EPOCH).total_seconds() * 1000) for d in (datetime(1, 1, 2), datetime(9999, 12, 30)))
+
 
 def _tick(df: DataFrame, ts_column: str, trs: TRS | None):
     kind = df.schema[ts_column].dataType.simpleString()
@@ -21,6 +25,27 @@ def _tick(df: DataFrame, ts_column: str, trs: TRS | None):
     return trs.to_index(col)
 
 
+def _bounds(df: DataFrame, ts_column: str, trs: TRS | None, start: int, end: int):
+    """A condition on the source column that holds for every row whose tick lies in the range: the scan can use it."""
+    kind, c = df.schema[ts_column].dataType.simpleString(), F.col(ts_column)
+    if kind in ("bigint", "int", "smallint", "tinyint"):
+        return c.between(F.lit(start), F.lit(end))
+    trs = trs or TRS()
+    first = trs.start_ms + start * trs.granularity_ms - 1
+    last = trs.start_ms + (end + 1) * trs.granularity_ms
+    make = {
+        "timestamp": lambda ms: F.timestamp_millis(F.lit(ms)),
+        "timestamp_ntz": lambda ms: F.lit(f"{_EPOCH + timedelta(milliseconds=ms):%Y-%m-%d %H:%M:%S.%f}").cast("timestamp_ntz"),
+        "date": lambda ms: F.date_from_unix_date(F.lit(ms // 86_400_000)),
+    }.get(kind)
+    out = F.lit(True)
+    if make and _LEAST_MS < first < _MOST_MS:
+        out = out & (c >= make(first))
+    if make and _LEAST_MS < last < _MOST_MS:
+        out = out & (c <= make(last))
+    return out
+
+
 def _trs(granularity: timedelta | None, start_time: datetime | None) -> TRS | None:
     if granularity is None and start_time is None:
         return None
@@ -36,10 +61,11 @@ def time_series(df, ts_column, value_column, granularity=None, start_time=None,
     """
     trs = _trs(granularity, start_time)
     ord = (ord,) if isinstance(ord, str) else tuple(ord)
-    out = df.select(
-        F.lit(0).alias("series"), _tick(df, ts_column, trs).alias("tick"), *ord, as_column(value_column).alias("value")
-    )
-    return TS(out, ("series",), ord, trs, chunk_rows)
+
+    def made(rows):
+        return rows.select(F.lit(0).alias("series"), _tick(df, ts_column, trs).alias("tick"), *ord, as_column(value_column).alias("value"))
+
+    return TS(made(df), ("series",), ord, trs, chunk_rows, within=lambda a, b: made(df.where(_bounds(df, ts_column, trs, a, b))))
 
 
 def multi_time_series(
@@ -58,8 +84,11 @@ def multi_time_series(
         long = wide.unpivot(["tick", *ord], list(instants), "key", "value")
         return TS(long.select("key", "tick", *ord, "value"), ("key",), ord, trs, chunk_rows)
     keys = (key_column,) if isinstance(key_column, str) else tuple(key_column)
-    out = df.select(*keys, tick.alias("tick"), *ord, as_column(value_column).alias("value"))
-    return TS(out, keys, ord, trs, chunk_rows)
+
+    def made(rows):
+        return rows.select(*keys, tick.alias("tick"), *ord, as_column(value_column).alias("value"))
+
+    return TS(made(df), keys, ord, trs, chunk_rows, within=lambda a, b: made(df.where(_bounds(df, ts_column, trs, a, b))))
 
 
 def multi_from_dict(series: Mapping[str, TS]) -> TS:

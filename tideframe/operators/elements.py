@@ -110,11 +110,12 @@ def get_values(ts: TS, start: int, end: int, inclusive: bool = False) -> TS:
     """Observations with ``start <= tick <= end``.
 
     ``inclusive`` also returns the nearest tick outside the range on either side of each series when
-    the bound itself is not a tick.
+    the bound itself is not a tick. Right after a table is read the range also reaches its scan.
     """
     tick = F.col("tick")
     if not inclusive:
-        return ts.with_df(ts.df.where((tick >= start) & (tick <= end)))
+        df = ts.within(start, end) if ts.within else ts.df
+        return ts.with_df(df.where((tick >= start) & (tick <= end)))
     lo = F.max(F.when(tick <= start, tick)).alias("_lo")
     hi = F.min(F.when(tick >= end, tick)).alias("_hi")
     ends = ts.df.groupBy(*ts.keys).agg(lo, hi)

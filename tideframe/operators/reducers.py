@@ -19,6 +19,7 @@ from pyspark.sql.types import NumericType
 from ..functions.special import chi2_tail, unit_root_critical
 from ..handle import TS, as_column
 from ..plans import frame, is_bounded, join_on, running
+from .elements import get_values
 
 
 @dataclass(frozen=True)
@@ -312,5 +313,5 @@ def reduce(ts: TS, reducer: Reducer) -> DataFrame:
 
 def reduce_range(ts: TS, reducer: Reducer, start: int, end: int) -> DataFrame:
     """Reduce the observations with ``start <= tick <= end``."""
-    part = ts.with_df(ts.df.where(F.col("tick").between(start, end)))
+    part = get_values(ts, start, end)
     return reducer.apply(part.df, ts.keys, ts.by, part.rows())
