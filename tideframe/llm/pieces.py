@@ -19,7 +19,7 @@ from .base import col, query, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters whose lattices are held at once.
-SLICE_CHARS = 2_500_000
+SLICE_CHARS = 1_000_000
 #: Distinct chunks whose encoding a worker remembers.
 REMEMBERED = 400_000
 
@@ -110,9 +110,15 @@ class Vocabulary:
         if len(self.known) > REMEMBERED:
             self.known = {}
         new = [c for c in chunks if c not in self.known]
-        # Behind a line end a chunk is encoded as inside a text; the line end and the blank before it are cut off.
-        for c, ids in zip(new, self.model.encode(["\n" + c.replace("▁", " ") for c in new], num_threads=1)):
-            self.known[c] = np.array(ids[2:], np.int32).tobytes()
+        line = int(self.bytes[10])
+        for at in range(0, len(new), 4_000):
+            # A line end belongs to no longer piece, so chunks on lines of their own are encoded as inside a text.
+            part = [c for c in new[at : at + 4_000] if c != "\n"]
+            ids = np.asarray(self.model.encode("\n" + "\n".join(part).replace("▁", " ") + "\n", out_type=int), np.int32)
+            ends = np.flatnonzero(ids == line).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(part, (raw[4 * a + 4 : 4 * b] for a, b in zip(ends, ends[1:]))))
+        self.known["\n"] = np.int32(line).tobytes()
         return list(map(self.known.__getitem__, chunks))
 
     def decode(self, ids: list[int]) -> str:
@@ -177,7 +183,7 @@ class Lattice:
             count[start] += 1
         self.first = np.r_[0, np.cumsum(count)]
         total = int(self.first[-1])
-        self.start, self.end, self.id, logw = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int32), np.empty(total)
+        self.start, self.end, self.id, logw = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
         filled = self.first[:-1].copy()
         for start, length, ids, cost in reversed(found):  # the longest first: it is mostly the likeliest
             to = filled[start]
@@ -389,8 +395,8 @@ def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[li
         agenda_path = np.hstack([agenda_path, np.full((d, len(more)), j)])
         step_of = np.r_[nodes, 0]
         agenda_step = np.hstack([agenda_step, *((step_of[np.minimum(p, len(nodes))] - base)[:, None] for _, p in more)])
-        edges.append(path)
-        places.append(place)
+        edges.append(path.astype(np.int32))
+        places.append(place.astype(np.int32))
         bases.append(base + stored)
         sizes.append(size)
         stored += len(path)

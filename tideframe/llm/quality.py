@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import col, query, saved, table, unused
+from .base import col, query, saved, table
 
 FEATURES = (
     "log_mean_word", "log_word_spread", "upper", "digit", "symbol", "bar", "end_symbol", "repeated_words", "top_word", "echoes",
@@ -156,8 +156,7 @@ def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more, with the columns they came with."""
     _, model = judge(docs, labels, id, text)
-    stats = unused(docs, "_stats")[0]
-    return docs.withColumn(stats, features(col(text))).where(score(col(stats), model) >= least).drop(stats)
+    return docs.where(score(features(col(text)), model) >= least)
 
 
 @query("op10_quality")
