@@ -159,8 +159,9 @@ def align(ts: TS, interp: Interpolator, key=None) -> TS:
         source = source.where(cond)
     ticks = source.select(F.col("tick")).distinct()
     span = ts.df.groupBy(*ts.keys).agg(F.min("tick").alias("_a"), F.max("tick").alias("_b"))
-    ends = ts.df.agg(F.min("tick"), F.max("tick")).first()
-    width = max(1, ((ends[1] or 0) - (ends[0] or 0)) // 1024 + 1)
+    # Buckets of some ten thousand rows on average, so the join has more groups the more there is to join.
+    first, last, rows = ts.df.agg(F.min("tick"), F.max("tick"), F.count(F.lit(1))).first()
+    width = max(1, ((last or 0) - (first or 0)) // max(1024, rows // 10_000) + 1)
     spots = F.explode(F.sequence(F.floor(F.col("_a") / width), F.floor(F.col("_b") / width)))
     wanted = (
         span.withColumn("_bucket", spots)

@@ -50,11 +50,16 @@ class SeriesWriter:
         self.frame().write.mode(mode).options(**{"header": True, **self._options}).csv(path)
 
     def object_file(self, path: str, buckets: int = 32, mode: str = "overwrite") -> None:
-        """Parquet, clustered by hash bucket of the key; readable with ``read_object_file``."""
+        """Parquet, clustered by hash bucket of the key; readable with ``read_object_file``.
+
+        A bucket is written by as many tasks as its rows call for: about ``chunk_rows`` rows each, so a long
+        series is spread over several files by its ticks.
+        """
         keys = list(self._ts.keys)
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-        # A long series is spread over several files: the bucket is salted by the tick.
-        out = self._ts.df.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("tick"), F.lit(8)))
+        df = self._ts.df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        parts = df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / self._ts.chunk_rows).alias("_parts"))  # a row per bucket
+        out = df.join(F.broadcast(parts) if buckets <= 100_000 else parts, "bucket")
+        out = out.repartition("bucket", F.pmod(F.xxhash64("tick", "value"), F.col("_parts"))).drop("_parts")
         out.sortWithinPartitions("bucket", *keys, "tick").write.mode(mode).options(**self._options).partitionBy("bucket").parquet(path)
 
     def save(self, fmt: str, path: str | None = None, mode: str = "append") -> None:
