@@ -269,3 +269,15 @@ def test_tick_range_reaches_the_scan(spark, tmp_path, kind):
     plan = whole.get_values(5, 40).df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
     assert "GreaterThanOrEqual(at" in pushed and "LessThanOrEqual(at" in pushed
+
+
+def test_models_without_enough_rows_keep_their_keys(spark):
+    from tideframe.operators import forecast
+
+    df = spark.createDataFrame([(1, i, float(i % 5)) for i in range(30)] + [(2, 0, 1.0)], "k int, tick long, value double")
+    ts = multi_time_series(df, "tick", "k", "value")
+    out = forecast.forecast(ts, 3, "exponential").collect()
+    assert sorted((r.k, r.step, r.value is None) for r in out) == [(k, s, k == 2) for k in (1, 2) for s in (1, 2, 3)]
+    grown = forecast.update_model(forecast.exponential(ts), multi_time_series(spark.createDataFrame([(2, 5, 3.0), (2, 9, 3.0), (3, 1, 1.0)], df.schema), "tick", "k", "value"), forecast.exponential)
+    got = {r.k: (r.state[0], r.error_history_length, r.last_time) for r in grown.collect()}
+    assert got[2] == (pytest.approx(1.0 * 0.49 + 3.0 * 0.51), 2, 9) and got[1][2] == 29 and got[3][1] == 0

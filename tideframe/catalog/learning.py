@@ -313,6 +313,19 @@ def _(spark, sf):
     return new.select("o_orderpriority", "last_time", r(F.col("state")[0], 2).alias("level"))
 
 
+@query(
+    "update_model_online",
+    _exp_sql("true") + " SELECT o_orderpriority, last AS last_time, round(z.l, 2) AS level, round(sd, 2) AS sd, len(v) - 1 AS error_history_length, round(step, 9) AS average_interval FROM g",
+)
+def _(spark, sf):
+    ts = order_days(spark, sf)
+    cut = ts.df.agg(F.max("tick")).first()[0] - 60
+    m = forecast.exponential(ts.filter(F.col("tick") <= cut))
+    new = forecast.update_model(m, ts.filter(F.col("tick") > cut), forecast.exponential)  # only what is new
+    return new.select("o_orderpriority", "last_time", r(F.col("state")[0], 2).alias("level"), r("sd", 2).alias("sd"), "error_history_length", r("average_interval", 9).alias("average_interval"))
+
+
+
 @query(
     "model_save_load",
     f"{_EXP}, y AS (SELECT *, sd * sqrt(1 + (step_no - 1) * 0.09) AS e FROM g, h WHERE step_no <= 3) SELECT o_orderpriority, CAST(last + round_even(step_no * step, 0) AS BIGINT) AS tick, step_no AS step, "

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import normal_quantile
 from ..handle import TS
-from ..plans import fold, join_on
+from ..plans import fold, join_on, saved
 from .reducers import _ddl, least_squares, moments
 
 MODEL_FIELDS = (
@@ -277,7 +277,7 @@ def exponential(ts: TS, smoothing: float = 0.3, start_training_time: int | None
     err = F.col("value") - F.col("forecast")
     errors = pred.groupBy(*ts.keys).agg(
         F.sqrt(F.avg(err * err)).alias("sd"), F.count("forecast").alias("error_history_length"),
-        F.max_by(F.col("forecast") * (1 - smoothing) + F.col("value") * smoothing, F.struct(*ts.by)).alias("_level"),
+        F.max_by(F.coalesce(F.col("forecast") * (1 - smoothing) + F.col("value") * smoothing, F.col("value")), F.struct(*ts.by)).alias("_level"),
     )
     table = join_on(errors, _facts(ts), ts.keys)
     return table.select(
@@ -297,8 +297,9 @@ def auto(ts: TS, samples_per_season: int | None = None, min_training_data: int =
     for m in models[1:]:
         every = every.unionByName(m)
     every = every.where("is_initialized AND sd IS NOT NULL AND NOT isnan(sd)")
-    best = every.groupBy(*ts.keys).agg(F.min_by(F.struct(*_NAMES), F.struct("sd", "kind")).alias("m"))
-    return best.select(*ts.keys, "m.*")
+    best = every.groupBy(*ts.keys).agg(F.min_by(F.struct(*_NAMES), F.struct("sd", "kind")).alias("m")).select(*ts.keys, "m.*")
+    rest = models[0].select(*ts.keys, *_NAMES)  # keys that no model could be fitted to stay, not initialised
+    return best.select(*ts.keys, *_NAMES).unionByName(join_on(rest, best.select(*ts.keys), ts.keys, "left_anti"))
 
 
 # Forecasts -------------------------------------------------------------------------------------
@@ -339,7 +340,10 @@ def _path(kind, params, orders, state, sd, horizon: int):
 
 
 def predict(model: DataFrame, keys, num_predictions: int, confidence: float = 0.95) -> DataFrame:
-    """Rows (keys, tick, step, value, lower, upper, error) for the next ``num_predictions`` steps of each key."""
+    """Rows (keys, tick, step, value, lower, upper, error) for the next ``num_predictions`` steps of each key.
+
+    A key whose model is not initialised has its steps with nulls.
+    """
     keys = list(keys)
     z = normal_quantile(0.5 + confidence / 2)
 
@@ -358,7 +362,12 @@ def predict(model: DataFrame, keys, num_predictions: int, confidence: float = 0.
                 yield pd.concat(frames)
 
     schema = f"{_ddl(model, keys)}, tick long, step long, value double, lower double, upper double, error double"
-    return model.where("is_initialized").mapInPandas(work, schema)
+    ready = F.coalesce("is_initialized", F.lit(False))
+    none = [F.lit(None).cast("double").alias(c) for c in ("value", "lower", "upper", "error")]
+    steps = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(num_predictions).cast("long"))).alias("step")
+    missing = model.where(~ready).select(*keys, F.lit(None).cast("long").alias("tick"), steps, *none) if num_predictions > 0 else None
+    found = model.where(ready).mapInPandas(work, schema)
+    return found if missing is None else found.unionByName(missing)
 
 
 _MODELS = {"hws": hws, "arma": arma, "arima": arima, "auto": auto, "exponential": exponential}
@@ -408,13 +417,50 @@ def is_anomaly(model: DataFrame, keys, probes: DataFrame, confidence: float = 0.
     return out.withColumn("is_anomaly", F.col("_nan") | outside).withColumn("value", v).drop("_nan")
 
 
+def _continued(model: DataFrame, ts: TS) -> DataFrame:
+    """Exponential models after the observations behind their last tick: the level goes on from where it stood."""
+    from .transforms import one_step
+
+    keys, out = list(ts.keys), None
+    for (smoothing,) in model.select(F.col("params")[0]).distinct().collect():  # weights are chosen by hand: few
+        part = model.where(F.col("params")[0] == smoothing)
+        fresh = join_on(ts.df, part.select(*keys, "last_time"), keys).where(F.col("tick") > F.col("last_time")).drop("last_time")
+        blank = [F.lit(None).cast(ts.df.schema[c].dataType).alias(c) for c in ts.ord]
+        start = part.select(*keys, F.col("last_time").alias("tick"), *blank, F.col("state")[0].alias("value"))
+        both = _clean(ts.with_df(fresh.select(*ts.columns).unionByName(start.select(*ts.columns)), fewer=False), None)
+        pred = one_step(both, smoothing).df
+        err = F.col("value") - F.col("forecast")
+        step = pred.groupBy(*keys).agg(
+            F.coalesce(F.sum(err * err), F.lit(0.0)).alias("_e"), F.count("forecast").alias("_m"), F.max("tick").alias("_t"),
+            F.max_by(F.coalesce(F.col("forecast") * (1 - smoothing) + F.col("value") * smoothing, F.col("value")), F.struct(*both.by)).alias("_level"),
+        )
+        n = F.col("error_history_length") + F.col("_m")
+        done = join_on(part, step, keys).select(
+            *keys, "kind", "params", "orders", F.array("_level").alias("state"),
+            F.sqrt((F.coalesce(F.col("sd") * F.col("sd") * F.col("error_history_length"), F.lit(0.0)) + F.col("_e")) / n).alias("sd"),
+            n.alias("error_history_length"), ((F.col("_t") - F.col("initial_time")) / n).alias("average_interval"), "initial_time",
+            F.col("_t").alias("last_time"), (n >= 2).alias("is_initialized"),
+        )
+        out = done if out is None else out.unionByName(done)
+    return model if out is None else out
+
+
 def update_model(model: DataFrame, ts: TS, fit, **arguments) -> DataFrame:
-    """Refit the keys that have observations after the model's last tick; other keys keep their row."""
+    """The models after the observations of ``ts`` behind their last tick; other keys keep their row.
+
+    An exponential model goes on from its state, so ``ts`` need only hold what is new. The other kinds, and keys
+    without a model, are fitted by ``fit`` to the rows given: hand them the whole history.
+    """
     newest = ts.df.groupBy(*ts.keys).agg(F.max("tick").alias("_new"))
-    old = join_on(model.select(*ts.keys, "last_time"), newest, ts.keys, "left")
-    same = old.where("_new IS NULL OR _new <= last_time").select(*ts.keys)
-    fresh = fit(ts.with_df(join_on(ts.df, same, ts.keys, "left_anti")), **arguments)
-    return join_on(model, same, ts.keys, "left_semi").select(*ts.keys, *_NAMES).unionByName(fresh.select(*ts.keys, *_NAMES))
+    old = join_on(model, newest, ts.keys, "left")
+    same = old.where("_new IS NULL OR _new <= last_time")
+    resumes = (F.col("kind") == "exponential") & F.col("state")[0].isNotNull()
+    moved = old.where("_new > last_time")
+    going = saved(moved.where(F.coalesce(resumes, F.lit(False))).select(*ts.keys, *_NAMES))
+    done = same.select(*ts.keys).unionByName(going.select(*ts.keys))
+    fresh = fit(ts.with_df(join_on(ts.df, done, ts.keys, "left_anti")), **arguments)
+    out = same.select(*ts.keys, *_NAMES).unionByName(fresh.select(*ts.keys, *_NAMES))
+    return out.unionByName(_continued(going, ts).select(*ts.keys, *_NAMES))
 
 
 def save_model(model: DataFrame, path: str) -> None:
