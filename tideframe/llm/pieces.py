@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -81,6 +82,8 @@ class Vocabulary:
         for b, i in enumerate(self.bytes.tolist()):
             if self.model.is_byte(i):
                 self.spelled[i] = bytes([b])
+        self.spelling = np.frombuffer(b"".join(self.spelled), np.uint8)
+        self.letters = np.fromiter(map(len, self.spelled), np.int64, size)
         self.single = np.full(0x110000, -1, np.int32)
         self.kind = np.zeros(0x110000, np.int32)
         for p, i in pieces.items():
@@ -127,15 +130,24 @@ class Vocabulary:
         return text[1:] if text.startswith(" ") else text
 
 
+    def spell(self, rows: list[np.ndarray]) -> list[bytes]:
+        """The bytes of many rows of pieces at once, with the blank put before each text."""
+        ids = np.concatenate([*rows, np.zeros(0, np.int32)])
+        counts = self.letters[ids]
+        flat = self.spelling[_ranges((np.cumsum(self.letters) - self.letters)[ids], counts)]
+        cuts = np.r_[0, np.cumsum(counts)][np.cumsum([0, *map(len, rows)])]
+        return [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+
 class Slice:
     """Some texts as places of chunks among their distinct chunks."""
 
     def __init__(self, texts: list[list[str]]):
         self.many = np.array([len(c) for c in texts], np.int64)  # chunks of each text
-        names = dict.fromkeys(chain.from_iterable(texts))
-        self.chunks = list(names)
-        names = dict(zip(self.chunks, range(len(names))))
-        self.flat = np.fromiter(map(names.__getitem__, chain.from_iterable(texts)), np.int64, int(self.many.sum()))
+        numbers: defaultdict = defaultdict()
+        numbers.default_factory = numbers.__len__  # a new chunk gets the next number
+        self.flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), np.int64, int(self.many.sum()))
+        self.chunks = list(numbers)
 
     def encode(self, vocab: Vocabulary) -> list[np.ndarray]:
         """Piece ids of every text by the model's own segmentation."""
@@ -493,7 +505,7 @@ def segment(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 4,
                 structs = pa.StructArray.from_arrays([_listed([s[0] for s in flat]), *numbers], fields=list(SAMPLE))
                 samples = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), structs)
                 plain = ((t.as_py() or "").replace("▁", " ") for t in rows.column(body))
-                same = [vocab.decode(a.tolist()) == t and vocab.decode(b[0][0].tolist()) == t for a, b, t in zip(own, found, plain)]
+                same = [a == b == (" " + t).encode() if t else a == b == b"" for a, b, t in zip(vocab.spell(own), vocab.spell([r[0][0] for r in found]), plain)]
                 yield pa.RecordBatch.from_arrays([*rows.columns, _listed(own), samples, pa.array(same)], names=[*kept, "pieces", "samples", "decodes"])
 
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(ADDED).fields])
