@@ -147,6 +147,7 @@ class Slice:
         numbers: defaultdict = defaultdict()
         numbers.default_factory = numbers.__len__  # a new chunk gets the next number
         self.flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), np.int64, int(self.many.sum()))
+        numbers.default_factory = None  # which held the dictionary itself
         self.chunks = list(numbers)
 
     def encode(self, vocab: Vocabulary) -> list[np.ndarray]:
