@@ -97,7 +97,7 @@ class Vocabulary:
         for p in long:
             number.setdefault(p, len(number))
         self.inner = len(prefixes)
-        self.child = np.zeros((self.inner, int(self.kind.max()) + 1), np.int32)
+        self.child = np.zeros((self.inner, int(self.kind.max()) + 1), np.uint16 if len(number) < 1 << 16 else np.int32)
         self.piece = np.full(len(number), -1, np.int32)
         for p, n in number.items():
             if p:
@@ -181,11 +181,11 @@ class Lattice:
         spelled = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
         cost = np.where(ids >= 0, vocab.logp[ids], spelled * vocab.byte_logp)
         found = [(np.arange(n), 1, ids, cost)]
-        at, node, depth = np.arange(n), vocab.child[0, kind], 1
+        at, node, depth = np.arange(n), vocab.child[0, kind].astype(np.int64), 1
         while len(at):
             on = (node > 0) & (node < vocab.inner) & (at + depth < limit[at])
             at, node = at[on], node[on]
-            node = vocab.child[node, kind[at + depth]]
+            node = vocab.child[node, kind[at + depth]].astype(np.int64)
             depth += 1
             piece = np.where(node > 0, vocab.piece[node], -1)
             hit = piece >= 0
@@ -508,6 +508,8 @@ def segment(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 4,
                 plain = ((t.as_py() or "").replace("▁", " ") for t in rows.column(body))
                 same = [a == b == (" " + t).encode() if t else a == b == b"" for a, b, t in zip(vocab.spell(own), vocab.spell([r[0][0] for r in found]), plain)]
                 yield pa.RecordBatch.from_arrays([*rows.columns, _listed(own), samples, pa.array(same)], names=[*kept, "pieces", "samples", "decodes"])
+                del own, found, flat, structs, samples
+            pa.default_memory_pool().release_unused()  # a worker lives on and other stages share its executor
 
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(ADDED).fields])
     return docs.mapInArrow(cut, schema)
