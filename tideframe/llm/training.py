@@ -69,14 +69,16 @@ class Tokenizer:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id, 16 bits each."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
         cut = [None if _ODD.search(t) else _CUT.split(t) if _BLANKS.search(t) else t.split(" ") for t in (t or "" for t in texts)]
         new = set().union(*(c[1:] for c in cut if c)).difference(self.known)
         if new:
             self._learn(new)
         end, ids = np.array([self.end], "<u2").tobytes(), self.known.__getitem__
-        return [(self._bytes(t) if c is None else self._bytes(c[0]) + b"".join(map(ids, c[1:]))) + end for t, c in zip(texts, cut)]
+        out = [(self._bytes(t) if c is None else self._bytes(c[0]) + b"".join(map(ids, c[1:]))) + end for t, c in zip(texts, cut)]
+        if len(self.known) > REMEMBERED:  # the words met first are the frequent ones: they stay
+            for w in new:
+                del self.known[w]
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_all([text])[0], "<u2")
