@@ -92,3 +92,27 @@ def test_query_against_brute_force(spark, sf):
                 want.add((r.doc_id, i))
     got = [(r.doc_id, r.item_id) for r in d.op3_decontamination(spark, wide).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_edited_copies_of_one_text_items(spark, sf):
+    rng = random.Random(5)
+    texts = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = []
+    for i, t in texts:
+        for edits in (1, 2):
+            for _ in range(4):
+                held = t.split()
+                for at in rng.sample(range(max(0, len(held) - 12), len(held)), edits):  # near the end, where the answer is cut off
+                    held[at] = "qqqq"
+                rows.append((len(rows), f"{FILL}{' '.join(held)} {FILL}", i))
+    whole = {i: d.shingles(d.words(t)) for i, t in texts}
+    want = {(n, i) for n, t, i in rows if d.overlap(whole[i], d.words(t), {}) >= 0.8}
+    halves = {i: [d.shingles(d.words(x)) for x in d.split_item(t)] for i, t in texts}
+    assert any(min(d.overlap(x, d.words(rows[n][1]), {}) for x in halves[i]) < 0.8 for n, i in want)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, of long").select("doc_id", "text")
+    items = d.questions(spark.createDataFrame(texts, "item_id long, text string"))
+    assert want <= {(r.id, r.item_id) for r in d.leaks(docs, items).collect()}
+    assert not {n for n, _ in want} & {r.doc_id for r in d.without_leaks(docs, items).collect()}
+    apart = {(r.id, r.item_id) for r in d.leaks(docs, items.drop("one_text")).collect()}
+    assert want - apart  # separate columns: both halves are still asked for
+    assert all(min(d.overlap(x, d.words(rows[n][1]), {}) for x in halves[i]) >= 0.8 for n, i in apart)

@@ -44,13 +44,14 @@ class Item:
     id: object
     question: set
     answer: set
+    whole: set | None = None
 
 
 class Index:
     """Inverted lists of normalised BM25 impacts: 1 is the score of an item against its own text.
 
-    A term is a pair of neighbouring words. ``items``: (id, question, answer) rows. ``stats``:
-    (items, mean length in terms, {term: items that hold it}) of the whole benchmark, so that
+    A term is a pair of neighbouring words. ``items``: (id, question, answer) rows, with a true
+    fourth field where both are cut from one text. ``stats``: (items, mean length in terms, {term: items that hold it}) of the whole benchmark, so that
     parts of it score alike.
     """
 
@@ -58,13 +59,13 @@ class Index:
         total, mean, held = stats
         self.items, lists = [], {}
         ordered = sorted(items, key=lambda r: (words(r[1]) + words(r[2]), str(r[0])))  # like items share blocks
-        for id, question, answer in ordered:
+        for id, question, answer, *one_text in ordered:
             q, a = words(question), words(answer)
             held_pairs = pairs(q + a)
             if not held_pairs:
                 continue
             place, tally, size = len(self.items), Counter(held_pairs), len(held_pairs)
-            self.items.append(Item(id, shingles(q), shingles(a)))
+            self.items.append(Item(id, shingles(q), shingles(a), shingles(q + a) if any(one_text) else None))
             raw = {}
             for t, f in tally.items():
                 idf = math.log(1 + (total - held[t] + 0.5) / (held[t] + 0.5))
@@ -178,8 +179,9 @@ def search(text: str | None, index: Index, size: int, least: float, verify: floa
             best[item] = max(best.get(item, 0.0), score)
     out, held = [], {}
     for item, score in sorted(best.items()):
-        q, a = (overlap(x, tokens, held) for x in (index.items[item].question, index.items[item].answer))
-        if q >= verify and a >= verify:
+        found = index.items[item]
+        q, a = (overlap(x, tokens, held) for x in (found.question, found.answer))
+        if min(q, a) >= verify or (found.whole is not None and overlap(found.whole, tokens, held) >= verify):
             out.append((item, score, q, a))
     return out
 
@@ -221,13 +223,14 @@ def _count(text: Column) -> Column:
 
 
 def indexes(items: DataFrame, part_bytes: int = PART_BYTES) -> tuple[list[Index], int]:
-    """Indexes over ``items(id, question, answer)`` and the length of a passage in words.
+    """Indexes over ``items(id, question, answer[, one_text])`` and the length of a passage in words.
 
     Items go to parts of about ``part_bytes`` of text, one index each; only a part at a time
     reaches the driver. Weights come from the whole benchmark, counted by Spark.
     """
     both = F.concat_ws(" ", "question", "answer")
-    items = saved(items.select(F.col("id").cast("string").alias("id"), "question", "answer", _count(both).alias("n")).distinct())
+    one_text = F.coalesce("one_text", F.lit(False)) if "one_text" in items.columns else F.lit(False)
+    items = saved(items.select(F.col("id").cast("string").alias("id"), "question", "answer", one_text.alias("one_text"), _count(both).alias("n")).distinct())
     total, mean, longest, size = items.where("n > 0").agg(F.count("*"), F.avg("n"), F.max("n"), F.sum(F.octet_length(both))).first()
     if not total:
         return [], 64
@@ -239,7 +242,7 @@ def indexes(items: DataFrame, part_bytes: int = PART_BYTES) -> tuple[list[Index]
     out = []
     for part in range(parts):
         weights = {r.term: r.held for r in held.where(F.array_contains("parts", F.lit(part).cast("long"))).select("term", "held").collect()}
-        rows = [(r.id, r.question, r.answer) for r in items.where(F.col("part") == part).select("id", "question", "answer").collect()]
+        rows = [tuple(r) for r in items.where(F.col("part") == part).select("id", "question", "answer", "one_text").collect()]
         if rows:
             out.append(Index(rows, (total, mean, weights)))
     return out, max(64, 2 * longest)
@@ -261,11 +264,13 @@ def _finder(spark, index: Index, size: int, least: float, verify: float):
 def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.4, verify: float = 0.8) -> DataFrame:
     """``(id, item_id, score, question_overlap, answer_overlap)`` for every benchmark item that a row of ``docs`` holds.
 
-    ``items(id, question, answer)``: an empty or null answer is not asked for. Every text is
+    ``items(id, question, answer)``: an empty or null answer is not asked for. A true ``one_text``
+    (optional column) says that an item is one text and the halves only a guess. Every text is
     cut into half-overlapping passages twice as long as the longest item. Each passage
     queries the inverted index of word pairs with BM25, scaled so that an item scores 1 against itself;
     items that score ``least`` or more are then held against the whole text: ``verify`` of the
-    five-word shingles of the question and of the answer must occur in it. Items of fewer
+    five-word shingles of the question and of the answer must occur in it; of an item that is
+    one text, those of the whole or of both halves. Items of fewer
     than two words are never found. Null and empty texts hold nothing, repeated rows stay repeated,
     repeated items count once, equal ids of different items give a row each.
     """
@@ -284,7 +289,7 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", least: float = 0.4, verify: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that hold no item of ``items(id, question, answer)``, unchanged."""
+    """The rows of ``docs`` that hold no item of ``items(id, question, answer[, one_text])``, unchanged."""
     parts, size = indexes(items)
     for index in parts:
         docs = docs.where(F.size(_finder(docs.sparkSession, index, size, least, verify)(col(text))) == 0)
@@ -292,13 +297,13 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", least:
 
 
 def questions(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> DataFrame:
-    """``(id, question, answer)`` of a benchmark that keeps each item as one text; see ``split_item``."""
+    """``(id, question, answer, one_text)`` of a benchmark that keeps each item as one text; see ``split_item``."""
 
     @F.arrow_udf("struct<question:string,answer:string>")
     def halves(texts: pa.Array) -> pa.Array:
         return pa.array([dict(zip(("question", "answer"), split_item(t.as_py()))) for t in texts], pa.struct([("question", pa.string()), ("answer", pa.string())]))
 
-    return benchmark.select(col(id).alias("id"), halves(col(text)).alias("h")).select("id", "h.question", "h.answer")
+    return benchmark.select(col(id).alias("id"), halves(col(text)).alias("h")).select("id", "h.question", "h.answer", F.lit(True).alias("one_text"))
 
 
 @query("op3_decontamination")
