@@ -70,3 +70,14 @@ def test_ownership_and_redaction(spark):
     assert all(HEXES not in (t or "") for t in text.values())
     empty = spark.createDataFrame([], docs.schema)
     assert secrets.redact(empty).count() == 0 and secrets.scan(empty).count() == 0
+
+
+def test_blobs_of_several_owners(spark):
+    held = {1: "a", 2: "bc", 3: "def"}
+    blob = {n: f"{BLOB}{'Abc'[n - 1] * 3}" for n in held}
+    rows = [(f"{n}{o}", f"the {blob[n]} here", o, "x") for n, owners in held.items() for o in owners]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string, lang string")
+    verdict = {r.id: [s.verdict for s in r.spans] for r in secrets.scan(docs).collect()}
+    assert verdict == {i: ["example" if i[0] == "3" else "live"] for i, *_ in rows}
+    text = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert text == {i: "the <example-secret> here" if i[0] == "3" else "the <secret> here" for i, *_ in rows}

@@ -86,12 +86,12 @@ def spans(marked: DataFrame, widely: int = 3) -> DataFrame:
     """``(key, spans)`` of every distinct text with findings: structs (start, kind, end, verdict) in order.
 
     A candidate that ``widely`` or more owners hold is a copied ``example``; one that fewer
-    hold is ``live`` if it looks random, else ``weak``. Blobs without a keyword, an access key
-    or hex form (kind ``owned``) are findings only if a single owner holds them: published
-    constants and shared identifiers drop out, credentials of one owner stay.
+    hold is ``live`` if it looks random, else ``weak``. The one limit holds for every kind,
+    also for blobs without a keyword, an access key or hex form (kind ``owned``): a credential
+    that was copied along with its text stays a finding.
     """
     parts = marked.where(F.size("found") > 0).select("key", F.explode("found").alias("f")).select("key", "f.*").distinct()
-    known = parts.join(ownership(marked), "hash").where((F.col("kind") < 3) | (F.col("n_owners") == 1))
+    known = parts.join(ownership(marked), "hash")
     verdict = F.when(F.col("n_owners") >= widely, "example").when(F.col("strong"), "live").otherwise("weak")
     return known.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", verdict.alias("verdict")))).alias("spans"))
 
