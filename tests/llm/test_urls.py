@@ -53,3 +53,37 @@ def test_empty_and_chain(spark):
     df = spark.createDataFrame(chain, "page_id long, url string, html string")
     assert {r.verdict for r in urls.judge(df, urls.RULES).collect()} == {"block"}
     assert urls.allowed(df, urls.RULES).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("target", "url", "want"),
+    [
+        ("/en/x", "http://a.org/b/c?d#e", "x://a.org/en/x"), ("//h.net/x", "http://a.org", "x://h.net/x"), ("x?y=1#z", "http://a.org/b/c", "x://a.org/b/x?y=1#z"),
+        ("x", "http://a.org", "x://a.org/x"), ("../x", "http://a.org/b/c/d", "x://a.org/b/x"), ("../../../x", "http://a.org/b/c", "x://a.org/x"), ("./", "http://a.org/b/c", "x://a.org/b/"),
+        ("..", "http://a.org/b/c/d", "x://a.org/b/"), ("?q", "http://a.org/b/c?d", "x://a.org/b/c?q"), ("#q", "http://a.org/b/c?d#e", "x://a.org/b/c?d"),
+        ("/go?to=http://z.net/", "http://a.org/b", "x://a.org/go?to=http://z.net/"), ("HTTPS://z.net/../x", "http://a.org/b", "HTTPS://z.net/../x"), ("mailto:a@z.net", "http://a.org/b", None),
+        ("/x", "no scheme", None), ("/x", None, None), (None, "http://a.org", None), ("", "http://a.org", None),
+    ],
+)
+def test_targets_seen_from_a_page(target, url, want):
+    assert urls.resolve(target, url) == want
+
+
+def test_character_references():
+    assert urls.plain_attribute("?a=1&amp;b=2&copy=3&#38;c&#x3d;4&nosuch;&amp") == "?a=1&b=2&copy=3&c=4&nosuch;&"
+
+
+def test_relative_and_escaped_aliases(spark):
+    pages = [
+        (1, "https://a.net/es/1?a=1&b=2", ""), (2, "http://b.org/p", LINK.format("http://a.net/es/1?a=1&amp;b=2")),
+        (3, "http://b.org/q/r", LINK.format("/s")), (4, "https://b.org/s", MOVE.format("//c.net/fr/1")),
+        (5, "http://b.org/q/t", MOVE.format("../s?")), (6, "http://b.org/q/u", "<base href='http://c.net/fr/'>" + LINK.format("v")),
+        (7, "http://b.org/s?", LINK.format("r1") + LINK.format("https://b.org/q/r")), (8, "http://b.org/w", LINK.format("mailto:x@c.net")),
+        (9, "http://example.com:80/en/1", ""), (10, "https://net:443/es/1", None), (11, "http://ported.org:80/x", ""), (12, "https://ported.org/x", ""), (13, "http://ported.org/y", LINK.format("x")),
+    ]
+    rules = (*urls.RULES, ("block", "ported.org:80/"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.id: r.verdict for r in urls.judge(df, rules).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {*range(1, 14)} - {8}
+    alone = df.where("page_id IN (8, 9, 10)")  # no links between pages
+    assert [r.verdict for r in urls.judge(alone, urls.RULES).orderBy("id").collect()] == ["allow", "block", "block"]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from html import unescape
+from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,10 +63,73 @@ def _tag(html: Column, tag: str, marks: str) -> Column:
 
 
 def declared(html: Column) -> Column:
-    """Absolute urls that a page names as itself: canonical links and meta refresh targets."""
+    """What a page names as itself, as written: targets of canonical links and meta refreshes."""
     links = F.transform(_tag(html, "link", r"""rel\s*=\s*["']?canonical\b"""), lambda t: F.regexp_extract(t, r"(?is)\shref" + _ATTRIBUTE, 1))
     moves = F.transform(_tag(html, "meta", r"""http-equiv\s*=\s*["']?refresh\b"""), lambda t: F.regexp_extract(t, r"(?is)url\s*=\s*['\"]?([^\"'\s>]+)", 1))
-    return F.filter(F.array_union(links, moves), lambda u: u.contains("://"))
+    return F.filter(F.array_union(links, moves), lambda u: u != "")
+
+
+def base(html: Column) -> Column:
+    """What the first ``<base>`` of a page with an address names, as written; null without."""
+    return F.regexp_extract(F.try_element_at(_tag(html, "base", r"href\s*="), F.lit(1)), r"(?is)\shref" + _ATTRIBUTE, 1)
+
+
+#: A character reference as attributes have them: a name without its semicolon counts only before other signs.
+_ENTITY = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*(?:;|(?![A-Za-z0-9=])))")
+
+
+def plain_attribute(value: str) -> str:
+    """An attribute's value with its character references replaced."""
+    return _ENTITY.sub(lambda m: unescape(m[0]) if m[1][0] == "#" else html5.get(m[1], m[0]), value)
+
+
+def _without_dots(path: str) -> str:
+    """A path without ``.`` and ``..`` steps."""
+    out = []
+    steps = path.split("/")
+    for n, step in enumerate(steps):
+        last = n == len(steps) - 1
+        if step == ".." and len(out) > 1:
+            out.pop()
+        if step not in (".", ".."):
+            out.append(step)
+        elif last:
+            out.append("")
+    return "/".join(out)
+
+
+def resolve(target: str | None, url: str | None) -> str | None:
+    """``target``, already unescaped, as an absolute url seen from ``url``; null if it names no page with a host."""
+    target, (_, found, rest) = (target or "").strip(), (url or "").partition("://")
+    if re.match(r"[^/?#]*://", target):
+        return target
+    if target.startswith("//"):
+        return f"x:{target}"
+    name, path, query = re.match(r"(?s)([^/?#]*)([^?#]*)([^#]*)", rest).groups()
+    if not target or not found or not name or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", target):
+        return None
+    if target[0] == "#":
+        return f"x://{name}{path}{query}"
+    if target[0] == "?":
+        return f"x://{name}{path}{target}"
+    to, more = re.match(r"(?s)([^?#]*)(.*)", target).groups()
+    if to[0] != "/":
+        to = (path.rpartition("/")[0] or "") + "/" + to
+    return f"x://{name}{_without_dots(to)}{more}"
+
+
+def absolute(target: Column, base: Column, url: Column) -> Column:
+    """A target as written in a page, as an absolute url: unescaped, and seen from the page's base or url."""
+
+    @F.arrow_udf("string")
+    def whole(targets: pa.Array, bases: pa.Array, urls: pa.Array) -> pa.Array:
+        out = []
+        for t, b, u in zip(targets.to_pylist(), bases.to_pylist(), urls.to_pylist()):
+            at = resolve(plain_attribute(b), u) if b else None
+            out.append(resolve(plain_attribute(t).strip("'\" \t\r\n"), at or u))
+        return pa.array(out, pa.string())
+
+    return whole(target, base, url)
 
 
 def spread(edges: DataFrame, judged: DataFrame) -> DataFrame:
@@ -82,27 +149,43 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id: str = "page_id
 
     The longest rule that fits a page's url decides it. A page without a rule takes the
     decision of its aliases: pages and urls that canonical links, meta refreshes, or equal
-    urls up to scheme and fragment tie together, directly or over others. Among aliases an
-    allow rule goes before a block rule; without any, the page is allowed. Rules also judge
-    urls that are only linked to. Null and malformed urls have an empty host and path, no
+    urls up to scheme and fragment tie together, directly or over others. Targets are unescaped
+    and seen from the page's base or url. Among aliases an allow rule goes before a block
+    rule; without any, the page is allowed. Rules also judge urls that are only linked to, and
+    every url in its canonical form. Null and malformed urls have an empty host and path, no
     rule and no alias, and are allowed. Null html names nothing. Repeated rows stay repeated.
     """
-    a = col(url)
-    seen = saved(
-        pages.select(col(id).alias("id"), host(a).alias("host"), path(a).alias("path"), canonical(a).alias("node"), declared(F.coalesce(col(html), F.lit(""))).alias("named"))
-    )
+    a, body = col(url), F.coalesce(col(html), F.lit(""))
+    seen = pages.select(col(id).alias("id"), host(a).alias("host"), path(a).alias("path"), canonical(a).alias("node"), declared(body).alias("named"), a.alias("_url"), body.alias("_html"))
+    names = F.size("named") > 0  # few pages
+    seen = saved(seen.select("id", "host", "path", "node", "named", F.when(names, F.col("_url")).alias("url"), F.when(names, base(F.col("_html"))).alias("base")))
     found = matched(F.col("host"), F.col("path"), rules)
     seen = seen.withColumn("found", found)
-    links = seen.where("node IS NOT NULL").select(F.col("node").alias("a"), F.explode("named").alias("link"))
+    links = seen.where("node IS NOT NULL").select(F.col("node").alias("a"), "url", "base", F.explode("named").alias("link"))
+    links = links.select("a", absolute(F.col("link"), F.col("base"), F.col("url")).alias("link"))
     edges = links.select("a", canonical(F.col("link")).alias("b")).where(F.col("b").isNotNull() & (F.col("a") != F.col("b"))).distinct()
     edges = saved(edges)
-    if edges.isEmpty():  # no url has another name than itself
-        alias = seen.withColumn("alias", F.lit(None).cast("string"))
+
+    def ruled(node: str) -> Column:
+        full = F.concat(F.lit("x://"), F.col(node))
+        return matched(host(full), path(full), rules)["verdict"]
+
+    # Only a page whose host or path is written otherwise in the canonical form can have another rule than that form.
+    other = seen.where((F.col("path") == "") | (F.col("host") != host(F.concat(F.lit("x://"), F.col("node")))))
+    own = saved(other.select(F.col("node").alias("url"), F.col("found.verdict").alias("verdict")).where("url IS NOT NULL AND verdict IS NOT NULL").distinct())
+    seen = seen.withColumn("self", ruled("node"))
+    urls = edges.select(F.col("a").alias("url")).unionByName(edges.select(F.col("b").alias("url"))).distinct()
+    if not edges.isEmpty():
+        spreading = spread(edges, urls.select("url", ruled("url").alias("verdict")).unionByName(own)).unionByName(own)
+    elif not own.isEmpty():
+        spreading = own
+    else:  # no url has another name than itself
+        spreading = None
+    if spreading is None:
+        alias = seen.withColumn("alias", F.col("self"))
     else:
-        urls = edges.select(F.col("a").alias("url")).unionByName(edges.select(F.col("b").alias("url"))).distinct()
-        full = F.concat(F.lit("x://"), F.col("url"))
-        spreading = spread(edges, urls.select("url", matched(host(full), path(full), rules)["verdict"].alias("verdict")))
-        alias = seen.join(spreading.select(F.col("url").alias("node"), F.col("verdict").alias("alias")), "node", "left")
+        spreading = spreading.groupBy(F.col("url").alias("node")).agg(F.min("verdict").alias("spread"))
+        alias = seen.join(spreading, "node", "left").withColumn("alias", F.least("spread", "self"))
     verdict = F.coalesce(F.col("found.verdict"), F.col("alias"), F.lit("allow"))
     return alias.select("id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
 
