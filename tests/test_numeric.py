@@ -190,3 +190,21 @@ def test_edges(spark):
     assert [r.value for r in tied.fillna(ip.next()).df.orderBy("tick", "value").collect()][0] == 1.0
     assert [r.tick for r in transforms.combine_duplicate_time_ticks(tied, "sum(value)").df.orderBy("tick").collect()] == [-4, 3, 9]
     assert tied.lag(2).df.count() == 2
+
+
+def test_kshape_queries_run_whole_fits(spark, sf, monkeypatch):
+    from tideframe.catalog import QUERIES
+
+    rounds, update = [], cluster._update
+
+    def counted(series, keys, cents, use_eigen, first_seed):
+        new = update(series, keys, cents, use_eigen, first_seed)
+        rounds.append((use_eigen, np.abs(new - cents).max() < 1e-6))
+        return new
+
+    monkeypatch.setattr(cluster, "_update", counted)
+    for name in ("kshape_fit", "kshape_score"):
+        rounds.clear()
+        assert QUERIES[name](spark, sf).count() > 0
+        assert all(eigen for eigen, _ in rounds)
+        assert len(rounds) == 20 or rounds[-1][1]  # ends at the default limit or when nothing moves

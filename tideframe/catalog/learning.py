@@ -203,14 +203,14 @@ def _shapes(spark, sf):
 
 @query("kshape_fit")
 def _(spark, sf):
-    model = cluster.fit(_shapes(spark, sf), 3, 1, max_iterations=4, keys=["vec_id"])
+    model = cluster.fit(_shapes(spark, sf), 3, 1, keys=["vec_id"])
     return model.table(spark).select("cluster", "size", r("intra_cluster_distance", 4).alias("distance"), r("sum_squares", 3).alias("sum_squares"))
 
 
 @query("kshape_score")
 def _(spark, sf):
     shapes = _shapes(spark, sf)
-    model = cluster.fit(shapes, 2, 1, use_eigen=False, init_strategy="random", max_iterations=3, keys=["vec_id"])
+    model = cluster.fit(shapes, 2, 1, init_strategy="random", keys=["vec_id"])
     return rounded(model.score(shapes, True), "distance", "silhouette", digits=5)
 
 
