@@ -13,7 +13,7 @@ from tideframe.llm import decontaminate, pieces, quality, secrets, simhash
 from tideframe.llm.base import table, written
 
 #: Sampled segmentations per document.
-SAMPLES = 2
+SAMPLES = pieces.K
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +38,9 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document: the model's segmentation and sampled ones."""
+    """Piece ids of every document: the model's segmentation and sampled ones, and whether they decode to the text."""
     out = pieces.segment(docs, k=SAMPLES)
-    return out.select("doc_id", "lang", "source", "pieces", "samples")
+    return out.select("doc_id", "lang", "source", "pieces", "samples", "decodes")
 
 
 STAGES = [

@@ -73,3 +73,9 @@ def test_stages_keep_columns_and_take_edge_rows(spark, tmp_path, sf):
 
 def test_names_of_the_stages():
     assert [n for n, _ in pipeline.STAGES] == ["quality_classifier", "simhash_near_dedup", "benchmark_decontamination", "secret_scans", "sentencepiece"]
+
+
+def test_last_stage_samples_as_op1(spark, sf):
+    docs = spark.createDataFrame([(1, "A plain sentence of several words.", "en", "s", 34), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = {r.doc_id: r for r in pipeline.token_ids(spark, docs, sf).collect()}
+    assert len(rows[1].samples) == pieces.K and all(r.decodes for r in rows.values())
