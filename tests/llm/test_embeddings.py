@@ -77,3 +77,9 @@ def test_query(spark, sf):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embeddings.op6_embeddings(spark, sf).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_links_across_borders_are_found(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(2500, 6)).astype(np.float32))]
+    assert run(spark, rows) == brute(rows)

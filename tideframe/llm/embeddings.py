@@ -21,7 +21,8 @@ BOOK = 64
 #: Inverted lists at most.
 MAX_LISTS = 2_048
 #: How far beyond the border of its own list a vector looks, as a part of the largest distance of a link.
-REACH = 0.6
+#: Both ends look; their distances from the border add up to at most the link's, so half finds every link.
+REACH = 0.5
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -124,6 +125,9 @@ def _search(group: pa.Table, model: Quantizer, least: float) -> pa.Table:
         return pa.table({"cid": ids[:0], "links": n[:0], "root": ids[:0]})
     codes = np.frombuffer(b"".join(group["code"].take(m).to_pylist()), np.uint8).reshape(len(m), -1)
     home = int(group["list"][0].as_py())
+    origin, lists = group["home"].to_numpy(), len(model.centers)
+    asks = group["probes"].combine_chunks().take(pa.array(m))
+    asking = np.repeat(m, asks.value_lengths().to_numpy()) * lists + asks.flatten().to_numpy()  # members and the lower lists they ask
     error = np.sqrt(np.square(x[m] - model.decode(codes, np.full(len(m), home))).sum(axis=1)).astype(np.float32)
     links, parent = np.zeros(len(x), np.int64), np.arange(len(x))
     for at in range(0, len(q), 256):
@@ -136,6 +140,8 @@ def _search(group: pa.Table, model: Quantizer, least: float) -> pa.Table:
         a, b = ask[a], m[b]
         right = rank[a] > rank[b]
         a, b = a[right], b[right]
+        once = (origin[a] >= home) | ~np.isin(b * lists + origin[a], asking)  # what both ask counts for the higher list's vector
+        a, b = a[once], b[once]
         exact = np.einsum("ij,ij->i", x[a], x[b]) >= least
         a, b = a[exact], b[exact]
         np.add.at(links, a, n[b])
@@ -171,7 +177,8 @@ def class_links(classes: DataFrame, d: int, least: float = 0.95, reach: float =
         for part in np.array_split(x, len(x) // 1024 + 1):
             own, near = shared.value.probes(part, slack)
             homes.append(own)
-            probes += [np.flatnonzero(row[:o]).tolist() for row, o in zip(near, own)]  # lower lists only: each pair once
+            near[np.arange(len(own)), own] = False
+            probes += [np.flatnonzero(row).tolist() for row in near]
         own = np.concatenate(homes)
         codes = shared.value.encode(x, own)
         fields = [pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(probes, pa.list_(pa.int32()))]
@@ -184,13 +191,14 @@ def class_links(classes: DataFrame, d: int, least: float = 0.95, reach: float =
     queries = F.array(*[F.lit(-(-(asks.get(i, 0) + sizes.get(i, 0)) // BLOCK_QUERIES) or 1) for i in range(lists)])
     salt = lambda seed, parts: F.pmod(F.xxhash64("cid", F.lit(seed)), parts).cast("int")
     low = placed.select(
-        "cid", "n", "x", "code", F.col("list"), F.lit(True).alias("member"), F.col("cid").alias("rank"),
+        "cid", "n", "x", "code", F.col("list"), F.col("list").alias("home"), F.filter("probes", lambda p: p < F.col("list")).alias("probes"),
+        F.lit(True).alias("member"), F.col("cid").alias("rank"),
         salt(1, members[F.col("list")]).alias("block"), F.explode(F.sequence(F.lit(0), queries[F.col("list")] - 1)).alias("part"),
     )
     asked = placed.withColumn("to", F.explode(F.concat("probes", F.array("list"))))
     own = F.col("to") == F.col("list")
     high = asked.select(
-        "cid", "n", "x", "code", F.col("to").alias("list"), F.lit(False).alias("member"),
+        "cid", "n", "x", "code", F.col("to").alias("list"), F.col("list").alias("home"), F.expr("array()").cast("array<int>").alias("probes"), F.lit(False).alias("member"),
         F.when(own, F.col("cid")).otherwise(F.lit((1 << 63) - 1)).alias("rank"),
         F.explode(F.sequence(F.lit(0), members[F.col("to")] - 1)).alias("block"), salt(2, queries[F.col("to")]).alias("part"),
     )
@@ -209,8 +217,7 @@ def near(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding", l
     nothing, nor do vectors of different lengths. Candidates come from inverted lists and
     residual product codes; every link is an exact cosine in double precision. A vector looks
     into its own list and all whose border lies within ``reach`` times the largest distance of
-    a link; 1 finds every link, less may miss links right across a border (see the README for
-    the measured recall). ``component_id`` is the smallest id reachable; null ids are never
+    a link; as both ends of a link look, 0.5 or more finds every link. ``component_id`` is the smallest id reachable; null ids are never
     the smallest unless a component has no other. Repeated rows stay repeated and are linked.
     """
     marked = vectors.select(col(id).alias("id"), col(embedding).alias("x")).withColumn("ok", _valid(F.col("x")))
