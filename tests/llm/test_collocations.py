@@ -68,6 +68,7 @@ def got(df):
 def test_against_plain_counting(spark, monkeypatch, budget, part_words):
     monkeypatch.setattr(co, "SLICE_BYTES", 2_000)
     monkeypatch.setattr(co, "BURST", 50)
+    monkeypatch.setattr(co, "HELD_COUNTERS", 40)
     rows = [*corpus(2), *EDGE]
     out = co.collocations(frame(spark, rows).repartition(3), least=5, top=40, budget=budget, part_words=part_words)
     assert got(out) == plain(rows, least=5, top=40)
@@ -94,10 +95,11 @@ def test_products_beyond_64_bits(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 6), max_size=12), max_size=12), st.integers(1, 40), st.integers(1, 8))
 def test_trie_counts_windows(pieces, budget, burst):
-    codes = np.array([c for p in pieces for c in p], np.int64)
-    piece = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+    pieces = pieces or [[1]]
+    codes = np.array([c for p in pieces for c in p] or [0], np.int64)
+    piece = np.r_[np.repeat(np.arange(len(pieces)), [len(p) for p in pieces]), 0][: len(codes)]
     trie, total = co.HatTrie(5, budget, burst), Counter()
-    found = co.windows(codes, piece, 5)
+    found = co.windows(codes, co.linked(codes > 0, piece), 5)
     left = [*trie.add(found)]
     assert trie.entries <= budget
     while trie.entries:

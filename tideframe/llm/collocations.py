@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ordered import small
-from .base import col, query, saved, table, written
+from .base import col, give_back, query, saved, table, written
 
 #: Words of the longest phrase, occurrences of the rarest, rows of a language.
 WORDS, LEAST, TOP = 5, 100, 2_000
@@ -20,11 +20,15 @@ WORDS, LEAST, TOP = 5, 100, 2_000
 SLICE_BYTES = 4 << 20
 #: Entries of a container that bursts, and of a task's trie that spills half of itself.
 BURST, BUDGET = 4_096, 400_000
-#: Word positions of one prefix partition, and the most such partitions.
+#: Windows of one prefix partition, and the most such partitions.
 PART_WORDS, MOST_PARTS = 1 << 20, 1 << 20
 #: Bits of the filter of frequent words: so many a word, and at most 2 ** so many (64 MiB).
 BITS_A_WORD, MOST_BITS = 32, 29
 PAGE_BITS = 1 << 15
+#: Counters of word pairs: one for so many positions, and at most 2 ** MOST_BITS; a page of them is added up at a time.
+POSITIONS_A_COUNTER, PAGE_COUNTERS = 16, 1 << 16
+#: Distinct counters that a task holds.
+HELD_COUNTERS = 2_000_000
 
 #: 0: a byte of a word, 1: a blank, 2: the end of a piece.
 _KIND = np.zeros(256, np.uint8)
@@ -115,17 +119,28 @@ class Filter:
         return (self.pages[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def windows(codes: np.ndarray, pieces: np.ndarray, width: int) -> np.ndarray:
-    """From every word on, up to ``width`` word numbers of its piece, ended by 0 at a word numbered 0; single words are left out."""
-    out = np.zeros((len(codes), width), np.uint32)
-    out[:, 0] = codes
-    on = codes > 0
-    for k in range(1, width):
-        if len(codes) <= k:
-            break
-        on = on[: len(codes) - k] & (codes[k:] > 0) & (pieces[k:] == pieces[: len(codes) - k])
-        out[: len(codes) - k, k] = np.where(on, codes[k:], 0)
-    return out[out[:, 1] > 0]
+def pair_counter(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    """The counter of pairs of word ids."""
+    mix = (first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (second.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    mix = (mix ^ (mix >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mix >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def linked(known: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """Where a word and the next one are both known and of one piece."""
+    return known[:-1] & known[1:] & (pieces[:-1] == pieces[1:])
+
+
+def windows(codes: np.ndarray, links: np.ndarray, width: int) -> np.ndarray:
+    """From every word on, up to ``width`` word numbers, ended by 0 where the next word is not linked; single words are left out."""
+    at, n = np.flatnonzero(links), len(codes)
+    out = np.zeros((len(at), width), np.uint32)
+    out[:, 0], out[:, 1] = codes[at], codes[at + 1]
+    on, more = np.ones(len(at), bool), np.r_[links, False]
+    for k in range(2, width):
+        on = on & more[np.minimum(at + k - 1, n - 1)]
+        out[on, k] = codes[at[on] + k]
+    return out
 
 
 class HatTrie:
@@ -279,43 +294,116 @@ def merged(blocks: list[dict], width: int, hot: np.ndarray, least: int) -> tuple
     return found, n, whole
 
 
+def _ids(batches: Iterator[pa.RecordBatch], salt: int, passes: Filter) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slice by slice: ids of distinct words, which of them may be frequent, and the word and piece of every place."""
+    for langs, texts in _slices(batches):
+        lang, found, _, which, pieces, _ = _pairs(langs, texts)
+        own = np.array([word_id(salt, x, w) for x, w in zip(lang, found.to_pylist())], np.int64)
+        yield own, passes.holds(own), which, pieces
+
+
+_COUNTED = pa.schema([("page", pa.int64()), ("at", pa.binary()), ("n", pa.binary())])
+
+
+def _counted(counters: list[np.ndarray], counts: list[np.ndarray], least: int) -> Iterator[pa.RecordBatch]:
+    """Counts by page; a count above ``least`` says no more than ``least``."""
+    at, inverse = np.unique(np.concatenate(counters), return_inverse=True)
+    n = np.minimum(np.bincount(inverse, np.concatenate(counts)), least).astype("<u4")
+    cut = np.flatnonzero(np.diff(at // PAGE_COUNTERS, prepend=-1)).tolist()
+    rows = [(int(at[i]) // PAGE_COUNTERS, (at[i:j] % PAGE_COUNTERS).astype("<u2").tobytes(), n[i:j].tobytes()) for i, j in zip(cut, [*cut[1:], len(at)])]
+    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _COUNTED)], schema=_COUNTED)
+
+
+def frequent_pairs(rows: DataFrame, shared, salt: int, positions: int, least: int) -> tuple[np.ndarray, int, int]:
+    """A bit for every counter of neighbouring frequent words that reaches ``least``; the counters' bits; their sum.
+
+    Pairs share counters, so a set bit may be that of a rare pair, but a pair of an unset one is
+    rare: longer phrases need not cross it. Counters are summed by page.
+    """
+    bits = min(MOST_BITS, max(16, (positions // POSITIONS_A_COUNTER).bit_length()))
+
+    def count(batches):
+        counters, counts, held = [], [], 0
+        for own, may, which, pieces in _ids(batches, salt, shared.value):
+            at = np.flatnonzero(linked(may[which], pieces))
+            found, n = np.unique(pair_counter(own[which[at]], own[which[at + 1]], bits), return_counts=True)
+            counters.append(found)
+            counts.append(n)
+            held += len(found)
+            if held > HELD_COUNTERS:
+                yield from _counted(counters, counts, least)
+                counters, counts, held = [], [], 0
+        if held:
+            yield from _counted(counters, counts, least)
+
+    def add(batches):
+        def close(page, total):
+            return pa.RecordBatch.from_pydict({"page": [page], "bits": [np.packbits(total >= least, bitorder="little").tobytes()], "n": [int(total[total >= least].sum())]})
+
+        now, total = None, None
+        for batch in batches:
+            for page, at, n in zip(batch["page"].to_pylist(), batch["at"], batch["n"]):
+                if page != now:
+                    if now is not None:
+                        yield close(now, total)
+                    now, total = page, np.zeros(PAGE_COUNTERS, np.int64)
+                total[np.frombuffer(at.as_buffer(), "<u2")] += np.frombuffer(n.as_buffer(), "<u4")
+        if now is not None:
+            yield close(now, total)
+
+    counted = rows.mapInArrow(count, "page long, at binary, n binary").repartition("page").sortWithinPartitions("page")
+    out, n = np.zeros((1 << bits) // 8, np.uint8), 0
+    for r in counted.mapInArrow(add, "page long, bits binary, n long").toLocalIterator():  # 8 KiB a page, 64 MiB at most
+        out[r.page * (PAGE_COUNTERS // 8) :][: PAGE_COUNTERS // 8] = np.frombuffer(r.bits, np.uint8)
+        n += r.n
+    return out, bits, n
+
+
 def phrase_counts(rows: DataFrame, words: DataFrame, width: int = WORDS, least: int = LEAST, budget: int = BUDGET, part_words: int = PART_WORDS) -> DataFrame:
     """``ids, f``: phrases of 2 to ``width`` words that occur ``least`` times or more, by word ids.
 
-    ``words``: from ``word_counts``. A word rarer than ``least`` ends every phrase, so a filter of
-    the frequent ones (one bit per leading bits of an id, 64 MiB at most) is all that tasks share.
-    From every word on, the window of up to ``width`` words is counted once in a HAT-trie;
-    what a full trie gives up leaves as sorted runs, one per prefix partition, in which each
-    window counts for all its prefixes. Runs of a partition are merged by sorting; partitions are
-    cut by the first two words, of very frequent first words by three (their pairs are summed
-    once more), so none holds all of a word.
+    ``words``: from ``word_counts``. A word, or a pair of words, that is rarer than ``least`` ends
+    every phrase. So tasks share two filters of fixed size (64 MiB at most each): frequent words by
+    their ids' leading bits, and hashed counters of pairs. From every word on, the window of up to
+    ``width`` words that they let through is counted once in a HAT-trie; what a full trie gives up
+    leaves as sorted runs, one per prefix partition, in which each window counts for all its
+    prefixes. Runs of a partition are merged by sorting; partitions are cut by the first two words,
+    of very frequent first words by three (their pairs are summed once more), so none holds all of
+    a word.
     """
     spark = rows.sparkSession
     salt = words.schema["id"].metadata["salt"]
     frequent = words.where(F.col("n") >= least)
     n, positions = frequent.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    parts = max(1, min(MOST_PARTS, -(-positions // part_words)))
-    # At most 8 a partition, by their share of all positions.
-    hot = np.sort(np.array([r.id for r in frequent.where(F.col("n") * (8 * parts) > positions).select("id").collect()] if parts > 1 else [], np.int64))
-    shared = spark.sparkContext.broadcast((Filter(frequent, n), hot))
+    passes = spark.sparkContext.broadcast(Filter(frequent, n))
+    pairs, bits, found = frequent_pairs(rows, passes, salt, positions, least)
+    parts = max(1, min(MOST_PARTS, -(-found // part_words)))
+    # Words that alone could fill partitions: one for so many partitions at most.
+    hot = np.sort(np.array([r.id for r in frequent.where(F.col("n") > 4 * part_words).select("id").collect()] if parts > 1 else [], np.int64))
+    shared = spark.sparkContext.broadcast((passes.value, pairs, hot))
 
     def spill(batches):
-        passes, hot = shared.value
+        passes, pairs, hot = shared.value
         trie, numbers, ids = HatTrie(width, budget), {}, [0]
-        for langs, texts in _slices(batches):
-            lang, found, _, which, pieces, _ = _pairs(langs, texts)
-            own = np.array([word_id(salt, x, w) for x, w in zip(lang, found.to_pylist())], np.int64)
+        for own, may, which, pieces in _ids(batches, salt, passes):
+            links = linked(may[which], pieces)
+            at = np.flatnonzero(links)
+            counter = pair_counter(own[which[at]], own[which[at + 1]], bits)
+            links[at] = (pairs[counter >> 3] >> (counter & 7).astype(np.uint8)) & 1 == 1
             code = np.zeros(len(own), np.int64)
-            for i in np.flatnonzero(passes.holds(own)).tolist():
+            at = np.flatnonzero(links)
+            for i in np.unique(which[np.concatenate([at, at + 1])]).tolist():
                 k = int(own[i])
                 if k not in numbers:
                     numbers[k] = len(ids)
                     ids.append(k)
                 code[i] = numbers[k]
-            for left in trie.add(windows(code[which], pieces, width)):
+            for left in trie.add(windows(code[which], links, width)):
                 yield runs(*left, np.array(ids, np.int64), hot, parts)
         while trie.entries:
             yield runs(*trie.spill(trie.entries), np.array(ids, np.int64), hot, parts)
+        del trie, numbers, ids
+        give_back()
 
     def merge(batches):
         now, blocks = None, []
@@ -330,13 +418,13 @@ def phrase_counts(rows: DataFrame, words: DataFrame, width: int = WORDS, least:
             yield _found(blocks)
 
     def _found(blocks):
-        found, n, whole = merged(blocks, width, shared.value[1], least)
+        found, n, whole = merged(blocks, width, shared.value[2], least)
         return pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.array(whole, pa.bool_())], ["ids", "f", "whole"])
 
     spilled = rows.mapInArrow(spill, "part long, ids binary, windows binary, wide boolean, counts binary")
     found = saved(spilled.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "ids array<long>, f long, whole boolean"))
-    pairs = found.where(~F.col("whole")).groupBy("ids").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return found.where("whole").select("ids", "f").unionByName(pairs)
+    pairs_of_hot = found.where(~F.col("whole")).groupBy("ids").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return found.where("whole").select("ids", "f").unionByName(pairs_of_hot)
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", width: int = WORDS, least: int = LEAST, top: int | None = TOP, budget: int = BUDGET, part_words: int = PART_WORDS) -> DataFrame:
