@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import col, query, table
+from .base import col, give_back, query, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters whose lattices are held at once.
 SLICE_CHARS = 1_000_000
-#: Distinct chunks whose encoding a worker remembers.
-REMEMBERED = 400_000
+#: Distinct chunks whose encoding a task remembers.
+REMEMBERED = 200_000
 
 # No piece crosses the start of a run of blanks, nor a line end.
 _CHUNK = re.compile("▁*[^▁\n]+|\n|▁+")
@@ -509,7 +509,9 @@ def segment(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 4,
                 same = [a == b == (" " + t).encode() if t else a == b == b"" for a, b, t in zip(vocab.spell(own), vocab.spell([r[0][0] for r in found]), plain)]
                 yield pa.RecordBatch.from_arrays([*rows.columns, _listed(own), samples, pa.array(same)], names=[*kept, "pieces", "samples", "decodes"])
                 del own, found, flat, structs, samples
-            pa.default_memory_pool().release_unused()  # a worker lives on and other stages share its executor
+            give_back()
+        vocab.known = {}
+        give_back()
 
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(ADDED).fields])
     return docs.mapInArrow(cut, schema)

@@ -17,13 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import col, query, shared_folder, table
+from .base import col, give_back, query, shared_folder, table
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public word pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words whose ids a worker remembers (some 200 MB), and characters encoded at a time.
-REMEMBERED, SLICE_CHARS = 1_200_000, 1_000_000
+#: Distinct words whose ids a task remembers (some 70 MB), and characters encoded at a time.
+REMEMBERED, SLICE_CHARS = 400_000, 1_000_000
 #: Row key (8 bytes), number of the sequence in its row (4), tokens in it (2), all little-endian.
 HEADER = np.dtype([("key", "<i8"), ("piece", "<i4"), ("size", "<u2")])
 NO_KEY = -(1 << 63)
@@ -153,6 +153,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[lis
                 rows, texts, size = [], [], 0
         if rows:
             yield rows, words.encode_all(texts)
+    words.known = {}
+    give_back()
 
 
 def write(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", length: int = 256, key: int = 1, shard_bytes: int = 16 << 20, ranks: str = RANKS) -> Layout:
