@@ -266,9 +266,21 @@ def test_tick_range_reaches_the_scan(spark, tmp_path, kind):
     for a, b in ((5, 40), (-30, 31), (0, 0), (10**7, 10**8)):
         some = whole.get_values(a, b)
         assert sorted(some.df.collect()) == sorted(whole.df.where(f"tick BETWEEN {a} AND {b}").collect())
-    plan = whole.get_values(5, 40).df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
-    assert "GreaterThanOrEqual(at" in pushed and "LessThanOrEqual(at" in pushed
+        around = whole.map("value * 2").filter("value <> 8").get_values(a, b, inclusive=True)
+        ticks = [r.tick for r in whole.df.where("value <> 4").select("tick").collect()]
+        for k in range(3):
+            own = sorted(r.tick for r in whole.df.where(f"k = {k} AND value <> 4").collect())
+            lo, hi = max([t for t in own if t <= a], default=a), min([t for t in own if t >= b], default=b)
+            assert sorted(r.tick for r in around.df.where(f"k = {k}").collect()) == [t for t in own if lo <= t <= hi] and ticks
+
+    def pushed(ts):
+        plan = ts.df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        return [line for line in plan.splitlines() if "PushedFilters" in line]
+
+    for ts in (whole, whole.map("value + 1").filter("value > 0")):
+        (one,) = pushed(ts.get_values(5, 40))
+        assert "GreaterThanOrEqual(at" in one and "LessThanOrEqual(at" in one
+        assert all("OrEqual(at" in line for line in pushed(ts.get_values(5, 40, inclusive=True)))
 
 
 def test_models_without_enough_rows_keep_their_keys(spark):

@@ -94,12 +94,15 @@ def _match(ts, matcher, pattern):
 
 @query(
     "matcher_seq",
-    f"WITH {E}, a AS (SELECT user_id, count(*) AS n, list(event_type ORDER BY tick, event_id) = ['view', 'click'] AS m, min(tick) AS t0, max(tick) AS t1 FROM e WHERE event_type IN ('view', 'click') AND value > 100 GROUP BY 1) "
-    "SELECT user_id, m AS matched, CASE WHEN m THEN t0 END AS match_start, CASE WHEN m THEN t1 END AS match_end, CASE WHEN m THEN 2.0 / n END AS coverage FROM a",
+    f"WITH {E}, f AS (SELECT user_id, event_type, min({{'t': tick, 'i': event_id}}) AS p FROM e GROUP BY ALL), "
+    "a AS (SELECT user_id, count(*) AS n, list(event_type ORDER BY p) = ['view', 'purchase', 'signup', 'click', 'error'] AS m, min(p.t) AS t0, max(p.t) AS t1 FROM f GROUP BY 1) "
+    "SELECT user_id, m AS matched, CASE WHEN m THEN t0 END AS match_start, CASE WHEN m THEN t1 END AS match_end, CASE WHEN m THEN 5.0 / n END AS coverage FROM a",
 )
 def _(spark, sf):
-    ts = events(spark, sf, "event_type", where="event_type IN ('view', 'click') AND value > 100")
-    return _match(ts, matchers.seq(), ["view", "click"])
+    """The order in which each user's event types come up first, over all events."""
+    ts = events(spark, sf, "event_type")
+    firsts = ts.df.groupBy("user_id", "value").agg(F.min(F.struct("tick", "event_id")).alias("p")).select("user_id", "p.*", "value")
+    return _match(ts.with_df(firsts), matchers.seq(), ["view", "purchase", "signup", "click", "error"])
 
 
 @query(
@@ -146,10 +149,10 @@ def _(spark, sf):
 
 @query(
     "itemset_matcher",
-    f"WITH {E}, f AS (SELECT user_id, event_type AS item, min(tick) AS tick FROM e WHERE event_type IN ('signup', 'error') AND value > 100 GROUP BY 1, 2) SELECT * FROM f WHERE user_id IN (SELECT user_id FROM f GROUP BY 1 HAVING count(*) = 2)",
+    f"WITH {E}, f AS (SELECT user_id, event_type AS item, min(tick) AS tick FROM e WHERE event_type IN ('signup', 'error') GROUP BY 1, 2) SELECT * FROM f WHERE user_id IN (SELECT user_id FROM f GROUP BY 1 HAVING count(*) = 2)",
 )
 def _(spark, sf):
-    return matchers.itemset_matches(events(spark, sf, "event_type", where="value > 100"), ["signup", "error"])
+    return matchers.itemset_matches(events(spark, sf, "event_type"), ["signup", "error"])
 
 
 @query(

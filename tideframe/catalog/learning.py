@@ -20,13 +20,13 @@ def _sets(support, side="true"):
     """First tick and count per user and item, and level by level the sets that enough users of one side hold."""
     few = f"{support} * (SELECT count(DISTINCT user_id) FILTER ({side}) FROM b)"
     out = [
-        "i AS (SELECT user_id, event_type AS item, min(tick) AS t, count(*) AS c FROM b GROUP BY 1, 2)", "n AS (SELECT count(DISTINCT user_id) AS n FROM b)",
-        "z AS (SELECT user_id, min(tick) AS a, max(tick) AS z FROM b GROUP BY 1)", "m1 AS (SELECT user_id, item AS s, item AS l, t AS t0, t AS t1, c FROM i)",
+        "i AS MATERIALIZED (SELECT user_id, event_type AS item, min(tick) AS t, count(*) AS c FROM b GROUP BY 1, 2)", "n AS (SELECT count(DISTINCT user_id) AS n FROM b)",
+        "z AS (SELECT user_id, min(tick) AS a, max(tick) AS z FROM b GROUP BY 1)", "m1 AS MATERIALIZED (SELECT user_id, item AS s, item AS l, t AS t0, t AS t1, c FROM i)",
     ]
     for k in range(1, LEVELS + 1):
-        out.append(f"g{k} AS (SELECT s FROM m{k} WHERE {side} GROUP BY s HAVING count(*) >= {few})")
+        out.append(f"g{k} AS MATERIALIZED (SELECT s FROM m{k} WHERE {side} GROUP BY s HAVING count(*) >= {few})")
         out.append(
-            f"m{k + 1} AS (SELECT x.user_id, x.s || ',' || y.item AS s, y.item AS l, least(x.t0, y.t) AS t0, greatest(x.t1, y.t) AS t1, least(x.c, y.c) AS c "
+            f"m{k + 1} AS MATERIALIZED (SELECT x.user_id, x.s || ',' || y.item AS s, y.item AS l, least(x.t0, y.t) AS t0, greatest(x.t1, y.t) AS t1, least(x.c, y.c) AS c "
             f"FROM m{k} x JOIN g{k} ON g{k}.s = x.s JOIN i y ON y.user_id = x.user_id AND y.item > x.l)"
         )
     return ", ".join([*out, "m AS (" + " UNION ALL ".join(f"SELECT m{k}.* FROM m{k} JOIN g{k} USING (s)" for k in range(1, LEVELS + 1)) + ")"])
@@ -64,7 +64,7 @@ def _(spark, sf):
 
 @query(
     "item_set_score",
-    f"{BIG}, {SETS}, f AS (SELECT s FROM m, n GROUP BY s HAVING count(*) >= 0.5 * any_value(n)) SELECT s AS item_set, user_id, t0 AS first, t1 AS last, c AS matches FROM m WHERE s IN (SELECT s FROM f)",
+    f"{BIG}, {SETS} SELECT s AS item_set, user_id, t0 AS first, t1 AS last, c AS matches FROM m",
 )
 def _(spark, sf):
     ts = item_events(spark, sf)
@@ -214,6 +214,24 @@ def _(spark, sf):
     return rounded(model.score(shapes, True), "distance", "silhouette", digits=5)
 
 
+@query("kshape_explore", "SELECT k, k AS clusters, (SELECT count(*) FROM embeddings) AS series FROM (VALUES (2), (3)) t(k)")
+def _(spark, sf):
+    """The best model of every k; each holds every series once."""
+    rows = [(m.centroids.shape[0], len(m.sizes), int(sum(m.sizes.values()))) for m in cluster.explore(_shapes(spark, sf), 1, 3, keys=["vec_id"], max_iterations=5)]
+    return spark.createDataFrame(rows, "k int, clusters int, series long")
+
+
+@query("kshape_save_load", "SELECT count(*) AS series, count(*) AS same FROM embeddings")
+def _(spark, sf):
+    """A model read back scores every series as before."""
+    shapes, path = _shapes(spark, sf), scratch(spark, "kshape")
+    model = cluster.fit(shapes, 2, 1, keys=["vec_id"], max_iterations=3)
+    model.save(spark, path)
+    again = cluster.load_model(spark, path, ["vec_id"])
+    both = model.score(shapes).join(again.score(shapes).withColumnsRenamed({"cluster": "c2", "distance": "d2"}), "vec_id")
+    return both.agg(F.count("*").alias("series"), F.count_if((F.col("cluster") == F.col("c2")) & (F.abs(F.col("distance") - F.col("d2")) < 1e-9)).alias("same"))
+
+
 # Forecasting: daily order value per priority, a weekly season.
 
 
@@ -226,9 +244,40 @@ def order_days(spark, sf):
     return ts.with_df(ts.df.groupBy("o_orderpriority", "tick").agg(F.round(F.sum("value"), 2).alias("value")))
 
 
-for _name, _args in [
-    ("hws", {"samples_per_season": 7}), ("arma", {}), ("arima", {}), ("auto", {"samples_per_season": 7}),
-]:
+def _hws_sql(multiplicative: bool = False, keep: str = "true") -> str:
+    """Holt-Winters of the days that ``keep`` lets through: all weight triples, the one of least squared error as ``best``."""
+    of, back, shape = ("*", "/", "/") if multiplicative else ("+", "-", "-")
+    w = "CASE WHEN a.s[1] = 0 THEN NULL ELSE a.s[1] END" if multiplicative else "a.s[1]"
+    return f"""WITH days AS (SELECT o_orderpriority, CAST(epoch_ms(o_orderdate) // 86400000 AS BIGINT) AS tick, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL),
+d AS (SELECT days.* FROM days, (SELECT max(tick) - 60 AS cut FROM days) WHERE {keep}),
+v AS (SELECT o_orderpriority, list(value ORDER BY tick) AS v, max(tick) AS last, min(tick) AS first, (max(tick) - min(tick)) / (count(*) - 1) AS step FROM d GROUP BY 1),
+m AS (SELECT *, list_avg(v[1:7]) AS m1, list_avg(v[8:14]) AS m2 FROM v WHERE len(v) > 14),
+b AS (SELECT *, m1 + (m2 - m1) / 7 * 10 AS l0, (m2 - m1) / 7 AS t0, [(v[i] {shape} m1 + v[i + 7] {shape} m2) / 2 FOR i IN range(1, 8)] AS s0 FROM m),
+g AS (SELECT x.w AS wa, y.w AS wb, z.w AS wg FROM (SELECT unnest([0.1, 0.3, 0.5, 0.7]) AS w) x, (SELECT unnest([0.1, 0.3, 0.5, 0.7]) AS w) y, (SELECT unnest([0.1, 0.3, 0.5, 0.7]) AS w) z),
+z AS (SELECT b.*, CAST(wa AS DOUBLE) AS wa, CAST(wb AS DOUBLE) AS wb, CAST(wg AS DOUBLE) AS wg, list_reduce(list_prepend({{'l': l0, 't': t0, 's': s0, 'e': 0.0::DOUBLE, 'x': 0.0::DOUBLE}},
+  [{{'l': 0.0::DOUBLE, 't': 0.0::DOUBLE, 's': []::DOUBLE[], 'e': 0.0::DOUBLE, 'x': x}} FOR x IN v[15:]]), lambda a, c: {{
+  'l': wa * (c.x {back} {w}) + (1 - wa) * (a.l + a.t), 't': wb * (wa * (c.x {back} {w}) + (1 - wa) * (a.l + a.t) - a.l) + (1 - wb) * a.t,
+  's': list_append(a.s[2:], wg * (c.x {back} (wa * (c.x {back} {w}) + (1 - wa) * (a.l + a.t))) + (1 - wg) * a.s[1]),
+  'e': a.e + (c.x - ((a.l + a.t) {of} a.s[1])) ** 2, 'x': c.x}}) AS q FROM b, g),
+o AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY q.e, wa, wb, wg) AS o FROM z),
+best AS (SELECT *, sqrt(q.e / (len(v) - 14)) AS sd, len(v) - 14 AS n FROM o WHERE o = 1)"""
+
+
+def _hws_forecast_sql(multiplicative: bool, z: float) -> str:
+    of = "*" if multiplicative else "+"
+    return f"""{_hws_sql(multiplicative)},
+h AS (SELECT *, unnest(range(1, 8)) AS step_no FROM best),
+f AS (SELECT *, (q.l + step_no * q.t) {of} q.s[step_no] AS f, sd * sqrt(1 + coalesce(list_sum([(wa * (1 + j * wb) + wg * (1 - wa) * CASE WHEN j % 7 = 0 THEN 1 ELSE 0 END) ** 2 FOR j IN range(1, step_no)]), 0)) AS e FROM h)
+SELECT o_orderpriority, CAST(last + round_even(step_no * step, 0) AS BIGINT) AS tick, step_no AS step, round(f, 1) AS value, round(f - {z} * e, 1) AS lower, round(f + {z} * e, 1) AS upper, round(e, 1) AS error FROM f"""
+
+
+@query("forecast_hws", _hws_forecast_sql(False, 1.6448536269514715))
+def _(spark, sf):
+    out = order_days(spark, sf).forecast(7, "hws", 0.9, samples_per_season=7)
+    return rounded(out, "value", "lower", "upper", "error", digits=1)
+
+
+for _name, _args in [("arma", {}), ("arima", {}), ("auto", {"samples_per_season": 7})]:
 
     def _run(spark, sf, name=_name, args=_args):
         out = order_days(spark, sf).forecast(7, name, 0.9, **args)
@@ -237,7 +286,7 @@ for _name, _args in [
     query(f"forecast_{_name}")(_run)
 
 
-@query("forecast_hws_multiplicative")
+@query("forecast_hws_multiplicative", _hws_forecast_sql(True, 1.959963984540054))
 def _(spark, sf):
     return rounded(order_days(spark, sf).forecast(7, "hws", samples_per_season=7, multiplicative=True), "value", "lower", "upper", "error", digits=1)
 
@@ -326,6 +375,59 @@ def _(spark, sf):
 
 
 
+_HWS_FACTS = "SELECT o_orderpriority, last AS last_time, round(q.l, 2) AS level, round(q.t, 4) AS trend, round(sd, 2) AS sd, n AS error_history_length, round(step, 9) AS average_interval FROM best"
+
+
+def _grown(spark, sf, fit):
+    """A model of all but the last 60 days, then trained on those alone."""
+    ts = order_days(spark, sf)
+    cut = ts.df.agg(F.max("tick")).first()[0] - 60
+    return forecast.update_model(fit(ts.filter(F.col("tick") <= cut)), ts.filter(F.col("tick") > cut))
+
+
+@query("update_model_hws", f"{_hws_sql()} {_HWS_FACTS}")
+def _(spark, sf):
+    m = _grown(spark, sf, lambda t: forecast.hws(t, 7))
+    facts = m.select("o_orderpriority", "last_time", F.col("state")[0].alias("level"), F.col("state")[1].alias("trend"), "sd", "error_history_length", "average_interval")
+    return rounded(rounded(rounded(facts, "level", "sd", digits=2), "trend", digits=4), "average_interval", digits=9)
+
+
+for _name, _fit in [("arma", forecast.arma), ("arima", forecast.arima), ("auto", lambda t: forecast.auto(t, 7))]:
+
+    def _twin(spark, sf, fit=_fit):
+        """Keys, and those whose model is the one that training on all days at once gives."""
+        whole = fit(order_days(spark, sf)).select("o_orderpriority", "kind", "params", "state", "sd", "last_time", "error_history_length")
+        more = _grown(spark, sf, fit).select(*[F.col(c).alias(f"_{c}") for c in whole.columns])
+        close = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= 1e-6 * (F.abs(y) + 1)), lambda x: F.coalesce(x, F.lit(False)))
+        same = (F.col("kind") == F.col("_kind")) & (F.col("last_time") == F.col("_last_time")) & (F.col("error_history_length") == F.col("_error_history_length"))
+        same = same & close(F.col("_params"), F.col("params")) & close(F.col("_state"), F.col("state")) & (F.abs(F.col("sd") - F.col("_sd")) <= 1e-6 * F.col("sd"))
+        both = whole.join(more, F.col("o_orderpriority") == F.col("_o_orderpriority"))
+        return both.select("o_orderpriority", same.alias("same"))
+
+    query(f"update_model_{_name}", "SELECT DISTINCT o_orderpriority, true AS same FROM orders")(_twin)
+
+
+@query(
+    "detect_anomalies_model",
+    _hws_sql(keep="tick <= cut") + """, p AS (SELECT best.*, r.v AS rv, r.t AS rt FROM best JOIN (SELECT o_orderpriority, list(value ORDER BY tick) AS v, list(tick ORDER BY tick) AS t FROM days, (SELECT max(tick) - 60 AS cut FROM days) WHERE tick > cut GROUP BY 1) r USING (o_orderpriority)),
+f AS (SELECT *, list_reduce(list_prepend({'l': q.l, 't': q.t, 's': q.s, 'e': q.e, 'x': 0.0::DOUBLE, 'f': []::DOUBLE[], 'w': []::DOUBLE[]},
+  [{'l': 0.0::DOUBLE, 't': 0.0::DOUBLE, 's': []::DOUBLE[], 'e': 0.0::DOUBLE, 'x': x, 'f': []::DOUBLE[], 'w': []::DOUBLE[]} FOR x IN rv]), lambda a, c: {
+  'l': wa * (c.x - a.s[1]) + (1 - wa) * (a.l + a.t), 't': wb * (wa * (c.x - a.s[1]) + (1 - wa) * (a.l + a.t) - a.l) + (1 - wb) * a.t,
+  's': list_append(a.s[2:], wg * (c.x - (wa * (c.x - a.s[1]) + (1 - wa) * (a.l + a.t))) + (1 - wg) * a.s[1]), 'e': a.e + (c.x - (a.l + a.t + a.s[1])) ** 2, 'x': c.x,
+  'f': list_append(a.f, a.l + a.t + a.s[1]), 'w': list_append(a.w, sqrt(a.e / (n + len(a.f))))}) AS k FROM p),
+r AS (SELECT o_orderpriority, unnest(rt) AS tick, unnest(rv) AS value, unnest(k.f) AS forecast, unnest(k.w) * 1.2815515655446004 AS w FROM f)
+SELECT o_orderpriority, tick, value, round(forecast, 2) AS forecast, round(forecast - w, 2) AS lower, round(forecast + w, 2) AS upper FROM r WHERE value NOT BETWEEN forecast - w AND forecast + w""",
+)
+def _(spark, sf):
+    """Days outside the 80 % bounds of a Holt-Winters model trained before them, which follows them."""
+    from ..operators.transforms import detect_anomalies
+
+    ts = order_days(spark, sf)
+    cut = ts.df.agg(F.max("tick")).first()[0] - 60
+    out = detect_anomalies(ts, forecast.hws(ts.filter(F.col("tick") <= cut), 7), 0.8, info=True)
+    return rounded(out.df.select("o_orderpriority", "tick", "value.*"), "forecast", "lower", "upper", digits=2)
+
+
 @query(
     "model_save_load",
     f"{_EXP}, y AS (SELECT *, sd * sqrt(1 + (step_no - 1) * 0.09) AS e FROM g, h WHERE step_no <= 3) SELECT o_orderpriority, CAST(last + round_even(step_no * step, 0) AS BIGINT) AS tick, step_no AS step, "

@@ -1,5 +1,7 @@
 """Reducers, pair reducers, transformers."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import pairs, reducers, spectrum, transforms, warp
@@ -273,12 +275,12 @@ def _neighbours(ts):
     return ts.series_keys().select(F.col(key).alias(f"left_{key}"), (F.col(key) + 1).alias(f"right_{key}"))
 
 
-def _dtw_sql(ok: str) -> str:
+def _dtw_sql(ok: str, cost: str = "abs(p.x[t.i + 1] - p.y[j])", on: str = "b.user_id = a.user_id + 1") -> str:
     return f"""WITH RECURSIVE {E}, k AS (SELECT user_id, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e {W}),
 s AS (SELECT user_id, list(value ORDER BY i) AS v FROM k GROUP BY 1),
-p AS (SELECT a.user_id AS l, b.user_id AS r, a.v AS x, b.v AS y FROM s a JOIN s b ON b.user_id = a.user_id + 1),
+p AS (SELECT a.user_id AS l, b.user_id AS r, a.v AS x, b.v AS y FROM s a JOIN s b ON {on}),
 t AS (SELECT l, r, 0 AS i, [CASE WHEN j = 0 THEN 0.0 ELSE 1e300 END FOR j IN range(0, len(y) + 1)] AS row FROM p
- UNION ALL SELECT t.l, t.r, t.i + 1, list_reduce(list_prepend([1e300], [[least(t.row[j], t.row[j + 1]), CASE WHEN {ok} THEN abs(p.x[t.i + 1] - p.y[j]) ELSE 1e300 END] FOR j IN range(1, len(p.y) + 1)]),
+ UNION ALL SELECT t.l, t.r, t.i + 1, list_reduce(list_prepend([1e300], [[least(t.row[j], t.row[j + 1]), CASE WHEN {ok} THEN {cost} ELSE 1e300 END] FOR j IN range(1, len(p.y) + 1)]),
   lambda acc, c: list_append(acc, least(acc[-1], c[1]) + c[2])) FROM t JOIN p USING (l, r) WHERE t.i < len(p.x))
 SELECT l AS left_user_id, r AS right_user_id, CASE WHEN row[-1] >= 1e299 THEN CAST('Infinity' AS DOUBLE) ELSE round(row[-1], 6) END AS dtw FROM t JOIN p USING (l, r) WHERE i = len(x)"""
 
@@ -295,6 +297,24 @@ def _(spark, sf):
     return rounded(warp.sakoe_chiba_dtw(ts, ts, _neighbours(ts), 20), "dtw")
 
 
+@query("dtw_user_cost", _dtw_sql("true", "(p.x[t.i + 1] - p.y[j]) ** 2"))
+def _(spark, sf):
+    ts = events(spark, sf)
+    return rounded(warp.dtw(ts, ts, _neighbours(ts), cost=lambda a, b: (a - b) ** 2), "dtw")
+
+
+@query(
+    "sakoe_chiba_nearest",
+    f"WITH d AS ({_dtw_sql('abs(t.i - (j - 1)) <= 20', on='b.user_id BETWEEN a.user_id + 1 AND a.user_id + 3')}) "
+    "SELECT left_user_id, min({'d': dtw, 'r': right_user_id}).r AS right_user_id, min(dtw) AS dtw FROM d GROUP BY 1",
+)
+def _(spark, sf):
+    ts = events(spark, sf)
+    ahead = F.explode(F.sequence(F.col("user_id") + 1, F.col("user_id") + 3)).alias("right_user_id")
+    pairs_ = ts.series_keys().select(F.col("user_id").alias("left_user_id"), ahead)
+    return rounded(warp.nearest(ts, ts, pairs_, 20), "dtw")
+
+
 _U, _V = "(t.i / greatest(len(p.x) - 1, 1))", "((j - 1) / greatest(len(p.y) - 1, 1))"
 
 
@@ -322,6 +342,18 @@ def _(spark, sf):
     return warp.damerau_levenshtein(ts, ts, _neighbours(ts))
 
 
+_EDIT_COSTS = (
+    _EDIT.replace("[CAST(j AS DOUBLE) FOR", "[CAST(j * 1.5 AS DOUBLE) FOR").replace("[t.i + 1.0]", "[CAST((t.i + 1) * 0.75 AS DOUBLE)]").replace("t.row[j + 1] + 1,", "t.row[j + 1] + 0.75,")
+    .replace("THEN 0 ELSE 1 END", "THEN 0 ELSE 0.5 + abs(length(p.x[t.i + 1]) - length(p.y[j])) * 0.25 END").replace("t.old[j - 1] + 1 ELSE", "t.old[j - 1] + 0.5 ELSE").replace("acc[-1] + 1,", "acc[-1] + 1.5,")
+)
+
+
+@query("damerau_levenshtein_user_costs", _EDIT_COSTS)
+def _(spark, sf):
+    ts = events(spark, sf, "event_type")
+    return warp.damerau_levenshtein(ts, ts, _neighbours(ts), 1.5, 0.75, lambda a, b: 0.5 + abs(len(a) - len(b)) * 0.25, 0.5)
+
+
 # Transformers
 
 
@@ -331,6 +363,18 @@ def _(spark, sf):
     return rounded(a.transform(b, "left / right").to_df_observations(), "value", digits=9)
 
 
+@query(
+    "difference_nanoseconds",
+    f"WITH {E}, n AS (SELECT user_id, tick * 1000000 + event_id % 3 AS tick, event_id, value FROM e) SELECT user_id, tick, round(value - p, 6) AS value FROM "
+    "(SELECT *, lag(value) OVER w AS p, lag(tick) OVER w AS pt FROM n WINDOW w AS (PARTITION BY user_id ORDER BY tick, event_id)) WHERE pt IS NOT NULL",
+)
+def _(spark, sf):
+    """Ticks beyond what a double can tell apart, every series cut into chunks."""
+    ts = events(spark, sf)
+    ts = ts.with_df(ts.df.withColumn("tick", F.col("tick") * 1_000_000 + F.col("event_id") % 3))
+    return rounded(transforms.difference(replace(ts, chunk_rows=50)).to_df_observations(), "value")
+
+
 @query(
     "difference",
     f"WITH {E}, d AS (SELECT user_id, tick, value - lag(value) OVER w AS value FROM e {W}) SELECT user_id, tick, round(value, 6) AS value FROM d WHERE value IS NOT NULL",

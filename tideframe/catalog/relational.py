@@ -6,7 +6,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..operators import create
-from ..plans import shared_folder
+from ..plans import saved, shared_folder
 from ..sources import readers, sinks, skipping
 from .base import E, events, query, r, table
 
@@ -297,3 +297,27 @@ def _(spark, sf):
     index.skip_read(skipping.col("l_shipdate") < datetime(1995, 6, 1))
     s = index.skip_stats()
     return s.select((F.col("files_skipped") < F.col("files_total")).alias("some_read"), (F.col("bytes_skipped") > 0).alias("some_skipped"), (F.col("files_total") > 3).alias("many"))
+
+
+@query("skip_is_indexed", f"SELECT {MONTH}, count(*) AS rows, false AS before, true AS built, false AS removed FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    """An index that is built, read and taken away; months and rows come from the index itself."""
+    index = stored(spark, sf)
+    before = index.is_indexed()
+    index.build()
+    built = index.is_indexed()
+    found = saved(index.table().groupBy(F.regexp_extract("path", "month=([0-9-]+)", 1).alias("month")).agg(F.sum("rows").alias("rows")))
+    index.remove()
+    return found.withColumns({"before": F.lit(before), "built": F.lit(built), "removed": F.lit(index.is_indexed())})
+
+
+@query("metadata_location", "SELECT '/indexes/lines' AS location, count(*) AS rows FROM lineitem")
+def _(spark, sf):
+    """Where the index of a table lives, from the table's property."""
+    name, path = f"lines_{uuid.uuid4().hex}", scratch(spark, "lines")
+    table(spark, sf, "lineitem").write.parquet(path)
+    spark.sql(f"CREATE TABLE {name} USING parquet OPTIONS (path '{path}') TBLPROPERTIES ('skipping.location' = '/indexes/lines')")
+    place = skipping.metadata_location(spark, table=name)
+    rows = saved(spark.table(name).agg(F.count("*").alias("rows")))
+    spark.sql(f"DROP TABLE {name}")
+    return rows.select(F.lit(place).alias("location"), "rows")

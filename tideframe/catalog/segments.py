@@ -54,6 +54,39 @@ def _(spark, sf):
     return summary(events(spark, sf).segment_by_time(3 * DAY, DAY))
 
 
+# Aggregates of overlapping windows, from panes.
+
+
+@query(
+    "segment_panes",
+    f"""WITH {E}, k AS (SELECT user_id, tick, row_number() OVER w - 1 AS seg_id, avg(value) OVER f AS value, count(*) OVER f AS c FROM e
+WINDOW w AS (PARTITION BY user_id ORDER BY tick, event_id), f AS (PARTITION BY user_id ORDER BY tick, event_id ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING))
+SELECT user_id, tick, seg_id, round(value, 6) AS value FROM k WHERE c = 12""",
+)
+def _(spark, sf):
+    return rounded(events(spark, sf).segment(12, 1).transform(reducers.average()).df, "value")
+
+
+@query(
+    "segment_panes_short_kept",
+    f"""WITH {E}, k AS (SELECT user_id, tick, value, row_number() OVER (PARTITION BY user_id ORDER BY tick, event_id) - 1 AS rn FROM e),
+s AS (SELECT a.user_id, a.rn // 6 AS seg_id, a.tick, max(b.value) AS value FROM k a JOIN k b ON b.user_id = a.user_id AND b.rn BETWEEN a.rn AND a.rn + 19 WHERE a.rn % 6 = 0 GROUP BY ALL)
+SELECT user_id, tick, seg_id, value FROM s""",
+)
+def _(spark, sf):
+    return events(spark, sf).segment(20, 6, enforce_size=False).transform(reducers.max()).df
+
+
+@query(
+    "segment_panes_by_time",
+    f"""WITH {E}, k AS (SELECT *, min(tick) OVER (PARTITION BY user_id) AS a, tick - min(tick) OVER (PARTITION BY user_id) AS o FROM e),
+s AS (SELECT *, unnest(generate_series(greatest(0, CAST(floor((o - {3 * DAY}) / {float(10 * HOUR)}) AS BIGINT) + 1), o // {10 * HOUR})) AS seg_id FROM k)
+SELECT user_id, CAST(any_value(a) + seg_id * {10 * HOUR} AS BIGINT) AS tick, seg_id, round(stddev_samp(value), 6) AS value FROM s GROUP BY user_id, seg_id""",
+)
+def _(spark, sf):
+    return rounded(events(spark, sf).segment_by_time(3 * DAY, 10 * HOUR).transform(reducers.standard_deviation()).df, "value")
+
+
 @query("segment_by", f"WITH {E} SELECT user_id, CAST(value AS BIGINT) % 2 = 0 AS seg_id, {SUM} FROM (SELECT * REPLACE (floor(value) AS value) FROM e) GROUP BY ALL")
 def _(spark, sf):
     return summary(events(spark, sf).map("floor(value)").segment_by("value % 2 = 0"))

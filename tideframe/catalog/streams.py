@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..sources import readers
-from ..streaming import add_sink, run, stream_series
+from ..streaming import add_sink, polling_source, run, stream_series, to_observation_stream
+from ..operators import forecast
 from .base import DAY, E, HOUR, HOUR as H, events, query, r, rounded, table
+from .learning import _hws_sql, order_days
 from .relational import scratch
 from .series import HOURLY, KINDS, START
 
@@ -110,6 +112,103 @@ def _(spark, sf):
     return out(stream(spark, sf).map("if(value > 30, value, NULL)").fillna("prev", 0.0))
 
 
+# A missing value is released with the observations after it that its interpolator asks for.
+_GAPS = f"""{RELEASED}, n AS (SELECT user_id, tick, rn, CASE WHEN value > 30 THEN value END AS value FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn) AS i FROM n WHERE value IS NOT NULL),
+c AS (SELECT n.*, coalesce((SELECT max(i) FROM o WHERE o.user_id = n.user_id AND o.rn < n.rn), 0) AS i FROM n WHERE value IS NULL),
+g AS (SELECT c.user_id, c.tick, c.i, p2.tick AS tp2, p2.value AS vp2, p.tick AS tp, p.value AS vp, q.tick AS tq, q.value AS vq, q2.tick AS tq2, q2.value AS vq2 FROM c
+  LEFT JOIN o p2 ON p2.user_id = c.user_id AND p2.i = c.i - 1 LEFT JOIN o p ON p.user_id = c.user_id AND p.i = c.i
+  LEFT JOIN o q ON q.user_id = c.user_id AND q.i = c.i + 1 LEFT JOIN o q2 ON q2.user_id = c.user_id AND q2.i = c.i + 2)"""
+_LINE = "vp + (vq - vp) / (tq - tp) * (tick - tp)"
+_CUBIC = "[x FOR x IN [{'t': tp2, 'v': vp2}, {'t': tp, 'v': vp}, {'t': tq, 'v': vq}, {'t': tq2, 'v': vq2}] IF x.t IS NOT NULL]"
+_FILLS = {
+    "next": ("vq", "vq IS NOT NULL"),
+    "nearest": ("CASE WHEN vp IS NOT NULL AND tick - tp <= tq - tick THEN vp ELSE vq END", "vq IS NOT NULL"),
+    "linear": (f"CASE WHEN vp IS NOT NULL THEN {_LINE} END", "vq IS NOT NULL"),
+    "cubic": (
+        f"CASE WHEN vp IS NOT NULL THEN list_sum([p.v * list_product([(tick - q.t)::DOUBLE / (p.t - q.t) FOR q IN {_CUBIC} IF q.t <> p.t]) FOR p IN {_CUBIC}]) END",
+        "vq2 IS NOT NULL",
+    ),
+}
+
+for _kind, (_value, _there) in _FILLS.items():
+
+    def _run(spark, sf, kind=_kind):
+        return rounded(out(stream(spark, sf).map("if(value > 30, value, NULL)").fillna(kind)), "value")
+
+    query(f"stream_fillna_{_kind}", f"WITH {_GAPS} SELECT user_id, tick, round({_value}, 6) AS value FROM g WHERE {_there} UNION ALL SELECT user_id, tick, round(value, 6) FROM o")(_run)
+
+
+@query(
+    "stream_resample_linear",
+    f"""WITH {RELEASED}, s AS (SELECT user_id, min(tick) AS a, max(tick) AS z FROM k GROUP BY 1), g AS (SELECT user_id, unnest(generate_series(a, z, {DAY})) AS tick FROM s),
+x AS (SELECT g.user_id, g.tick, p.tick AS tp, p.value AS vp FROM g ASOF JOIN k p ON p.user_id = g.user_id AND p.tick <= g.tick),
+y AS (SELECT x.*, n.tick AS tq, n.value AS vq FROM x ASOF JOIN k n ON n.user_id = x.user_id AND n.tick >= x.tick)
+SELECT user_id, tick, round(CASE WHEN tq = tp THEN vp ELSE vp + (vq - vp) / (tq - tp) * (tick - tp) END, 6) AS value FROM y""",
+)
+def _(spark, sf):
+    return rounded(out(stream(spark, sf).resample(DAY, "linear")), "value")
+
+
+@query(
+    "stream_resample_window",
+    f"""WITH {RELEASED}, s AS (SELECT user_id, min(tick) AS a, max(tick) AS z FROM k GROUP BY 1), g AS (SELECT user_id, unnest(generate_series(a, z, {DAY})) AS tick FROM s),
+f AS (SELECT g.user_id, g.tick, p.value FROM g ASOF LEFT JOIN k p ON p.user_id = g.user_id AND p.tick <= g.tick), m AS (SELECT max(tick) - {H} AS m FROM f)
+SELECT user_id, CAST(tick // {7 * DAY} * {7 * DAY} AS BIGINT) AS seg_start, count(*) AS n, round(avg(value), 6) AS mean FROM f, m GROUP BY 1, 2 HAVING seg_start + {7 * DAY} <= any_value(m)""",
+)
+def _(spark, sf):
+    """Windows over a resampled stream."""
+    daily = stream(spark, sf).resample(DAY, "prev").through(scratch(spark, "daily"))
+    return rounded(run(daily.segment_by_time("7 days").transform(n="count(*)", mean="avg(value)")).drop("seg_end"), "mean")
+
+
+@query(
+    "stream_late_rows",
+    f"""WITH {E}, {MARK}, kept AS (SELECT e.*, w FROM e, w WHERE NOT (event_id % 10 = 0 AND tick < w - {5 * DAY}))
+SELECT user_id, CAST(tick // {DAY} * {DAY} AS BIGINT) AS seg_start, count(*) AS n FROM kept GROUP BY 1, 2 HAVING seg_start + {DAY} <= any_value(w)""",
+)
+def _(spark, sf):
+    """A tenth of the older events comes after the watermark has passed them and is dropped."""
+    path, at = scratch(spark, "late"), scratch(spark, "late-checkpoint")
+    every = table(spark, sf, "events")
+    edge = F.lit(every.agg((F.unix_millis(F.max("ts").cast("timestamp")) - HOUR - 5 * DAY).alias("m")).first().m)
+    late = (F.col("event_id") % 10 == 0) & (F.unix_millis(F.col("ts").cast("timestamp")) < edge)
+    found = []
+    for part in (~late, late):
+        every.where(part).coalesce(1).write.mode("append").parquet(path)
+        ts = stream_series(spark.readStream.schema(every.schema).parquet(path), "ts", "user_id", "value")
+        found.append(run(ts.segment_by_time("1 day").transform(n="count(*)"), at))
+    return found[0].unionByName(found[1]).select("user_id", "seg_start", "n")
+
+
+@query("stream_source", "SELECT event_type, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events WHERE event_type <> 'error' GROUP BY 1")
+def _(spark, sf):
+    """The events through a pull reader that drops some messages."""
+    import pyarrow.parquet as pq
+
+    path = f"{sf}/events.parquet"
+    last = table(spark, sf, "events").agg(F.max("event_id")).first()[0]
+
+    def poll(start, end):
+        return pq.read_table(path, columns=["event_id", "event_type"], filters=[("event_id", ">=", start), ("event_id", "<", end)]).to_pylist()
+
+    def parse(m):
+        return (m["event_id"], m["event_type"]) if m["event_type"] != "error" else None
+
+    got = run(polling_source(spark, "events_poll", "event_id long, event_type string", lambda: last + 1, poll, parse))
+    return got.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
+@query(
+    "stream_observation",
+    f"WITH {E}, {MARK}, x AS (SELECT event_type AS key, CAST(tick // {H} * {H} AS BIGINT) AS tick, arg_max(value, tick) AS value, any_value(w) AS w FROM e, w GROUP BY 1, 2) SELECT key, tick, value FROM x WHERE tick + {H} <= w",
+)
+def _(spark, sf):
+    """Hourly multi-observations taken apart again."""
+    ts = stream_series(raw(spark, sf), "ts", "event_type", "value")
+    return out(to_observation_stream(ts.to_multi_observation_stream("1 hour", KINDS), KINDS))
+
+
 @query(
     "stream_resample",
     f"WITH {RELEASED}, s AS (SELECT user_id, min(tick) AS a, max(tick) AS z FROM k GROUP BY 1), g AS (SELECT user_id, unnest(generate_series(a, z, {DAY})) AS tick FROM s) "
@@ -184,6 +283,28 @@ def _(spark, sf):
     return rounded(run(stream(spark, sf).forecast(0.3, 0.95)), "forecast", digits=10).select("user_id", "tick", "value", "forecast", "is_anomaly")
 
 
+@query(
+    "stream_forecast_hws",
+    _hws_sql(keep="tick <= cut") + """, p AS (SELECT best.*, r.v AS rv, r.t AS rt FROM best JOIN (SELECT o_orderpriority, list(value ORDER BY tick) AS v, list(tick ORDER BY tick) AS t FROM days, (SELECT max(tick) - 60 AS cut, max(tick) AS top FROM days) WHERE tick > cut AND tick < top - 1 GROUP BY 1) r USING (o_orderpriority)),
+f AS (SELECT *, list_reduce(list_prepend({'l': q.l, 't': q.t, 's': q.s, 'x': 0.0::DOUBLE, 'f': []::DOUBLE[]},
+  [{'l': 0.0::DOUBLE, 't': 0.0::DOUBLE, 's': []::DOUBLE[], 'x': x, 'f': []::DOUBLE[]} FOR x IN rv]), lambda a, c: {
+  'l': wa * (c.x - a.s[1]) + (1 - wa) * (a.l + a.t), 't': wb * (wa * (c.x - a.s[1]) + (1 - wa) * (a.l + a.t) - a.l) + (1 - wb) * a.t,
+  's': list_append(a.s[2:], wg * (c.x - (wa * (c.x - a.s[1]) + (1 - wa) * (a.l + a.t))) + (1 - wg) * a.s[1]), 'x': c.x, 'f': list_append(a.f, a.l + a.t + a.s[1])}) AS k FROM p)
+SELECT o_orderpriority, unnest(rt) AS tick, round(unnest(rv), 2) AS value, round(unnest(k.f), 2) AS forecast FROM f""",
+)
+def _(spark, sf):
+    """The last 60 days as a stream, each day forecast by the Holt-Winters model that all days before it made."""
+    ts, path = order_days(spark, sf), scratch(spark, "days")
+    cut = ts.df.agg(F.max("tick")).first()[0] - 60
+    model = forecast.hws(ts.filter(F.col("tick") <= cut), 7)
+    days = ts.df.where(F.col("tick") > cut).withColumn("day", F.timestamp_millis(F.col("tick") * DAY))
+    days.write.parquet(path)
+    model = model.withColumn("last_time", F.col("last_time") * DAY)
+    live = stream_series(spark.readStream.schema(days.schema).parquet(path), "day", "o_orderpriority", "value", "1 day")
+    got = run(live.forecast(model)).withColumn("tick", F.floor(F.col("tick") / DAY))
+    return rounded(got.select("o_orderpriority", "tick", "value", "forecast"), "value", "forecast", digits=2)
+
+
 @query("stream_json_to_parquet", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50")
 def _(spark, sf):
     df = raw(spark, sf).select(F.to_json(F.struct("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))).alias("value"))

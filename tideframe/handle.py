@@ -34,8 +34,9 @@ class TS:
     trs: TRS | None = None
     chunk_rows: int = CHUNK_ROWS
     known_max: int | None = None
-    #: Gives ``df`` with the source already cut to about a range of ticks, while ``df`` is still the table as it was read.
-    within: Callable[[int, int], DataFrame] | None = field(default=None, compare=False, repr=False)
+    #: Gives ``df`` with the source already cut to about a range of ticks (None: no bound), as long as ``df`` is the table
+    #: as it was read, but for operators that look at one observation at a time.
+    within: Callable[[int | None, int | None], DataFrame] | None = field(default=None, compare=False, repr=False)
 
     @property
     def by(self) -> list[str]:
@@ -64,8 +65,13 @@ class TS:
         """Same series layout over another frame; ``fewer``: no series can have gained rows."""
         return replace(self, df=df.drop("_chunk"), **{"known_max": self.known_max if fewer else None, "within": None, **changes})
 
+    def each(self, change: Callable[[DataFrame], DataFrame], **changes) -> TS:
+        """A change that looks at one observation at a time and keeps its tick: ranges still reach the source."""
+        out, within = self.with_df(change(self.df), **changes), self.within
+        return out if within is None else replace(out, within=lambda a, b: change(within(a, b)))
+
     def with_value(self, value, **changes) -> TS:
-        return self.with_df(self.df.withColumn("value", as_column(value)), **changes)
+        return self.each(lambda df: df.withColumn("value", as_column(value)), **changes)
 
     # Order-based building blocks bound to this handle. The rows of a hot series are cut once per
     # operator; the cut stays on the frame (``_chunk``) until ``with_df`` takes it off.
@@ -85,12 +91,29 @@ class TS:
         return frame(self._cut(df), self.keys, self.by, exprs, before, after, self.chunk_rows, self.bounded())
 
 
+@dataclass(frozen=True)
+class Sliding:
+    """Overlapping windows before any row is copied into them.
+
+    ``df``: the series with ``_at``, the place of a row (row number, or ticks since the series'
+    start), and ``_last``, the last segment of the series (null: none is left out). A window covers
+    ``window`` places and starts every ``step`` places; ``first`` names the tick of place 0, if
+    places are ticks.
+    """
+
+    df: DataFrame
+    window: int
+    step: int
+    first: str | None = None
+
+
 @dataclass(frozen=True)
 class Segments:
     """Segmented series: a row per (key, segment, observation).
 
     ``has_bounds`` says that ``seg_start`` / ``seg_end`` are already columns; otherwise a segment
-    spans its first to its last tick.
+    spans its first to its last tick. ``sliding`` is set while the segments are overlapping windows
+    that nothing was changed in, so aggregates need not copy rows.
     """
 
     df: DataFrame
@@ -100,6 +123,7 @@ class Segments:
     chunk_rows: int = CHUNK_ROWS
     trs: TRS | None = None
     fits: bool = False
+    sliding: Sliding | None = field(default=None, compare=False, repr=False)
 
     def rows(self) -> int | None:
         """Like ``TS.rows``: None when the series the segments come from fit a task."""
@@ -114,7 +138,7 @@ class Segments:
         return ["tick", *(self.ord or ("value",))]
 
     def with_df(self, df: DataFrame, **changes) -> Segments:
-        return replace(self, df=df, **changes)
+        return replace(self, df=df, **{"sliding": None, **changes})
 
     def with_bounds(self) -> Segments:
         """Add ``seg_start`` / ``seg_end`` to every row."""

@@ -1,8 +1,10 @@
 """k-Shape clustering of equally long series.
 
-Centroids (k arrays) are the only thing the driver holds. Each round is one pass over the series:
-every series goes to its closest centroid by shape-based distance, is shifted onto it, and is added to
-its cluster's product sums; the leading eigenvector of those sums is the next centroid.
+Centroids (k arrays) are the only thing the driver holds. The series are read once and kept. Each round
+every series goes to its closest centroid by shape-based distance and is shifted onto it; the leading
+eigenvector of a cluster's product sums is the next centroid. Short series add their products up in one
+pass; for long ones no product matrix is built, but the eigenvector is approached by passes that
+multiply the aligned series with a few vectors (Lanczos).
 """
 
 from __future__ import annotations
@@ -16,9 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..handle import TS
+from ..plans import saved
 from .reducers import _ddl
 
-MAX_EIGEN_LENGTH = 2_048
+#: Length up to which a task sums the products of series as a matrix (at most 2 MiB a cluster).
+DENSE_LENGTH = 512
+#: Passes that approach an eigenvector of longer series.
+LANCZOS_PASSES = 24
 MAX_CENTROID_BYTES = 64 << 20
 
 
@@ -127,6 +133,8 @@ def load_model(spark: SparkSession, path: str, keys) -> KShapeModel:
 def _update(series: DataFrame, keys, cents: np.ndarray, use_eigen: bool, first_seed: int | None) -> np.ndarray:
     """One round: assign, align, and extract the new centroids. ``first_seed``: assign by hash instead."""
     k, m = cents.shape
+    if use_eigen and m > DENSE_LENGTH:
+        return _update_long(series, keys, cents, first_seed)
     width = m * m if use_eigen else m
 
     def partial(batches):
@@ -190,6 +198,90 @@ def _update(series: DataFrame, keys, cents: np.ndarray, use_eigen: bool, first_s
     return out
 
 
+def _merged(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Sums of (cluster, s) rows by cluster, in two steps, so no task adds up all partials of one."""
+    schema = "cluster int, s array<double>"
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, cluster = 0.0, None
+        for pdf in batches:
+            for c, s in zip(pdf["cluster"], pdf["s"]):
+                cluster, total = c, total + np.asarray(s)
+        yield pd.DataFrame({"cluster": [cluster], "s": [total.tolist()]})
+
+    some = parts.groupBy("cluster", F.pmod(F.xxhash64(F.col("s")[0], F.col("s")[1]), F.lit(16)).alias("_s")).applyInPandas(add, schema)
+    return {r["cluster"]: np.array(r["s"]) for r in some.groupBy("cluster").applyInPandas(add, schema).collect()}
+
+
+def _update_long(series: DataFrame, keys, cents: np.ndarray, first_seed: int | None) -> np.ndarray:
+    """``_update`` without product matrices: series are aligned once, then multiplied with a vector a pass."""
+    k, m = cents.shape
+    if first_seed is not None:
+        series = series.withColumn("_own", F.pmod(F.xxhash64(F.lit(first_seed), *keys), F.lit(k)).cast("int"))
+
+    def align(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = _znorm(np.array(pdf["values"].tolist(), float))
+            if first_seed is None:
+                d, shift = _distances(x, cents)
+                own = d.argmin(axis=1)
+                x = _aligned(x, shift[np.arange(len(x)), own])
+            else:
+                own = pdf["_own"].to_numpy()
+            yield pd.DataFrame({"cluster": own.astype("int32"), "y": _znorm(x).tolist()})
+
+    aligned = saved(series.mapInPandas(align, "cluster int, y array<double>"))
+
+    def times(vectors: dict[int, np.ndarray] | None) -> dict[int, np.ndarray]:
+        """Per cluster the sum of y (y . v); of y, where there is no v yet."""
+
+        def partial(batches):
+            sums: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                y, own = np.array(pdf["y"].tolist(), float).reshape(len(pdf), m), pdf["cluster"].to_numpy()
+                for c in np.unique(own).tolist():
+                    part = y[own == c]
+                    if vectors is None or c in vectors:
+                        sums[c] = sums.get(c, 0.0) + (part.sum(axis=0) if vectors is None else part.T @ (part @ vectors[c]))
+            if sums:
+                yield pd.DataFrame({"cluster": np.array(list(sums), "int32"), "s": [s.tolist() for s in sums.values()]})
+
+        return _merged(aligned.mapInPandas(partial, "cluster int, s array<double>"))
+
+    lead = times(None)
+    rng = np.random.default_rng(0)
+    basis, alphas, betas, now = {}, {}, {}, {}
+    for c, v in lead.items():
+        v = v - v.mean()
+        v = v if np.linalg.norm(v) > 1e-9 * m else rng.normal(size=m)
+        basis[c], alphas[c], betas[c], now[c] = [v / np.linalg.norm(v)], [], [], True
+    for _ in range(min(LANCZOS_PASSES, m)):
+        asked = {c: basis[c][-1] for c in basis if now[c]}
+        if not asked:
+            break
+        for c, w in times(asked).items():
+            w = w - w.mean()
+            alphas[c].append(float(w @ basis[c][-1]))
+            for _ in range(2):  # against all vectors so far, as rounding spoils the short recurrence
+                for b in basis[c]:
+                    w = w - (w @ b) * b
+            beta = float(np.linalg.norm(w))
+            if beta < 1e-8 * max(1.0, abs(alphas[c][0])):
+                now[c] = False
+            else:
+                betas[c].append(beta)
+                basis[c].append(w / beta)
+    out = cents.copy()
+    for c, a in alphas.items():
+        t = np.diag(a) + np.diag(betas[c][: len(a) - 1], 1) + np.diag(betas[c][: len(a) - 1], -1)
+        top = np.linalg.eigh(t)[1][:, -1]
+        v = np.array(basis[c][: len(a)]).T @ top
+        out[c] = _znorm(-v if v @ lead[c] < 0 else v)
+    return out
+
+
 def _spread_start(series: DataFrame, keys, k: int, seed: int) -> np.ndarray:
     """Start centroids drawn one by one with probability proportional to the squared distance to those drawn."""
     u = (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -213,7 +305,7 @@ def fit(ts, k_clusters, num_runs: int = 1, use_eigen: bool = True, init_strategy
     """
     series = packed(ts) if isinstance(ts, TS) else ts
     keys = list(ts.keys if isinstance(ts, TS) else keys)
-    series = series.select(*keys, "values")
+    series = saved(series.select(*keys, F.col("values").cast("array<double>").alias("values")))
     lengths = series.agg(F.min(F.size("values")), F.max(F.size("values"))).first()
     if lengths[0] != lengths[1]:
         raise ValueError("k-Shape needs series of one length")
@@ -221,8 +313,6 @@ def fit(ts, k_clusters, num_runs: int = 1, use_eigen: bool = True, init_strategy
     ks = [k_clusters] if isinstance(k_clusters, int) else range(k_clusters[0], k_clusters[1] + 1)
     if max(ks) * m * 8 > MAX_CENTROID_BYTES:
         raise ValueError("the centroids are too large to send to every task")
-    if use_eigen and m > MAX_EIGEN_LENGTH:
-        raise ValueError(f"use_eigen needs series of at most {MAX_EIGEN_LENGTH} values; use averaging")
     best = None
     for k in ks:
         for run in range(num_runs):
@@ -257,4 +347,6 @@ def _summarise(model: KShapeModel, series: DataFrame) -> KShapeModel:
 
 def explore(ts, num_runs: int, max_k: int, min_k: int = 2, **arguments) -> list[KShapeModel]:
     """The best model of every k."""
-    return [fit(ts, k, num_runs, **arguments) for k in range(min_k, max_k + 1)]
+    keys = list(ts.keys if isinstance(ts, TS) else arguments.pop("keys"))
+    series = saved((packed(ts) if isinstance(ts, TS) else ts).select(*keys, "values"))
+    return [fit(series, k, num_runs, keys=keys, **arguments) for k in range(min_k, max_k + 1)]

@@ -25,14 +25,15 @@ def _tick(df: DataFrame, ts_column: str, trs: TRS | None):
     return trs.to_index(col)
 
 
-def _bounds(df: DataFrame, ts_column: str, trs: TRS | None, start: int, end: int):
+def _bounds(df: DataFrame, ts_column: str, trs: TRS | None, start: int | None, end: int | None):
     """A condition on the source column that holds for every row whose tick lies in the range: the scan can use it."""
     kind, c = df.schema[ts_column].dataType.simpleString(), F.col(ts_column)
     if kind in ("bigint", "int", "smallint", "tinyint"):
-        return c.between(F.lit(start), F.lit(end))
+        above = F.lit(True) if start is None else c >= F.lit(start)
+        return above if end is None else above & (c <= F.lit(end))
     trs = trs or TRS()
-    first = trs.start_ms + start * trs.granularity_ms - 1
-    last = trs.start_ms + (end + 1) * trs.granularity_ms
+    first = _LEAST_MS if start is None else trs.start_ms + start * trs.granularity_ms - 1
+    last = _MOST_MS if end is None else trs.start_ms + (end + 1) * trs.granularity_ms
     make = {
         "timestamp": lambda ms: F.timestamp_millis(F.lit(ms)),
         "timestamp_ntz": lambda ms: F.lit(f"{_EPOCH + timedelta(milliseconds=ms):%Y-%m-%d %H:%M:%S.%f}").cast("timestamp_ntz"),

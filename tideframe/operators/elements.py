@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..handle import TS, as_column
@@ -23,13 +23,13 @@ def map_with_index(ts: TS, expr) -> TS:
 def flatmap(ts: TS, array_expr) -> TS:
     """One value to many values at the same tick; the position joins the tie-breakers."""
     name = f"pos{len(ts.ord)}"
-    df = ts.df.select(*ts.keys, "tick", *ts.ord, F.posexplode(as_column(array_expr)).alias(name, "value"))
-    return ts.with_df(df, fewer=False, ord=(*ts.ord, name))
+    items = F.posexplode(as_column(array_expr)).alias(name, "value")
+    return ts.each(lambda df: df.select(*ts.keys, "tick", *ts.ord, items), fewer=False, ord=(*ts.ord, name))
 
 
 def filter_values(ts: TS, pred) -> TS:
     """Keep observations where ``pred`` is true."""
-    return ts.with_df(ts.df.where(as_column(pred)))
+    return ts.each(lambda df: df.where(as_column(pred)))
 
 
 def filter_series(ts: TS, condition) -> TS:
@@ -40,7 +40,7 @@ def filter_series(ts: TS, condition) -> TS:
 
 def filter_series_key(ts: TS, pred) -> TS:
     """Keep series whose key satisfies ``pred``."""
-    return ts.with_df(ts.df.where(as_column(pred)))
+    return ts.each(lambda df: df.where(as_column(pred)))
 
 
 def map_series(ts: TS, fn, value_type: str = "double", before: int = 0, after: int = 0) -> TS:
@@ -110,12 +110,23 @@ def get_values(ts: TS, start: int, end: int, inclusive: bool = False) -> TS:
     """Observations with ``start <= tick <= end``.
 
     ``inclusive`` also returns the nearest tick outside the range on either side of each series when
-    the bound itself is not a tick. Right after a table is read the range also reaches its scan.
+    the bound itself is not a tick. After a table is read, and after operators that look at one
+    observation at a time, the range also reaches its scan: for neighbours that is one scan with a
+    bound for each side, of which every task keeps the nearest tick per series.
     """
     tick = F.col("tick")
     if not inclusive:
         df = ts.within(start, end) if ts.within else ts.df
         return ts.with_df(df.where((tick >= start) & (tick <= end)))
+    if ts.within and start < end:
+
+        def nearest(df, order):
+            return df.withColumn("_rank", F.rank().over(Window.partitionBy(*ts.keys).orderBy(order))).where("_rank = 1").drop("_rank")
+
+        inside = ts.within(start, end).where((tick > start) & (tick < end))
+        below = nearest(ts.within(None, start).where(tick <= start), tick.desc())
+        above = nearest(ts.within(end, None).where(tick >= end), tick.asc())
+        return ts.with_df(inside.unionByName(below).unionByName(above))
     lo = F.max(F.when(tick <= start, tick)).alias("_lo")
     hi = F.min(F.when(tick >= end, tick)).alias("_hi")
     ends = ts.df.groupBy(*ts.keys).agg(lo, hi)

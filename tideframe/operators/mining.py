@@ -8,6 +8,10 @@ item (item sets) or the earliest in-order match (sub-sequences).
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,36 +114,97 @@ def discriminatory_item_sets(left: TS, right: TS, min_support: float, min_lift:
 
 # Sub-sequences ----------------------------------------------------------------------------------
 
-_SALT = 16
+#: Rows of a series that one set of position lists covers.
+LIST_ROWS = 100_000
 
 
-def _grow(ts: TS, found: DataFrame, rows: DataFrame, salt: int) -> DataFrame:
-    """Extend each (pattern, series) match by every item that occurs after it, at its earliest position."""
-    spread = found.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))) if salt > 1 else found.withColumn("_s", F.lit(0))
-    spread = spread.select(*ts.keys, "_s", "sequence", "ticks", "at")
-    both = join_on(rows, spread, [*ts.keys, "_s"]).where(F.col("_rn") > F.col("at"))
-    nxt = both.groupBy(*ts.keys, "sequence", "value").agg(
-        F.min(F.struct(F.col("_rn").alias("at"), F.col("tick").alias("tick"), F.col("ticks").alias("ticks"))).alias("_m")
-    )
-    return nxt.select(
-        *ts.keys, F.concat("sequence", F.array("value")).alias("sequence"),
-        F.concat("_m.ticks", F.array("_m.tick")).alias("ticks"), F.col("_m.at").alias("at"),
-    )
+def _lists(ts: TS, wanted: DataFrame) -> tuple[DataFrame, bool]:
+    """Vertical lists: per series, stretch of ``LIST_ROWS`` rows and item the sorted positions and their ticks.
+
+    ``wanted``: the items (``value``) that matter. Tells also whether any series has several stretches.
+    """
+    rows = ts.row_index("_rn", ts.df.where(F.col("value").isNotNull()))
+    rows = rows.select(*ts.keys, "_rn", "tick", "value").join(wanted, "value", "left_semi")
+    size = min(LIST_ROWS, ts.chunk_rows)
+    spots = F.array_sort(F.collect_list(F.struct("_rn", "tick")))
+    lists = rows.groupBy(*ts.keys, F.floor(F.col("_rn") / size).alias("_c"), "value").agg(spots.alias("_at"))
+    many = ts.max_rows() > size
+    return saved(lists.select(*ts.keys, "_c", "value", F.col("_at._rn").alias("_rns"), F.col("_at.tick").alias("_ticks"))), many
+
+
+def _firsts(ts: TS, lists: DataFrame) -> DataFrame:
+    """Patterns of one item at their earliest position: (keys, sequence, ticks, at)."""
+    first = lists.groupBy(*ts.keys, "value").agg(F.min(F.struct(F.col("_rns")[0].alias("at"), F.col("_ticks")[0].alias("tick"))).alias("_m"))
+    return first.select(*ts.keys, F.array("value").alias("sequence"), F.array("_m.tick").alias("ticks"), F.col("_m.at").alias("at"))
+
+
+def _grow(ts: TS, found: DataFrame, lists: DataFrame, many: bool) -> DataFrame:
+    """Extend each (pattern, series) match by every item that occurs after it, at its earliest position.
+
+    Lists and matches of a series (stretch) run side by side through one sorted stream; all matches
+    look up an item by one binary search over its positions. The work is patterns times items, the
+    lists of one stretch are all that is held.
+    """
+    keys = list(ts.keys)
+    if many:
+        ends = lists.groupBy(*keys).agg(F.max("_c").alias("_z"))
+        size = min(LIST_ROWS, ts.chunk_rows)
+        spread = F.explode(F.sequence(F.floor(F.col("at") / size), F.col("_z"))).alias("_c")
+        right = join_on(found, ends, keys).select(*keys, spread, "sequence", "ticks", "at")
+    else:
+        right = found.select(*keys, F.lit(0).cast("long").alias("_c"), "sequence", "ticks", "at")
+    both = lists.withColumn("kind", F.lit(0)).unionByName(right.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    both = both.select(*keys, "_c", "kind", "value", "_rns", "_ticks", "sequence", "ticks", "at")
+    both = both.repartition(*keys, "_c").sortWithinPartitions(*keys, "_c", "kind")
+    kinds = {c: both.schema[c].dataType.simpleString() for c in both.columns}
+    ddl = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], *[f"{c} {kinds[c]}" for c in ("sequence", "ticks", "value")], "at long", "tick long"])
+
+    def run(batches):
+        series, items = None, {}
+        for batch in batches:
+            ids = list(zip(*[batch[k].to_pylist() for k in [*keys, "_c"]], batch["kind"].to_pylist()))
+            ats = batch["at"].fill_null(0).to_numpy()
+            parents, values, at, tick, start = [], [], [], [], 0
+            for key, same in itertools.groupby(ids):
+                end = start + sum(1 for _ in same)
+                if key[:-1] != series:
+                    series, items = key[:-1], {}
+                if key[-1] == 0:
+                    part = batch.slice(start, end - start)
+                    for v, r, t in zip(part["value"].to_pylist(), part["_rns"], part["_ticks"]):
+                        items[v] = (r.values.to_numpy(), t.values.to_numpy())
+                else:
+                    for v, (r, t) in items.items():
+                        to = np.searchsorted(r, ats[start:end], side="right")
+                        hit = np.flatnonzero(to < len(r))
+                        parents.append(hit + start)
+                        values.extend([v] * len(hit))
+                        at.append(r[to[hit]])
+                        tick.append(t[to[hit]])
+                start = end
+            if values:
+                up = pa.array(np.concatenate(parents))
+                old = [batch[c].take(up) for c in [*keys, "sequence", "ticks"]]
+                new = [pa.array(values, batch.schema.field("value").type), pa.array(np.concatenate(at), pa.int64()), pa.array(np.concatenate(tick), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*old, *new], [*keys, "sequence", "ticks", "value", "at", "tick"])
+
+    grown = both.mapInArrow(run, ddl)
+    if many:  # the earliest of all stretches
+        nxt = grown.groupBy(*keys, "sequence", "value").agg(F.min(F.struct("at", "tick", "ticks")).alias("_m")).select(*keys, "sequence", "value", "_m.*")
+    else:
+        nxt = grown
+    return nxt.select(*keys, F.concat("sequence", F.array("value")).alias("sequence"), F.concat("ticks", F.array("tick")).alias("ticks"), "at")
 
 
 def _levels(ts: TS, min_count: float, max_length: int | None) -> DataFrame:
     """Earliest match of every frequent pattern in every series: (keys, sequence, ticks, at), level by level."""
-    salt = 1 if ts.bounded() else _SALT
-    rows = ts.row_index("_rn", ts.df.where(F.col("value").isNotNull()))
-    rows = rows.select(*ts.keys, "_rn", "tick", "value", F.pmod("_rn", F.lit(salt)).cast("int").alias("_s"))
-    common = rows.groupBy("value").agg(F.count_distinct(F.struct(*ts.keys)).alias("_c")).where(F.col("_c") >= min_count)
-    rows = saved(rows.join(common.select("value"), "value", "left_semi").select(*ts.keys, "_rn", "tick", "value", "_s"))
-    first = rows.groupBy(*ts.keys, "value").agg(F.min(F.struct("_rn", "tick")).alias("_m"))
-    found = saved(first.select(*ts.keys, F.array("value").alias("sequence"), F.array("_m.tick").alias("ticks"), F.col("_m._rn").alias("at")))
+    held = ts.df.where(F.col("value").isNotNull()).groupBy(*ts.keys, "value").agg(F.lit(1)).groupBy("value").agg(F.count("*").alias("_c"))
+    lists, many = _lists(ts, held.where(F.col("_c") >= min_count).select("value"))
+    found = saved(_firsts(ts, lists))
     every, length = found, 1
     while max_length is None or length < max_length:  # a longer frequent pattern starts with a frequent one
         length += 1
-        grown = saved(_grow(ts, found, rows, salt))
+        grown = saved(_grow(ts, found, lists, many))
         keep = grown.groupBy("sequence").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= min_count).select("sequence")
         found = saved(grown.join(keep, "sequence", "left_semi").select(*found.columns))
         if found.isEmpty():
@@ -168,7 +233,7 @@ def frequent_sub_sequences(ts: TS, min_support: float, max_length: int | None =
     All lengths are found unless ``max_length`` is given; a low support over long series has many patterns.
 
     Patterns grow item by item; a match is kept as one row per (pattern, series) with its earliest
-    position, so a series is never packed into a row.
+    position. Where an item comes next is looked up in its list of positions.
     """
     n = _n_series(ts)
     return _sequence_statistics(_levels(ts, min_support * n, max_length), n)
@@ -176,21 +241,15 @@ def frequent_sub_sequences(ts: TS, min_support: float, max_length: int | None =
 
 def sub_sequence_matches(ts: TS, patterns: DataFrame) -> DataFrame:
     """Score: (keys, sequence, ticks) of the earliest match of each pattern (column ``sequence``) in each series."""
-    salt = 1 if ts.bounded() else _SALT
     want = saved(patterns.select("sequence").distinct())
     longest = want.agg(F.max(F.size("sequence"))).first()[0] or 0
-    rows = ts.row_index("_rn", ts.df.where(F.col("value").isNotNull()))
-    rows = rows.select(*ts.keys, "_rn", "tick", "value", F.pmod("_rn", F.lit(salt)).cast("int").alias("_s"))
     prefixes = want.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("sequence")), lambda k: F.slice("sequence", 1, k))).alias("sequence")).distinct()
     prefixes = saved(prefixes)
-    items = prefixes.select(F.explode("sequence").alias("value")).distinct()
-    rows = saved(rows.join(items, "value", "left_semi").select(*ts.keys, "_rn", "tick", "value", "_s"))
-    first = rows.groupBy(*ts.keys, "value").agg(F.min(F.struct("_rn", "tick")).alias("_m"))
-    found = first.select(*ts.keys, F.array("value").alias("sequence"), F.array("_m.tick").alias("ticks"), F.col("_m._rn").alias("at"))
-    found = saved(found.join(prefixes, "sequence", "left_semi").select(*ts.keys, "sequence", "ticks", "at"))
+    lists, many = _lists(ts, prefixes.select(F.explode("sequence").alias("value")).distinct())
+    found = saved(_firsts(ts, lists).join(prefixes, "sequence", "left_semi").select(*ts.keys, "sequence", "ticks", "at"))
     every = found
     for _ in range(longest - 1):
-        found = saved(_grow(ts, found, rows, salt).join(prefixes, "sequence", "left_semi").select(*found.columns))
+        found = saved(_grow(ts, found, lists, many).join(prefixes, "sequence", "left_semi").select(*found.columns))
         every = every.unionByName(found)
     return every.join(want, "sequence", "left_semi").select(*ts.keys, "sequence", "ticks")
 

@@ -24,10 +24,15 @@ from .elements import get_values
 
 @dataclass(frozen=True)
 class Reducer:
-    """``columns(value, by)``: aggregate columns; or ``job(df, group, by, rows)``: a whole job."""
+    """``columns(value, by)``: aggregate columns; or ``job(df, group, by, rows)``: a whole job.
+
+    ``of_panes(facts)`` gives the same value from merged partial aggregates (``n``, ``sum``,
+    ``squares`` about the mean, ``min``, ``max``), which spares overlapping windows their copies.
+    """
 
     columns: Callable[[str, list[str]], dict[str, Column]] | None = None
     job: Callable[[DataFrame, list[str], list[str], int], DataFrame] | None = None
+    of_panes: Callable[[dict[str, Column]], Column] | None = None
 
     def apply(self, df: DataFrame, group, by, rows: int) -> DataFrame:
         if self.columns is not None:
@@ -35,29 +40,29 @@ class Reducer:
         return self.job(df, list(group), list(by), rows)
 
 
-def _simple(name: str, fn) -> Reducer:
-    return Reducer(columns=lambda v, by: {name: fn(F.col(v))})
+def _simple(name: str, fn, of_panes=None) -> Reducer:
+    return Reducer(columns=lambda v, by: {name: fn(F.col(v))}, of_panes=of_panes)
 
 
 def average() -> Reducer:
-    return _simple("average", F.avg)
+    return _simple("average", F.avg, lambda f: F.try_divide(f["sum"], f["n"]))
 
 
 def sum() -> Reducer:
-    return _simple("sum", F.sum)
+    return _simple("sum", F.sum, lambda f: f["sum"])
 
 
 def min() -> Reducer:
-    return _simple("min", F.min)
+    return _simple("min", F.min, lambda f: f["min"])
 
 
 def max() -> Reducer:
-    return _simple("max", F.max)
+    return _simple("max", F.max, lambda f: f["max"])
 
 
 def standard_deviation() -> Reducer:
     """Sample standard deviation."""
-    return _simple("standard_deviation", F.stddev_samp)
+    return _simple("standard_deviation", F.stddev_samp, lambda f: F.when(f["n"] > 1, F.sqrt(f["squares"] / (f["n"] - 1))))
 
 
 def skewness() -> Reducer:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
+from math import gcd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from ..handle import Segments, TS, as_column
-from ..plans import fold, join_on
+from ..handle import Segments, Sliding, TS, as_column
+from ..plans import fold, frame, join_on
 from .joins import within
 from .scan import decay_scan
 
@@ -29,10 +32,13 @@ def segment(ts: TS, window: int, step: int = 1, enforce_size: bool = True) -> Se
     if enforce_size:
         sizes = ts.df.groupBy(*ts.keys).agg(F.count(F.lit(1)).alias("_n"))
         df = join_on(df, sizes, ts.keys)
-        hi = F.least(hi, F.floor((F.col("_n") - window) / step))
+        last = F.floor((F.col("_n") - window) / step)
+        hi = F.least(hi, last)
         df = df.where(F.col("_n") >= window)
+    whole = df.withColumns({"_at": rn, "_last": last if enforce_size else F.lit(None).cast("long")})
     df = df.where(lo <= hi).withColumn("seg_id", F.explode(F.sequence(lo, hi)))
-    return _segments(ts, df)
+    out = _segments(ts, df)
+    return replace(out, sliding=Sliding(whole, window, step)) if step < window else out
 
 
 def segment_by_time(ts: TS, window: int, step: int | None = None) -> Segments:
@@ -47,8 +53,11 @@ def segment_by_time(ts: TS, window: int, step: int | None = None) -> Segments:
         lo = F.greatest(F.lit(0).cast("long"), F.floor((off - window) / step) + 1)
         df = df.where(lo <= F.floor(off / step)).withColumn("seg_id", F.explode(F.sequence(lo, F.floor(off / step))))
     start = F.col("_first") + F.col("seg_id") * step
-    df = df.withColumn("seg_start", start).withColumn("seg_end", start + (window - 1))
-    return _segments(ts, df, True)
+    out = _segments(ts, df.withColumn("seg_start", start).withColumn("seg_end", start + (window - 1)), True)
+    if step >= window:
+        return out
+    whole = join_on(ts.df, ends, ts.keys).withColumns({"_at": off, "_last": F.lit(None).cast("long")})
+    return replace(out, sliding=Sliding(whole, window, step, "_first"))
 
 
 def segment_by(ts: TS, expr) -> Segments:
@@ -164,27 +173,29 @@ def cusum(ts: TS, threshold: float, rows: int = 100_000) -> Segments:
     """New segment when the sum of deviations from the segment's first value exceeds ``threshold``."""
 
     def step(pdf, state):
-        first, total, seg = json.loads(state)
-        ids = []
+        first, total = json.loads(state)
+        new = []
         for v in pdf["value"].tolist():
+            cut = False
             if first is None:
                 first, total = v, 0.0
             else:
                 total += v - first
                 if abs(total) > threshold:
-                    first, total, seg = v, 0.0, seg + 1
-            ids.append(seg)
-        return pdf[[*by]].assign(value=pdf["value"], seg_id=ids), json.dumps([first, total, seg])
+                    first, total, cut = v, 0.0, True
+            new.append(cut)
+        return pdf[[*by]].assign(value=pdf["value"], _new=new), json.dumps([first, total])
 
     by = ["tick", *ts.ord]
-    return _folded(ts, step, json.dumps([None, 0.0, 0]), by, rows)
+    return _folded(ts, step, json.dumps([None, 0.0]), by, rows)
 
 
 def _folded(ts: TS, step, init, by, rows) -> Segments:
     kinds = {c: ts.df.schema[c].dataType.simpleString() for c in by}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", value double, seg_id long"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", value double, _new boolean"
     clean = ts.df.where(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("double"))
-    return _segments(ts, fold(clean, ts.keys, ts.by, [*by, "value"], step, init, schema, min(rows, ts.chunk_rows)))
+    # The step only tells where segments start: a count of them in its state would never agree between blocks.
+    return _cut(ts, fold(clean, ts.keys, ts.by, [*by, "value"], step, init, schema, min(rows, ts.chunk_rows)), F.col("_new"))
 
 
 def regression(ts: TS, max_error: float, skip: int = 0, use_relative: bool = False, rows: int = 100_000) -> Segments:
@@ -197,13 +208,12 @@ def regression(ts: TS, max_error: float, skip: int = 0, use_relative: bool = Fal
     by = ["tick", *ts.ord]
 
     def step(pdf, state):
-        seg, t0, n, sx, sy, sxx, sxy, missed = json.loads(state)
-        ids = []
+        t0, n, sx, sy, sxx, sxy, missed = json.loads(state)
+        new = []
         for t, v in zip(pdf["tick"].tolist(), pdf["value"].tolist()):
             if n == 0:
                 t0 = t
-            x = float(t - t0)
-            ok = True
+            x, ok, cut = float(t - t0), True, False
             if n >= 2:
                 var = n * sxx - sx * sx
                 slope = (n * sxy - sx * sy) / var if var else 0.0
@@ -216,13 +226,13 @@ def regression(ts: TS, max_error: float, skip: int = 0, use_relative: bool = Fal
             else:
                 missed += 1
                 if missed > skip:
-                    seg, t0, n, sx, sy, sxx, sxy, missed, x, ok = seg + 1, t, 0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, True
+                    cut, t0, n, sx, sy, sxx, sxy, missed, x, ok = True, t, 0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, True
             if ok:
                 n, sx, sy, sxx, sxy = n + 1, sx + x, sy + v, sxx + x * x, sxy + x * v
-            ids.append(seg)
-        return pdf[[*by]].assign(value=pdf["value"], seg_id=ids), json.dumps([seg, t0, n, sx, sy, sxx, sxy, missed])
+            new.append(cut)
+        return pdf[[*by]].assign(value=pdf["value"], _new=new), json.dumps([t0, n, sx, sy, sxx, sxy, missed])
 
-    return _folded(ts, step, json.dumps([0, 0, 0, 0.0, 0.0, 0.0, 0.0, 0]), by, rows)
+    return _folded(ts, step, json.dumps([0, 0, 0.0, 0.0, 0.0, 0.0, 0]), by, rows)
 
 
 def statistical_changepoint(ts: TS, min_segment_size: int = 2, threshold: float = 2.0) -> Segments:
@@ -289,6 +299,9 @@ def filter_segments(segs: Segments, condition) -> Segments:
 
 def transform(segs: Segments, reducer) -> TS:
     """Reduce each segment; the tick of the result is the segment's start."""
+    if segs.sliding is not None and reducer.of_panes is not None and isinstance(segs.df.schema["value"].dataType, NumericType):
+        df = _by_panes(segs, reducer.of_panes)
+        return TS(df, segs.keys, ("seg_id",), segs.trs, segs.chunk_rows)
     groups = segs.df.groupBy(*segs.group)
     if reducer.columns is not None:
         aggs = reducer.columns("value", segs.by)
@@ -300,3 +313,81 @@ def transform(segs: Segments, reducer) -> TS:
     value = F.col(fields[0]) if len(fields) == 1 else F.struct(*fields)
     df = out.select(*segs.keys, "tick", "seg_id", value.alias("value"))
     return TS(df, segs.keys, ("seg_id",), segs.trs, segs.chunk_rows)
+
+
+def _by_panes(segs: Segments, of_panes) -> DataFrame:
+    """``of_panes`` of every overlapping window, from partial aggregates: (keys, tick, seg_id, value).
+
+    A pane is as long as the greatest common divisor of window and step, and every row enters one
+    pane. Blocks of as many panes as a window has carry running aggregates from their start on and
+    from their end back. A window meets one or two blocks, so it is made of the aggregate from its
+    first pane back to its block's end and that up to its last pane; the two are found by the panes
+    that are first and last in a window. Rows shuffled: rows, then panes and windows.
+    """
+    keys, src = list(segs.keys), segs.sliding
+    g = gcd(src.window, src.step)
+    wide, step = src.window // g, src.step // g
+    first = [] if src.first is None else [src.first]
+    v = F.col("value").cast("double")
+    panes = src.df.groupBy(*keys, F.floor(F.col("_at") / g).alias("_p")).agg(
+        F.min("tick").alias("_t"), F.count("value").alias("_n"), F.avg(v).alias("_avg"), F.sum("value").alias("_s"),
+        F.coalesce(F.var_pop(v), F.lit(0.0)).alias("_var"), F.min("value").alias("_lo"), F.max("value").alias("_hi"),
+        F.max("_last").alias("_last"), *[F.first(c).alias(c) for c in first],
+    )
+    panes = panes.withColumn("_b", F.floor(F.col("_p") / wide))
+    block = Window.partitionBy(*keys, "_b")
+    # Squares are summed about a value of the block, so that they stay small.
+    finite = F.when(~F.isnan("_avg") & (F.abs("_avg") < float("inf")), F.col("_avg"))
+    around = F.first(finite, ignorenulls=True).over(block.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    panes = panes.withColumn("_c", F.coalesce(around, F.lit(0.0)))
+    off = F.col("_avg") - F.col("_c")
+    panes = panes.withColumns({"_d1": F.col("_n") * off, "_d2": F.col("_n") * (F.col("_var") + off * off)})
+
+    def carried(order, suffix):
+        w = block.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        sums = {f"{c}{suffix}": F.sum(c).over(w) for c in ("_n", "_s", "_d1", "_d2")}
+        return sums | {f"_t{suffix}": F.min("_t").over(w), f"_lo{suffix}": F.min("_lo").over(w), f"_hi{suffix}": F.max("_hi").over(w)}
+
+    panes = panes.withColumns(carried(F.asc("_p"), "_up") | carried(F.desc("_p"), "_down"))
+    along = Window.partitionBy(*keys).orderBy("_p")
+    if segs.rows() is None:
+        panes = panes.withColumns({"_before": F.lag("_p").over(along), "_after": F.lead("_p").over(along)})
+    else:
+        panes = frame(panes, keys, ["_p"], lambda w: {"_before": F.lag("_p").over(w), "_after": F.lead("_p").over(w)}, 1, 1, segs.chunk_rows)
+    # Windows that hold a pane, without those that hold the one before (after) it as well.
+    zero = F.lit(0).cast("long")
+    lo = F.greatest(zero, F.ceil((F.col("_p") - (wide - 1)) / step))
+    hi = F.floor(F.col("_p") / step)
+    starts = F.when(F.col("_before").isNull(), lo).otherwise(F.greatest(lo, F.floor(F.col("_before") / step) + 1))
+    ends = F.when(F.col("_after").isNull(), hi).otherwise(F.least(hi, F.greatest(zero, F.ceil((F.col("_after") - (wide - 1)) / step)) - 1))
+    limit = F.least(hi, F.col("_last"))
+    parts = ["_n", "_s", "_d1", "_d2", "_t", "_lo", "_hi"]
+    opened = panes.where(starts <= limit).select(
+        *keys, F.explode(F.sequence(starts, limit)).alias("seg_id"), F.col("_b").alias("_b1"), F.col("_c").alias("_c1"), *first, *[F.col(f"{c}_down").alias(f"{c}1") for c in parts]
+    )
+    limit = F.least(ends, F.col("_last"))
+    closed = panes.where(lo <= limit).select(
+        *keys, F.explode(F.sequence(lo, limit)).alias("seg_id"), F.col("_b").alias("_b2"), F.col("_c").alias("_c2"), *[F.col(f"{c}_up").alias(f"{c}2") for c in parts]
+    )
+    both = join_on(opened, closed, [*keys, "seg_id"])
+    own = F.col("seg_id") * step
+    one = F.col("_b1") == F.col("_b2")
+    back = one & (F.col("_b1") == F.floor(own / wide)) & (own % wide != 0)  # all in the block the window starts in
+    use1, use2 = ~one | back, ~one | ~back
+
+    def part(c, use, empty):
+        return F.when(use, F.coalesce(F.col(c), empty)).otherwise(empty)
+
+    n1, n2 = part("_n1", use1, zero), part("_n2", use2, zero)
+    n = n1 + n2
+    mean1 = F.when(n1 > 0, F.col("_c1") + F.col("_d11") / n1)
+    mean2 = F.when(n2 > 0, F.col("_c2") + F.col("_d12") / n2)
+    m1 = F.when(n1 > 0, F.greatest(F.col("_d21") - F.col("_d11") * F.col("_d11") / n1, F.lit(0.0))).otherwise(0.0)
+    m2 = F.when(n2 > 0, F.greatest(F.col("_d22") - F.col("_d12") * F.col("_d12") / n2, F.lit(0.0))).otherwise(0.0)
+    between = F.when((n1 > 0) & (n2 > 0), (mean1 - mean2) * (mean1 - mean2) * n1 * n2 / n).otherwise(0.0)
+    facts = {
+        "n": n, "sum": F.when(n > 0, part("_s1", use1, F.lit(0)) + part("_s2", use2, F.lit(0))), "squares": m1 + m2 + between,
+        "min": F.least(F.when(use1, F.col("_lo1")), F.when(use2, F.col("_lo2"))), "max": F.greatest(F.when(use1, F.col("_hi1")), F.when(use2, F.col("_hi2"))),
+    }
+    tick = F.least(F.when(use1, F.col("_t1")), F.when(use2, F.col("_t2"))) if not first else F.col(src.first) + F.col("seg_id") * src.step
+    return both.select(*keys, tick.alias("tick"), "seg_id", of_panes(facts).alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import normal_quantile
@@ -155,13 +155,23 @@ def one_step(ts: TS, smoothing: float) -> TS:
     return ts.with_df(ts.frame(lambda w: {"forecast": F.lag("_e").over(w)}, before=1, df=df).drop("_e", "_x", "_rn"))
 
 
-def detect_anomalies(ts: TS, smoothing: float = 0.3, confidence: float = 0.95, info: bool = False, update_model: bool = True) -> TS:
+def detect_anomalies(ts: TS, model: float | DataFrame = 0.3, confidence: float = 0.95, info: bool = False, update_model: bool = True) -> TS:
     """Keep observations outside the one-step forecast's bounds.
 
-    Forecast: exponential average of the observations before. Bounds: the normal quantile of
-    ``confidence`` times the root mean square of the earlier forecast errors (of all errors when
-    ``update_model`` is false). ``info`` makes the value ``struct(value, forecast, lower, upper)``.
+    ``model``: a table of trained models of any kind, which the observations behind its last ticks
+    are held against; or the smoothing weight of an exponential average of the observations before
+    each. Bounds: the normal quantile of ``confidence`` times the root mean square of the earlier
+    forecast errors. With ``update_model`` a model follows the observations; otherwise trained
+    models forecast on and on from their last tick, and the average takes the mean square of all
+    errors. ``info`` makes the value ``struct(value, forecast, lower, upper)``.
     """
+    if isinstance(model, DataFrame):
+        from .forecast import one_step_ahead
+
+        seen = one_step_ahead(ts, model, confidence, update_model).where("is_anomaly")
+        value = F.struct("value", "forecast", "lower", "upper") if info else F.col("value")
+        return ts.with_df(seen.withColumn("value", value).select(*ts.keys, "tick", *ts.ord, "value"))
+    smoothing = model
     z = normal_quantile(0.5 + confidence / 2)
     pred = one_step(ts, smoothing)
     df = pred.df.withColumn("_e2", F.pow(F.col("value") - F.col("forecast"), 2)).withColumn(

@@ -2,7 +2,8 @@
 
 The cost table of a pair is cut into tiles. A tile needs two pieces of the series and the last row,
 column and corner of its neighbours; all tiles on one anti-diagonal are worked on side by side, so
-no task ever sees a whole long series, and short series take a single step.
+no task ever sees a whole long series, and short series take a single step. Tiles that lie outside a
+band are never built.
 """
 
 from __future__ import annotations
@@ -49,11 +50,13 @@ def _pieces(ts: TS, pairs: DataFrame, side: str, tile: int) -> DataFrame:
     return join_on(pairs, cut, ids)
 
 
-def _run(left: TS, right: TS, pairs: DataFrame, kernel, out: str, tile: int) -> DataFrame:
+def _run(left: TS, right: TS, pairs: DataFrame, kernel, out: str, tile: int, crosses=None) -> DataFrame:
     """Distance per row of ``pairs`` (columns ``left_<key>`` and ``right_<key>``).
 
     ``kernel(tile, top, side, corner)`` fills a tile and returns its table; ``top`` and ``side`` are the
-    two neighbouring rows / columns (the nearest last) or None at the border.
+    two neighbouring rows / columns (the nearest last) or None at the border. ``crosses(i0, i1, j0, j1,
+    n, m)`` tells (as a Column) which tiles a path may enter; without such a last tile the distance is
+    infinite.
     """
     ids = [*[f"left_{k}" for k in left.keys], *[f"right_{k}" for k in right.keys]]
     pairs = pairs.select(*ids).distinct()
@@ -88,7 +91,12 @@ def _run(left: TS, right: TS, pairs: DataFrame, kernel, out: str, tile: int) ->
 
     answer, edges = None, None
     for wave in range((span or 0) + 1):
-        tiles = join_on(a, b, ids).where(F.col("_leftb") + F.col("_rightb") == wave)
+        # The pieces of a right series are looked up by the left piece they meet on this wave.
+        tiles = join_on(a, b.withColumn("_leftb", F.lit(wave) - F.col("_rightb")), [*ids, "_leftb"])
+        if crosses is not None:
+            i0, j0 = F.col("_leftb") * tile, F.col("_rightb") * tile
+            i1, j1 = F.least(i0 + (tile - 1), F.col("_nleft") - 1), F.least(j0 + (tile - 1), F.col("_nright") - 1)
+            tiles = tiles.where(crosses(i0, i1, j0, j1, F.col("_nleft"), F.col("_nright")))
         # A tile is little data and much work, so tiles are spread by number, not by size; those of
         # one pair also go to different tasks.
         tiles = tiles.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ids, "_leftb")
@@ -100,7 +108,8 @@ def _run(left: TS, right: TS, pairs: DataFrame, kernel, out: str, tile: int) ->
                 tiles = join_on(tiles, got, [*ids, "_leftb", "_rightb"], "left")
         done = tiles.mapInPandas(work, edge_schema)
         if single:
-            return done.select(*ids, F.col("_end").alias(out))
+            answer = done.select(*ids, F.col("_end").alias(out))
+            break
         done = saved(done)
         ended = join_on(done.where("_edge = 'end'"), last, ids).where("_leftb = _la AND _rightb = _lb").select(*ids, F.col("_end").alias(out))
         answer = ended if answer is None else answer.unionByName(ended)
@@ -109,7 +118,9 @@ def _run(left: TS, right: TS, pairs: DataFrame, kernel, out: str, tile: int) ->
             keep = edges.where((F.col("_leftb") + F.col("_rightb") == wave - 1) & (F.col("_edge") == "corner"))
             fresh = fresh.unionByName(keep)
         edges = fresh
-    return answer
+    if crosses is None:
+        return answer
+    return join_on(last.select(*ids), answer, ids, "left").withColumn(out, F.coalesce(out, F.lit(float("inf"))))
 
 
 def _neighbours(t: np.ndarray, top, side, corner) -> None:
@@ -160,7 +171,10 @@ def sakoe_chiba_dtw(left: TS, right: TS, pairs: DataFrame, constraint: int, cost
     def band(i, j, n, m):
         return np.abs(i - j) <= constraint
 
-    return _run(left, right, pairs, _dtw_kernel(cost, band), "dtw", tile)
+    def crosses(i0, i1, j0, j1, n, m):
+        return (i0 - j1 <= constraint) & (j0 - i1 <= constraint)
+
+    return _run(left, right, pairs, _dtw_kernel(cost, band), "dtw", tile, crosses)
 
 
 def itakura_parallelogram_dtw(left: TS, right: TS, pairs: DataFrame, center_offset_percentage: float = 0.0, cost=absolute, tile: int = TILE) -> DataFrame:
@@ -168,15 +182,60 @@ def itakura_parallelogram_dtw(left: TS, right: TS, pairs: DataFrame, center_offs
 
     ``center_offset_percentage`` (of the right length) widens the parallelogram on both sides.
     """
+    pad = center_offset_percentage / 100.0 + 1e-9
 
     def inside(i, j, n, m):
         u, v = i / max(n - 1, 1), j / max(m - 1, 1)
-        pad = center_offset_percentage / 100.0 + 1e-9
         low = np.maximum(u / 2, 2 * u - 1) - pad
         high = np.minimum(2 * u, (u + 1) / 2) + pad
         return (v >= low) & (v <= high)
 
-    return _run(left, right, pairs, _dtw_kernel(cost, inside), "dtw", tile)
+    def crosses(i0, i1, j0, j1, n, m):
+        # Both borders rise, so a tile is outside when its upper end is below the lowest or its lower end above the highest.
+        rows, cols = F.greatest(n - 1, F.lit(1)), F.greatest(m - 1, F.lit(1))
+        u0, u1, v0, v1 = i0 / rows, i1 / rows, j0 / cols, j1 / cols
+        return (v1 >= F.greatest(u0 / 2, 2 * u0 - 1) - pad) & (v0 <= F.least(2 * u1, (u1 + 1) / 2) + pad)
+
+    return _run(left, right, pairs, _dtw_kernel(cost, inside), "dtw", tile, crosses)
+
+
+def lower_bounds(left: TS, right: TS, pairs: DataFrame, constraint: int) -> DataFrame:
+    """``bound`` per pair, never above its ``sakoe_chiba_dtw`` of absolute differences.
+
+    Every left value meets a right one within ``constraint`` rows, so it costs at least its distance
+    to the range (envelope) of those. One join by position, linear in the pairs' rows.
+    """
+    lids, rids = [f"left_{k}" for k in left.keys], [f"right_{k}" for k in right.keys]
+    rows = left.row_index("_rn").select(*[F.col(k).alias(i) for k, i in zip(left.keys, lids)], "_rn", F.col("value").alias("_x"))
+
+    def envelope(w):
+        near = w.rowsBetween(-constraint, constraint)
+        return {"_low": F.min("value").over(near), "_high": F.max("value").over(near)}
+
+    around = right.frame(envelope, before=constraint, after=constraint, df=right.row_index("_rn"))
+    around = around.select(*[F.col(k).alias(i) for k, i in zip(right.keys, rids)], "_rn", "_low", "_high")
+    there = right.df.select(*[F.col(k).alias(i) for k, i in zip(right.keys, rids)]).distinct()
+    pairs = join_on(pairs.select(*lids, *rids).distinct(), there, rids, "left_semi")
+    meet = join_on(join_on(pairs, rows, lids), around, [*rids, "_rn"], "left")
+    off = F.greatest(F.col("_x") - F.col("_high"), F.col("_low") - F.col("_x"), F.lit(0.0))
+    return meet.groupBy(*lids, *rids).agg(F.sum(F.coalesce(off, F.lit(0.0))).alias("bound"))
+
+
+def nearest(left: TS, right: TS, pairs: DataFrame, constraint: int, tile: int = TILE) -> DataFrame:
+    """The closest right series of every left one among ``pairs``, by ``sakoe_chiba_dtw``; ties to the smaller key.
+
+    The pair of the least bound is worked out first; then only pairs whose bound is not above that
+    distance are.
+    """
+    lids, rids = [f"left_{k}" for k in left.keys], [f"right_{k}" for k in right.keys]
+    bounds = saved(lower_bounds(left, right, pairs, constraint))
+    first = bounds.groupBy(*lids).agg(F.min_by(F.struct(*rids), F.struct("bound", *rids)).alias("_r")).select(*lids, *[F.col(f"_r.{r}").alias(r) for r in rids])
+    tried = saved(sakoe_chiba_dtw(left, right, first, constraint, tile=tile))
+    rest = join_on(bounds, tried.select(*lids, F.col("dtw").alias("_best")), lids).where(F.col("bound") <= F.col("_best"))
+    rest = join_on(rest, first, [*lids, *rids], "left_anti").select(*lids, *rids)
+    every = tried.unionByName(sakoe_chiba_dtw(left, right, rest, constraint, tile=tile).select(*tried.columns))
+    best = every.groupBy(*lids).agg(F.min(F.struct("dtw", *rids)).alias("_m"))
+    return best.select(*lids, *[F.col(f"_m.{r}").alias(r) for r in rids], F.col("_m.dtw").alias("dtw"))
 
 
 def damerau_levenshtein(
@@ -187,6 +246,15 @@ def damerau_levenshtein(
     ``substitute`` is a number or ``f(a, b)``; equal values cost nothing.
     """
 
+    def prices(x, y, same):
+        """Cost of putting y for x, asked once per pair of distinct values."""
+        if not callable(substitute):
+            return np.where(same, 0.0, substitute)
+        xs, xi = _numbered(x)
+        ys, yi = _numbered(y)
+        table = np.array([[0.0 if a == b else substitute(a, b) for b in ys] for a in xs], float)
+        return np.where(same, 0.0, table[xi[:, None], yi[None, :]])
+
     def kernel(piece, top, side, corner):
         # One value of either side is kept in front, so that swaps across a tile's border are seen.
         x, y = [piece.x_before, *piece.x], [piece.y_before, *piece.y]
@@ -196,15 +264,29 @@ def damerau_levenshtein(
         if piece.j0 == 0:
             t[max(0, 1 - piece.i0) :, 1] = (np.arange(len(x) + 1) + piece.i0 - 1)[max(0, 1 - piece.i0) :] * delete
         _neighbours(t, top, side, corner)
-        for i in range(1, len(x)):
-            for j in range(1, len(y)):
-                same = x[i] == y[j]
-                price = 0.0 if same else (substitute(x[i], y[j]) if callable(substitute) else substitute)
-                best = min(t[i, j + 1] + delete, t[i + 1, j] + insert, t[i, j] + price)
-                if not same and i + piece.i0 > 1 and j + piece.j0 > 1 and x[i] == y[j - 1] and x[i - 1] == y[j]:
-                    best = min(best, t[i - 1, j - 1] + transpose)
-                t[i + 1, j + 1] = best
+        code = {}
+        a, b = (np.array([code.setdefault(v, len(code)) for v in s]) for s in (x, y))
+        same = a[1:, None] == b[None, 1:]
+        price = prices(piece.x, piece.y, same)
+        swap = ~same & (a[1:, None] == b[None, :-1]) & (a[:-1, None] == b[None, 1:])
+        if piece.i0 == 0:
+            swap[0] = False
+        if piece.j0 == 0:
+            swap[:, 0] = False
+        rows, cols = same.shape
+        # Cells of one anti-diagonal do not depend on each other.
+        for d in range(rows + cols - 1):
+            i = np.arange(max(0, d - cols + 1), min(rows, d + 1))
+            j = d - i
+            best = np.minimum(np.minimum(t[i + 1, j + 2] + delete, t[i + 2, j + 1] + insert), t[i + 1, j + 1] + price[i, j])
+            t[i + 2, j + 2] = np.where(swap[i, j], np.minimum(best, t[i, j] + transpose), best)
         return t[2:, 2:]
 
     return _run(left, right, pairs, kernel, "distance", tile)
 
+
+def _numbered(values: list) -> tuple[list, np.ndarray]:
+    """Distinct values, and the number of each value among them."""
+    seen: dict = {}
+    at = np.array([seen.setdefault(v, len(seen)) for v in values], int)
+    return list(seen), at

@@ -57,18 +57,40 @@ def longest(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def _scale(df: DataFrame, c: str, step: int) -> Column | None:
-    """An order column as a double, exact enough to cut by; a string by its bytes, six a step. None: it has no scale."""
+    """An order column as a double to cut by. None: it has no (further) scale.
+
+    Values that a double cannot tell apart differ in a later step: a string goes on with its next
+    six bytes, a long, timestamp or decimal with what the doubles before left of it.
+    """
     kind = df.schema[c].dataType
     if isinstance(kind, T.StringType):
         block = F.substring(F.encode(F.col(c), "UTF-8"), 6 * step + 1, 6)
         return F.when(F.col(c).isNotNull(), F.conv(F.rpad(F.hex(block), 12, "0"), 16, 10).cast("double"))
-    if step:
-        return None
-    if isinstance(kind, (T.NumericType, T.BooleanType)):
-        return F.col(c).cast("int").cast("double") if isinstance(kind, T.BooleanType) else F.col(c).cast("double")
+    value, exact = F.col(c), None
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
-    return F.unix_date(c).cast("double") if isinstance(kind, T.DateType) else None
+        value, exact = F.unix_micros(value.cast("timestamp")), "decimal(38,0)"
+    elif isinstance(kind, T.LongType):
+        exact = "decimal(38,0)"
+    elif isinstance(kind, T.DecimalType):
+        exact = f"decimal(38,{kind.scale})"
+    elif isinstance(kind, T.BooleanType):
+        value = value.cast("int")
+    elif isinstance(kind, T.DateType):
+        value = F.unix_date(value)
+    elif not isinstance(kind, T.NumericType):
+        return None
+    if step and (exact is None or step > _steps(kind)):
+        return None
+    for _ in range(step):
+        value = value.cast(exact) - F.coalesce(value.cast("double").try_cast(exact), F.lit(0).cast(exact))
+    return value.cast("double")
+
+
+def _steps(kind: T.DataType) -> int:
+    """Further steps that tell all values of a type apart."""
+    if isinstance(kind, T.DecimalType):
+        return 2 if kind.precision > 15 else 0
+    return 1 if isinstance(kind, (T.LongType, T.TimestampType, T.TimestampNTZType)) else 0
 
 
 def add_chunk(df: DataFrame, keys: Sequence[str], by: Sequence[str], rows: int) -> tuple[DataFrame, int]:
@@ -106,7 +128,7 @@ def add_chunk(df: DataFrame, keys: Sequence[str], by: Sequence[str], rows: int)
             break
         if n_wide == 0:
             left.pop(0)
-            if text and length > 6 * (step + 1):
+            if length > 6 * (step + 1) if text else step < _steps(df.schema[column].dataType):
                 left.insert(0, (column, step + 1))
             continue
         name, bucket = f"_c{len(path)}", F.col("_bucket")
@@ -275,6 +297,10 @@ def frame(
     return out.where(F.col("_home") == blk).drop("_at", "_home")
 
 
+#: Rounds in which blocks run side by side before what has not settled is run in order.
+FOLD_ROUNDS = 3
+
+
 def fold(
     df: DataFrame,
     keys: Sequence[str],
@@ -284,62 +310,101 @@ def fold(
     init: str,
     schema: str,
     rows: int = 100_000,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """Run a sequential state machine along each series.
 
     ``step(block, state) -> (rows, state)`` gets at most ``rows`` ordered rows and the state left by
     the block before (a string). Blocks run side by side from ``init``; a block is run again only
     while the state handed to it differs from the one it used, so state machines that reset settle
-    in a few rounds and all others are still exact. ``schema`` describes the rows ``step`` returns,
-    without the keys.
+    in a round or two. After ``FOLD_ROUNDS`` rounds the rest of every series whose state never
+    forgets runs through one sorted stream, from its first unsettled block on and a batch at a time:
+    tables and task time stay linear in the blocks, and all results are exact. ``schema`` describes
+    the rows ``step`` returns, without the keys. ``start`` (keys, ``_init``) has the states that
+    series begin with instead of ``init``.
     """
     keys = list(keys)
     bounded = is_bounded(df, keys, rows)
     key_ddl = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     lead = list(dict.fromkeys([*by, *columns]))
+    narrow = df.select(*dict.fromkeys([*keys, *lead]))
     if bounded:
+        if start is not None:
+            narrow = join_on(narrow, start.select(*keys, "_init"), keys, "left")
 
         def whole(key, pdf):
-            out, _ = step(pdf.sort_values(list(by)).reset_index(drop=True), init)
+            at = init
+            if "_init" in pdf.columns:
+                given = pdf.pop("_init").iat[0]
+                at = init if given is None else given
+            out, _ = step(pdf.sort_values(list(by)).reset_index(drop=True), at)
             for i, k in enumerate(keys):
                 out[k] = key[i]
             return out
 
-        return df.select(*dict.fromkeys([*keys, *lead])).groupBy(*keys).applyInPandas(whole, f"{key_ddl}, {schema}")
-    blocks = row_index(df, keys, by, "_rn", rows, bounded=False)
-    blocks = saved(blocks.select(*dict.fromkeys([*keys, *lead]), "_rn", F.floor(F.col("_rn") / rows).alias("_blk")))
+        return narrow.groupBy(*keys).applyInPandas(whole, f"{key_ddl}, {schema}")
+    blocks = row_index(narrow, keys, by, "_rn", rows, bounded=False)
+    blocks = saved(blocks.withColumn("_blk", F.floor(F.col("_rn") / rows)))
     group = [*keys, "_blk"]
 
     def states(key, pdf):
-        _, state = step(pdf.sort_values("_rn").reset_index(drop=True), pdf["_in"].iat[0])
+        at = pdf.pop("_in").iat[0]
+        _, state = step(pdf.sort_values("_rn").reset_index(drop=True), at)
         return pd.DataFrame([[*key, state]], columns=[*group, "_out"])
 
-    ids = blocks.select(*group).distinct()
-    used = saved(ids.withColumn("_in", F.lit(init)))
+    ids = blocks.select(*group).distinct().withColumn("_in", F.lit(init))
+    if start is not None:
+        given = F.when(F.col("_blk") == 0, F.coalesce("_init", F.lit(init))).otherwise(F.lit(init))
+        ids = join_on(ids, start.select(*keys, "_init"), keys, "left").withColumn("_in", given).drop("_init")
+    used = saved(ids)
     n_blocks = used.count()
     out_states, todo = None, used
     along = Window.partitionBy(*keys).orderBy("_blk")
-    while True:
-        ran = saved(
-            join_on(blocks, small(todo, n_blocks), group)
-            .groupBy(*group)
-            .applyInPandas(states, f"{key_ddl}, _blk long, _out string")
-        )
-        if out_states is None:
-            out_states = ran
-        else:
-            out_states = saved(ran.unionByName(join_on(out_states, ran, group, "left_anti")))
-        handed = out_states.select(*group, F.lag("_out", 1, init).over(along).alias("_new"))
-        both = saved(join_on(used, handed, group))
+    for _ in range(FOLD_ROUNDS):
+        ran = join_on(blocks, small(todo, n_blocks), group).groupBy(*group).applyInPandas(states, f"{key_ddl}, _blk long, _out string")
+        if out_states is not None:
+            ran = saved(ran)
+            ran = ran.unionByName(join_on(out_states, ran, group, "left_anti"))
+        out_states = saved(ran)
+        # The first block keeps the state it began with.
+        handed = join_on(used, out_states, group).withColumn("_new", F.coalesce(F.lag("_out").over(along), F.col("_in")))
+        both = saved(handed.select(*group, "_in", "_new"))
         todo = both.where(~F.col("_in").eqNullSafe(F.col("_new"))).select(*group, F.col("_new").alias("_in"))
-        used = both.select(*group, F.col("_new").alias("_in"))
         if todo.isEmpty():
             break
+        used = both.select(*group, F.col("_new").alias("_in"))
 
     def emit(key, pdf):
-        out, _ = step(pdf.sort_values("_rn").reset_index(drop=True), pdf["_in"].iat[0])
+        at = pdf.pop("_in").iat[0]
+        out, _ = step(pdf.sort_values("_rn").reset_index(drop=True), at)
         for i, k in enumerate(keys):
             out[k] = key[i]
         return out
 
-    return join_on(blocks, small(used, n_blocks), group).groupBy(*group).applyInPandas(emit, f"{key_ddl}, {schema}")
+    ddl = f"{key_ddl}, {schema}"
+    # Up to its first unsettled block a series has the right states.
+    first = saved(todo.groupBy(*keys).agg(F.min_by(F.struct(F.col("_blk").alias("_first"), F.col("_in").alias("_from")), "_blk").alias("_f")).select(*keys, "_f.*"))
+    if first.isEmpty():
+        return join_on(blocks, small(used, n_blocks), group).groupBy(*group).applyInPandas(emit, ddl)
+    spared = join_on(used, small(first.select(*keys, "_first"), n_blocks), keys, "left").where("_first IS NULL OR _blk < _first").drop("_first")
+    done = join_on(blocks, small(spared, n_blocks), group).groupBy(*group).applyInPandas(emit, ddl)
+    rest = join_on(blocks, small(first, n_blocks), keys).where("_blk >= _first")
+    rest = rest.withColumn("_in", F.when(F.col("_rn") == F.col("_first") * rows, F.col("_from"))).drop("_first", "_from", "_blk")
+
+    def run(batches):
+        state = None
+        for pdf in batches:
+            given = pdf.pop("_in")
+            starts = [i for i, x in enumerate(given.notna().tolist()) if x]  # the first row of each series
+            for i, j in zip([0, *starts], [*starts, len(pdf)]):
+                if i == j:
+                    continue
+                part = pdf.iloc[i:j].reset_index(drop=True)
+                state = given.iat[i] if given.notna().iat[i] else state
+                out, state = step(part, state)
+                for k in keys:
+                    out[k] = part[k].iat[0]
+                yield out
+
+    stream = rest.repartition(*keys).sortWithinPartitions(*keys, "_rn")
+    return done.unionByName(stream.mapInPandas(run, ddl))

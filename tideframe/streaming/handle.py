@@ -1,8 +1,10 @@
 """Series in motion: the operators of the batch handle on a streaming DataFrame.
 
 A stream has the key columns, ``tick`` (milliseconds), ``time`` (the same instant as a timestamp, with
-the watermark on it) and ``value``. Late rows, by more than ``delay``, are dropped by Spark; their number
-is in the progress of the running query (``late_rows``).
+the watermark on it), tie-breakers and ``value``. Late rows, by more than ``delay``, are dropped by Spark;
+their number is in the progress of the running query (``late_rows``). Order-based operators keep the rows
+the watermark has not passed yet, in columns of their own kind, and what the step needs; with ``idle`` set
+the state of a key that had no row for so long (of event time) is given up.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import interpolators as ip
+from ..functions.interpolators import Interpolator
 from ..handle import as_column
 from ..trs import TRS, epoch_ms
 
@@ -24,6 +28,11 @@ class StreamTS:
     df: DataFrame
     keys: tuple[str, ...]
     delay: str = "1 hour"
+    ord: tuple[str, ...] = ()
+    #: Milliseconds after which a key without rows is forgotten; None: never.
+    idle: int | None = None
+    #: Time between two polls of the source; None: take what is there and end.
+    polling_interval: str | None = None
 
     def with_df(self, df: DataFrame) -> StreamTS:
         return replace(self, df=df)
@@ -47,9 +56,33 @@ class StreamTS:
         """Ticks of another time reference system; the event time stays."""
         return self.with_df(self.df.withColumn("tick", trs.to_index(F.unix_millis("time"))))
 
-    def partition(self, num_partitions: int) -> StreamTS:
-        """Spread the keys over ``num_partitions`` tasks."""
-        return self.with_df(self.df.repartition(num_partitions, *self.keys))
+    def partition(self, num_partitions: int, polling_interval: str | None = None) -> StreamTS:
+        """Spread the keys over ``num_partitions`` tasks; ``polling_interval`` is the time between two polls of the source."""
+        out = self.with_df(self.df.repartition(num_partitions, *self.keys))
+        return replace(out, polling_interval=polling_interval or self.polling_interval)
+
+    def to_parquet(self, path: str, checkpoint: str | None = None):
+        """Start writing the observations: once through what is there, or on and on at the polling interval."""
+        from .io import to_parquet
+
+        return to_parquet(self.df.drop("time"), path, checkpoint, self.polling_interval)
+
+    def through(self, path: str, checkpoint: str | None = None, delay: str | None = None) -> StreamTS:
+        """The same series read back from files at ``path``, as a stream with a watermark of its own.
+
+        The order-based operators release observations when others have come after them, so their
+        ticks may lie far behind the watermark; through files any windows, joins and further
+        operators can follow. Without a polling interval what is there is written first; with one
+        the first query goes on writing.
+        """
+        columns = [*self.keys, "tick", *self.ord, "value"]
+        narrow = self.with_df(self.df.select(*columns, "time"))
+        query = narrow.to_parquet(path, checkpoint)
+        if self.polling_interval is None:
+            query.awaitTermination()
+        delay = delay or self.delay
+        back = self.df.sparkSession.readStream.schema(narrow.df.select(*columns).schema).parquet(path)
+        return replace(self, df=back.withColumn("time", F.timestamp_millis("tick")).withWatermark("time", delay), delay=delay)
 
     # Segments
 
@@ -91,85 +124,156 @@ class StreamTS:
 
     # Order-based: rows wait for the watermark, then run through a resumable step
 
-    def fold(self, step: Callable, init: str, schema: str) -> DataFrame:
+    def fold(self, step: Callable, init: str, schema: str, start: DataFrame | None = None) -> DataFrame:
         """Resumable step ``(rows, state) -> (rows, state)`` along each series in tick order.
 
         The same steps as the batch ``fold`` take. A row is handed over once the watermark has passed
-        its tick, so the state holds only the rows of the last ``delay`` and what the step keeps.
+        its tick, in the order of tick and tie-breakers, so the state holds only the rows of the last
+        ``delay`` and what the step keeps. ``start`` (keys, ``_init``, ``last_time``) has the states
+        that series begin with; rows up to ``last_time`` and keys without one are left out.
         """
-        keys = list(self.keys)
-        ddl = ", ".join(f"`{k}` {self.df.schema[k].dataType.simpleString()}" for k in keys)
-        names = [p.strip().split(" ")[0] for p in _split(schema)]
+        keys, held = list(self.keys), ["tick", *self.ord, "value"]
+        rows = self.df.select(*keys, "time", *held)
+        if start is not None:
+            rows = rows.join(start.select(*keys, "_init", "last_time"), keys).where(F.col("tick") > F.col("last_time")).drop("last_time")
+        kind = lambda df, c: df.schema[c].dataType.simpleString()
+        ddl = ", ".join(f"`{k}` {kind(self.df, k)}" for k in keys)
+        names = [p.strip().split(" ")[0].strip("`") for p in _split(schema)]
+        by, idle = [*range(1 + len(self.ord))], self.idle
+        state_ddl = ", ".join([*(f"`w_{c}` array<{kind(rows, c)}>" for c in held), "inner string", "newest long"])
 
         def run(key, batches, state):
-            waiting, inner = json.loads(state.get[0]) if state.exists else ([], init)
+            waiting, inner, newest = [], init, 0
+            if state.exists:
+                *columns, inner, newest = state.get
+                waiting = list(zip(*columns))
+            elif state.hasTimedOut:
+                return
+            fresh = not state.exists
             for pdf in batches:
-                waiting.extend([int(t), _plain(v)] for t, v in zip(pdf["tick"], pdf["value"]))
+                waiting.extend(zip(*[_listed(pdf[c]) for c in held]))
+                if fresh and "_init" in pdf.columns:
+                    inner, fresh = pdf["_init"].iat[0], False
             mark = state.getCurrentWatermarkMs()
-            ready = sorted((w for w in waiting if w[0] < mark), key=lambda w: w[0])
+            newest = max([newest, *(w[0] for w in waiting)])
+            ready = sorted((w for w in waiting if w[0] < mark), key=lambda w: [(w[i] is not None, w[i]) for i in by])
             waiting = [w for w in waiting if w[0] >= mark]
             out = None
             if ready:
-                out, inner = step(pd.DataFrame(ready, columns=["tick", "value"]), inner)
-            state.update((json.dumps([waiting, inner]),))
+                out, inner = step(pd.DataFrame({c: list(v) for c, v in zip(held, zip(*ready))}), inner)
             if waiting:
                 state.setTimeoutTimestamp(max(min(w[0] for w in waiting) + 1, mark + 1))
+            elif idle is not None and mark >= newest + idle:
+                if state.exists:
+                    state.remove()
+                newest = None
+            elif idle is not None:
+                state.setTimeoutTimestamp(max(newest + idle, mark + 1))
+            if newest is not None:
+                state.update((*([list(c) for c in zip(*waiting)] if waiting else [[] for _ in held]), inner, newest))
             if out is not None and len(out):
                 for k, v in zip(keys, key):
                     out[k] = v
                 yield out[[*keys, *names]]
 
-        rows = self.df.select(*keys, "tick", "time", "value")
-        return rows.groupBy(*keys).applyInPandasWithState(run, f"{ddl}, {schema}", "held string", "append", "EventTimeTimeout")
+        return rows.groupBy(*keys).applyInPandasWithState(run, f"{ddl}, {schema}", state_ddl, "append", "EventTimeTimeout")
 
-    def fillna(self, kind: str = "prev", default=None) -> StreamTS:
-        """Replace missing values by the previous, next, nearest or linear neighbour value.
+    def fillna(self, interp: str | Interpolator = "prev", default=None) -> StreamTS:
+        """Replace missing values by an interpolator's: any of the batch ones, or the name of one of the plain kinds.
 
-        A missing value waits for the observation after it, unless ``prev`` is asked for.
+        A missing value waits until as many observations after it have come as the interpolator
+        looks ahead; the state keeps as many before it as it looks back.
         """
+        interp = _interpolator(interp, default)
+        back, ahead = interp.history_size, interp.future_size
 
         def step(block, state):
-            last, gap = json.loads(state)
+            past, gaps = json.loads(state)  # gaps: [ticks, points before, points after], the oldest first
             out = []
             for t, v in zip(block["tick"].tolist(), block["value"].tolist()):
                 if v is None or v != v:
-                    if kind == "prev":
-                        out.append([t, last[1] if last else default])
+                    if not ahead:
+                        out.append([t, None, past, []])
+                        continue
+                    if gaps and not gaps[-1][2]:
+                        gaps[-1][0].append(t)
                     else:
-                        gap.append(t)
+                        gaps.append([[t], past, []])
                     continue
-                out.extend([g, _between(kind, g, last, [t, v], default)] for g in gap)
-                gap, last = [], [t, v]
-                out.append([t, v])
-            return pd.DataFrame(out, columns=["tick", "value"]), json.dumps([last, gap])
+                for gap in gaps:
+                    gap[2].append([t, v])
+                while gaps and len(gaps[0][2]) == ahead:
+                    ticks, before, after = gaps.pop(0)
+                    out.extend([g, None, before, after] for g in ticks)
+                past = [*past, [t, v]][-back:] if back else []
+                out.append([t, v, None, None])
+            return _seen(out), json.dumps([past, gaps])
 
-        return self._stepped(step, json.dumps([None, []]))
+        return self._interpolated(step, json.dumps([[], []]), interp)
 
-    def resample(self, period: int, kind: str = "prev", default=None) -> StreamTS:
-        """Regular ticks from each series' first one, every ``period`` milliseconds, up to the last released tick."""
+    def resample(self, period: int, interp: str | Interpolator = "prev", default=None) -> StreamTS:
+        """Regular ticks from each series' first one, every ``period`` milliseconds, up to the last released tick.
+
+        A tick without an observation of its own waits as in ``fillna``.
+        """
+        interp = _interpolator(interp, default)
+        back, ahead = interp.history_size, interp.future_size
 
         def step(block, state):
-            last, grid = json.loads(state)
+            past, gaps, grid = json.loads(state)
             out = []
             for t, v in zip(block["tick"].tolist(), block["value"].tolist()):
                 grid = t if grid is None else grid
-                while grid <= t:
-                    out.append([grid, v if grid == t else _between(kind, grid, last, [t, v], default)])
+                ticks = list(range(grid, t, period))
+                grid += len(ticks) * period
+                if ticks and ahead:
+                    gaps.append([ticks, past, []])
+                else:
+                    out.extend([g, None, past, []] for g in ticks)
+                if grid == t:
+                    out.append([t, v, None, None])
                     grid += period
-                last = [t, v]
-            return pd.DataFrame(out, columns=["tick", "value"]), json.dumps([last, grid])
-
-        return self._stepped(step, json.dumps([None, None]))
-
-    def _stepped(self, step, init) -> StreamTS:
-        out = self.fold(step, init, "tick long, value double")
-        return self.with_df(out.withColumn("time", F.timestamp_millis("tick")))
-
-    def forecast(self, smoothing: float = 0.3, confidence: float = 0.95) -> DataFrame:
-        """Online model: rows (keys, tick, value, forecast, lower, upper, is_anomaly); each row updates the model after its test."""
+                for gap in gaps:
+                    gap[2].append([t, v])
+                while gaps and len(gaps[0][2]) == ahead:
+                    ticks, before, after = gaps.pop(0)
+                    out.extend([g, None, before, after] for g in ticks)
+                past = [*past, [t, v]][-back:] if back else []
+            return _seen(out), json.dumps([past, gaps, grid])
+
+        return self._interpolated(step, json.dumps([[], [], None]), interp)
+
+    def _interpolated(self, step, init: str, interp: Interpolator) -> StreamTS:
+        """Runs a step that tells the neighbours of missing values, then the interpolator's expression."""
+        doubles = self.with_df(self.df.withColumn("value", F.col("value").cast("double")))
+        near = "array<struct<tick:bigint,value:double>>"
+        rows = doubles.fold(step, init, f"tick long, value double, past {near}, after {near}")
+        value = F.when(F.col("past").isNull(), F.col("value")).otherwise(interp.expr(F.col("tick"), F.col("past"), F.col("after")).cast("double"))
+        out = rows.select(*self.keys, "tick", value.alias("value"))
+        return replace(self.with_df(out.withColumn("time", F.timestamp_millis("tick"))), ord=())
+
+    def forecast(self, model: float | DataFrame = 0.3, confidence: float = 0.95) -> DataFrame:
+        """Online model: rows (keys, tick, value, forecast, lower, upper, is_anomaly); each row updates the model after its test.
+
+        ``model``: a table of trained models of any kind (joined to the stream by key; rows up to a
+        model's last tick and keys without a model are left out), or the smoothing weight of an
+        exponential average that starts with the stream.
+        """
         from ..functions.special import normal_quantile
 
         z = normal_quantile(0.5 + confidence / 2)
+        if isinstance(model, DataFrame):
+            from ..operators.forecast import online_state
+            from ..operators.online import tested
+
+            def follow(block, state):
+                out, state = tested(block, state, z)
+                return pd.concat([block[["tick", "value"]].reset_index(drop=True), out], axis=1), state
+
+            start = online_state(model, self.keys).join(model.select(*self.keys, "last_time"), list(self.keys))
+            fields = "tick long, value double, forecast double, lower double, upper double, is_anomaly boolean"
+            return self.fold(follow, "{}", fields, start)
+        smoothing = model
 
         def step(block, state):
             level, sse, n = json.loads(state)
@@ -250,6 +354,13 @@ class StreamTS:
         return out.select(F.unix_millis("w.start").alias("tick"), *[str(k) for k in keys])
 
 
+def to_observation_stream(df: DataFrame, keys, name: str = "key") -> StreamTS:
+    """A stream of multi-observations (``tick`` and a column per key) as single ones again; nulls are no observations."""
+    each = F.explode(F.array(*[F.struct(F.lit(str(k)).alias(name), F.col(f"`{k}`").alias("value")) for k in keys])).alias("_o")
+    out = df.select("tick", each).select(f"_o.{name}", "tick", "_o.value").where("value IS NOT NULL")
+    return StreamTS(out.withColumn("time", F.timestamp_millis("tick")), (name,))
+
+
 @dataclass(frozen=True)
 class SegmentStream:
     """Windows of a stream; ``transform`` reduces each closed one."""
@@ -289,31 +400,29 @@ def _split(schema: str) -> list[str]:
     return [*out, part]
 
 
-def _plain(v):
-    if v is None or isinstance(v, str):
-        return v
-    v = float(v)
-    return None if v != v else v
+def _listed(column: pd.Series) -> list:
+    """Python values; NaN in a column of numbers stands for null there."""
+    return [None if v is None or v is pd.NaT or v != v else v for v in column.tolist()]
+
+
+def _seen(rows: list) -> pd.DataFrame:
+    near = lambda points: None if points is None else [{"tick": t, "value": v} for t, v in points]
+    return pd.DataFrame([[t, v, near(a), near(b)] for t, v, a, b in rows], columns=["tick", "value", "past", "after"])
+
 
+def _interpolator(interp: str | Interpolator, default) -> Interpolator:
+    plain = {"prev": ip.prev, "next": ip.next, "nearest": ip.nearest, "linear": ip.linear, "cubic": ip.cubic}
+    return plain[interp](default) if isinstance(interp, str) else interp
 
-def _between(kind: str, t, before, after, default):
-    if kind == "next":
-        return after[1]
-    if before is None:
-        return default
-    if kind == "prev":
-        return before[1]
-    if kind == "nearest":
-        return before[1] if t - before[0] <= after[0] - t else after[1]
-    if kind == "linear":
-        return before[1] + (after[1] - before[1]) / (after[0] - before[0]) * (t - before[0])
-    raise ValueError(kind)
 
+def stream_series(df: DataFrame, ts_column: str, key_column, value_column, delay: str = "1 hour", ord=(), idle: int | None = None) -> StreamTS:
+    """Streaming table -> streaming series with a watermark of ``delay``.
 
-def stream_series(df: DataFrame, ts_column: str, key_column, value_column, delay: str = "1 hour") -> StreamTS:
-    """Streaming table -> streaming series with a watermark of ``delay``."""
+    ``ord``: tie-breaker columns; ``idle``: milliseconds after which a key without rows is forgotten.
+    """
+    ord = (ord,) if isinstance(ord, str) else tuple(ord)
     keys = (key_column,) if isinstance(key_column, str) else tuple(key_column)
     tick = epoch_ms(F.col(ts_column), df.schema[ts_column].dataType.simpleString())
-    out = df.select(*keys, tick.alias("tick"), as_column(value_column).alias("value"))
+    out = df.select(*keys, tick.alias("tick"), *ord, as_column(value_column).alias("value"))
     out = out.withColumn("time", F.timestamp_millis("tick")).withWatermark("time", delay)
-    return StreamTS(out, keys, delay)
+    return StreamTS(out, keys, delay, ord, idle)
