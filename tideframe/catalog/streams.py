@@ -169,16 +169,16 @@ SELECT user_id, CAST(tick // {DAY} * {DAY} AS BIGINT) AS seg_start, count(*) AS
 )
 def _(spark, sf):
     """A tenth of the older events comes after the watermark has passed them and is dropped."""
-    path, at = scratch(spark, "late"), scratch(spark, "late-checkpoint")
+    path, at, done = scratch(spark, "late"), scratch(spark, "late-checkpoint"), scratch(spark, "late-windows")
     every = table(spark, sf, "events")
     edge = F.lit(every.agg((F.unix_millis(F.max("ts").cast("timestamp")) - HOUR - 5 * DAY).alias("m")).first().m)
     late = (F.col("event_id") % 10 == 0) & (F.unix_millis(F.col("ts").cast("timestamp")) < edge)
-    found = []
     for part in (~late, late):
         every.where(part).coalesce(1).write.mode("append").parquet(path)
         ts = stream_series(spark.readStream.schema(every.schema).parquet(path), "ts", "user_id", "value")
-        found.append(run(ts.segment_by_time("1 day").transform(n="count(*)"), at))
-    return found[0].unionByName(found[1]).select("user_id", "seg_start", "n")
+        closed = ts.segment_by_time("1 day").transform(n="count(*)")
+        add_sink(closed, lambda batch, id: batch.write.mode("overwrite").parquet(f"{done}/batch={id}"), at).awaitTermination()
+    return spark.read.parquet(done).select("user_id", "seg_start", "n")
 
 
 @query("stream_source", "SELECT event_type, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events WHERE event_type <> 'error' GROUP BY 1")
