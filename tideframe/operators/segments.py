@@ -331,7 +331,7 @@ def _by_panes(segs: Segments, of_panes) -> DataFrame:
     v = F.col("value").cast("double")
     panes = src.df.groupBy(*keys, F.floor(F.col("_at") / g).alias("_p")).agg(
         F.min("tick").alias("_t"), F.count("value").alias("_n"), F.avg(v).alias("_avg"), F.sum("value").alias("_s"),
-        F.coalesce(F.var_pop(v), F.lit(0.0)).alias("_var"), F.min("value").alias("_lo"), F.max("value").alias("_hi"),
+        F.coalesce(F.var_pop(v), F.lit(0.0)).alias("_var"), F.min("value").alias("_low"), F.max("value").alias("_high"),
         F.max("_last").alias("_last"), *[F.first(c).alias(c) for c in first],
     )
     panes = panes.withColumn("_b", F.floor(F.col("_p") / wide))
@@ -346,7 +346,7 @@ def _by_panes(segs: Segments, of_panes) -> DataFrame:
     def carried(order, suffix):
         w = block.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         sums = {f"{c}{suffix}": F.sum(c).over(w) for c in ("_n", "_s", "_d1", "_d2")}
-        return sums | {f"_t{suffix}": F.min("_t").over(w), f"_lo{suffix}": F.min("_lo").over(w), f"_hi{suffix}": F.max("_hi").over(w)}
+        return sums | {f"_t{suffix}": F.min("_t").over(w), f"_low{suffix}": F.min("_low").over(w), f"_high{suffix}": F.max("_high").over(w)}
 
     panes = panes.withColumns(carried(F.asc("_p"), "_up") | carried(F.desc("_p"), "_down"))
     along = Window.partitionBy(*keys).orderBy("_p")
@@ -361,7 +361,7 @@ def _by_panes(segs: Segments, of_panes) -> DataFrame:
     starts = F.when(F.col("_before").isNull(), lo).otherwise(F.greatest(lo, F.floor(F.col("_before") / step) + 1))
     ends = F.when(F.col("_after").isNull(), hi).otherwise(F.least(hi, F.greatest(zero, F.ceil((F.col("_after") - (wide - 1)) / step)) - 1))
     limit = F.least(hi, F.col("_last"))
-    parts = ["_n", "_s", "_d1", "_d2", "_t", "_lo", "_hi"]
+    parts = ["_n", "_s", "_d1", "_d2", "_t", "_low", "_high"]
     opened = panes.where(starts <= limit).select(
         *keys, F.explode(F.sequence(starts, limit)).alias("seg_id"), F.col("_b").alias("_b1"), F.col("_c").alias("_c1"), *first, *[F.col(f"{c}_down").alias(f"{c}1") for c in parts]
     )
@@ -387,7 +387,7 @@ def _by_panes(segs: Segments, of_panes) -> DataFrame:
     between = F.when((n1 > 0) & (n2 > 0), (mean1 - mean2) * (mean1 - mean2) * n1 * n2 / n).otherwise(0.0)
     facts = {
         "n": n, "sum": F.when(n > 0, part("_s1", use1, F.lit(0)) + part("_s2", use2, F.lit(0))), "squares": m1 + m2 + between,
-        "min": F.least(F.when(use1, F.col("_lo1")), F.when(use2, F.col("_lo2"))), "max": F.greatest(F.when(use1, F.col("_hi1")), F.when(use2, F.col("_hi2"))),
+        "min": F.least(F.when(use1, F.col("_low1")), F.when(use2, F.col("_low2"))), "max": F.greatest(F.when(use1, F.col("_high1")), F.when(use2, F.col("_high2"))),
     }
     tick = F.least(F.when(use1, F.col("_t1")), F.when(use2, F.col("_t2"))) if not first else F.col(src.first) + F.col("seg_id") * src.step
     return both.select(*keys, tick.alias("tick"), "seg_id", of_panes(facts).alias("value"))
