@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..handle import Segments, TS, as_column
 from ..plans import is_bounded, join_on
@@ -40,42 +43,82 @@ def map_optional(ts: TS, fn: Callable[[pd.Series], pd.Series], value_type: str)
     return out.with_df(out.df.where(F.col("value").isNotNull() & ~F.isnan("value") if value_type in ("double", "float") else F.col("value").isNotNull()))
 
 
+def _marked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Nulls of ``columns`` as bits of ``_null``, and 0 in their place in whole numbers, which pandas would turn into doubles."""
+    bits = [F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(columns)]
+    whole = {c: F.coalesce(c, F.lit(0).cast(df.schema[c].dataType)) for c in columns if isinstance(df.schema[c].dataType, T.IntegralType)}
+    return df.withColumns(whole | {"_null": reduce(lambda a, b: a.bitwiseOR(b), bits)})
+
+
+def _unmarked(columns: Sequence[str]) -> list[Column]:
+    return [F.when(F.col("_null").bitwiseAND(F.lit(1 << i).cast("long")) == 0, F.col(c)).alias(c) for i, c in enumerate(columns)]
+
+
+def _runs(pdf: pd.DataFrame, columns: Sequence[str]) -> Iterator[tuple[tuple, int, int]]:
+    """Runs of rows that are equal in ``columns``: their key, first row and end."""
+    new = np.zeros(len(pdf), bool)
+    new[:1] = True
+    values = [pdf[c].to_numpy() for c in columns]
+    for v in values:
+        new[1:] |= (v[1:] != v[:-1]) & ~(pd.isna(v[1:]) & pd.isna(v[:-1]))
+    starts = np.flatnonzero(new)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)]):
+        yield tuple(None if pd.isna(v[a]) else v[a] for v in values), a, b
+
+
 def fold_values(ts: TS, partial: Callable[[pd.Series], list], combine: Callable[[pd.DataFrame], list], finish: Callable[[list], float], names: Sequence[str], salt: int = 64) -> DataFrame:
     """series -> value as an aggregate with partials.
 
     ``partial(values)`` boils a batch of one series down to a few doubles (``names``), ``combine`` merges a
-    frame of partials into one, ``finish`` turns the last partial into the result. Partials are merged
-    within a task, then per salt, and only those meet.
+    frame of partials into one, ``finish`` turns the last partial into the result. The series follow one
+    another in sorted streams, so a task holds a batch and the partials of one series; a series above
+    ``chunk_rows`` is dealt to up to ``salt`` slices, and only their partials meet.
     """
     keys, names = list(ts.keys), list(names)
-    ddl = ", ".join(f"`{k}` {ts.df.schema[k].dataType.simpleString()}" for k in keys)
+    marks = [*keys, "_null"]
+    ddl = ", ".join([*[f"`{k}` {ts.df.schema[k].dataType.simpleString()}" for k in keys], "_null long"])
     fields = ", ".join(f"`{n}` double" for n in names)
 
-    def first(batches):
-        held = None
-        for pdf in batches:
-            rows = [[*(k if isinstance(k, tuple) else (k,)), *partial(g["value"])] for k, g in pdf.groupby(keys, dropna=False)]
-            fresh = pd.DataFrame(rows, columns=[*keys, *names])
-            if held is not None:
-                both = pd.concat([held, fresh])
-                rows = [[*(k if isinstance(k, tuple) else (k,)), *combine(g)] for k, g in both.groupby(keys, dropna=False)]
-                fresh = pd.DataFrame(rows, columns=[*keys, *names])
-            held = fresh
-            if len(held) > 100_000:  # many keys: hand on what is there
-                yield held
-                held = None
-        if held is not None:
-            yield held
-
-    def merge(key, pdf):
-        return pd.DataFrame([[*key[: len(keys)], *combine(pdf)]], columns=[*keys, *names])
-
-    def last(key, pdf):
-        return pd.DataFrame([[*key, finish(combine(pdf))]], columns=[*keys, "value"])
-
-    parts = ts.df.select(*keys, "value").mapInPandas(first, f"{ddl}, {fields}")
-    some = parts.groupBy(*keys, F.pmod(F.xxhash64(*names), F.lit(salt)).alias("_s")).applyInPandas(merge, f"{ddl}, {fields}")
-    return some.groupBy(*keys).applyInPandas(last, f"{ddl}, value double")
+    def merged(key, parts):
+        frame = pd.DataFrame(np.array(parts, dtype=float).reshape(-1, len(names)), columns=names)
+        for i, k in enumerate(keys):
+            frame.insert(i, k, [key[i]] * len(frame))
+        return combine(frame)
+
+    def stream(group, values: bool, last: bool):
+        def row(key, parts):
+            out = merged(key, parts)
+            return [*key[: len(marks)], *([finish(out)] if last else out)]
+
+        def run(batches):
+            key, parts = None, []
+            for pdf in batches:
+                done = []
+                for k, a, b in _runs(pdf, group):
+                    if parts and k != key:
+                        done.append(row(key, parts))
+                        parts = []
+                    key = k
+                    parts += [partial(pdf["value"].iloc[a:b])] if values else pdf[names].iloc[a:b].to_numpy().tolist()
+                    if len(parts) > 1_000:
+                        parts = [merged(key, parts)]
+                if done:
+                    yield pd.DataFrame(done, columns=[*marks, *(["value"] if last else names)], dtype=object)
+            if parts:
+                yield pd.DataFrame([row(key, parts)], columns=[*marks, *(["value"] if last else names)], dtype=object)
+
+        return run
+
+    if ts.bounded():
+        rows = _marked(ts.df.select(*keys, "value"), keys).repartition(*marks).sortWithinPartitions(*marks)
+        return rows.mapInPandas(stream(marks, True, True), f"{ddl}, value double").select(*_unmarked(keys), "value")
+    sizes = ts.df.groupBy(*keys).agg(F.least(F.lit(salt), F.ceil(F.count(F.lit(1)) / ts.chunk_rows)).alias("_n")).where("_n > 1")
+    slices = F.pmod(F.xxhash64(*ts.columns), F.coalesce("_n", F.lit(1).cast("long"))).alias("_slice")
+    rows = _marked(join_on(ts.df, sizes, keys, "left").select(*keys, "value", slices), keys)
+    rows = rows.repartition(*marks, "_slice").sortWithinPartitions(*marks, "_slice")
+    parts = rows.mapInPandas(stream([*marks, "_slice"], True, False), f"{ddl}, {fields}")
+    parts = parts.repartition(*marks).sortWithinPartitions(*marks)
+    return parts.mapInPandas(stream(marks, False, True), f"{ddl}, value double").select(*_unmarked(keys), "value")
 
 
 def map_segments(segs: Segments, fn: Callable[[pd.DataFrame], float], value_type: str = "double") -> DataFrame:
