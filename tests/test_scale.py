@@ -1,9 +1,9 @@
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+
 from tideframe.functions import udf
-from tideframe.handle import TS
+from tideframe.handle import Segments, TS
 
 
 def _spread(spark, seen, rows=100_000, n=3_000, **more):
@@ -30,3 +30,24 @@ def test_folds_call_the_functions_in_step_with_the_series(spark, chunk_rows):
     assert sorted(map(str, got)) == sorted(map(str, want.collect()))
     per_series = 3 if chunk_rows > 9 else 2 * 4 + 2  # four slices of a hot series, and their meeting
     assert calls <= 1.1 * per_series * 3_000  # as often as a table has batches, before
+
+
+def test_segments_reach_the_function_in_one_stream(spark):
+    df = spark.range(0, 20_000, 1, 3).selectExpr(
+        "if(id % 50 = 7, NULL, id % 50 + (1L << 60)) AS k", "id AS tick", "if(id % 11 = 0, NULL, id + (1L << 60)) AS e", "if(id % 3 = 0, NULL, cast(id AS double)) AS value"
+    )
+    segs = Segments(df.withColumn("seg_id", F.floor(F.col("tick") / 7_000)), ("k",), ("e",))
+
+    def facts(pdf):
+        whole = pdf["e"].dtype == np.int64
+        assert list(pdf.index) == list(range(len(pdf))) and pdf["tick"].is_monotonic_increasing and pdf["tick"].dtype == np.int64
+        return f"{pdf['value'].median()}/{pdf['value'].count()}/{pdf['e'].count()}/{int(pdf['e'].iat[0]) if whole else None}"
+
+    out = udf.map_segments(segs, facts, "string")
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan  # one call of Spark's per segment, before
+    text = F.concat_ws("/", F.median("value").cast("string"), F.count("value").cast("string"), F.count("e").cast("string"), F.when(F.count("e") == F.count("*"), F.min("e").cast("string")).otherwise(F.lit("None")))
+    want = segs.df.groupBy("k", "seg_id").agg(text.alias("value"))
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    with pytest.raises(ValueError):
+        udf.map_segments(Segments(segs.df, ("k",), ("e",), chunk_rows=100), facts, "string")

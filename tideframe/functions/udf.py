@@ -122,16 +122,47 @@ def fold_values(ts: TS, partial: Callable[[pd.Series], list], combine: Callable[
 
 
 def map_segments(segs: Segments, fn: Callable[[pd.DataFrame], float], value_type: str = "double") -> DataFrame:
-    """segment -> value; the function sees one whole segment (ordered), so segments must fit a task."""
+    """segment -> value; the function sees one whole segment (ordered), so segments must fit a task.
+
+    Segments follow one another in sorted streams; a task holds a batch and one segment.
+    """
     if not is_bounded(segs.df, segs.group, segs.rows()):
         raise ValueError("a segment is longer than chunk_rows")
-    group, by = segs.group, segs.by
-    ddl = ", ".join(f"`{k}` {segs.df.schema[k].dataType.simpleString()}" for k in group)
-
-    def run(key, pdf):
-        return pd.DataFrame([[*key, fn(pdf.sort_values(by))]], columns=[*group, "value"])
-
-    return segs.df.groupBy(*group).applyInPandas(run, f"{ddl}, value {value_type}")
+    group, columns = segs.group, segs.df.columns
+    whole = [c for c in columns if c not in group and isinstance(segs.df.schema[c].dataType, T.IntegralType)]
+    marked = [*group, *whole]
+    marks = [*group, "_group"]
+    ddl = ", ".join([*[f"`{k}` {segs.df.schema[k].dataType.simpleString()}" for k in group], "_null long"])
+
+    def result(key, held):
+        pdf = (pd.concat(held) if len(held) > 1 else held[0]).reset_index(drop=True)
+        gone = pdf["_null"].to_numpy()
+        if gone.any():
+            for i, c in enumerate(marked):
+                null = (gone >> i & 1).astype(bool)
+                if null.any() and pd.api.types.is_integer_dtype(pdf[c].dtype):
+                    pdf[c] = pdf[c].astype(float).mask(null)
+        return [*key, fn(pdf[columns])]
+
+    def run(batches):
+        key, held = None, []
+        for pdf in batches:
+            done = []
+            for k, a, b in _runs(pdf, marks):
+                if held and k != key:
+                    done.append(result(key, held))
+                    held = []
+                key = k
+                held.append(pdf.iloc[a:b])
+            if done:
+                yield pd.DataFrame(done, columns=[*group, "_null", "value"], dtype=object)
+        if held:
+            yield pd.DataFrame([result(key, held)], columns=[*group, "_null", "value"], dtype=object)
+
+    rows = _marked(segs.df, marked).withColumn("_group", F.col("_null").bitwiseAND(F.lit((1 << len(group)) - 1).cast("long")))
+    last = [x for c in segs.by for x in ([F.col("_null").bitwiseAND(F.lit(1 << marked.index(c)).cast("long")), F.col(c)] if c in marked else [F.col(c).asc_nulls_last()])]
+    rows = rows.repartition(*marks).sortWithinPartitions(*marks, *last)
+    return rows.mapInPandas(run, f"{ddl}, value {value_type}").select(*_unmarked(group), "value")
 
 
 def cogroup(left: TS, right: TS, fn: Callable, schema: str) -> DataFrame:
