@@ -1,9 +1,12 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tideframe.functions import udf
 from tideframe.handle import Segments, TS
+from tideframe.operators import mining
 
 
 def _spread(spark, seen, rows=100_000, n=3_000, **more):
@@ -51,3 +54,31 @@ def test_segments_reach_the_function_in_one_stream(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
     with pytest.raises(ValueError):
         udf.map_segments(Segments(segs.df, ("k",), ("e",), chunk_rows=100), facts, "string")
+
+
+@pytest.mark.parametrize("kind", ["string", "double"])
+def test_item_sets_from_blocks_of_bits(spark, monkeypatch, kind):
+    rng = np.random.default_rng(3)
+    value = (lambda i: "abcdefg"[i]) if kind == "string" else (lambda i: float("nan") if i == 6 else float(i))
+    rows = [(k or None, t, value(int(min(6, rng.geometric(0.35) - 1))) if t % 9 else None) for k in range(60) for t in range(int(rng.integers(1, 12)))]
+    ts = TS(spark.createDataFrame(rows, f"k long, tick long, value {kind}"), ("k",))
+    monkeypatch.setattr(mining, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(mining, "TILE", 2)
+    held = {}
+    for k, _, v in rows:
+        held.setdefault(k, set()).update([] if v is None else [str(v)])
+    names = sorted(set().union(*held.values()))
+    for support, size in ((0.1, None), (0.25, 2)):
+        want = {}
+        for length in range(1, (size or len(names)) + 1):
+            for c in itertools.combinations(names, length):
+                n = sum(set(c) <= s for s in held.values())
+                if n >= support * len(held):
+                    want[c] = n
+        got = {tuple(sorted(map(str, r.item_set))): r.coverage for r in mining.frequent_item_sets(ts, support, size).collect()}
+        assert {c: n for c, n in got.items() if "nan" not in c} == {c: n for c, n in want.items() if "nan" not in c}
+        assert kind == "double" or len(want) > 20 or size
+    baskets = spark.createDataFrame([([1, 2],), ([2],), ([],)] * 10, "items array<long>")
+    blocks = mining._blocks(baskets.coalesce(1)).collect()
+    assert len(blocks) == 5 and all(len(b) == 1 for r in blocks for b in r.bits)
+    assert sum(bin(b[0]).count("1") for r in blocks for i, b in zip(r["items"], r.bits) if i == 2) == 20
