@@ -1,4 +1,5 @@
 import itertools
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from tideframe.functions import udf
 from tideframe.handle import Segments, TS
 from tideframe.operators import mining
+from tideframe.plans import durable
 
 
 def _spread(spark, seen, rows=100_000, n=3_000, **more):
@@ -82,3 +84,36 @@ def test_item_sets_from_blocks_of_bits(spark, monkeypatch, kind):
     blocks = mining._blocks(baskets.coalesce(1)).collect()
     assert len(blocks) == 5 and all(len(b) == 1 for r in blocks for b in r.bits)
     assert sum(bin(b[0]).count("1") for r in blocks for i, b in zip(r["items"], r.bits) if i == 2) == 20
+
+
+def test_only_matches_of_frequent_patterns_are_written(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(k or None, t, None if t == 3 else "ab"[t] if t < 2 else f"i{rng.integers(12)}") for k in range(40) for t in range(9)]
+    ts = TS(spark.createDataFrame(rows, "k long, tick long, value string"), ("k",))
+    written = []
+
+    def saved(df):
+        df = durable.saved(df)
+        if "sequence" in df.columns and "ticks" in df.columns:
+            written.append(df.count())
+        return df
+
+    monkeypatch.setattr(mining, "saved", saved)
+    series = {}
+    for k, t, v in rows:
+        series.setdefault(k, []).extend([] if v is None else [v])
+    items = sorted({v for s in series.values() for v in s})
+    inside = lambda p, s: all(v in rest for rest in [iter(s)] for v in p)
+    held, level = {}, [()]
+    while level:
+        level = [p + (v,) for p in level for v in items]
+        level = [p for p in level if sum(inside(p, s) for s in series.values()) >= 0.35 * len(series)]
+        held |= {p: sum(inside(p, s) for s in series.values()) for p in level}
+    for cut in (ts, replace(ts, chunk_rows=4)):
+        written.clear()
+        model = mining.frequent_sub_sequences(cut, 0.35).select("sequence", "coverage")
+        assert {tuple(r.sequence): r.coverage for r in model.collect()} == held and max(map(len, held)) > 2
+        assert sum(written[1:]) == sum(n for p, n in held.items() if len(p) > 1)  # all that occur anywhere, before
+        written.clear()
+        score = mining.sub_sequence_matches(cut, model.where("size(sequence) = 2")).collect()
+        assert len(score) == sum(written[1:]) == sum(n for p, n in held.items() if len(p) == 2)
