@@ -1,10 +1,12 @@
 import itertools
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tideframe.catalog import base, streams
 from tideframe.functions import udf
 from tideframe.handle import Segments, TS
 from tideframe.operators import mining
@@ -117,3 +119,19 @@ def test_only_matches_of_frequent_patterns_are_written(spark, monkeypatch):
         written.clear()
         score = mining.sub_sequence_matches(cut, model.where("size(sequence) = 2")).collect()
         assert len(score) == sum(written[1:]) == sum(n for p, n in held.items() if len(p) == 2)
+
+
+def test_polling_holds_a_batch_at_a_time(spark, tmp_path, monkeypatch):
+    spark.range(0, 200_000, 1, 1).selectExpr("if(id = 5, NULL, id) AS event_id", "if(id % 4 = 0, 'error', 'view') AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    polls = []
+    source = streams.polling_source
+    monkeypatch.setattr(streams, "polling_source", lambda *args: polls.append(args[4]) or source(*args))
+    out = base.QUERIES["stream_source"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in out] == [("view", 149_999, 1, 199_999)]
+    (poll,) = polls
+    assert sum(1 for _ in poll(10, 60)) == 50
+    tracemalloc.start()
+    assert sum(1 for _ in poll(0, 200_000)) == 199_999
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000  # the whole slice as a list, before

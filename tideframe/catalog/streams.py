@@ -184,13 +184,19 @@ def _(spark, sf):
 @query("stream_source", "SELECT event_type, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events WHERE event_type <> 'error' GROUP BY 1")
 def _(spark, sf):
     """The events through a pull reader that drops some messages."""
-    import pyarrow.parquet as pq
+    import pyarrow.dataset as ds
 
     path = f"{sf}/events.parquet"
     last = table(spark, sf, "events").agg(F.max("event_id")).first()[0]
 
     def poll(start, end):
-        return pq.read_table(path, columns=["event_id", "event_type"], filters=[("event_id", ">=", start), ("event_id", "<", end)]).to_pylist()
+        at = ds.field("event_id")
+        table = ds.dataset(path, format="parquet", partitioning="hive")
+        # A batch at a time, pages as they are needed: what a task holds must not grow with the table or its row groups.
+        pages = ds.ParquetFragmentScanOptions(use_buffered_stream=True, pre_buffer=False)
+        some = (at >= start) & (at < end)
+        for batch in table.to_batches(columns=["event_id", "event_type"], filter=some, batch_size=8_192, batch_readahead=1, fragment_readahead=1, fragment_scan_options=pages):
+            yield from batch.to_pylist()
 
     def parse(m):
         return (m["event_id"], m["event_type"]) if m["event_type"] != "error" else None
