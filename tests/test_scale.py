@@ -2,6 +2,7 @@ import itertools
 import tracemalloc
 from dataclasses import replace
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +136,16 @@ def test_polling_holds_a_batch_at_a_time(spark, tmp_path, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 10_000_000  # the whole slice as a list, before
+
+
+def test_joined_halves_have_tasks_by_rows(spark, tmp_path, monkeypatch):
+    spark.range(0, 3_000, 1, 2).selectExpr(
+        "if(id % 50 = 0, NULL, id % 40) AS l_suppkey", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, id % 30) AS l_shipdate", "cast(id AS double) AS l_extendedprice",
+        "if(id % 2 = 0, 'R', 'A') AS l_returnflag",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(base, "TASK_ROWS", 100, raising=False)
+    few = base.QUERIES["inner_align"](spark, str(tmp_path))
+    assert few.rdd.getNumPartitions() in (30, 60)  # a hundred rows of the table to a task, whatever its size; a union may keep the parts
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(map(tuple, few.collect())) == sorted(db.execute(base.ORACLES["inner_align"]).fetchall())

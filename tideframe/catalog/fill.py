@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import interpolators as ip
 from ..operators import fill
 from ..operators.create import multi_time_series
-from .base import D, DAY, E, HOUR, daily, events, query, rounded, table
+from .base import D, DAY, E, HOUR, daily, events, query, rounded, spread, table
 
 # A third of the values is taken out, so that there is something to fill.
 GAP = "g AS (SELECT user_id, tick, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value FROM e)"
@@ -194,10 +194,12 @@ def _halves(spark, sf):
     from datetime import datetime, timedelta, timezone
 
     li = table(spark, sf, "lineitem")
+    rows = li.count()
     out = []
     for flag in ("l_returnflag = 'R'", "l_returnflag = 'A'"):
         ts = multi_time_series(li.where(flag), "l_shipdate", "l_suppkey", "l_extendedprice", granularity=timedelta(days=1), start_time=datetime(1970, 1, 1, tzinfo=timezone.utc))
-        out.append(ts.with_df(ts.df.groupBy("l_suppkey", "tick").agg(F.round(F.sum("value"), 2).alias("value"))))
+        dealt = spread(ts.df.select("l_suppkey", "tick", "value"), rows, "l_suppkey", "tick")
+        out.append(ts.with_df(dealt.groupBy("l_suppkey", "tick").agg(F.round(F.sum("value"), 2).alias("value"))))
     return out
 
 
