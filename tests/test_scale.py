@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideframe.catalog import base, streams
 from tideframe.functions import udf
 from tideframe.handle import Segments, TS
+from tideframe.llm import lm
 from tideframe.operators import mining
 from tideframe.plans import durable
 
@@ -149,3 +150,18 @@ def test_joined_halves_have_tasks_by_rows(spark, tmp_path, monkeypatch):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert sorted(map(tuple, few.collect())) == sorted(db.execute(base.ORACLES["inner_align"]).fetchall())
+
+
+def test_training_takes_every_counted_trigram():
+    rng = np.random.default_rng(1)
+    grams = np.unique(rng.integers(0, 30, (900, 3)), axis=0)
+    counts = rng.integers(1, 50, len(grams)).astype(float)
+    table = lm.LogBilinear.train(grams, counts, steps=60).table()
+    order = rng.permutation(len(grams))
+    assert np.allclose(lm.LogBilinear.train(grams[order], counts[order], steps=60).table(), table)  # draws depended on the order
+    halves = lm.LogBilinear.train(np.r_[grams, grams], np.r_[counts / 2, counts / 2], steps=60).table()
+    assert np.allclose(halves, table, atol=1e-6)
+    more = counts.copy()
+    more[17] += 20  # any one count tells
+    a, b, c = grams[17]
+    assert lm.LogBilinear.train(grams, more, steps=60).table()[a, b, c] > table[a, b, c]
