@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,6 +36,36 @@ def test_any_text_encodes_like_the_library(text):
     assert W.encode(text).tolist() == W.bpe.encode_ordinary(text) + [W.end]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(" \n\0\x85\xa0\u2003\u3000'sa1.,é漢"), max_size=12)), max_size=6), st.integers(0, 3))
+def test_many_texts_encode_like_each_alone(texts, first):
+    ids, sizes = W.encode_all(pa.array(texts, pa.string())[first:])
+    want = [W.bpe.encode_ordinary(t or "") for t in texts[first:]]
+    assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_a_stretch_is_encoded_once_for_all_texts(monkeypatch):
+    words, calls = training.Tokenizer(training.RANKS), []
+    for name in ("encode_ordinary", "encode_to_numpy"):
+        plain = getattr(type(words.bpe), name)
+        monkeypatch.setattr(type(words.bpe), name, lambda bpe, text, _plain=plain, **how: calls.append(text) or _plain(bpe, text, **how))
+    texts = [f"Qanonly hedly{mark} edthion{mark}\nthonre qanonly" for mark in ".,;:!?)" * 30]
+    words.encode_all(pa.array(texts, pa.string()))
+    out = [words.encode(t) for t in texts]
+    assert len(calls) == 1 and calls[0].count("hedly") == 1 == calls[0].count("edthion")
+    monkeypatch.undo()
+    assert all(o.tolist() == words.bpe.encode_ordinary(t) + [words.end] for o, t in zip(out, texts, strict=True))
+
+
+@pytest.mark.parametrize("remembered", [0, 3])
+def test_words_beyond_those_remembered_are_encoded_again(monkeypatch, remembered):
+    monkeypatch.setattr(training, "REMEMBERED", remembered)
+    words = training.Tokenizer(training.RANKS)
+    for t in ["a b", "c d e f", "a b", None, "c d e f g"]:
+        assert words.encode(t).tolist() == words.bpe.encode_ordinary(t or "") + [words.end]
+        assert len(words.known) <= remembered
+
+
 def back(rows):
     out = {}
     for r in sorted(rows, key=lambda r: (str(r.key), r.piece)):

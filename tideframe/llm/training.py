@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import base64
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -22,66 +23,101 @@ from .base import col, give_back, query, shared_folder, table
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public word pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words whose ids a task remembers (some 70 MB), and characters encoded at a time.
-REMEMBERED, SLICE_CHARS = 400_000, 1_000_000
+#: Distinct words whose ids a task remembers, ids that they may have in all (some 60 MB), and bytes encoded at a time.
+REMEMBERED, REMEMBERED_IDS, SLICE_BYTES = 400_000, 4_000_000, 2_000_000
 #: Row key (8 bytes), number of the sequence in its row (4), tokens in it (2), all little-endian.
 HEADER = np.dtype([("key", "<i8"), ("piece", "<i4"), ("size", "<u2")])
 NO_KEY = -(1 << 63)
 
 
-# Blanks that are not single ones between words, and characters on which two notions of white space differ.
-_BLANKS = re.compile(r" (?:\s|\Z)")
-_CUT = re.compile(r" (?=\S)")
-_ODD = re.compile("[\x1c-\x1f\x85]")
+#: A blank followed by one of these does not begin a word: white space of one byte, and of two or three bytes.
+_BYTES = np.arange(256)
+_SPACE = np.isin(_BYTES, list(b"\t\n\v\f\r "))
+_WIDE = np.array([int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
+#: No piece of the pattern goes on from an ASCII letter or digit to an ASCII mark.
+_WORD = np.isin(_BYTES, list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+_MARK = (_BYTES > 0x20) & (_BYTES < 0x7F) & ~_WORD
+_APART = "\0"
+
+
+def _starts(letters: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Where stretches begin in the bytes of texts that lie between ``cuts``: each text, each blank before a word, each mark after one."""
+    begins = letters == 0x20
+    begins[:-1] &= ~_SPACE[letters[1:]]
+    begins[cuts[1:][cuts[1:] > cuts[:-1]] - 1] = False  # the last blank of a text
+    if letters.max() >= 0x80:
+        blanks = np.flatnonzero(begins)
+        lead = letters[blanks + 1]
+        two, three = blanks[lead == 0xC2], blanks[(lead >= 0xE1) & (lead <= 0xE3)]
+        code = lambda at, n: sum(letters[at + 1 + i].astype(np.int64) << 8 * (n - 1 - i) for i in range(n))
+        begins[two[np.isin(code(two, 2), _WIDE)]] = False
+        begins[three[np.isin(code(three, 3), _WIDE)]] = False
+    begins[1:] |= _WORD[letters[:-1]] & _MARK[letters[1:]]
+    begins[cuts[:-1][cuts[1:] > cuts[:-1]]] = True
+    return np.flatnonzero(begins)
 
 
 class Tokenizer:
     """Byte-level BPE by a rank file; a text is followed by the end id, which is the size of the vocabulary.
 
-    The word pattern always cuts before the blank in front of a word, so the stretches between
-    such cuts are encoded once and remembered.
+    The word pattern always cuts before the blank in front of a word and between a word and a
+    mark behind it. So the distinct stretches between such cuts are encoded once for many texts,
+    and those met first are remembered.
     """
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.bpe = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
         if self.end > 0xFFFF:
             raise ValueError("ids must fit 16 bits")
-        self.line = ranks[b"\n"]
-        self.known: dict[str, bytes] = {}
-
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u2").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        """Remember the ids of words with a blank before them; those without a line end in one go, a line each."""
-        plain = [w for w in words if "\n" not in w]
-        ids = np.array(self.bpe.encode_ordinary("".join(f" {w}\n" for w in plain) + "."), "<u2")
-        ends = np.flatnonzero(ids == self.line)
-        if len(ends) != len(plain):
-            plain = []
-        raw, starts = ids.tobytes(), np.r_[0, ends[:-1] + 1]
-        self.known.update(zip(plain, (raw[2 * a : 2 * b] for a, b in zip(starts.tolist(), ends.tolist()))))
-        for w in words if not plain else words.difference(plain):
-            self.known[w] = self._bytes(" " + w)
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text and the end id, 16 bits each."""
-        cut = [None if _ODD.search(t) else _CUT.split(t) if _BLANKS.search(t) else t.split(" ") for t in (t or "" for t in texts)]
-        new = set().union(*(c[1:] for c in cut if c)).difference(self.known)
-        if new:
-            self._learn(new)
-        end, ids = np.array([self.end], "<u2").tobytes(), self.known.__getitem__
-        out = [(self._bytes(t) if c is None else self._bytes(c[0]) + b"".join(map(ids, c[1:]))) + end for t, c in zip(texts, cut)]
-        if len(self.known) > REMEMBERED:  # the words met first are the frequent ones: they stay
-            for w in new:
-                del self.known[w]
-        return out
+        self.bpe = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={_APART: self.end})
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.cuts = np.zeros(0, "<u2"), np.zeros(1, np.int64)  # ids of the known words one after the other
+
+    def _alone(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, each encoded alone, and where each word's end; the end id, spelled as a zero, keeps them apart."""
+        raw = _APART.encode().join([*words, b""])
+        if raw.count(b"\0") == len(words):
+            ids = self.bpe.encode_to_numpy(raw.decode(), allowed_special={_APART}, disallowed_special=()).astype("<u2")
+            ends = np.flatnonzero(ids == self.end)
+            return np.delete(ids, ends), ends - np.arange(len(ends))
+        each = [self.bpe.encode_ordinary(w.decode()) for w in words]  # a word has a zero of its own
+        return np.array(list(chain.from_iterable(each)), "<u2"), np.cumsum([len(e) for e in each])
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, 16 bits each and without end ids, and how many each text has."""
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        cuts = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+        first, size = int(cuts[0]), int(cuts[-1] - cuts[0])
+        if not size:
+            return np.zeros(0, "<u2"), np.zeros(len(texts), np.int64)
+        data, cuts = texts.buffers()[2].slice(first, size), cuts - first
+        starts = _starts(np.frombuffer(data, np.uint8), cuts)
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, size)), data]).dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        fresh = np.flatnonzero(number < 0)
+        ids, cuts_of = self.ids, self.cuts
+        if len(fresh):
+            number[fresh] = len(self.known) + np.arange(len(fresh))
+            new = [distinct[i] for i in fresh.tolist()]
+            more, ends = self._alone(new)
+            ids, cuts_of = np.concatenate([ids, more]), np.concatenate([cuts_of, cuts_of[-1] + ends])
+            if len(cuts_of) <= REMEMBERED and len(ids) <= REMEMBERED_IDS:  # the words met first are the frequent ones: they stay
+                self.known.update(zip(new, number[fresh].tolist()))
+                self.ids, self.cuts = ids, cuts_of
+        held = pa.Array.from_buffers(pa.large_binary(), len(cuts_of) - 1, [None, pa.py_buffer(2 * cuts_of), pa.py_buffer(ids)])
+        out = held.take(pa.array(number[words.indices.to_numpy()]))
+        ends = np.frombuffer(out.buffers()[1], np.int64, len(out) + 1)
+        ids = np.frombuffer(out.buffers()[2], "<u2", int(ends[-1]) // 2)
+        return ids, np.diff(ends[np.searchsorted(starts, cuts)]) // 2
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.encode_all([text])[0], "<u2")
+        return np.append(self.encode_all(pa.array([text], pa.string()))[0], np.uint16(self.end))
 
     def decode(self, ids) -> str:
         return self.bpe.decode([int(i) for i in ids if i != self.end])
@@ -139,21 +175,19 @@ class Layout:
         return max(1, -(-self.total // self.per_shard))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, list[bytes]]]:
-    """Row ids and token ids, about SLICE_CHARS characters at a time."""
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row ids, token ids and tokens of each row with its end id, about SLICE_BYTES bytes of text at a time."""
     words = tokenizer(path)
     for batch in batches:
-        rows, texts, size = [], [], 0
-        for id, t in zip(batch["id"].to_pylist(), batch["text"]):
-            rows.append(id)
-            texts.append(t.as_py())
-            size += len(texts[-1] or "")
-            if size >= SLICE_CHARS:
-                yield rows, words.encode_all(texts)
-                rows, texts, size = [], [], 0
-        if rows:
-            yield rows, words.encode_all(texts)
-    words.known = {}
+        keys = batch["id"].fill_null(NO_KEY).to_numpy()
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy().astype(np.int64))
+        a = 0
+        while a < len(keys):
+            b = 1 + int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + SLICE_BYTES))
+            ids, counts = words.encode_all(batch["text"].slice(a, b - a))
+            yield keys[a:b], ids, counts + 1
+            a = b
+    words.forget()
     give_back()
 
 
@@ -178,8 +212,7 @@ def write(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", le
 
     def count(batches):
         n = check = 0
-        for _, ids in _encoded(batches, ranks):
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        for _, _, sizes in _encoded(batches, ranks):
             n += int((-(-sizes // length)).sum())
             check = zlib.crc32(sizes.tobytes(), check)
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n], "sum": [check]})
@@ -195,19 +228,16 @@ def write(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", le
     def emit(batches):
         start, n, wanted = known.value.get(TaskContext.get().partitionId(), (0, 0, 0))
         at, check = start, 0
-        for rows, ids in _encoded(batches, ranks):
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        for keys, ids, sizes in _encoded(batches, ranks):
             check = zlib.crc32(sizes.tobytes(), check)
             pieces = -(-sizes // length)
             many = int(pieces.sum())
             body = np.full((many, length), layout.end, "<u2")
             first = np.cumsum(pieces) - pieces
-            flat = np.frombuffer(b"".join(ids), "<u2")
-            cell = np.repeat(first * length - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))
-            body.reshape(-1)[cell] = flat
+            inner = sizes - 1  # the end id is there already
+            body.reshape(-1)[np.repeat(first * length - (np.cumsum(inner) - inner), inner) + np.arange(len(ids))] = ids
             head = np.zeros(many, HEADER)
-            owner = np.repeat(np.arange(len(ids)), pieces)
-            keys = np.array([NO_KEY if k is None else k for k in rows], np.int64)
+            owner = np.repeat(np.arange(len(keys)), pieces)
             head["key"], head["piece"] = keys[owner], np.arange(many) - first[owner]
             head["size"] = np.minimum(sizes[owner] - head["piece"].astype(np.int64) * length, length)
             record = np.hstack([head.view(np.uint8).reshape(many, -1), body.view(np.uint8).reshape(many, -1)])
