@@ -3,6 +3,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tideframe.llm import pieces
 
@@ -85,6 +87,48 @@ def test_keys_alone_decide():
     assert same(together[0], alone) and same(together[2], alone)
 
 
+def plain_and_cut(texts, vocab=V):
+    """Segmentations of texts in whole chunks, and in chunks cut where no piece crosses."""
+    keys = pieces.row_keys(range(len(texts)), 3)
+    for part in (pieces.Slice([vocab.chunks(t) for t in texts]), pieces.Slice([vocab.model.normalize(t or "") for t in texts], vocab)):
+        yield part, part.encode(vocab), pieces.sample(part, keys, vocab, 4)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(TEXTS[:8]), st.text(alphabet=st.sampled_from(" \n\0\u0301'satheQz.,!(é漢🙂▁"), max_size=20)), max_size=5))
+def test_cut_chunks_give_the_same_segmentations(texts):
+    (_, own, found), (_, own_cut, found_cut) = plain_and_cut(texts)
+    assert [o.tolist() for o in own] == [o.tolist() for o in own_cut] == [V.model.encode(t or "") for t in texts]
+    for a, b in zip(found, found_cut, strict=True):
+        assert [x[0].tolist() for x in a] == [x[0].tolist() for x in b]
+        assert np.allclose([x[1:] for x in a], [x[1:] for x in b])
+
+
+def test_lattices_are_built_once(monkeypatch):
+    vocab = pieces.Vocabulary(pieces.MODEL, 1.0)
+    built = []
+    monkeypatch.setattr(vocab.lattice, "add", lambda chunks, add=vocab.lattice.add: built.extend(chunks) or add(chunks))
+    texts = [f"thonre hedly{m} qanonly {m}\nthonre" for m in ".,;:!?)"]
+    for n in range(0, len(texts), 2):  # a slice of texts after the other
+        part = pieces.Slice([vocab.model.normalize(t) for t in texts[n : n + 2]], vocab)
+        part.encode(vocab), pieces.sample(part, pieces.row_keys([1, 2][: len(part.many)], 0), vocab, 2)
+    assert len(built) == len(set(built)) and sum("hedly" in c for c in built) == 1
+
+
+def test_chunks_beyond_those_remembered(monkeypatch):
+    texts = ["the cat, the hat", "a cat. (the end)", "", "the hat!", "other words, the cat"]
+    keys = pieces.row_keys([1], 0)
+    for limit in (0, 40, 10**6):
+        monkeypatch.setattr(pieces, "REMEMBERED_EDGES", limit)
+        vocab = pieces.Vocabulary(pieces.MODEL, 1.0)
+        for t in texts * 2:
+            part = pieces.Slice([vocab.model.normalize(t)], vocab)
+            assert part.encode(vocab)[0].tolist() == vocab.model.encode(t)
+            got, want = pieces.sample(part, keys, vocab, 3)[0], pieces.sample(pieces.Slice([V.chunks(t)]), keys, V, 3)[0]
+            assert [x[0].tolist() for x in got] == [x[0].tolist() for x in want]
+        assert (limit >= 10**6) == (len(vocab.known) == len({c for t in texts for c in pieces.Slice([vocab.model.normalize(t)], vocab).chunks}))
+
+
 def test_encode_and_decode(spark):
     docs = spark.createDataFrame([*enumerate(TEXTS), (3, "a"), (None, "no key")], "doc_id int, text string")
     rows = docs.withColumn("ids", pieces.encode(docs.text)).withColumn("back", pieces.decode(pieces.col("ids"))).collect()

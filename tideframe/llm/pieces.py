@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +20,8 @@ from .base import col, give_back, query, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters whose lattices are held at once.
 SLICE_CHARS = 1_000_000
-#: Distinct chunks whose encoding a task remembers.
-REMEMBERED = 200_000
+#: Edges of the lattices of distinct chunks that a task remembers (some 40 bytes each).
+REMEMBERED_EDGES = 3_000_000
 
 # No piece crosses the start of a run of blanks, nor a line end.
 _CHUNK = re.compile("▁*[^▁\n]+|\n|▁+")
@@ -82,8 +81,7 @@ class Vocabulary:
         for b, i in enumerate(self.bytes.tolist()):
             if self.model.is_byte(i):
                 self.spelled[i] = bytes([b])
-        self.spelling = np.frombuffer(b"".join(self.spelled), np.uint8)
-        self.letters = np.fromiter(map(len, self.spelled), np.int64, size)
+        self.spelling = pa.array(self.spelled, pa.large_binary())
         self.single = np.full(0x110000, -1, np.int32)
         self.kind = np.zeros(0x110000, np.int32)
         for p, i in pieces.items():
@@ -92,6 +90,13 @@ class Vocabulary:
         long = sorted(p for p in pieces if len(p) > 1)
         for n, c in enumerate(sorted({c for p in long for c in p}), 1):
             self.kind[ord(c)] = n
+        # Pairs of ASCII characters that no piece holds, by the two bytes: between them every segmentation is cut.
+        self.apart = np.zeros((256, 256), bool)
+        self.apart[:128, :128] = True
+        unused = [self.model.id_to_piece(i) for i in range(size) if self.model.is_unused(i)]  # merges may pass through them
+        for a, b in {p[n : n + 2] for p in [*long, *unused] for n in range(len(p) - 1)}:
+            if a < "\x80" > b:
+                self.apart[ord(a), ord(b)] = False
         prefixes = sorted({p[:n] for p in long for n in range(len(p))}, key=lambda x: (len(x), x))
         number = {p: n for n, p in enumerate(prefixes)}  # prefixes with something behind them come first
         for p in long:
@@ -103,60 +108,108 @@ class Vocabulary:
             if p:
                 self.child[number[p[:-1]], self.kind[ord(p[-1])]] = n
                 self.piece[n] = pieces.get(p, -1) if len(p) > 1 else -1
-        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.cuts = np.zeros(0, np.int32), np.zeros(1, np.int64)  # pieces of the known chunks one after the other
+        self.lattice, self.last = Lattice(self), ()
 
     def chunks(self, text: str | None) -> list[str]:
         return _CHUNK.findall(self.model.normalize(text or ""))
 
-    def encode(self, chunks: list[str]) -> list[bytes]:
-        """The model's own segmentation of each chunk as 32-bit ids; chunks seen before are looked up."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [c for c in chunks if c not in self.known]
-        line = int(self.bytes[10])
-        for at in range(0, len(new), 4_000):
+    def _alone(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The model's own segmentation of each chunk, and where each one's ends."""
+        line, found, counts = int(self.bytes[10]), [], np.ones(len(chunks), np.int64)
+        plain = np.array([c != "\n" for c in chunks], bool)
+        words = [c for c in chunks if c != "\n"]
+        for at in range(0, len(words), 1_000):
             # A line end belongs to no longer piece, so chunks on lines of their own are encoded as inside a text.
-            part = [c for c in new[at : at + 4_000] if c != "\n"]
-            ids = np.asarray(self.model.encode("\n" + "\n".join(part).replace("▁", " ") + "\n", out_type=int), np.int32)
-            ends = np.flatnonzero(ids == line).tolist()
-            raw = ids.tobytes()
-            self.known.update(zip(part, (raw[4 * a + 4 : 4 * b] for a, b in zip(ends, ends[1:]))))
-        self.known["\n"] = np.int32(line).tobytes()
-        return list(map(self.known.__getitem__, chunks))
+            ids = self.model.encode_as_numpy("\n" + "\n".join(words[at : at + 1_000]).replace("▁", " ") + "\n")
+            found.append(ids)
+        ends = [np.flatnonzero(ids == line) for ids in found]
+        counts[plain] = np.concatenate([*(np.diff(e) - 1 for e in ends), np.zeros(0, np.int64)])
+        cuts = np.cumsum(counts)
+        out = np.full(int(counts.sum()), line, np.int32)
+        body = np.repeat(plain, counts)
+        out[body] = np.concatenate([*(np.delete(ids[e[0] : e[-1]], e[:-1] - e[0]) for ids, e in zip(found, ends)), np.zeros(0, np.int32)])
+        return out, cuts
+
+    def learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of distinct chunks in ``lattice``, and the pieces of all chunks there with their cuts.
+
+        Chunks met before are looked up. Once REMEMBERED_EDGES are reached, further chunks stay only until other ones are asked for.
+        """
+        if self.last and self.last[0] is chunks:
+            return self.last[1]
+        self.lattice.cut_back(len(self.known))
+        number = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        fresh = np.flatnonzero(number < 0)
+        ids, cuts = self.ids, self.cuts
+        if len(fresh):
+            new = [chunks[i] for i in fresh.tolist()]
+            number[fresh] = len(self.known) + np.arange(len(fresh))
+            more, ends = self._alone(new)
+            ids, cuts = np.concatenate([ids, more]), np.concatenate([cuts, cuts[-1] + ends])
+            self.lattice.add(new)
+            if self.lattice.edges <= REMEMBERED_EDGES:  # the chunks met first are the frequent ones
+                self.known.update(zip(new, number[fresh].tolist()))
+                self.ids, self.cuts = ids, cuts
+        self.last = chunks, (number, ids, cuts)
+        return self.last[1]
 
     def decode(self, ids: list[int]) -> str:
         """The text of pieces, without the blank put before it; broken byte pieces become U+FFFD."""
         text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
-
     def spell(self, rows: list[np.ndarray]) -> list[bytes]:
         """The bytes of many rows of pieces at once, with the blank put before each text."""
-        ids = np.concatenate([*rows, np.zeros(0, np.int32)])
-        counts = self.letters[ids]
-        flat = self.spelling[_ranges((np.cumsum(self.letters) - self.letters)[ids], counts)]
-        cuts = np.r_[0, np.cumsum(counts)][np.cumsum([0, *map(len, rows)])]
-        return [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        out = self.spelling.take(pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]), pa.int32()))
+        ends = np.frombuffer(out.buffers()[1], np.int64, len(out) + 1)[np.cumsum([0, *map(len, rows)])].tolist()
+        letters = out.buffers()[2]
+        return [letters[a:b].to_pybytes() if b > a else b"" for a, b in zip(ends, ends[1:])]
 
 
 class Slice:
-    """Some texts as places of chunks among their distinct chunks."""
+    """Some normalised texts, whole or in chunks, as places of chunks among their distinct chunks.
+
+    With a vocabulary, chunks are cut further where none of its pieces crosses. ``inside``
+    and ``offset`` still name the uncut chunk, from 1 on, and the characters before the place in it.
+    """
 
-    def __init__(self, texts: list[list[str]]):
-        self.many = np.array([len(c) for c in texts], np.int64)  # chunks of each text
-        numbers: defaultdict = defaultdict()
-        numbers.default_factory = numbers.__len__  # a new chunk gets the next number
-        self.flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), np.int64, int(self.many.sum()))
-        numbers.default_factory = None  # which held the dictionary itself
-        self.chunks = list(numbers)
+    def __init__(self, texts: list[str] | list[list[str]], vocab: Vocabulary | None = None):
+        raw = [(t if isinstance(t, str) else "".join(t)).encode() for t in texts]
+        cuts = np.cumsum([0, *map(len, raw)])
+        data = b"".join(raw)
+        letters = np.frombuffer(data + b"\0\0", np.uint8)
+        blank = (letters[:-2] == 0xE2) & (letters[1:-1] == 0x96) & (letters[2:] == 0x81)
+        line = letters[:-2] == 0x0A
+        begins = blank | line
+        begins[3:] &= ~blank[:-3] | line[3:]  # only the first of some blanks
+        begins[1:] |= line[:-1]
+        begins[cuts[:-1][cuts[1:] > cuts[:-1]]] = True
+        chunk = np.cumsum(begins)
+        if vocab:
+            cut = begins.copy()
+            cut[1:] |= vocab.apart.reshape(-1)[letters[:-3].astype(np.uint16) << 8 | letters[1:-2]]
+        starts = np.flatnonzero(cut if vocab else begins)
+        found = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        places = np.searchsorted(starts, cuts)
+        self.many = np.diff(places)  # chunks of each text
+        first = chunk[starts[np.minimum(places[:-1], len(starts) - 1)]] if len(starts) else places[:-1]
+        self.inside = chunk[starts] - np.repeat(first, self.many) + 1
+        characters = np.cumsum((letters[:-2] & 0xC0) != 0x80)
+        self.offset = characters[starts] - characters[begins][chunk[starts] - 1]
+        self.flat = found.indices.to_numpy().astype(np.int64)
+        self.chunks = found.dictionary.to_numpy(zero_copy_only=False).tolist()
 
     def encode(self, vocab: Vocabulary) -> list[np.ndarray]:
         """Piece ids of every text by the model's own segmentation."""
-        known = vocab.encode(self.chunks)
-        counts = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        ids = np.frombuffer(b"".join(known), np.int32)
-        each = counts[self.flat]
-        flat = ids[_ranges((np.cumsum(counts) - counts)[self.flat], each)]
+        number, ids, cuts = vocab.learn(self.chunks)
+        place = number[self.flat]
+        each = cuts[place + 1] - cuts[place]
+        flat = ids[_ranges(cuts[place], each)]
         cuts = np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(self.many)]]
         return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
@@ -167,19 +220,46 @@ def vocabulary(path: str, sharpness: float = 1.0) -> Vocabulary:
 
 
 class Lattice:
-    """All segmentations of distinct chunks: edges per character, with probabilities that add up to 1."""
-
-    def __init__(self, chunks: list[str], vocab: Vocabulary):
+    """All segmentations of chunks: edges per character, with probabilities that add up to 1. Chunks are added behind those there."""
+
+    #: Columns of edges and of characters; the rows behind ``edges`` and ``places`` are spare.
+    EDGE = {"start": np.int32, "end": np.int32, "id": np.int32, "logp": np.float64, "ladder": np.float64}
+    PLACE = {"first": np.int64, "chars": np.int32, "spelled": np.int8}
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        self.edges = self.places = 0
+        for name, kind in (self.EDGE | self.PLACE).items():
+            setattr(self, name, np.zeros(1, kind))
+        self.chunk_start, self.chunk_end = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def cut_back(self, chunks: int) -> None:
+        """Forget all but the first chunks."""
+        self.places = int(self.chunk_end[chunks - 1]) if chunks else 0
+        self.edges = int(self.first[self.places])
+        self.chunk_start, self.chunk_end = self.chunk_start[:chunks], self.chunk_end[:chunks]
+
+    def _put(self, kinds: dict, at: int, **rows: np.ndarray) -> None:
+        for name, more in rows.items():
+            held = getattr(self, name)
+            if at + len(more) > len(held):
+                held = np.concatenate([held[:at], np.empty(len(more) + at // 4, kinds[name])])
+                setattr(self, name, held)
+            held[at : at + len(more)] = more
+
+    def add(self, chunks: list[str]) -> None:
+        vocab = self.vocab
         chars = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.int64)
         n = len(chars)
         lengths = np.array([len(c) for c in chunks], np.int64)
-        self.chunk_end = np.cumsum(lengths)
-        self.chunk_start = self.chunk_end - lengths
-        limit = np.repeat(self.chunk_end, lengths)
-        kind, self.vocab = vocab.kind[chars], vocab
+        chunk_end = np.cumsum(lengths)
+        limit = np.repeat(chunk_end, lengths)
+        kind = vocab.kind[chars]
         ids = vocab.single[chars]
         spelled = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
         cost = np.where(ids >= 0, vocab.logp[ids], spelled * vocab.byte_logp)
+        alone = np.flatnonzero((ids < 0) & (spelled == 1))
+        ids[alone] = vocab.bytes[chars[alone]]
         found = [(np.arange(n), 1, ids, cost)]
         at, node, depth = np.arange(n), vocab.child[0, kind].astype(np.int64), 1
         while len(at):
@@ -194,35 +274,38 @@ class Lattice:
         count = np.zeros(n, np.int64)
         for start, *_ in found:
             count[start] += 1
-        self.first = np.r_[0, np.cumsum(count)]
-        total = int(self.first[-1])
-        self.start, self.end, self.id, logw = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
-        filled = self.first[:-1].copy()
+        firsts = np.r_[0, np.cumsum(count)]
+        total = int(firsts[-1])
+        starts, ends, pieces, logw = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
+        filled = firsts[:-1].copy()
         for start, length, ids, cost in reversed(found):  # the longest first: it is mostly the likeliest
             to = filled[start]
             filled[start] += 1
-            self.start[to], self.end[to], self.id[to], logw[to] = start, start + length, ids, cost
-        self.chars, self.spelled = chars, spelled
+            starts[to], ends[to], pieces[to], logw[to] = start, start + length, ids, cost
         # Log mass of all ways from a character to the end of its chunk, from the ends backwards.
         ahead = limit - np.arange(n)
-        order = np.argsort(ahead.astype(np.uint16) if n == 0 or ahead.max() < 1 << 16 else ahead, kind="stable")
-        steps = np.r_[0, np.cumsum(np.bincount(ahead, minlength=1)[1:])] if n else np.zeros(1, np.int64)
+        order = np.argsort(ahead.astype(np.uint16) if ahead.max() < 1 << 16 else ahead, kind="stable")
+        steps = np.r_[0, np.cumsum(np.bincount(ahead)[1:])]
         mass = np.zeros(n + 1)  # the last place is the end of any chunk
-        goal = np.where(self.end == limit[self.start], n, self.end) if n else self.end
+        goal = np.where(ends == limit[starts], n, ends)
         for a, b in zip(steps[:-1], steps[1:]):
             if a < b:
                 place = order[a:b]
                 wide = count[place]
-                edges = _ranges(self.first[place], wide)
+                edges = _ranges(firsts[place], wide)
                 value = logw[edges] + mass[goal[edges]]
                 cuts = np.cumsum(wide) - wide
                 top = np.maximum.reduceat(value, cuts)
                 mass[place] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, wide)), cuts))
-        self.logp = logw + mass[goal] - mass[self.start] if n else logw
-        self.p = np.exp(self.logp)
-        ladder = np.cumsum(self.p)
-        self.ladder = ladder - np.r_[0, ladder][self.first[self.start]] if n else ladder
-        self.ladder[self.first[1:] - 1] = 1.0  # rounding never leads past the last edge of a character
+        logp = logw + mass[goal] - mass[starts]
+        ladder = np.cumsum(np.exp(logp))
+        ladder -= np.r_[0, ladder][firsts[starts]]
+        ladder[firsts[1:] - 1] = 1.0  # rounding never leads past the last edge of a character
+        at, to = self.places, self.edges
+        self._put(self.EDGE, to, start=starts + np.int32(at), end=ends + np.int32(at), id=pieces, logp=logp, ladder=ladder)
+        self._put(self.PLACE, at, first=firsts + to, chars=chars, spelled=spelled)
+        self.chunk_start, self.chunk_end = np.r_[self.chunk_start, at + chunk_end - lengths], np.r_[self.chunk_end, at + chunk_end]
+        self.places, self.edges = at + n, to + total
 
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each character in proportion to its probability."""
@@ -247,22 +330,18 @@ class Lattice:
         return out, counts
 
 
-def _paths(lattice: Lattice, occ: np.ndarray, at: np.ndarray, end: np.ndarray, begin: np.ndarray, keys: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _paths(lattice: Lattice, at: np.ndarray, end: np.ndarray, origin: np.ndarray, keys: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Draws a path from ``at`` to ``end`` for every row, all rows a piece at a time: (row, step, edge)."""
-    rows, live, place = [], np.arange(len(occ)), at.copy()
-    step = 0
+    rows, edges, live, place = [], [], np.arange(len(at)), at
     while len(live):
-        u = _uniform(keys[live], salt, place - begin[live])
-        edge = lattice.draw(place, u)
-        rows.append((live, np.full(len(live), step), edge))
-        place = lattice.end[edge]
-        on = place < end[live]
-        live, place = live[on], place[on]
-        step += 1
-    if not rows:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    return tuple(np.concatenate(x) for x in zip(*rows))
+        edge = lattice.draw(place, _uniform(keys, salt, place - origin))
+        rows.append(live)
+        edges.append(edge)
+        place = lattice.end[edge].astype(np.int64)
+        on = np.flatnonzero(place < end)
+        live, place, end, origin, keys = live[on], place[on], end[on], origin[on], keys[on]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *rows]), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([none, *edges])
 
 
 def _top(values: np.ndarray, starts: np.ndarray, counts: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -293,31 +372,32 @@ def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[li
     probabilities, as if each had been perturbed alone. The inclusion score is the chance
     of a segmentation to be above the next value that did not come out.
     """
-    many, flat, d = texts.many, texts.flat, len(texts.many)
-    lattice = Lattice(texts.chunks, vocab)
+    many, d = texts.many, len(texts.many)
+    flat, lattice = vocab.learn(texts.chunks)[0][texts.flat], vocab.lattice
     last = np.cumsum(many)  # chunk places of a text: last - many up to last
     begin, end = lattice.chunk_start[flat], lattice.chunk_end[flat]
+    origin = begin - texts.offset
     keys = _mix(keys)
-    inside = np.arange(len(flat)) - np.repeat(last - many, many)
-    chunk_key = _mix(np.repeat(keys, many) ^ _mix((inside + 1).astype(np.uint64)))
+    chunk_key = _mix(np.repeat(keys, many) ^ _mix(texts.inside.astype(np.uint64)))
     owner = np.repeat(np.arange(d), many)
 
-    edges, places, bases, sizes, values, logps, branches = [], [], [], [], [], [], []  # of all paths; chunk place of each edge
+    # Of all paths: edges, the chunk place and the summed log probability of each, and so on.
+    edges, places, sums, bases, sizes, values, logps, branches = [], [], [], [], [], [], [], []
     stored = 0
     agenda = np.full((d, 0), _NONE)
     agenda_path, agenda_step = np.zeros((d, 0), np.int64), np.zeros((d, 0), np.int64)
     barred = np.full((k + 1, d, k + 1), -1, np.int64)  # per path: edges that its branching node has given away
     value = _gumbel(_uniform(keys, 0, 0))
     branch = np.zeros(d, np.int64)
+    # A path is what it keeps of its source, up to its branch, and a tail that is drawn.
     for j in range(k):
+        before = np.zeros(d)  # log probability of what is kept
         if j == 0:
-            row, step, edge = _paths(lattice, np.arange(len(flat)), begin, end, begin, chunk_key, j)
+            row, step, edge = _paths(lattice, begin, end, origin, chunk_key, j)
             length = np.bincount(row, minlength=len(flat))
-            size = np.bincount(owner, length, d).astype(np.int64)
-            base = np.cumsum(size) - size
-            path, place = np.empty(len(row), np.int64), np.empty(len(row), np.int64)
-            to = (np.cumsum(length) - length)[row] + step
-            path[to], place[to] = edge, row
+            size = tail_size = np.bincount(owner, length, d).astype(np.int64)
+            tail, spots_of = np.empty(len(row), np.int64), np.repeat(np.arange(len(flat)), length)
+            tail[(np.cumsum(length) - length)[row] + step] = edge
         else:
             pick = agenda.argmax(axis=1)
             value = agenda[np.arange(d), pick]
@@ -326,7 +406,7 @@ def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[li
             if not len(live):
                 break
             source, branch = agenda_path[np.arange(d), pick], agenda_step[np.arange(d), pick]
-            whole, spots = np.concatenate(edges), np.concatenate(places)
+            whole, spots, summed = np.concatenate(edges), np.concatenate(places), np.concatenate(sums)
             old = np.stack(bases)[source, np.arange(d)]
             leaf = old[live] + branch[live]
             left, spot = whole[leaf], spots[leaf]
@@ -342,7 +422,7 @@ def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[li
             option = lattice.first[node][:, None] + np.arange(wide.max())
             valid = np.arange(wide.max()) < wide[:, None]
             option = np.where(valid, option, 0)
-            chance = np.where(valid & ~(option[:, :, None] == gone[:, None, :]).any(axis=2), lattice.p[option], 0)
+            chance = np.where(valid & ~(option[:, :, None] == gone[:, None, :]).any(axis=2), np.exp(lattice.logp[option]), 0)
             rungs = np.cumsum(chance, axis=1)
             u = _uniform(keys[live], 3 * j + 1, branch[live]) * rungs[:, -1]
             chosen = option[np.arange(len(live)), np.minimum((rungs <= u[:, None]).sum(axis=1), wide - 1)]
@@ -350,45 +430,47 @@ def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[li
             gone[np.arange(len(live)), free] = chosen
             barred[j, live] = gone
             # What follows: the rest of the chunk, then the chunks behind it.
-            behind = last[live] - spot - 1
-            todo = np.r_[spot, _ranges(spot + 1, behind)]
-            start = np.r_[lattice.end[chosen], begin[todo[len(live) :]]]
-            doc = np.r_[live, np.repeat(live, behind)]
-            need = start < end[todo]
+            behind = last[live] - spot
+            todo, doc = _ranges(spot, behind), np.repeat(live, behind)
+            start = begin[todo]
+            start[np.cumsum(behind) - behind] = lattice.end[chosen]
+            need = np.flatnonzero(start < end[todo])
             todo, start, doc = todo[need], start[need], doc[need]
-            row, step, edge = _paths(lattice, todo, start, end[todo], begin[todo], chunk_key[todo], j)
+            row, step, edge = _paths(lattice, start, end[todo], origin[todo], chunk_key[todo], j)
             length = np.bincount(row, minlength=len(todo))
-            order = np.argsort(todo, kind="stable")
-            size = np.zeros(d, np.int64)
-            size[live] = branch[live] + 1
-            size += np.bincount(doc, length, d).astype(np.int64)
-            base = np.cumsum(size) - size
-            path, place = np.empty(size.sum(), np.int64), np.empty(size.sum(), np.int64)
-            kept = _ranges(old[live], branch[live])
-            to = _ranges(base[live], branch[live])
-            path[to], place[to] = whole[kept], spots[kept]
-            path[base[live] + branch[live]], place[base[live] + branch[live]] = chosen, spot
-            before = np.empty(len(todo), np.int64)  # new pieces of all texts before each row, in the order of chunks
-            before[order] = np.cumsum(length[order]) - length[order]
-            fresh = np.bincount(doc, length, d).astype(np.int64)
-            shift = base + np.where(value > _NONE, branch + 1, 0) - (np.cumsum(fresh) - fresh)
-            to = shift[doc[row]] + before[row] + step
-            path[to], place[to] = edge, todo[row]
-        logp = lattice.logp[path]
+            tail_size = np.bincount(doc, length, d).astype(np.int64)
+            tail_size[live] += 1
+            tail, spots_of = np.empty(tail_size.sum(), np.int64), np.empty(tail_size.sum(), np.int64)
+            at = np.cumsum(tail_size[live]) - tail_size[live]
+            tail[at], spots_of[at] = chosen, spot
+            rank = np.zeros(d, np.int64)
+            rank[live] = np.arange(1, len(live) + 1)  # chosen edges of the texts up to this one
+            to = (np.cumsum(length) - length + rank[doc])[row] + step
+            tail[to], spots_of[to] = edge, todo[row]
+            kept = np.flatnonzero(branch[live])
+            before[live[kept]] = summed[leaf[kept] - 1]
+            size = np.where(value > _NONE, branch, 0) + tail_size
+        skip, base, tail_base = size - tail_size, np.cumsum(size) - size, np.cumsum(tail_size) - tail_size
+        logp = lattice.logp[tail]
         runs = np.r_[0.0, np.cumsum(logp)]
-        start_sum = runs[base]
-        total = runs[base + size] - start_sum
-        who = np.repeat(np.arange(d), size)
-        rest = 1 - lattice.p[path]
-        if j:
-            at = base[live] + branch[live]
-            spent = np.where(barred[j, live] >= 0, lattice.p[np.maximum(barred[j, live], 0)], 0).sum(axis=1)
-            options = lattice.first[lattice.start[path[at]] + 1] - lattice.first[lattice.start[path[at]]]
+        before -= runs[tail_base]
+        total = runs[tail_base + tail_size] + before
+        who = np.repeat(np.arange(d), tail_size)
+        rest = 1 - np.exp(logp)
+        if j == 0:
+            path, place, sum_of = tail, spots_of, runs[1:] + before[who]
+        else:
+            path, place, sum_of = np.empty(size.sum(), np.int64), np.empty(size.sum(), np.int64), np.empty(size.sum())
+            kept, to = _ranges(old[live], branch[live]), _ranges(base[live], branch[live])
+            path[to], place[to], sum_of[to] = whole[kept], spots[kept], summed[kept]
+            to = _ranges(base + skip, tail_size)
+            path[to], place[to], sum_of[to] = tail, spots_of, runs[1:] + before[who]
+            spent = np.where(barred[j, live] >= 0, np.exp(lattice.logp[np.maximum(barred[j, live], 0)]), 0).sum(axis=1)
+            options = lattice.first[lattice.start[chosen] + 1] - lattice.first[lattice.start[chosen]]
             rest[at] = np.where((barred[j, live] >= 0).sum(axis=1) < options, 1 - spent, 0)
-            rest[_ranges(base, np.where(value > _NONE, branch, 0))] = 0
         open_nodes = np.flatnonzero(rest > 1e-12)
         who = who[open_nodes]
-        mass = runs[open_nodes] - start_sum[who] + np.log(rest[open_nodes])
+        mass = runs[open_nodes] + before[who] + np.log(rest[open_nodes])
         # A perturbed mass lies between 3.7 below and 37.5 above its mass, so a node is beaten by k - j others
         # if the masses of any k - j nodes of its text, here the first, are larger by 42.
         here = np.bincount(who, minlength=d)
@@ -400,16 +482,18 @@ def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[li
             lowest[enough] = np.minimum.reduceat(mass[_ranges(first[enough], few[enough])], np.cumsum(few[enough]) - few[enough])
         near = np.flatnonzero(mass > lowest[who] - 42)
         nodes, who, mass = open_nodes[near], who[near], mass[near]
-        drawn = mass + _gumbel(_uniform(keys[who], 3 * j + 2, nodes - base[who]))
+        step_of = nodes - (tail_base - skip)[who]  # pieces before the node in its path
+        drawn = mass + _gumbel(_uniform(keys[who], 3 * j + 2, step_of))
         bound = -np.logaddexp(-value[who], -drawn)
         here = np.bincount(who, minlength=d)
         more = _top(bound, np.cumsum(here) - here, here, k - j)
         agenda = np.hstack([agenda, *(b[:, None] for b, _ in more)])
         agenda_path = np.hstack([agenda_path, np.full((d, len(more)), j)])
-        step_of = np.r_[nodes, 0]
-        agenda_step = np.hstack([agenda_step, *((step_of[np.minimum(p, len(nodes))] - base)[:, None] for _, p in more)])
+        step_of = np.r_[step_of, 0]
+        agenda_step = np.hstack([agenda_step, *(step_of[np.minimum(p, len(nodes))][:, None] for _, p in more)])
         edges.append(path.astype(np.int32))
         places.append(place.astype(np.int32))
+        sums.append(sum_of)
         bases.append(base + stored)
         sizes.append(size)
         stored += len(path)
@@ -439,13 +523,13 @@ def _slices(texts: pa.Array, vocab: Vocabulary) -> Iterator[tuple[int, Slice]]:
     held, size, first = [], 0, 0
     for t in texts:
         text = t.as_py() or ""
-        held.append(vocab.chunks(text))
+        held.append(vocab.model.normalize(text))
         size += len(text)
         if size >= SLICE_CHARS:
-            yield first, Slice(held)
+            yield first, Slice(held, vocab)
             held, size, first = [], 0, first + len(held)
     if held:
-        yield first, Slice(held)
+        yield first, Slice(held, vocab)
 
 
 def _listed(rows: list[np.ndarray]) -> pa.Array:
@@ -510,7 +594,7 @@ def segment(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 4,
                 yield pa.RecordBatch.from_arrays([*rows.columns, _listed(own), samples, pa.array(same)], names=[*kept, "pieces", "samples", "decodes"])
                 del own, found, flat, structs, samples
             give_back()
-        vocab.known = {}
+        vocab.forget()
         give_back()
 
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(ADDED).fields])
