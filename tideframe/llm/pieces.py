@@ -30,16 +30,25 @@ _NONE = -np.inf
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit counters into independent-looking bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _uniform(keys: np.ndarray, *salts) -> np.ndarray:
     """A number between 0 and 1 that only the key and the salts decide."""
     for step, salt in zip((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), salts):
-        keys = keys + (np.atleast_1d(salt).astype(np.uint64) + np.uint64(1)) * np.uint64(step)
-    return (_mix(keys) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+        more = np.atleast_1d(salt).astype(np.uint64)
+        more += np.uint64(1)
+        more *= np.uint64(step)
+        keys = keys + more
+    out = (_mix(keys) >> np.uint64(11)).astype(np.float64)
+    out *= 2.0**-53
+    out += 2.0**-54
+    return out
 
 
 def _gumbel(u: np.ndarray) -> np.ndarray:
@@ -260,28 +269,30 @@ class Lattice:
         cost = np.where(ids >= 0, vocab.logp[ids], spelled * vocab.byte_logp)
         alone = np.flatnonzero((ids < 0) & (spelled == 1))
         ids[alone] = vocab.bytes[chars[alone]]
-        found = [(np.arange(n), 1, ids, cost)]
-        at, node, depth = np.arange(n), vocab.child[0, kind].astype(np.int64), 1
+        found = [(np.arange(n), 1, ids)]
+        at, node, left, depth = np.arange(n), vocab.child[0, kind].astype(np.int64), limit - np.arange(n), 1
         while len(at):
-            on = (node > 0) & (node < vocab.inner) & (at + depth < limit[at])
-            at, node = at[on], node[on]
+            on = np.flatnonzero((node > 0) & (node < vocab.inner) & (left > depth))
+            at, node, left = at[on], node[on], left[on]
             node = vocab.child[node, kind[at + depth]].astype(np.int64)
             depth += 1
             piece = np.where(node > 0, vocab.piece[node], -1)
-            hit = piece >= 0
-            if hit.any():
-                found.append((at[hit], depth, piece[hit], vocab.logp[piece[hit]]))
+            hit = np.flatnonzero(piece >= 0)
+            if len(hit):
+                found.append((at[hit], depth, piece[hit]))
         count = np.zeros(n, np.int64)
         for start, *_ in found:
             count[start] += 1
         firsts = np.r_[0, np.cumsum(count)]
         total = int(firsts[-1])
-        starts, ends, pieces, logw = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
+        starts, pieces, wide = np.repeat(np.arange(n), count), np.empty(total, np.int32), np.empty(total, np.int32)
         filled = firsts[:-1].copy()
-        for start, length, ids, cost in reversed(found):  # the longest first: it is mostly the likeliest
+        for start, length, ids in reversed(found):  # the longest first: it is mostly the likeliest
             to = filled[start]
-            filled[start] += 1
-            starts[to], ends[to], pieces[to], logw[to] = start, start + length, ids, cost
+            filled[start] = to + 1
+            pieces[to], wide[to] = ids, length
+        ends, logw = starts + wide, vocab.logp[pieces]
+        logw[firsts[1:] - 1] = cost
         # Log mass of all ways from a character to the end of its chunk, from the ends backwards.
         ahead = limit - np.arange(n)
         order = np.argsort(ahead.astype(np.uint16) if ahead.max() < 1 << 16 else ahead, kind="stable")
@@ -302,7 +313,7 @@ class Lattice:
         ladder -= np.r_[0, ladder][firsts[starts]]
         ladder[firsts[1:] - 1] = 1.0  # rounding never leads past the last edge of a character
         at, to = self.places, self.edges
-        self._put(self.EDGE, to, start=starts + np.int32(at), end=ends + np.int32(at), id=pieces, logp=logp, ladder=ladder)
+        self._put(self.EDGE, to, start=starts + at, end=ends + at, id=pieces, logp=logp, ladder=ladder)
         self._put(self.PLACE, at, first=firsts + to, chars=chars, spelled=spelled)
         self.chunk_start, self.chunk_end = np.r_[self.chunk_start, at + chunk_end - lengths], np.r_[self.chunk_end, at + chunk_end]
         self.places, self.edges = at + n, to + total
@@ -312,8 +323,8 @@ class Lattice:
         edge = self.first[place]
         on = np.flatnonzero(u >= self.ladder[edge])
         while len(on):
-            edge[on] += 1
-            on = on[u[on] >= self.ladder[edge[on]]]
+            edge[on] = next_edge = edge[on] + 1
+            on = on[u[on] >= self.ladder[next_edge]]
         return edge
 
     def ids_of(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -458,16 +469,21 @@ def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[li
         who = np.repeat(np.arange(d), tail_size)
         rest = 1 - np.exp(logp)
         if j == 0:
-            path, place, sum_of = tail, spots_of, runs[1:] + before[who]
+            path = tail
         else:
-            path, place, sum_of = np.empty(size.sum(), np.int64), np.empty(size.sum(), np.int64), np.empty(size.sum())
-            kept, to = _ranges(old[live], branch[live]), _ranges(base[live], branch[live])
-            path[to], place[to], sum_of[to] = whole[kept], spots[kept], summed[kept]
-            to = _ranges(base + skip, tail_size)
-            path[to], place[to], sum_of[to] = tail, spots_of, runs[1:] + before[who]
+            path, kept, to, behind = np.empty(size.sum(), np.int64), _ranges(old[live], branch[live]), _ranges(base[live], branch[live]), _ranges(base + skip, tail_size)
+            path[to], path[behind] = whole[kept], tail
             spent = np.where(barred[j, live] >= 0, np.exp(lattice.logp[np.maximum(barred[j, live], 0)]), 0).sum(axis=1)
             options = lattice.first[lattice.start[chosen] + 1] - lattice.first[lattice.start[chosen]]
             rest[at] = np.where((barred[j, live] >= 0).sum(axis=1) < options, 1 - spent, 0)
+        if j < k - 1:  # the last path is nobody's source
+            place, sum_of = spots_of, runs[1:] + before[who]
+            if j:
+                place, sum_of = np.empty(len(path), np.int64), np.empty(len(path))
+                place[to], sum_of[to] = spots[kept], summed[kept]
+                place[behind], sum_of[behind] = spots_of, runs[1:] + before[who]
+            places.append(place.astype(np.int32))
+            sums.append(sum_of)
         open_nodes = np.flatnonzero(rest > 1e-12)
         who = who[open_nodes]
         mass = runs[open_nodes] + before[who] + np.log(rest[open_nodes])
@@ -492,8 +508,6 @@ def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[li
         step_of = np.r_[step_of, 0]
         agenda_step = np.hstack([agenda_step, *(step_of[np.minimum(p, len(nodes))][:, None] for _, p in more)])
         edges.append(path.astype(np.int32))
-        places.append(place.astype(np.int32))
-        sums.append(sum_of)
         bases.append(base + stored)
         sizes.append(size)
         stored += len(path)
