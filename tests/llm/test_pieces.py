@@ -129,6 +129,37 @@ def test_chunks_beyond_those_remembered(monkeypatch):
         assert (limit >= 10**6) == (len(vocab.known) == len({c for t in texts for c in pieces.Slice([vocab.model.normalize(t)], vocab).chunks}))
 
 
+class Counting:
+    """numpy with a count of the exponentials taken."""
+
+    taken = 0
+
+    def __getattr__(self, name):
+        return getattr(np, name)
+
+    def exp(self, x, **more):
+        self.taken += np.size(x)
+        return np.exp(x, **more)
+
+
+def test_only_nodes_that_may_branch_are_rated(monkeypatch):
+    part = pieces.Slice([V.model.normalize("the cat sat, then another ran away. " * 2_000), V.model.normalize("a"), ""], V)
+    own = part.encode(V)
+    monkeypatch.setattr(pieces, "np", counting := Counting())
+    found = pieces.sample(part, pieces.row_keys([1, 2, 3], 0), V, 4)
+    assert [len(f) for f in found] == [4, 2, 1] and len(found[0][0][0]) > 10_000 < len(own[0])
+    assert 0 < counting.taken < len(own[0]) // 2
+
+
+def test_windows_leave_the_samples_alone(monkeypatch):
+    texts = ["the cat sat on another mat. " * 300, "2 2 2 2 2 2 2 2 2 " * 200 + "then", "at the", "", "漢 is\n" * 400]
+    part, keys, found = pieces.Slice([V.model.normalize(t) for t in texts], V), pieces.row_keys(range(5), 9), []
+    for window in (1, 16, 10**6):
+        monkeypatch.setattr(pieces, "WINDOW", window)
+        found.append([(x[0].tolist(), *x[1:]) for row in pieces.sample(part, keys, V, 6) for x in row])
+    assert found[0] == found[1] == found[2]
+
+
 def test_encode_and_decode(spark):
     docs = spark.createDataFrame([*enumerate(TEXTS), (3, "a"), (None, "no key")], "doc_id int, text string")
     rows = docs.withColumn("ids", pieces.encode(docs.text)).withColumn("back", pieces.decode(pieces.col("ids"))).collect()

@@ -26,6 +26,10 @@ REMEMBERED_EDGES = 3_000_000
 # No piece crosses the start of a run of blanks, nor a line end.
 _CHUNK = re.compile("▁*[^▁\n]+|\n|▁+")
 _NONE = -np.inf
+#: Strides of the counters that decide draws.
+DRAW, STEP = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Nodes from the start of a tail that are looked at first for the next branch.
+WINDOW = 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -38,19 +42,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _uniform(keys: np.ndarray, *salts) -> np.ndarray:
-    """A number between 0 and 1 that only the key and the salts decide."""
-    for step, salt in zip((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), salts):
-        more = np.atleast_1d(salt).astype(np.uint64)
-        more += np.uint64(1)
-        more *= np.uint64(step)
-        keys = keys + more
-    out = (_mix(keys) >> np.uint64(11)).astype(np.float64)
+def _salted(keys: np.ndarray, salt, stride: int) -> np.ndarray:
+    more = np.atleast_1d(salt).astype(np.uint64)
+    more += np.uint64(1)
+    more *= np.uint64(stride)
+    return keys + more
+
+
+def _fraction(counters: np.ndarray) -> np.ndarray:
+    """A number between 0 and 1 that only the counter decides."""
+    out = (_mix(counters) >> np.uint64(11)).astype(np.float64)
     out *= 2.0**-53
     out += 2.0**-54
     return out
 
 
+def _uniform(keys: np.ndarray, draw: int, step) -> np.ndarray:
+    """A number between 0 and 1 that only the key, the draw and its step decide."""
+    return _fraction(_salted(_salted(keys, draw, DRAW), step, STEP))
+
+
 def _gumbel(u: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(u))
 
@@ -198,20 +209,22 @@ class Slice:
         begins[3:] &= ~blank[:-3] | line[3:]  # only the first of some blanks
         begins[1:] |= line[:-1]
         begins[cuts[:-1][cuts[1:] > cuts[:-1]]] = True
-        chunk = np.cumsum(begins)
         if vocab:
             cut = begins.copy()
-            cut[1:] |= vocab.apart.reshape(-1)[letters[:-3].astype(np.uint16) << 8 | letters[1:-2]]
+            cut[1:] |= vocab.apart.reshape(-1).take(letters[:-3].astype(np.uint16) << 8 | letters[1:-2])
         starts = np.flatnonzero(cut if vocab else begins)
         found = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
-        places = np.searchsorted(starts, cuts)
-        self.many = np.diff(places)  # chunks of each text
-        first = chunk[starts[np.minimum(places[:-1], len(starts) - 1)]] if len(starts) else places[:-1]
-        self.inside = chunk[starts] - np.repeat(first, self.many) + 1
-        characters = np.cumsum((letters[:-2] & 0xC0) != 0x80)
-        self.offset = characters[starts] - characters[begins][chunk[starts] - 1]
         self.flat = found.indices.to_numpy().astype(np.int64)
         self.chunks = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        places = np.searchsorted(starts, cuts)
+        self.many = np.diff(places)  # chunks of each text
+        whole = begins[starts]
+        chunk = np.cumsum(whole)
+        first = chunk[np.minimum(places[:-1], len(starts) - 1)] if len(starts) else places[:-1]
+        self.inside = chunk - np.repeat(first, self.many) + 1
+        lengths = np.fromiter(map(len, self.chunks), np.int64, len(self.chunks))[self.flat]
+        offset = np.cumsum(lengths) - lengths
+        self.offset = offset - offset[whole][chunk - 1]
 
     def encode(self, vocab: Vocabulary) -> list[np.ndarray]:
         """Piece ids of every text by the model's own segmentation."""
@@ -231,9 +244,10 @@ def vocabulary(path: str, sharpness: float = 1.0) -> Vocabulary:
 class Lattice:
     """All segmentations of chunks: edges per character, with probabilities that add up to 1. Chunks are added behind those there."""
 
-    #: Columns of edges and of characters; the rows behind ``edges`` and ``places`` are spare.
-    EDGE = {"start": np.int32, "end": np.int32, "id": np.int32, "logp": np.float64, "ladder": np.float64}
-    PLACE = {"first": np.int64, "chars": np.int32, "spelled": np.int8}
+    #: Columns of edges and of characters; the rows behind ``edges`` and ``places`` are spare. ``then`` is the
+    #: character behind an edge, -1 at the end of its chunk; ``id`` is ~c for a character c spelled in byte pieces.
+    EDGE = {"then": np.int32, "id": np.int32, "logp": np.float64, "ladder": np.float64}
+    PLACE = {"first": np.int64}
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
@@ -242,9 +256,13 @@ class Lattice:
             setattr(self, name, np.zeros(1, kind))
         self.chunk_start, self.chunk_end = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def start(self, edge: np.ndarray) -> np.ndarray:
+        """The characters that edges leave from."""
+        return np.searchsorted(self.first[: self.places + 1], edge, side="right") - 1
+
     def cut_back(self, chunks: int) -> None:
         """Forget all but the first chunks."""
-        self.places = int(self.chunk_end[chunks - 1]) if chunks else 0
+        self.places = int(self.chunk_end[chunks - 1]) + 1 if chunks else 0
         self.edges = int(self.first[self.places])
         self.chunk_start, self.chunk_end = self.chunk_start[:chunks], self.chunk_end[:chunks]
 
@@ -258,101 +276,114 @@ class Lattice:
 
     def add(self, chunks: list[str]) -> None:
         vocab = self.vocab
-        chars = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.int64)
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        chunk_end = np.cumsum(lengths + 1) - 1  # each chunk's end is a place without edges
+        chars = np.frombuffer(("\0".join(chunks) + "\0").encode("utf-32-le"), np.uint32).astype(np.int64)
         n = len(chars)
-        lengths = np.array([len(c) for c in chunks], np.int64)
-        chunk_end = np.cumsum(lengths)
-        limit = np.repeat(chunk_end, lengths)
+        inner = np.ones(n, bool)
+        inner[chunk_end] = False
+        within = np.flatnonzero(inner)
         kind = vocab.kind[chars]
+        kind[chunk_end] = 0
         ids = vocab.single[chars]
         spelled = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
         cost = np.where(ids >= 0, vocab.logp[ids], spelled * vocab.byte_logp)
         alone = np.flatnonzero((ids < 0) & (spelled == 1))
         ids[alone] = vocab.bytes[chars[alone]]
-        found = [(np.arange(n), 1, ids)]
-        at, node, left, depth = np.arange(n), vocab.child[0, kind].astype(np.int64), limit - np.arange(n), 1
+        found = [(within, 1, ids[within])]
+        at, node, depth = np.arange(n), vocab.child[0].take(kind), 1
         while len(at):
-            on = np.flatnonzero((node > 0) & (node < vocab.inner) & (left > depth))
-            at, node, left = at[on], node[on], left[on]
-            node = vocab.child[node, kind[at + depth]].astype(np.int64)
+            on = np.flatnonzero((node > 0) & (node < vocab.inner))
+            at = at.take(on)
+            node = vocab.child[node.take(on), kind.take(at + depth)]
             depth += 1
-            piece = np.where(node > 0, vocab.piece[node], -1)
+            piece = vocab.piece.take(node)  # none at the root
             hit = np.flatnonzero(piece >= 0)
             if len(hit):
-                found.append((at[hit], depth, piece[hit]))
+                found.append((at.take(hit), depth, piece.take(hit)))
         count = np.zeros(n, np.int64)
         for start, *_ in found:
             count[start] += 1
         firsts = np.r_[0, np.cumsum(count)]
         total = int(firsts[-1])
-        starts, pieces, wide = np.repeat(np.arange(n), count), np.empty(total, np.int32), np.empty(total, np.int32)
+        starts, pieces, ends = np.repeat(np.arange(n), count), np.empty(total, np.int32), np.empty(total, np.int64)
         filled = firsts[:-1].copy()
-        for start, length, ids in reversed(found):  # the longest first: it is mostly the likeliest
-            to = filled[start]
+        for start, length, piece in reversed(found):  # the longest first: it is mostly the likeliest
+            to = filled.take(start)
             filled[start] = to + 1
-            pieces[to], wide[to] = ids, length
-        ends, logw = starts + wide, vocab.logp[pieces]
-        logw[firsts[1:] - 1] = cost
+            pieces[to], ends[to] = piece, start + length
+        logw, final = vocab.logp.take(pieces, mode="wrap"), firsts[1:][within] - 1
+        logw[final] = cost[within]
+        missing = np.flatnonzero(ids[within] < 0)
+        pieces[final[missing]] = ~chars[within[missing]]
         # Log mass of all ways from a character to the end of its chunk, from the ends backwards.
-        ahead = limit - np.arange(n)
-        order = np.argsort(ahead.astype(np.uint16) if ahead.max() < 1 << 16 else ahead, kind="stable")
+        ahead = np.repeat(chunk_end, lengths) - within
+        order = within[np.argsort(ahead.astype(np.uint16) if lengths.max() < 1 << 16 else ahead, kind="stable")]
         steps = np.r_[0, np.cumsum(np.bincount(ahead)[1:])]
-        mass = np.zeros(n + 1)  # the last place is the end of any chunk
-        goal = np.where(ends == limit[starts], n, ends)
+        mass, wide = np.zeros(n), count[order]
+        edges = _ranges(firsts[order], wide)
+        goal, weight, cuts = ends[edges], logw[edges], np.r_[0, np.cumsum(wide)]
         for a, b in zip(steps[:-1], steps[1:]):
             if a < b:
-                place = order[a:b]
-                wide = count[place]
-                edges = _ranges(firsts[place], wide)
-                value = logw[edges] + mass[goal[edges]]
-                cuts = np.cumsum(wide) - wide
-                top = np.maximum.reduceat(value, cuts)
-                mass[place] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, wide)), cuts))
-        logp = logw + mass[goal] - mass[starts]
+                value = weight[cuts[a] : cuts[b]] + mass.take(goal[cuts[a] : cuts[b]])
+                runs = cuts[a:b] - cuts[a]
+                top = np.maximum.reduceat(value, runs)
+                value -= np.repeat(top, wide[a:b])
+                mass[order[a:b]] = top + np.log(np.add.reduceat(np.exp(value, out=value), runs))
+        logp = logw + mass[ends] - mass[starts]
         ladder = np.cumsum(np.exp(logp))
         ladder -= np.r_[0, ladder][firsts[starts]]
-        ladder[firsts[1:] - 1] = 1.0  # rounding never leads past the last edge of a character
+        ladder[final] = 1.0  # rounding never leads past the last edge of a character
         at, to = self.places, self.edges
-        self._put(self.EDGE, to, start=starts + at, end=ends + at, id=pieces, logp=logp, ladder=ladder)
-        self._put(self.PLACE, at, first=firsts + to, chars=chars, spelled=spelled)
+        self._put(self.EDGE, to, then=np.where(inner[ends], ends + at, -1), id=pieces, logp=logp, ladder=ladder)
+        self._put(self.PLACE, at, first=firsts + to)
         self.chunk_start, self.chunk_end = np.r_[self.chunk_start, at + chunk_end - lengths], np.r_[self.chunk_end, at + chunk_end]
         self.places, self.edges = at + n, to + total
 
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each character in proportion to its probability."""
-        edge = self.first[place]
-        on = np.flatnonzero(u >= self.ladder[edge])
+        edge = self.first.take(place)
+        on = np.flatnonzero(u >= self.ladder.take(edge))
+        more, u = edge.take(on), u.take(on)
         while len(on):
-            edge[on] = next_edge = edge[on] + 1
-            on = on[u[on] >= self.ladder[next_edge]]
+            more += 1
+            edge[on] = more
+            left = np.flatnonzero(u >= self.ladder.take(more))
+            on, more, u = on.take(left), more.take(left), u.take(left)
         return edge
 
-    def ids_of(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of edges, byte pieces written out, and how many each edge has."""
-        ids = self.id[edges]
+    def ids_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the ids of edges, byte pieces written out, and how many each edge has."""
+        counts = np.ones(len(ids), np.int64)
         missing = np.flatnonzero(ids < 0)
         if not len(missing):
-            return ids, np.ones(len(edges), np.int64)
-        counts = np.ones(len(edges), np.int64)
-        counts[missing] = self.spelled[self.start[edges[missing]]]
+            return ids, counts
+        chars = ~ids[missing]
+        counts[missing] = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
         out = np.repeat(ids, counts)
-        raw = "".join(map(chr, self.chars[self.start[edges[missing]]].tolist())).encode()
-        out[out < 0] = self.vocab.bytes[np.frombuffer(raw, np.uint8)]
+        out[out < 0] = self.vocab.bytes[np.frombuffer("".join(map(chr, chars.tolist())).encode(), np.uint8)]
         return out, counts
 
 
-def _paths(lattice: Lattice, at: np.ndarray, end: np.ndarray, origin: np.ndarray, keys: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Draws a path from ``at`` to ``end`` for every row, all rows a piece at a time: (row, step, edge)."""
-    rows, edges, live, place = [], [], np.arange(len(at)), at
+def _paths(lattice: Lattice, place: np.ndarray, counters: np.ndarray, lead: np.ndarray | int = 0, spare: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Draws a path from every row's place to the end of its chunk, all rows a piece at a time: (lengths, starts, edges).
+
+    The rows' edges follow one another, moved by ``lead`` to leave ``spare`` places free in all.
+    """
+    length, live, drawn = np.zeros(len(place), np.int64), np.arange(len(place)), []
     while len(live):
-        edge = lattice.draw(place, _uniform(keys, salt, place - origin))
-        rows.append(live)
-        edges.append(edge)
-        place = lattice.end[edge].astype(np.int64)
-        on = np.flatnonzero(place < end)
-        live, place, end, origin, keys = live[on], place[on], end[on], origin[on], keys[on]
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *rows]), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([none, *edges])
+        edge = lattice.draw(place, _fraction(counters + place.view(np.uint64) * np.uint64(STEP)))
+        drawn.append((live, edge))
+        length[live] += 1
+        place = lattice.then.take(edge)
+        on = np.flatnonzero(place >= 0)
+        live, place, counters = live.take(on), place.take(on).astype(np.int64), counters.take(on)
+    ends = np.cumsum(length)
+    starts = ends - length + lead
+    edges = np.empty((int(ends[-1]) if len(ends) else 0) + spare, np.int64)
+    for step, (live, edge) in enumerate(drawn):
+        edges[starts.take(live) + step] = edge
+    return length, starts, edges
 
 
 def _top(values: np.ndarray, starts: np.ndarray, counts: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -386,42 +417,39 @@ def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[li
     many, d = texts.many, len(texts.many)
     flat, lattice = vocab.learn(texts.chunks)[0][texts.flat], vocab.lattice
     last = np.cumsum(many)  # chunk places of a text: last - many up to last
-    begin, end = lattice.chunk_start[flat], lattice.chunk_end[flat]
-    origin = begin - texts.offset
+    begin = lattice.chunk_start[flat]
     keys = _mix(keys)
     chunk_key = _mix(np.repeat(keys, many) ^ _mix(texts.inside.astype(np.uint64)))
-    owner = np.repeat(np.arange(d), many)
+    chunk_key = _salted(chunk_key, texts.offset - begin, STEP)  # the place in the lattice times STEP is added for each draw
 
-    # Of all paths: edges, the chunk place and the summed log probability of each, and so on.
-    edges, places, sums, bases, sizes, values, logps, branches = [], [], [], [], [], [], [], []
+    # Of all paths: ids of edges and where each text's begin, and so on.
+    paths, bases, sizes, values, logps, branches = [], [], [], [], [], []
     stored = 0
-    agenda = np.full((d, 0), _NONE)
-    agenda_path, agenda_step = np.zeros((d, 0), np.int64), np.zeros((d, 0), np.int64)
+    # Branches that may come next, by their values: path, pieces before the node, edge there, chunk place, log probability before.
+    agenda, notes = np.full((d, 0), _NONE), [np.zeros((d, 0), t) for t in (np.int64, np.int64, np.int64, np.int64, np.float64)]
     barred = np.full((k + 1, d, k + 1), -1, np.int64)  # per path: edges that its branching node has given away
     value = _gumbel(_uniform(keys, 0, 0))
-    branch = np.zeros(d, np.int64)
+    branch = spot_of = np.zeros(d, np.int64)
     # A path is what it keeps of its source, up to its branch, and a tail that is drawn.
     for j in range(k):
-        before = np.zeros(d)  # log probability of what is kept
+        kept_logp = np.zeros(d)
         if j == 0:
-            row, step, edge = _paths(lattice, begin, end, origin, chunk_key, j)
-            length = np.bincount(row, minlength=len(flat))
-            size = tail_size = np.bincount(owner, length, d).astype(np.int64)
-            tail, spots_of = np.empty(len(row), np.int64), np.repeat(np.arange(len(flat)), length)
-            tail[(np.cumsum(length) - length)[row] + step] = edge
+            todo = np.arange(len(flat))
+            length, starts, tail = _paths(lattice, begin, _salted(chunk_key, j, DRAW))
+            ends = np.r_[0, np.cumsum(length)]
+            size = tail_size = ends[last] - ends[last - many]
         else:
+            if not agenda.shape[1]:
+                break
             pick = agenda.argmax(axis=1)
             value = agenda[np.arange(d), pick]
             live = np.flatnonzero(value > _NONE)
             agenda[live, pick[live]] = _NONE
             if not len(live):
                 break
-            source, branch = agenda_path[np.arange(d), pick], agenda_step[np.arange(d), pick]
-            whole, spots, summed = np.concatenate(edges), np.concatenate(places), np.concatenate(sums)
-            old = np.stack(bases)[source, np.arange(d)]
-            leaf = old[live] + branch[live]
-            left, spot = whole[leaf], spots[leaf]
-            node = lattice.start[left]
+            source, branch, left, spot_of, kept_logp = (n[np.arange(d), pick] for n in notes)
+            left, spot = left[live], spot_of[live]
+            node = lattice.start(left)
             # The edges given away at this node: the path's own, and before it what its node had given if it branched here.
             gone = np.full((len(live), k + 1), -1, np.int64)
             same = np.stack(branches)[source[live], live] == branch[live]
@@ -441,73 +469,79 @@ def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[li
             gone[np.arange(len(live)), free] = chosen
             barred[j, live] = gone
             # What follows: the rest of the chunk, then the chunks behind it.
-            behind = last[live] - spot
-            todo, doc = _ranges(spot, behind), np.repeat(live, behind)
+            after = wide
+            then = lattice.then[chosen].astype(np.int64)
+            on = np.flatnonzero(then >= 0)
+            behind = last[live] - spot - (then < 0)
+            todo = _ranges(last[live] - behind, behind)
             start = begin[todo]
-            start[np.cumsum(behind) - behind] = lattice.end[chosen]
-            need = np.flatnonzero(start < end[todo])
-            todo, start, doc = todo[need], start[need], doc[need]
-            row, step, edge = _paths(lattice, start, end[todo], origin[todo], chunk_key[todo], j)
-            length = np.bincount(row, minlength=len(todo))
-            tail_size = np.bincount(doc, length, d).astype(np.int64)
-            tail_size[live] += 1
-            tail, spots_of = np.empty(tail_size.sum(), np.int64), np.empty(tail_size.sum(), np.int64)
-            at = np.cumsum(tail_size[live]) - tail_size[live]
-            tail[at], spots_of[at] = chosen, spot
-            rank = np.zeros(d, np.int64)
-            rank[live] = np.arange(1, len(live) + 1)  # chosen edges of the texts up to this one
-            to = (np.cumsum(length) - length + rank[doc])[row] + step
-            tail[to], spots_of[to] = edge, todo[row]
-            kept = np.flatnonzero(branch[live])
-            before[live[kept]] = summed[leaf[kept] - 1]
+            start[(np.cumsum(behind) - behind)[on]] = then[on]
+            lead = np.repeat(np.arange(1, len(live) + 1), behind)  # chosen edges of the texts up to this one
+            length, starts, tail = _paths(lattice, start, _salted(chunk_key[todo], j, DRAW), lead, len(live))
+            ends, behind = np.r_[0, np.cumsum(length)], np.r_[0, np.cumsum(behind)]
+            tail_size = np.zeros(d, np.int64)
+            tail_size[live] = np.diff(ends[behind]) + 1
+            tail[ends[behind[:-1]] + np.arange(len(live))] = chosen
             size = np.where(value > _NONE, branch, 0) + tail_size
         skip, base, tail_base = size - tail_size, np.cumsum(size) - size, np.cumsum(tail_size) - tail_size
-        logp = lattice.logp[tail]
+        logp = lattice.logp.take(tail)
         runs = np.r_[0.0, np.cumsum(logp)]
-        before -= runs[tail_base]
+        before = kept_logp - runs[tail_base]
         total = runs[tail_base + tail_size] + before
-        who = np.repeat(np.arange(d), tail_size)
-        rest = 1 - np.exp(logp)
-        if j == 0:
-            path = tail
-        else:
-            path, kept, to, behind = np.empty(size.sum(), np.int64), _ranges(old[live], branch[live]), _ranges(base[live], branch[live]), _ranges(base + skip, tail_size)
-            path[to], path[behind] = whole[kept], tail
+        path = lattice.id.take(tail)
+        if j:
             spent = np.where(barred[j, live] >= 0, np.exp(lattice.logp[np.maximum(barred[j, live], 0)]), 0).sum(axis=1)
-            options = lattice.first[lattice.start[chosen] + 1] - lattice.first[lattice.start[chosen]]
-            rest[at] = np.where((barred[j, live] >= 0).sum(axis=1) < options, 1 - spent, 0)
-        if j < k - 1:  # the last path is nobody's source
-            place, sum_of = spots_of, runs[1:] + before[who]
-            if j:
-                place, sum_of = np.empty(len(path), np.int64), np.empty(len(path))
-                place[to], sum_of[to] = spots[kept], summed[kept]
-                place[behind], sum_of[behind] = spots_of, runs[1:] + before[who]
-            places.append(place.astype(np.int32))
-            sums.append(sum_of)
-        open_nodes = np.flatnonzero(rest > 1e-12)
-        who = who[open_nodes]
-        mass = runs[open_nodes] + before[who] + np.log(rest[open_nodes])
+            unspent = np.zeros(d)
+            unspent[live] = np.where((barred[j, live] >= 0).sum(axis=1) < after, 1 - spent, 0)
+            behind, path, tail_ids = np.ones(size.sum(), bool), np.empty(size.sum(), np.int32), path
+            kept = _ranges(base[live], branch[live])
+            behind[kept] = False
+            path[behind] = tail_ids
+            path[kept] = np.concatenate(paths)[_ranges(np.stack(bases)[source, np.arange(d)][live], branch[live])]
         # A perturbed mass lies between 3.7 below and 37.5 above its mass, so a node is beaten by k - j others
-        # if the masses of any k - j nodes of its text, here the first, are larger by 42.
-        here = np.bincount(who, minlength=d)
-        first = np.cumsum(here) - here
-        few = np.minimum(here, k - j)
-        lowest = np.full(d, _NONE)
-        enough = np.flatnonzero(here >= k - j)
-        if len(enough):
-            lowest[enough] = np.minimum.reduceat(mass[_ranges(first[enough], few[enough])], np.cumsum(few[enough]) - few[enough])
+        # if the masses of any k - j nodes of its text, here the first, are larger by 42. Masses are below what
+        # the pieces before the node leave, which falls along a path: mostly its beginning settles the matter.
+        def masses(texts, seen):
+            """Places, texts and masses of the nodes open to a branch among the first of some texts' tails."""
+            nodes, who = _ranges(tail_base[texts], seen), np.repeat(texts, seen)
+            rest = 1 - np.exp(logp[nodes])
+            if j:
+                heads = (np.cumsum(seen) - seen)[seen > 0]
+                rest[heads] = unspent[texts[seen > 0]]
+            on = np.flatnonzero(rest > 1e-12)
+            nodes, who = nodes[on], who[on]
+            return nodes, who, runs[nodes] + before[who] + np.log(rest[on])
+
+        lowest, seen, few = np.full(d, _NONE), WINDOW, np.flatnonzero(tail_size)
+        while len(few):
+            wide = np.minimum(tail_size[few], seen)
+            nodes, who, mass = masses(few, wide)
+            here = np.bincount(who, minlength=d)[few]
+            enough = here >= k - j
+            if enough.any():
+                first, some = (np.cumsum(here) - here)[enough], np.full(enough.sum(), k - j)
+                lowest[few[enough]] = np.minimum.reduceat(mass[_ranges(first, some)], np.cumsum(some) - some)
+            few, seen = few[~enough & (wide < tail_size[few])], 4 * seen
+        low, seen = np.zeros(d, np.int64), tail_size.copy()  # the first node behind those that matter, by bisection
+        while (low < seen).any():
+            mid = (low + seen) // 2
+            matters = (low < seen) & (runs[tail_base + mid] + before > lowest - 43)  # 42, and 1 for rounding
+            low, seen = np.where(matters, mid + 1, low), np.where(matters, seen, mid)
+        nodes, who, mass = masses(np.arange(d), seen)
         near = np.flatnonzero(mass > lowest[who] - 42)
-        nodes, who, mass = open_nodes[near], who[near], mass[near]
-        step_of = nodes - (tail_base - skip)[who]  # pieces before the node in its path
-        drawn = mass + _gumbel(_uniform(keys[who], 3 * j + 2, step_of))
-        bound = -np.logaddexp(-value[who], -drawn)
-        here = np.bincount(who, minlength=d)
-        more = _top(bound, np.cumsum(here) - here, here, k - j)
-        agenda = np.hstack([agenda, *(b[:, None] for b, _ in more)])
-        agenda_path = np.hstack([agenda_path, np.full((d, len(more)), j)])
-        step_of = np.r_[step_of, 0]
-        agenda_step = np.hstack([agenda_step, *(step_of[np.minimum(p, len(nodes))][:, None] for _, p in more)])
-        edges.append(path.astype(np.int32))
+        nodes, who, mass = nodes[near], who[near], mass[near]
+        if len(nodes):
+            step_of = nodes - (tail_base - skip)[who]  # pieces before the node in its path
+            drawn = mass + _gumbel(_uniform(keys[who], 3 * j + 2, step_of))
+            bound = -np.logaddexp(-value[who], -drawn)
+            here = np.bincount(who, minlength=d)
+            for best, place in _top(bound, np.cumsum(here) - here, here, k - j):
+                at = nodes[place]
+                head = at == tail_base if j else np.zeros(d, bool)
+                spot = np.where(head, spot_of, todo[np.maximum(np.searchsorted(starts, at, side="right") - 1, 0)] if len(todo) else 0)
+                more = np.full(d, j), step_of[place], tail[at], spot, np.where(at == tail_base, kept_logp, runs[at] + before)
+                agenda, notes = np.c_[agenda, best], [np.c_[n, m] for n, m in zip(notes, more)]
+        paths.append(path)
         bases.append(base + stored)
         sizes.append(size)
         stored += len(path)
@@ -516,7 +550,7 @@ def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[li
         branches.append(branch)
     next_value = agenda.max(axis=1, initial=_NONE)
     out: list[list] = [[] for _ in range(d)]
-    for path, base, size, value, total, offset in zip(edges, bases, sizes, values, logps, np.cumsum([0] + [len(e) for e in edges])):
+    for path, base, size, value, total, offset in zip(paths, bases, sizes, values, logps, np.cumsum([0] + [len(p) for p in paths])):
         ids, counts = lattice.ids_of(path)
         cuts = np.r_[0, np.cumsum(counts)]
         with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
