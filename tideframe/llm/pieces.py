@@ -72,6 +72,11 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(total)
 
 
+def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """``values[places]`` for places that are there: clipping spares the check of each, which takes most of the time."""
+    return values.take(places, mode="clip")
+
+
 class Vocabulary:
     """Pieces of a model with log probabilities, as a trie over characters.
 
@@ -211,27 +216,27 @@ class Slice:
         begins[cuts[:-1][cuts[1:] > cuts[:-1]]] = True
         if vocab:
             cut = begins.copy()
-            cut[1:] |= vocab.apart.reshape(-1).take(letters[:-3].astype(np.uint16) << 8 | letters[1:-2])
+            cut[1:] |= _at(vocab.apart.reshape(-1), letters[:-3].astype(np.uint16) << 8 | letters[1:-2])
         starts = np.flatnonzero(cut if vocab else begins)
         found = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
         self.flat = found.indices.to_numpy().astype(np.int64)
         self.chunks = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         places = np.searchsorted(starts, cuts)
         self.many = np.diff(places)  # chunks of each text
-        whole = begins[starts]
+        whole = _at(begins, starts)
         chunk = np.cumsum(whole)
         first = chunk[np.minimum(places[:-1], len(starts) - 1)] if len(starts) else places[:-1]
         self.inside = chunk - np.repeat(first, self.many) + 1
-        lengths = np.fromiter(map(len, self.chunks), np.int64, len(self.chunks))[self.flat]
+        lengths = _at(np.fromiter(map(len, self.chunks), np.int64, len(self.chunks)), self.flat)
         offset = np.cumsum(lengths) - lengths
-        self.offset = offset - offset[whole][chunk - 1]
+        self.offset = offset - _at(offset[whole], chunk - 1)
 
     def encode(self, vocab: Vocabulary) -> list[np.ndarray]:
         """Piece ids of every text by the model's own segmentation."""
         number, ids, cuts = vocab.learn(self.chunks)
-        place = number[self.flat]
+        place = _at(number, self.flat)
         each = cuts[place + 1] - cuts[place]
-        flat = ids[_ranges(cuts[place], each)]
+        flat = _at(ids, _ranges(cuts[place], each))
         cuts = np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(self.many)]]
         return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
@@ -283,24 +288,24 @@ class Lattice:
         inner = np.ones(n, bool)
         inner[chunk_end] = False
         within = np.flatnonzero(inner)
-        kind = vocab.kind[chars]
+        kind = _at(vocab.kind, chars)
         kind[chunk_end] = 0
-        ids = vocab.single[chars]
+        ids = _at(vocab.single, chars)
         spelled = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
         cost = np.where(ids >= 0, vocab.logp[ids], spelled * vocab.byte_logp)
         alone = np.flatnonzero((ids < 0) & (spelled == 1))
         ids[alone] = vocab.bytes[chars[alone]]
         found = [(within, 1, ids[within])]
-        at, node, depth = np.arange(n), vocab.child[0].take(kind), 1
+        at, node, depth = np.arange(n), _at(vocab.child[0], kind), 1
         while len(at):
             on = np.flatnonzero((node > 0) & (node < vocab.inner))
-            at = at.take(on)
-            node = vocab.child[node.take(on), kind.take(at + depth)]
+            at = _at(at, on)
+            node = vocab.child[_at(node, on), _at(kind, at + depth)]
             depth += 1
-            piece = vocab.piece.take(node)  # none at the root
+            piece = _at(vocab.piece, node)  # none at the root
             hit = np.flatnonzero(piece >= 0)
             if len(hit):
-                found.append((at.take(hit), depth, piece.take(hit)))
+                found.append((_at(at, hit), depth, _at(piece, hit)))
         count = np.zeros(n, np.int64)
         for start, *_ in found:
             count[start] += 1
@@ -309,10 +314,10 @@ class Lattice:
         starts, pieces, ends = np.repeat(np.arange(n), count), np.empty(total, np.int32), np.empty(total, np.int64)
         filled = firsts[:-1].copy()
         for start, length, piece in reversed(found):  # the longest first: it is mostly the likeliest
-            to = filled.take(start)
+            to = _at(filled, start)
             filled[start] = to + 1
             pieces[to], ends[to] = piece, start + length
-        logw, final = vocab.logp.take(pieces, mode="wrap"), firsts[1:][within] - 1
+        logw, final = _at(vocab.logp, pieces), firsts[1:][within] - 1
         logw[final] = cost[within]
         missing = np.flatnonzero(ids[within] < 0)
         pieces[final[missing]] = ~chars[within[missing]]
@@ -322,47 +327,47 @@ class Lattice:
         steps = np.r_[0, np.cumsum(np.bincount(ahead)[1:])]
         mass, wide = np.zeros(n), count[order]
         edges = _ranges(firsts[order], wide)
-        goal, weight, cuts = ends[edges], logw[edges], np.r_[0, np.cumsum(wide)]
+        goal, weight, cuts = _at(ends, edges), _at(logw, edges), np.r_[0, np.cumsum(wide)]
         for a, b in zip(steps[:-1], steps[1:]):
             if a < b:
-                value = weight[cuts[a] : cuts[b]] + mass.take(goal[cuts[a] : cuts[b]])
+                value = weight[cuts[a] : cuts[b]] + _at(mass, goal[cuts[a] : cuts[b]])
                 runs = cuts[a:b] - cuts[a]
                 top = np.maximum.reduceat(value, runs)
                 value -= np.repeat(top, wide[a:b])
                 mass[order[a:b]] = top + np.log(np.add.reduceat(np.exp(value, out=value), runs))
-        logp = logw + mass[ends] - mass[starts]
+        logp = logw + _at(mass, ends) - _at(mass, starts)
         ladder = np.cumsum(np.exp(logp))
-        ladder -= np.r_[0, ladder][firsts[starts]]
+        ladder -= _at(np.r_[0, ladder], _at(firsts, starts))
         ladder[final] = 1.0  # rounding never leads past the last edge of a character
         at, to = self.places, self.edges
-        self._put(self.EDGE, to, then=np.where(inner[ends], ends + at, -1), id=pieces, logp=logp, ladder=ladder)
+        self._put(self.EDGE, to, then=np.where(_at(inner, ends), ends + at, -1), id=pieces, logp=logp, ladder=ladder)
         self._put(self.PLACE, at, first=firsts + to)
         self.chunk_start, self.chunk_end = np.r_[self.chunk_start, at + chunk_end - lengths], np.r_[self.chunk_end, at + chunk_end]
         self.places, self.edges = at + n, to + total
 
     def draw(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each character in proportion to its probability."""
-        edge = self.first.take(place)
-        on = np.flatnonzero(u >= self.ladder.take(edge))
-        more, u = edge.take(on), u.take(on)
+        edge = _at(self.first, place)
+        on = np.flatnonzero(u >= _at(self.ladder, edge))
+        more, u = _at(edge, on), _at(u, on)
         while len(on):
             more += 1
             edge[on] = more
-            left = np.flatnonzero(u >= self.ladder.take(more))
-            on, more, u = on.take(left), more.take(left), u.take(left)
+            left = np.flatnonzero(u >= _at(self.ladder, more))
+            on, more, u = _at(on, left), _at(more, left), _at(u, left)
         return edge
 
     def ids_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of the ids of edges, byte pieces written out, and how many each edge has."""
-        counts = np.ones(len(ids), np.int64)
+        """Token ids of the ids of edges, byte pieces written out, and where those of each edge begin."""
         missing = np.flatnonzero(ids < 0)
         if not len(missing):
-            return ids, counts
+            return ids, np.arange(len(ids) + 1)
+        counts = np.ones(len(ids), np.int64)
         chars = ~ids[missing]
         counts[missing] = 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
         out = np.repeat(ids, counts)
         out[out < 0] = self.vocab.bytes[np.frombuffer("".join(map(chr, chars.tolist())).encode(), np.uint8)]
-        return out, counts
+        return out, np.r_[0, np.cumsum(counts)]
 
 
 def _paths(lattice: Lattice, place: np.ndarray, counters: np.ndarray, lead: np.ndarray | int = 0, spare: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -375,14 +380,14 @@ def _paths(lattice: Lattice, place: np.ndarray, counters: np.ndarray, lead: np.n
         edge = lattice.draw(place, _fraction(counters + place.view(np.uint64) * np.uint64(STEP)))
         drawn.append((live, edge))
         length[live] += 1
-        place = lattice.then.take(edge)
+        place = _at(lattice.then, edge)
         on = np.flatnonzero(place >= 0)
-        live, place, counters = live.take(on), place.take(on).astype(np.int64), counters.take(on)
+        live, place, counters = _at(live, on), _at(place, on).astype(np.int64), _at(counters, on)
     ends = np.cumsum(length)
     starts = ends - length + lead
     edges = np.empty((int(ends[-1]) if len(ends) else 0) + spare, np.int64)
     for step, (live, edge) in enumerate(drawn):
-        edges[starts.take(live) + step] = edge
+        edges[_at(starts, live) + step] = edge
     return length, starts, edges
 
 
@@ -415,9 +420,9 @@ def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[li
     of a segmentation to be above the next value that did not come out.
     """
     many, d = texts.many, len(texts.many)
-    flat, lattice = vocab.learn(texts.chunks)[0][texts.flat], vocab.lattice
+    flat, lattice = _at(vocab.learn(texts.chunks)[0], texts.flat), vocab.lattice
     last = np.cumsum(many)  # chunk places of a text: last - many up to last
-    begin = lattice.chunk_start[flat]
+    begin = _at(lattice.chunk_start, flat)
     keys = _mix(keys)
     chunk_key = _mix(np.repeat(keys, many) ^ _mix(texts.inside.astype(np.uint64)))
     chunk_key = _salted(chunk_key, texts.offset - begin, STEP)  # the place in the lattice times STEP is added for each draw
@@ -474,21 +479,21 @@ def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[li
             on = np.flatnonzero(then >= 0)
             behind = last[live] - spot - (then < 0)
             todo = _ranges(last[live] - behind, behind)
-            start = begin[todo]
+            start = _at(begin, todo)
             start[(np.cumsum(behind) - behind)[on]] = then[on]
             lead = np.repeat(np.arange(1, len(live) + 1), behind)  # chosen edges of the texts up to this one
-            length, starts, tail = _paths(lattice, start, _salted(chunk_key[todo], j, DRAW), lead, len(live))
+            length, starts, tail = _paths(lattice, start, _salted(_at(chunk_key, todo), j, DRAW), lead, len(live))
             ends, behind = np.r_[0, np.cumsum(length)], np.r_[0, np.cumsum(behind)]
             tail_size = np.zeros(d, np.int64)
             tail_size[live] = np.diff(ends[behind]) + 1
             tail[ends[behind[:-1]] + np.arange(len(live))] = chosen
             size = np.where(value > _NONE, branch, 0) + tail_size
         skip, base, tail_base = size - tail_size, np.cumsum(size) - size, np.cumsum(tail_size) - tail_size
-        logp = lattice.logp.take(tail)
+        logp = _at(lattice.logp, tail)
         runs = np.r_[0.0, np.cumsum(logp)]
         before = kept_logp - runs[tail_base]
         total = runs[tail_base + tail_size] + before
-        path = lattice.id.take(tail)
+        path = _at(lattice.id, tail)
         if j:
             spent = np.where(barred[j, live] >= 0, np.exp(lattice.logp[np.maximum(barred[j, live], 0)]), 0).sum(axis=1)
             unspent = np.zeros(d)
@@ -504,13 +509,13 @@ def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[li
         def masses(texts, seen):
             """Places, texts and masses of the nodes open to a branch among the first of some texts' tails."""
             nodes, who = _ranges(tail_base[texts], seen), np.repeat(texts, seen)
-            rest = 1 - np.exp(logp[nodes])
+            rest = 1 - np.exp(_at(logp, nodes))
             if j:
                 heads = (np.cumsum(seen) - seen)[seen > 0]
                 rest[heads] = unspent[texts[seen > 0]]
             on = np.flatnonzero(rest > 1e-12)
             nodes, who = nodes[on], who[on]
-            return nodes, who, runs[nodes] + before[who] + np.log(rest[on])
+            return nodes, who, _at(runs, nodes) + _at(before, who) + np.log(rest[on])
 
         lowest, seen, few = np.full(d, _NONE), WINDOW, np.flatnonzero(tail_size)
         while len(few):
@@ -551,8 +556,7 @@ def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[li
     next_value = agenda.max(axis=1, initial=_NONE)
     out: list[list] = [[] for _ in range(d)]
     for path, base, size, value, total, offset in zip(paths, bases, sizes, values, logps, np.cumsum([0] + [len(p) for p in paths])):
-        ids, counts = lattice.ids_of(path)
-        cuts = np.r_[0, np.cumsum(counts)]
+        ids, cuts = lattice.ids_of(path)
         with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
             gap = total - next_value
             inclusion = np.where(next_value == _NONE, 0.0, np.where(gap < -30, gap, np.log(-np.expm1(-np.exp(np.minimum(gap, 700))))))
