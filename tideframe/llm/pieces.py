@@ -379,7 +379,7 @@ def _paths(lattice: Lattice, place: np.ndarray, counters: np.ndarray, lead: np.n
     while len(live):
         edge = lattice.draw(place, _fraction(counters + place.view(np.uint64) * np.uint64(STEP)))
         drawn.append((live, edge))
-        length[live] += 1
+        length[live] = len(drawn)
         place = _at(lattice.then, edge)
         on = np.flatnonzero(place >= 0)
         live, place, counters = _at(live, on), _at(place, on).astype(np.int64), _at(counters, on)
@@ -387,7 +387,7 @@ def _paths(lattice: Lattice, place: np.ndarray, counters: np.ndarray, lead: np.n
     starts = ends - length + lead
     edges = np.empty((int(ends[-1]) if len(ends) else 0) + spare, np.int64)
     for step, (live, edge) in enumerate(drawn):
-        edges[_at(starts, live) + step] = edge
+        edges[_at(starts, live) + step if step else starts] = edge
     return length, starts, edges
 
 
@@ -490,7 +490,8 @@ def sample(texts: Slice, keys: np.ndarray, vocab: Vocabulary, k: int) -> list[li
             size = np.where(value > _NONE, branch, 0) + tail_size
         skip, base, tail_base = size - tail_size, np.cumsum(size) - size, np.cumsum(tail_size) - tail_size
         logp = _at(lattice.logp, tail)
-        runs = np.r_[0.0, np.cumsum(logp)]
+        runs = np.zeros(len(logp) + 1)
+        np.cumsum(logp, out=runs[1:])
         before = kept_logp - runs[tail_base]
         total = runs[tail_base + tail_size] + before
         path = _at(lattice.id, tail)
@@ -662,8 +663,9 @@ def op1_sentencepiece(spark, sf):
     """Digests of the model's and of four sampled segmentations of every document, and whether they decode to the text."""
     docs = segment(table(spark, sf, "documents").select("doc_id", "text"), k=K)
     field = lambda name: F.transform("samples", lambda s: s[name]).alias(name)
+    hashes = F.array(*[F.xxhash64(F.get("samples", F.lit(i))["ids"]) for i in range(K)])  # compiled, which a lambda is not
     return docs.select(
         "doc_id", F.size("pieces").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), F.size("samples").alias("n_samples"),
-        F.transform("samples", lambda s: F.size(s["ids"])).alias("n_sampled"), F.transform("samples", lambda s: F.xxhash64(s["ids"])).alias("sample_hashes"),
+        F.transform("samples", lambda s: F.size(s["ids"])).alias("n_sampled"), F.slice(hashes, 1, F.size("samples")).alias("sample_hashes"),
         field("log_prob"), field("gumbel"), field("log_inclusion"), "decodes",
     )
